@@ -1,4 +1,9 @@
 """Registered queries over the driver tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .registered import exam
+
+_MODULES = (exam,)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
