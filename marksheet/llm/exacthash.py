@@ -86,4 +86,4 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged; of rows that repeat an id one stays."""
     keep = exact_duplicates(docs, key, text, **options).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(key).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([key])
+    return docs.join(keep, docs[key].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([key])

@@ -45,9 +45,13 @@ THRESHOLDS = (
 )
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and ratios of every whole text; null texts have no words. One row per input row."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+
+
+def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``docs``, with counts and ratios of every whole text; null texts have no words."""
+    kept = docs.columns
+    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumns({"_words": F.array_remove(F.split("_text", _BREAK), ""), "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(rf"[^{SPACES}]"))})
     stop = sorted({v for words in STOP_WORDS.values() for w in words for v in (w, w.capitalize())})
     starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - 4, F.lit(1)))
@@ -73,11 +77,9 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = rows.withColumn("_at", F.when(F.col("_ordered").isNotNull(), F.array_sort(F.transform(at, lambda k: F.get("_ordered", k)["i"]))))
     covered = F.aggregate("_at", F.struct(F.lit(-9).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")), lambda a: a["n"])
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
-        per("word_chars", "n_words").alias("mean_word_chars"), per("n_symbols", "n_words").alias("symbol_ratio"), per("n_dup_lines", "n_lines").alias("dup_line_ratio"),
-        per("n_bullet_lines", "n_lines").alias("bullet_line_ratio"), per("n_ellipsis_lines", "n_lines").alias("ellipsis_line_ratio"), per("n_stop_words", "n_words").alias("stop_ratio"),
-    )
+    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
+    ratios = {"mean_word_chars": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "bullet_line_ratio": ("n_bullet_lines", "n_lines"), "ellipsis_line_ratio": ("n_ellipsis_lines", "n_lines"), "stop_ratio": ("n_stop_words", "n_words")}
+    return rows.select(*kept, *MEASURES, *(per(a, b).alias(name) for name, (a, b) in ratios.items()))
 
 
 def base_failed() -> Column:
@@ -98,10 +100,15 @@ def verdict(rules=THRESHOLDS) -> Column:
     return reduce(lambda a, b: a & b, map(holds, rules), F.lit(True))
 
 
+def with_verdict(docs: DataFrame, rules=THRESHOLDS, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` (none may be named like a measure), features, ``base_failed`` and ``kept``."""
+    return with_features(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
 def judge(docs: DataFrame, rules=THRESHOLDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Features with ``base_failed`` and ``kept``.
+    """doc_id with features, ``base_failed`` and ``kept``.
 
     Null and empty texts have no words and fail the base rule. Repeated rows are judged alike, an
     empty table gives an empty result, extra columns are not read.
     """
-    return features(docs, key, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return with_verdict(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_source")), rules, "_source").drop("_source")
