@@ -217,6 +217,23 @@ def baum_welch(train: DataFrame, words: list[bytes], unigram: np.ndarray, states
     return model, likelihoods
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """Tokens from some count on, at most ``most`` of them, most frequent first.
+
+    The count is read off a histogram of counts on a logarithmic scale (some hundred rows), so no
+    task or driver sorts or holds more than the tokens returned.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    left, least = most, None
+    for b in sorted(counts.groupBy(step.alias("bin")).count().collect(), key=lambda b: -b["bin"]):
+        if b["count"] > left:
+            break
+        left, least = left - b["count"], b["bin"]
+    if least is None:
+        return []
+    return sorted(counts.where(step >= least).collect(), key=lambda x: (-x["c"], x["token"]))
+
+
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1, states: int = 8, symbols: int = 16_000, lookup: int = 200_000, rounds: int = 3) -> DataFrame:
     """Score every whole text by the hidden Markov model and by smoothed token counts.
 
@@ -230,7 +247,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     train = rows.where("not held_out")
     counts = saved(token_counts(train), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.where("token != ''").orderBy(F.desc("c"), "token").limit(lookup).collect()  # `lookup` rows at most
+    head = _most_frequent(counts.where("token != ''"), lookup)
     ends = next((r["c"] for r in counts.where("token = ''").collect()), 0)
     words, head_c = [r["token"].encode() for r in head], np.array([r["c"] for r in head], float)
     symbols = min(symbols, len(words))

@@ -56,7 +56,8 @@ _FIND = re.compile(
 
 
 def _luhn(digits: str) -> int:
-    return sum(d if i % 2 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(map(int, reversed(digits)), 1)) % 10
+    """The sum of digits before the check digit, modulo 10."""
+    return sum((2 * d if d < 5 else 2 * d - 9) if i % 2 == 0 else d for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
 def _luhn_ok(digits: str) -> bool:
