@@ -10,7 +10,8 @@ so most shingles of a long text cost a single draw.
 
 Candidates share a band. Inside a band bucket documents are compared with a pivot, the one that
 shares the most buckets with others, not with each other; only members that the pivot leaves in
-different classes are then compared further. Every link is confirmed on the multisets themselves.
+different classes are then compared further, by prefix filtering. Every link is confirmed on the
+multisets themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import saved
 
@@ -189,26 +190,56 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, width: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose multisets have a weighted Jaccard of ``threshold`` or more.
+def _bags_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, name: str) -> DataFrame:
+    """node and bag of the nodes in ``wanted``, made again from the text of one document of each."""
+    owners = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
+    texts = docs.join(owners, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
+    return saved(bags(texts, width).join(wanted, "node", "left_semi").dropDuplicates(["node"]), f"{name}-bags")
 
-    Sizes and signatures rule out pairs first: a signature that agrees on less than ``threshold``
-    - 0.25 of its components is over five standard deviations away.
-    """
+
+def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that sizes and signatures do not rule out: a signature that agrees on less than
+    ``threshold`` - 0.25 of its components is over five standard deviations away."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}"))
     agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (agree >= (threshold - 0.25) * F.size("s_a"))).select("a", "b")
-    likely = saved(likely, f"{name}-likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.join(owners, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
-    bag = bags(texts, width).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    bag = saved(bag, f"{name}-bags")
+    near = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (agree >= (threshold - 0.25) * F.size("s_a"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+
+
+def _confirmed(likely: DataFrame, bag: DataFrame, threshold: float, name: str) -> DataFrame:
+    """The pairs (a, b) whose multisets have a weighted Jaccard of ``threshold`` or more."""
     both = likely.join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
     shared = F.size(F.array_intersect("bag_a", "bag_b"))
     return saved(both.where(shared >= threshold * (F.size("bag_a") + F.size("bag_b") - shared)).select("a", "b"), f"{name}-links")
 
 
+def _prefix_pairs(bag: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes in different classes that may reach ``threshold``, by prefix filtering.
+
+    With all elements in one order, rarest first, two bags that overlap enough share an element
+    early in both, and the first one they share leaves enough elements after it. The shorter bag of
+    a pair is indexed by its first elements and its size class, the longer one looks up each size
+    class with just the elements that sizes of that class leave room for. In a large group of
+    copies with edits of their own, those are the edits, not the text they have in common.
+    """
+    share = threshold / (1 + threshold)
+    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(1.02))).cast("int")
+    elements = bag.select("node", F.size("bag").cast("double").alias("n"), F.explode("bag").alias("element"))
+    counts = elements.groupBy("element").agg(F.count("*").alias("_df"))
+    placed = elements.join(counts, "element").withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("_df", "element")))
+    early = saved(placed.where((F.col("_df") > 1) & (F.col("pos") <= F.col("n") * (1 - threshold) + 1 + 1e-6)).join(classes, "node").select("element", "node", "class", "n", "pos"), "prefixes")
+    short = early.where(F.col("pos") <= F.col("n") * (1 - 2 * share) + 1 + 1e-6).select("element", size_class(F.col("n")).alias("k"), F.struct("node", "class", "n", "pos").alias("x"))
+    least = F.greatest(F.exp(F.col("k") * F.log(F.lit(1.02))), threshold * F.col("n"))
+    long = early.withColumn("k", F.explode(F.sequence(size_class(F.greatest(threshold * F.col("n") - 1e-6, F.lit(1.0))), size_class(F.col("n")))))
+    long = long.where(F.col("pos") <= F.col("n") - share * (least + F.col("n")) + 1 + 1e-6).select("element", "k", F.struct("node", "class", "n", "pos").alias("y"))
+    need = share * (F.col("x.n") + F.col("y.n")) - 1e-6
+    after = lambda s: F.col(f"{s}.n") - F.col(f"{s}.pos") + 1
+    order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    s, l = short.alias("s"), long.alias("l")
+    hit = (F.col("s.element") == F.col("l.element")) & (F.col("s.k") == F.col("l.k")) & order & (F.col("x.class") != F.col("y.class")) & (after("x") >= need) & (after("y") >= need)
+    return s.join(l, hit).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept.
 
@@ -235,18 +266,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, ro
 
     rest, pairs = against_pivot(members)
     first_pairs = saved(pairs, "pairs")
-    links = _confirmed(first_pairs, nodes, source, threshold, width, "pivot")
+    likely = saved(_likely(first_pairs, nodes, threshold), "pivot-likely")
+    links = _confirmed(likely, _bags_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, width, "pivot"), threshold, "pivot")
     classes = components(links)
 
     # Buckets that the pivot leaves in more than one class: the pivot is done, the others go on.
     labelled = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     split = labelled.groupBy("key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo != _hi").select("key")
-    open_rows = rest.select("key", "node").join(split, "key", "left_semi")
-    open_rows = saved(open_rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(nodes.select("node", "n"), "node"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    close = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
-    more = x.join(y, close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    links = links.union(_confirmed(saved(more, "more-pairs"), nodes, source, threshold, width, "rest"))
+    open_rows = rest.select("key", "node").join(split, "key", "left_semi").select("node").distinct()
+    open_rows = saved(open_rows.join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "open")
+    open_bags = _bags_of(open_rows.select("node"), nodes, source, width, "open")
+    more = _prefix_pairs(open_bags, open_rows, threshold).join(first_pairs, ["a", "b"], "left_anti")
+    links = links.union(_confirmed(saved(more, "more-pairs"), open_bags, threshold, "rest"))
     classes = components(links)
 
     of_doc = sketches.select("doc_id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -260,4 +291,4 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, ro
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one for each class, all columns unchanged."""
     keep = near_duplicates(docs, threshold, key=key, text=text, **options).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(key).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([key])
+    return docs.join(keep, docs[key].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([key])
