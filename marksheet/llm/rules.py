@@ -102,7 +102,10 @@ def verdict(rules=THRESHOLDS) -> Column:
 
 def with_verdict(docs: DataFrame, rules=THRESHOLDS, text: str = "text") -> DataFrame:
     """All columns of ``docs`` (none may be named like a measure), features, ``base_failed`` and ``kept``."""
-    return with_features(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    judged = with_features(docs, text).withColumn("base_failed", base_failed())
+    # The row id keeps a filter on the verdict above this projection. Pushed below it, the filter
+    # would take the array expressions with it and evaluate them again for every array element.
+    return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.monotonically_increasing_id() >= 0))
 
 
 def judge(docs: DataFrame, rules=THRESHOLDS, key: str = "doc_id", text: str = "text") -> DataFrame:
