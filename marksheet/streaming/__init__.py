@@ -1 +1 @@
-"""Incremental forms of batch operators on Structured Streaming."""
+"""No operator of the domain reads a stream, so nothing lives here."""
