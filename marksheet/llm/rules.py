@@ -59,7 +59,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": (F.char_length("_text") - F.char_length(F.translate("_text", "#*$%&|<>", ""))).cast("long"),
+            "n_symbols": F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_bullet_lines": F.size(F.filter("_lines", lambda x: x.rlike(rf"^[{SPACES}]*[-*•]"))).cast("long"),
