@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from marksheet.queries import ORACLES, QUERIES
@@ -23,7 +24,7 @@ def con():
 
 
 def plain(v):
-    if v is None or v != v:
+    if pd.isna(v):
         return ""
     if isinstance(v, (bool,)) or type(v).__name__ in ("bool", "bool_"):
         return str(bool(v))
