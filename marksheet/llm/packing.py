@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .common import saved
 
 _SEAM = re.compile(r" (?=\S)")
-_CACHE = 400_000
+#: Cuts that a worker keeps encoded.
+_CACHE = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -43,14 +44,18 @@ def token_ids(path: str, texts: list[str]) -> list[bytes]:
     """
     t, plain, spaced = _tokenizer(path)
     cuts = [_SEAM.split(x) for x in texts]
-    for known, prefix, wanted in ((plain, "", {c[0] for c in cuts}), (spaced, " ", set(chain.from_iterable(c[1:] for c in cuts)))):
-        if len(known) + len(wanted) > _CACHE:
-            known.clear()
+
+    def encoded(known: dict[str, bytes], prefix: str, wanted: set[str]) -> dict[str, bytes]:
         missing = [x for x in wanted if x not in known]
-        if missing:
-            for x, e in zip(missing, t.encode_batch_fast([prefix + x for x in missing], add_special_tokens=False), strict=True):
-                known[x] = array("I", e.ids).tobytes()
-    return [plain[c[0]] + b"".join(map(spaced.__getitem__, c[1:])) for c in cuts]
+        new = {x: array("I", e.ids).tobytes() for x, e in zip(missing, t.encode_batch_fast([prefix + x for x in missing], add_special_tokens=False), strict=True)}
+        if len(known) + len(new) <= _CACHE:
+            known.update(new)
+            return known
+        # Full: what came first stays, since frequent cuts come early; the rest serve this call only.
+        return new | {x: known[x] for x in wanted if x not in new}
+
+    first, rest = encoded(plain, "", {c[0] for c in cuts}), encoded(spaced, " ", set(chain.from_iterable(c[1:] for c in cuts)))
+    return [first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) for c in cuts]
 
 
 def cut_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
