@@ -29,7 +29,7 @@ ADAPTERS: dict[str, str] = {
     "raw_responses": """
         SELECT l_suppkey AS m, l_partkey % 24 AS q, CAST(CAST(sum(l_quantity) AS BIGINT) % 5 AS DOUBLE) / CAST(4 AS DOUBLE) AS g,
             CAST(sum({rint}(l_discount * 100)) AS BIGINT) AS d, CAST(sum({rint}(l_tax * 100)) AS BIGINT) AS x, CAST(sum(l_linenumber) AS BIGINT) AS n
-        FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_suppkey, l_partkey % 24""",
+        FROM lineitem GROUP BY l_suppkey, l_partkey % 24""",
     "responses": f"""
         SELECT concat('m', CAST(m AS STRING)) AS member_id, concat('q', CAST(q AS STRING)) AS question_id, concat('m', CAST(m AS STRING), '-q', CAST(q AS STRING)) AS answer_id,
             concat('g', CAST(m AS STRING), '-', CAST(q AS STRING)) AS grading_id, g AS grade, g AS human_grade, {_moved("d % 2")} AS human_expert_one_gold, {_moved("0 - x % 2")} AS human_expert_two,
@@ -53,7 +53,7 @@ ADAPTERS: dict[str, str] = {
         SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, CAST(l_orderkey AS STRING) AS answer_id, CAST(CAST(sum(l_quantity) AS BIGINT) % 5 AS DOUBLE) / CAST(4 AS DOUBLE) AS accuracy
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "feedback": """
-        SELECT concat(CAST(event_id AS STRING), '-1') AS grading_id, max(event_type) AS comment, CAST(max(event_id % 5 + 1) AS BIGINT) AS rating FROM events WHERE event_id % 3 = 0 GROUP BY event_id""",
+        SELECT concat(CAST(event_id AS STRING), '-1') AS grading_id, max(event_type) AS comment, CAST(max(event_id % 5 + 1) AS BIGINT) AS rating FROM events GROUP BY event_id""",
     "question_meta": """
         SELECT CAST(p_partkey % 24 AS STRING) AS id, CASE CAST(max(p_size) % 4 AS INT) WHEN 0 THEN 'remember' WHEN 1 THEN 'understand' WHEN 2 THEN 'apply' ELSE 'analyse' END AS bloom, min(p_brand) AS topic
         FROM part WHERE p_partkey % 24 < 20 GROUP BY p_partkey % 24""",
