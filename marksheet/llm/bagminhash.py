@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import saved
+from .common import SPACES, saved
 
 _CACHE = 1_000_000
 _U = np.uint64
@@ -289,6 +289,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, ro
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each class, all columns unchanged."""
-    keep = near_duplicates(docs, threshold, key=key, text=text, **options).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([key])
+    """The rows of ``docs`` that stay, one for each class, all columns unchanged.
+
+    A row is found again by id and text, so null ids and ids that repeat over different texts lose
+    nothing. Texts without words link to nothing and all stay.
+    """
+    rows = docs.withColumn("_row", F.struct(F.col(key).alias("id"), F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("sha")))
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(f"[^{SPACES}]")
+    keep = near_duplicates(rows.where(worded), threshold, key="_row", text=text, **options).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    stay = rows.where(worded).join(keep, F.col("_row") == F.col("_keep"), "left_semi").dropDuplicates(["_row"])
+    return stay.union(rows.where(~worded)).drop("_row")

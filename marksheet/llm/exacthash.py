@@ -84,6 +84,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged; of rows that repeat an id one stays."""
-    keep = exact_duplicates(docs, key, text, **options).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates([key])
+    """The rows of ``docs`` that stay, one for each text, all columns unchanged.
+
+    A row is found again by id and text, so null ids and ids that repeat over different texts lose
+    nothing.
+    """
+    keep = exact_duplicates(docs, key, text, **options).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_text")).distinct()
+    rows = docs.withColumn("_row_text", F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256))
+    stay = rows.join(keep, rows[key].eqNullSafe(keep["_keep"]) & (rows["_row_text"] == keep["_keep_text"]), "left_semi")
+    return stay.dropDuplicates(["_row_text"]).drop("_row_text")
