@@ -25,3 +25,25 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     both = drop_near_duplicates(drop_exact_duplicates(docs))
     assert sorted((str(r["doc_id"]), r["text"].lower()) for r in both.collect()) == want
     assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_every_wording_of_a_block_is_found(spark):
+    from marksheet.llm.licences import TEMPLATES, scan_block, scan_licenses
+
+    names = lambda text: [TEMPLATES[w[0]][0] for w in scan_block(text)]
+    dual = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    assert names(dual) == ["MIT", "Apache-2.0"] and names(dual.replace("\n", " ")) == ["MIT", "Apache-2.0"]
+    for nth, (name, wording) in enumerate(TEMPLATES):
+        assert [w[0] for w in scan_block(wording)] == [nth] and scan_block(wording)[0][2:] == (0, [])
+        for seed in range(3):
+            prose = f"{_prose(seed, 900)} {wording} {_prose(seed + 9, 900)}"
+            assert names(prose) == [name], (name, seed)
+            other, other_wording = TEMPLATES[(nth + 7) % len(TEMPLATES)]
+            assert names(f"{prose} {other_wording} {_prose(seed + 5, 5)}") == [name, other]
+    crowd = " ".join(f"{_prose(n, n % 40)} {w}" for n, (_, w) in enumerate(TEMPLATES * 10))
+    assert names(crowd) == [name for name, _ in TEMPLATES * 10]
+    assert names("Licensed under the Apache Licence (English: License), Version 2.0.") == ["Apache-2.0"]
+    wrapped = TEMPLATES[2][1].replace(", ", ",\n")
+    rows = [(1, dual), (2, "no words on it\nthe licence fee\nwas raised"), (3, wrapped), (4, "x " * 200_000)]
+    out = sorted((r["doc_id"], r["block_start"], r["license"] or "", r["exact"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(1, 0, "Apache-2.0", True), (1, 0, "MIT", True), (2, 15, "", False), (3, 0, "MIT", True)]
