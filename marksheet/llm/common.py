@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The whitespace that separates words in every contract of this subpackage.
@@ -17,11 +21,13 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a folder of our own is made.
+    Only where that setting is absent on a local master (tests) a folder of our own is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _own_dir[0]
@@ -53,3 +59,14 @@ def ascii_lower(text):
     """Lower-case A-Z only. Pure-ASCII texts take the fast built-in; others are translated."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def slices(batch: pa.RecordBatch, text: int | str, rows: int = 500, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``rows`` rows and ``most_bytes`` of text; a longer text comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right"))
+        to = max(at + 1, min(fits, at + rows))
+        yield batch.slice(at, to - at)
+        at = to

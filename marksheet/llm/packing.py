@@ -9,53 +9,55 @@ of ranks within a length, and documents find theirs by their own rank within tha
 from __future__ import annotations
 
 import heapq
+import json
 import math
-import re
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import saved
+from .common import saved, slices
 
-_SEAM = re.compile(r" (?=\S)")
-#: Cuts that a worker keeps encoded.
-_CACHE = 800_000
+# Fixed value: the split pattern of byte-level vocabulary files.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, {}, {}
+def _letters() -> dict[str, int]:
+    """The letter that stands for each byte in such files: itself if printable, else the next free one from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
-def token_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Packed little-endian identifiers of each text by a byte-level ``tokenizers`` file.
+@lru_cache(maxsize=2)
+def _encoder(path: str):
+    """One per Python worker: a plain byte-level ``tokenizers`` file, run by its merge ranks.
 
-    Texts are cut at single spaces before a visible character, which always start a new match of
-    the byte-level split pattern; only cuts that this worker has not met are encoded.
+    Where the order of identifiers is the order of merges, merging by identifier gives the
+    library's own result. Nothing is kept from one text to the next.
     """
-    t, plain, spaced = _tokenizer(path)
-    cuts = [_SEAM.split(x) for x in texts]
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, before = file["model"], file["pre_tokenizer"]
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    plain = model["type"] == "BPE" and before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not file["normalizer"] and not model.get("ignore_merges")
+    if not plain or merged != sorted(merged):
+        raise ValueError(f"not a plain byte-level BPE file: {path}")
+    byte_of, special = _letters(), {t["content"] for t in file["added_tokens"]}
+    ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encoded(known: dict[str, bytes], prefix: str, wanted: set[str]) -> dict[str, bytes]:
-        missing = [x for x in wanted if x not in known]
-        new = {x: array("I", e.ids).tobytes() for x, e in zip(missing, t.encode_batch_fast([prefix + x for x in missing], add_special_tokens=False), strict=True)}
-        if len(known) + len(new) <= _CACHE:
-            known.update(new)
-            return known
-        # Full: what came first stays, since frequent cuts come early; the rest serve this call only.
-        return new | {x: known[x] for x in wanted if x not in new}
 
-    first, rest = encoded(plain, "", {c[0] for c in cuts}), encoded(spaced, " ", set(chain.from_iterable(c[1:] for c in cuts)))
-    return [first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) for c in cuts]
+def token_ids(path: str, texts: list[str]) -> Iterator[bytes]:
+    """Packed little-endian identifiers of each whole text by a byte-level ``tokenizers`` file."""
+    encode = _encoder(path).encode_to_numpy
+    for text in texts:
+        yield encode(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def cut_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,8 +72,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, ke
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1):
                 of, out = [], ([], [], [], [])
                 for i, ids in enumerate(token_ids(path, part.column(1).to_pylist())):
                     ids += end
@@ -125,27 +126,25 @@ def pack(pieces: DataFrame, size: int = 2048, key: str = "doc_id", rows_per_bloc
 
     Ranks within a length are exact and total: pieces are dealt into hash blocks (as many as the
     row count asks for), block counts are summed per length, and each block numbers its own rows
-    from its first rank. So one length may hold any share of all rows. Ties (same length) go by
-    block, then ``key`` and start. An empty table packs to an empty table.
+    from its first rank. So one length may hold any share of all rows. The ranks of a block and
+    length are an interval, so each takes along just the placements that meet its interval. Ties
+    (same length) go by block, then ``key`` and start; repeated rows are pieces of their own. An
+    empty table packs to an empty table.
     """
     spark = pieces.sparkSession
-    total = pieces.count()
-    blocks = max(16, math.ceil(total / rows_per_block))
+    blocks = max(16, math.ceil(pieces.count() / rows_per_block))
     pieces = pieces.withColumn("_block", F.pmod(F.xxhash64(key, "start"), F.lit(blocks)))
     counts = pieces.groupBy("length", "_block").count()
     first = counts.withColumn("_first", F.sum("count").over(Window.partitionBy("length").orderBy("_block")) - F.col("count"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `size` rows
-    placed = shortest_pack_first(histogram, size)
-    runs = spark.createDataFrame(placed or [], "length long, _from long, _many long, _sequence long, _offset long")
+    runs = spark.createDataFrame(shortest_pack_first(histogram, size), "length long, _from long, _many long, _sequence long, _offset long")
+    meets = (F.col("_from") < F.col("_first") + F.col("count")) & (F.col("_from") + F.col("_many") > F.col("_first"))
+    here = first.join(runs, "length").where(meets).groupBy("length", "_block").agg(F.first("_first").alias("_first"), F.array_sort(F.collect_list(F.struct("_from", "_many", "_sequence", "_offset"))).alias("_runs"))
     numbered = pieces.withColumn("_nth", F.row_number().over(Window.partitionBy("length", "_block").orderBy(key, "start")))
-    ranked = numbered.join(F.broadcast(first.drop("count")) if blocks * size <= 100_000 else first.drop("count"), ["length", "_block"]).withColumn("_rank", F.col("_first") + F.col("_nth") - 1)
-    # The runs come from the histogram alone: a few per length, so their table is bounded.
-    hit = (F.col("p.length") == F.col("r.length")) & (F.col("p._rank") >= F.col("r._from")) & (F.col("p._rank") < F.col("r._from") + F.col("r._many"))
-    return (
-        ranked.alias("p")
-        .join(F.broadcast(runs.alias("r")), hit)
-        .select(*(F.col(f"p.{c}") for c in (key, "start", "length", "ids_crc32", "doc_tokens")), (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
-    )
+    ranked = numbered.join(here, ["length", "_block"]).withColumn("_rank", F.col("_first") + F.col("_nth") - 1)
+    run = F.element_at(F.filter("_runs", lambda r: r["_from"] <= F.col("_rank")), -1)
+    placed = ranked.withColumn("_run", run)
+    return placed.select(key, "start", "length", "ids_crc32", "doc_tokens", (F.col("_run._sequence") + F.col("_rank") - F.col("_run._from")).alias("sequence_id"), F.col("_run._offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> DataFrame:
