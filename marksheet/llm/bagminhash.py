@@ -16,19 +16,21 @@ multisets themselves.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import SPACES, saved
+from .common import SPACES, saved, slices
 
-_CACHE = 1_000_000
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _ROOT = _U(0x100000001B3F4A7D)
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -37,24 +39,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _WordHashes()
-
-
-def shingles(text: str | None, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes (sorted) and their counts. Words are split at ASCII whitespace, A-Z
-    lower-cased; a text of fewer than ``width`` words is one shingle, one without words has none."""
-    words = (text or "").encode().lower().split()
-    if not words:
+@lru_cache(maxsize=1)
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Whether a byte is a space, and a 64-bit number for each byte, the same for A-Z as for a-z."""
+    byte = np.arange(256)
+    space = (byte == 0x20) | ((byte >= 0x09) & (byte <= 0x0D))
+    lower = np.where((byte >= 0x41) & (byte <= 0x5A), byte + 32, byte).astype(_U)
+    with np.errstate(over="ignore"):
+        return space, _mix((lower + _U(1)) * _GOLD)
+
+
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``data`` (split at ASCII whitespace, A-Z lower-cased) and where they start."""
+    space_of, number_of = _byte_tables()
+    b = np.frombuffer(data, np.uint8)
+    space = space_of[b]
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    if not len(starts):
+        return np.empty(0, _U), starts
+    place = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.concatenate(([_U(1)], np.full(int(place.max()), _ROOT, _U))))
+        values = number_of[b[starts[0] :]] * powers[place]
+        values[space[starts[0] :]] = 0
+        return _mix(np.add.reduceat(values, starts - starts[0])), starts
+
+
+def word_hashes(texts: list[str | None], most_bytes: int = 4 << 20) -> list[np.ndarray]:
+    """Hashes of the words of each text, some megabytes of text at a time."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> None:
+        ends = np.cumsum([len(d) + 1 for _, d in held])
+        h, starts = _hash_words(b" ".join(d for _, d in held) + b" ")
+        for (i, _), part in zip(held, np.split(h, np.searchsorted(starts, ends)), strict=False):
+            out[i].append(part)
+        held.clear()
+
+    for i, text in enumerate(texts):
+        data, at = (text or "").encode(), 0
+        while at < len(data):
+            # A long text is cut after a word: at the first space past the size.
+            cut = _SPACE.search(data, at + most_bytes)
+            to = cut.end() if cut else len(data)
+            held.append((i, data[at:to]))
+            size, at = size + to - at, to
+            if size >= most_bytes:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return [np.concatenate(parts) if parts else np.empty(0, _U) for parts in out]
+
+
+def shingles(texts: list[str | None], width: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the distinct shingle hashes (sorted) and their counts. A text of fewer than
+    ``width`` words is one shingle, one without words has none."""
+    return [_shingles(h, width) for h in word_hashes(texts)]
+
+
+def _shingles(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    if not len(h):
         return np.empty(0, _U), np.empty(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), _U, len(words))
     width = min(width, len(h))
     with np.errstate(over="ignore"):
         all_of = np.zeros(len(h) - width + 1, _U)
@@ -133,9 +181,8 @@ def sketch(docs: DataFrame, bands: int = 25, rows: int = 5, width: int = 5, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [shingles(x, width) for x in part.column(1).to_pylist()]
+            for part in slices(batch, 1, 256):
+                found = shingles(part.column(1).to_pylist(), width)
                 full = [i for i, (h, _) in enumerate(found) if len(h)]
                 node, n, sig, keys = ([None] * len(found) for _ in range(4))
                 if full:
@@ -158,10 +205,9 @@ def bags(docs: DataFrame, width: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for part in slices(batch, 0, 256):
                 node, bag = [], []
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    h, c = shingles(text, width)
+                for h, c in shingles(part.column(0).to_pylist(), width):
                     if len(h):
                         node.append(xxhash.xxh3_64_intdigest(h.tobytes() + c.astype(np.int64).tobytes()) >> 1)
                         bag.append(bag_set(h, c).view(np.int64))

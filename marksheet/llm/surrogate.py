@@ -133,7 +133,7 @@ def _alike(s: _Stream, text: str, hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=20_000)
 def candidate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """The attempt-th surrogate of an entity, in canonical form."""
     s = _Stream(key, kind, value, attempt)
