@@ -99,12 +99,49 @@ def test_langid(spark, odd):
     assert {r["lang_pred"] for r in rows_of(predict(odd, {}))} == {"und"} and identify(odd.limit(0)).count() == 0
 
 
-def test_rank_distance_by_hand():
-    from marksheet.llm.langid import Grams, ranking
-
-    packed, counts = Grams().count("ab ab b1 ")
-    assert dict(zip(packed.tolist(), counts.tolist()))[ord("b")] == 3
-    assert ranking(packed, counts, 1).tolist() == [ord("b")] or counts.max() == 3
+def brute_language(text, profiles, k):
+    """Rank-order distance in plain Python."""
+    import unicodedata
+
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] == "L" else " " for c in text or "")
+    found = Counter(w[i : i + n] for w in (f" {w} " for w in letters.split()) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    del found[" "]
+    if not found:
+        return "und", 0.0
+    top = sorted(found, key=lambda g: (-found[g], len(g), g))[:k]
+    far = {lang: sum(abs(mine.index(g) - i) if g in mine else k for i, g in enumerate(top)) for lang, mine in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (k * len(top))
+
+
+def test_language_prediction_by_brute_force(spark, texts, odd):
+    from marksheet.llm.langid import fit_profiles, grams, predict
+
+    def said(packed):
+        return "".join(chr(packed >> at & 0x1FFFFF) for at in (42, 21, 0) if packed >> at)
+
+    assert {said(g): n for g, n in zip(*(x.tolist() for x in grams("ab ab B1 ")), strict=True)} == {"a": 2, "b": 3, " a": 2, "ab": 2, "b ": 3, " b": 1, " ab": 2, "ab ": 2, " b ": 1}
+    profiles = fit_profiles(spark.read.parquet(f"{SF}/documents.parquet"), k=40)
+    plain = {lang: [said(g) for g in p.tolist()] for lang, p in profiles.items()}
+    rows = [(i, t) for i, t in texts.items()] + [(-1, "½ ² 12"), (-2, None), (-3, "a" * 5000 + "é"), (-4, "İI ǅ"), (-4, "İI ǅ")]
+    got = rows_of(predict(spark.createDataFrame(rows, "doc_id long, text string"), profiles, 40))
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = brute_language(dict(rows)[r["doc_id"]], plain, 40)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score), r["doc_id"]
+    # Ties go to the first language by name.
+    tie = {"b": profiles["en"], "a": profiles["en"]}
+    assert {r["lang_pred"] for r in rows_of(predict(spark.createDataFrame(rows, "doc_id long, text string"), tie, 40)) if r["score"] > 0} == {"a"}
+
+
+def test_language_sample_is_bounded(spark):
+    from marksheet.llm.langid import training_sample
+
+    rows = [(n % 50 or None, f"text {n % 300}", "xx" if n % 3 else "yy") for n in range(3000)]
+    df = spark.createDataFrame([*rows, (1, None, "xx"), (2, "no language", None)], "doc_id long, text string, lang string")
+    assert dict(training_sample(df, 2000, "doc_id", "text", "lang").groupBy("_lang").count().collect()) == {"xx": 2000, "yy": 1000}
+    few = dict(training_sample(df, 200, "doc_id", "text", "lang").groupBy("_lang").count().collect())
+    assert few.keys() == {"xx", "yy"} and all(100 <= n <= 200 for n in few.values())
 
 
 # 3 Personal data -------------------------------------------------------------------------------
@@ -212,6 +249,23 @@ def check_packing(rows, lengths, size):
     return len(by_sequence)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list(" \n\t\r\x1c\x85\xa0　ab1é中.'sthering<|endoftext|>😀́")), max_size=60) | st.text(alphabet="ab", max_size=300))
+def test_packing_ids_equal_library(text):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from marksheet.llm.packing import token_ids
+
+    if "t" not in _library:
+        _library["t"] = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        _library["t"].encode_special_tokens = True
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_ids(P.path("byte_bpe_50k.json"), [text])] == [_library["t"].encode(text, add_special_tokens=False).ids]
+
+
+_library: dict = {}
+
+
 def test_packing(spark, texts, odd):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -228,7 +282,16 @@ def test_packing(spark, texts, odd):
         piece = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()
         assert r["ids_crc32"] == zlib.crc32(piece) and r["doc_tokens"] == len(ids[r["doc_id"]])
     assert n * 2048 < 1.1 * sum(map(len, ids.values())) + 2048
-    assert pack_documents(odd.where("doc_id <> 5"), P.path("byte_bpe_50k.json")).where("doc_id = 1").count() == 1
+    # Odd rows, a repeated one and a null id among them: every piece of every row is placed once.
+    packed = rows_of(pack_documents(odd, P.path("byte_bpe_50k.json"), size=64))
+    pieces = Counter((r["doc_id"], r["start"], r["length"]) for r in packed)
+    whole = Counter((i, at, min(64, n - at)) for i, x in ODD for n in [len(t.encode(x or "", add_special_tokens=False).ids) + 1] for at in range(0, n, 64))
+    assert pieces == whole
+    filled = {}
+    for r in packed:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for seen in map(sorted, filled.values()):
+        assert [o for o, _ in seen] == list(itertools.accumulate((n for _, n in seen[:-1]), initial=0)) and sum(n for _, n in seen) <= 64
     assert pack_documents(odd.limit(0), P.path("byte_bpe_50k.json")).count() == 0
     hist = {random.Random(i).randrange(1, 33): 1 + i % 7 for i in range(40)}
     ranks = Counter()
