@@ -1,86 +1,109 @@
 """Exact duplicates by an extendible-hash index in shared files, with DataFrame functions only.
 
-The directory maps a prefix of the 64-bit key to a bucket. It starts with one bucket and doubles
-where a bucket holds more distinct keys than ``capacity``; only key counts per prefix (at most
-2**max_depth rows) reach the driver. Owner tasks each take a range of buckets and write the index:
-one entry for each different text, entries with equal keys chained in a fixed order. Texts meet on
-key and bytes, with copies combined before the shuffle, so a text with any number of copies costs
-one row per task.
+The directory maps a prefix of the 64-bit key to a bucket. It starts at the depth that the number of
+keys asks for; buckets with more than ``capacity`` different keys split by one more bit, round after
+round, until none is too full (a bucket of one key cannot split). Owner tasks take ranges of buckets
+and write the index: an entry for each different text, entries of equal keys chained. Documents find
+their bucket by the directory, their chain by the key, and their entry in it: a chain of one entry
+holds every text of its key, in a longer one the bytes of the text decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import ascii_lower, saved
 
+KEY_BITS = 64
 
-def directory(slot_counts: Mapping[int, int], capacity: int, max_depth: int) -> list[tuple[int, int, int]]:
-    """Buckets (first slot, last slot, local depth) over 2**max_depth slots, in key order.
 
-    A bucket over ``capacity`` is split by one more bit of the prefix until it fits or is one slot.
+def digest() -> Column:
+    return F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256")
+
+
+def key_of(text: Column, bits: int) -> Column:
+    """The first ``bits`` of the text's 64-bit hash, the rest zero."""
+    return F.xxhash64(text) if bits == 64 else F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 64 - bits), 64 - bits)
+
+
+def prefix(key: str, depth: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """Buckets (_slot, local_depth, _prefix, bucket) over distinct ``_key`` rows, and the depth of a slot.
+
+    A slot is a prefix of the starting depth; it holds one bucket, or the buckets it was split into.
+    Only the number of keys and, each round, whether a bucket is too full reach the driver.
     """
-    buckets = []
-    pending = [(0, 0)]  # (prefix, local depth)
-    slots = sorted(slot_counts)
-    sums = [0]
-    for s in slots:
-        sums.append(sums[-1] + slot_counts[s])
-
-    def held(first: int, last: int) -> int:
-        from bisect import bisect_left, bisect_right
-
-        return sums[bisect_right(slots, last)] - sums[bisect_left(slots, first)]
-
-    while pending:
-        prefix, depth = pending.pop()
-        first = prefix << (max_depth - depth)
-        last = first + (1 << (max_depth - depth)) - 1
-        if depth < max_depth and held(first, last) > capacity:
-            pending += [(2 * prefix + 1, depth + 1), (2 * prefix, depth + 1)]
-        else:
-            buckets.append((first, last, depth))
-    return buckets
-
-
-def index_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 20_000, max_depth: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Write the index. Returns (thin rows of all documents, index entries), both saved tables.
-
-    thin: key, _key, text_sha256. entries: bucket, local_depth, _key, chain, text_sha256, keep_id,
-    group_size. Past ``capacity * 2**max_depth`` different texts buckets simply hold more.
+    keys = saved(keys, "exact-keys")
+    start = max(0, min(48, math.ceil(math.log2(max(1, keys.count()) / capacity))))
+
+    def held(rows: DataFrame, depth: int) -> DataFrame:
+        return rows.groupBy(prefix("_key", start).alias("_slot"), prefix("_key", depth).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")).withColumn("local_depth", F.lit(depth))
+
+    buckets = now = saved(held(keys, start), "exact-buckets")
+    depth, rows = start, keys
+    while depth < 64 and (full := now.where(F.col("_n") > capacity).select("_slot", "_prefix")).head(1):
+        rows = saved(rows.withColumn("_prefix", prefix("_key", depth)).join(full, "_prefix", "left_semi").select("_key"), "exact-split")
+        depth += 1
+        now = saved(held(rows, depth), "exact-buckets")
+        buckets = buckets.join(full, ["_slot", "_prefix"], "left_anti").union(now)
+    first_key = F.when(F.col("local_depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(_prefix, 64 - local_depth)"))
+    return saved(buckets.select("_slot", "_prefix", "local_depth", first_key.alias("bucket")), "exact-directory"), start
+
+
+def in_bucket(rows: DataFrame, slots: DataFrame, start: int) -> DataFrame:
+    """Rows with a ``_key``, with the bucket that the directory has for it."""
+    own = F.when(F.col("local_depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(_key, 64 - local_depth)"))
+    return rows.withColumn("_slot", prefix("_key", start)).join(slots, "_slot").where(own == F.col("_prefix")).drop("_slot", "_prefix")
+
+
+def _rows(docs: DataFrame, key: str, text: str, bits: int) -> DataFrame:
+    lower = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.col(key).alias("doc_id"), lower.alias("_text")).withColumn("_key", key_of(F.col("_text"), bits))
+
+
+def index_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 20_000, bits: int = KEY_BITS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Write the index. Returns thin rows of all documents, the entries, the directory and its depth.
+
+    thin: doc_id, _key, text_sha256. entries: bucket, local_depth, _key, chain (from 1), links (length
+    of the chain), text_sha256. Texts are told apart by their bytes, copies combined before the
+    shuffle, so a text with any number of copies costs one row per task.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("doc_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    thin = saved(rows.select("doc_id", "_key", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256")), "exact-thin")
-    slot = F.shiftrightunsigned("_key", 64 - max_depth)
-    counts = thin.groupBy("_key").agg(F.lit(1).alias("_one")).groupBy(slot.alias("slot")).count().collect()  # at most 2**max_depth rows
-    buckets = directory({r["slot"]: r["count"] for r in counts}, capacity, max_depth)
-    of_slot = spark.createDataFrame([(s, b, depth) for b, (first, last, depth) in enumerate(buckets) for s in range(first, last + 1)], "_slot long, bucket int, local_depth int")
-    texts = rows.groupBy("_key", "_text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = (
-        texts.select("_key", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-        .withColumn("_slot", slot)
-        .join(F.broadcast(of_slot), "_slot")  # 2**max_depth rows
-        .drop("_slot")
-        .repartitionByRange("bucket")
-        .withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "_key").orderBy("text_sha256")))
-    )
-    return thin, saved(entries, "exact-index")
-
-
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 20_000, max_depth: int = 16) -> DataFrame:
+    rows = _rows(docs, key, text, bits)
+    thin = saved(rows.select("doc_id", "_key", digest()), "exact-thin")
+    slots, start = directory(thin.select("_key").distinct(), capacity)
+    chain = Window.partitionBy("_key")
+    texts = rows.select("_key", "_text").distinct().select("_key", digest())
+    entries = texts.withColumns({"links": F.count(F.lit(1)).over(chain), "chain": F.row_number().over(chain.orderBy("text_sha256"))})
+    return thin, saved(in_bucket(entries, slots, start).repartitionByRange("bucket", "_key"), "exact-index"), slots, start
+
+
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 20_000, bits: int = KEY_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when the same after lower-casing A-Z; null counts as empty. The largest
     ``doc_id`` of a group stays. Repeated rows are each returned and counted; those with the kept
     id are all marked kept. Null ids never win unless a group has no other. An empty table gives an
-    empty result; extra columns are not read.
+    empty result; extra columns are not read. ``bits`` shortens the key, so that texts collide.
     """
-    thin, entries = index_texts(docs, key, text, capacity, max_depth)
-    found = thin.join(entries.select("_key", "text_sha256", "keep_id", "group_size"), ["_key", "text_sha256"])
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    thin, entries, slots, start = index_texts(docs, key, text, capacity, bits)
+    found = in_bucket(thin, slots, start).join(entries.where("links = 1").select("bucket", "_key", "chain"), ["bucket", "_key"])
+    shared = entries.where("links > 1").select("bucket", "_key", "chain", "text_sha256")
+    if shared.head(1):  # keys that more than one text has: the texts themselves are compared
+        rows = in_bucket(_rows(docs, key, text, bits).join(shared.select("_key").distinct(), "_key", "left_semi"), slots, start)
+        texts = rows.select("bucket", "_key", F.col("_text").alias("_entry_text"), digest()).distinct()
+        chains = saved(texts.join(shared, ["bucket", "_key", "text_sha256"]), "exact-chains")
+        walked = rows.join(chains, ["bucket", "_key"]).where(F.col("_text") == F.col("_entry_text"))
+        names = ["doc_id", "bucket", "_key", "chain", "text_sha256"]
+        found = found.select(names).union(walked.select(names))
+    found = saved(found.select("doc_id", "bucket", "_key", "chain", "text_sha256"), "exact-found")
+    groups = found.groupBy("bucket", "_key", "chain").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    out = found.join(groups, ["bucket", "_key", "chain"])
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -374,19 +374,31 @@ def test_bagminhash_is_unbiased():
 
 
 def test_exact(spark, odd):
-    from marksheet.llm.exacthash import directory, drop_exact_duplicates, exact_duplicates
+    from marksheet.llm.exacthash import directory, drop_exact_duplicates, exact_duplicates, index_texts
     from marksheet.llm.queries import ORACLES, op8_exact_dedup
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     want = con.sql(ORACLES["op8_exact_dedup"]).df()[names].sort_values("doc_id").values.tolist()
-    for capacity in (3, 20_000):
-        got = exact_duplicates(spark.read.parquet(f"{SF}/documents.parquet"), capacity=capacity, max_depth=8)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    # Small buckets split over several rounds; short keys make texts collide, so that chains are walked.
+    for options in ({"capacity": 40}, {"capacity": 20_000}, {"capacity": 3, "bits": 5}):
+        got = exact_duplicates(table, **options)
         assert got.select(names).toPandas().sort_values("doc_id").values.tolist() == want
     assert op8_exact_dedup(spark, SF).count() == len(want)
-    buckets = directory({0: 5, 1: 5, 7: 1}, 5, 3)
-    assert [b[:2] for b in buckets] == [(0, 0), (1, 1), (2, 3), (4, 7)] and directory({}, 5, 3) == [(0, 7, 0)]
+    _, entries, slots, start = index_texts(table, capacity=40, bits=5)
+    held = rows_of(entries)
+    assert len(held) == len({r[4] for r in want}) and len({r["_key"] for r in held}) <= 32 and max(r["links"] for r in held) > 1
+    assert {(r["_key"], r["chain"]) for r in held} == {(k, c) for k, n in {(r["_key"], r["links"]) for r in held} for c in range(1, n + 1)}
+    # Every bucket covers its own range of keys and no key is in two; none is over its capacity that could split.
+    keys = [0, 1 << 40, 1 << 41, 1 << 62, -1, -(1 << 62)] + [i << 50 for i in range(40)]
+    buckets, depth = directory(spark.createDataFrame([(k,) for k in keys], "_key long").distinct(), 4)
+    held = rows_of(buckets)
+    unsigned = lambda v: v % (1 << 64)
+    for k in set(keys):
+        assert sum(unsigned(k) >> (64 - r["local_depth"]) == r["_prefix"] for r in held) == 1
+    assert all(sum(unsigned(k) >> (64 - r["local_depth"]) == r["_prefix"] for k in set(keys)) <= 4 for r in held) and max(r["local_depth"] for r in held) > depth
     out = rows_of(exact_duplicates(odd))
     assert {r["keep_id"] for r in out if r["doc_id"] in (1, 2)} == {2} and {r["group_size"] for r in out if r["doc_id"] in (4, 5)} == {3}
     kept = drop_exact_duplicates(odd)
