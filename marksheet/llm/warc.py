@@ -58,16 +58,21 @@ def _member(data: bytes, level: int) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
+def with_revisits(pages: DataFrame, least_bytes: int = 1000, salts: int = 32) -> DataFrame:
     """page_id, url, payload and refers_to: the largest page_id with an equal payload, for the others.
 
-    Groups are counted on digests alone, combined before the shuffle.
+    Groups are counted on digests alone, combined before the shuffle. Only pages of
+    ``least_bytes`` or more look for theirs, and each group is there ``salts`` times, so that the
+    pages of one payload are spread over as many tasks.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    digests = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", F.sha1("payload").alias("_digest"), F.octet_length("payload").alias("_bytes"))
+    large = F.octet_length("payload") >= least_bytes
+    digests = rows.where(large).select("page_id", F.sha1("payload").alias("_digest"), F.octet_length("payload").alias("_bytes"))
     groups = digests.groupBy("_digest", "_bytes").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    keyed = rows.withColumns({"_digest": F.sha1("payload"), "_bytes": F.octet_length("payload")})
-    return keyed.join(groups, ["_digest", "_bytes"], "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keyed = rows.where(large).withColumns({"_digest": F.sha1("payload"), "_bytes": F.octet_length("payload"), "_salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")})
+    found = keyed.join(groups, ["_digest", "_bytes", "_salt"], "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    return found.unionByName(rows.where(~large).withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType)))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000, roll_bytes: int = 256 << 20, level: int = 3, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -138,7 +143,8 @@ def records_in_range(file, size: int, start: int, end: int) -> Iterator[tuple[in
                     raise zlib.error("no WARC header")
             close = fed - len(unpack.unused_data)
             follows = data[close : close + 3] if close + 3 <= len(data) else file.read_at(min(3, size - base - close), base + close) if base + close < size else b""
-            valid = follows in (b"", _MAGIC)
+            # What follows a record is another member, the end, or filling that holds no member's header.
+            valid = follows in (b"", _MAGIC) or _parse(b"".join(parts)) is not None
         except zlib.error:
             valid = False
         found = _parse(b"".join(parts)) if valid else None
