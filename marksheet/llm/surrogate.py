@@ -15,9 +15,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import saved
+from .common import free_name, saved, slices
 
 # Forms of address by gender, and given names by gender and script.
 TITLES = {
@@ -40,21 +40,34 @@ SYLLABLES = {
 }
 
 _ALL_TITLES = sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)
-_NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩΆΈ-ΏА-Я][^\W\d_]{1,30}"
-_QUICK = re.compile(r"[0-9@=:]|\b(?:" + "|".join(_ALL_TITLES) + r")\b")
+_CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩΆΈ-ΏА-Я"
+_NAME = rf"(?:[{_CAPITAL}][^\W\d_]{{1,30}}|[{_CAPITAL}](?=['’]))(?:['’-][^\W\d_]{{1,30}}){{0,3}}"
+_PART = re.compile(r"[^\W\d_]{2,}")
+_QUICK = re.compile(r"[0-9@=:]|-----BEGIN|\b(?:" + "|".join(_ALL_TITLES) + r")\b")
+_HEX = "[0-9A-Fa-f]"
 _FIND = re.compile(
     r"(?P<email>[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})"
+    r"|(?P<pem>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)(?P<body>[^-]{16,20000})(?=-----END [A-Z ]{0,30}PRIVATE KEY-----)"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
+    r"|(?P<token>(?<![A-Za-z0-9_])(?:gh[opsru]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk-[A-Za-z0-9]{20,250})(?![A-Za-z0-9_]))"
     r"|(?P<label>(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9+/_.~-]{8,256})"
+    rf"|(?P<mac>(?<![\w:-]){_HEX}{{2}}(?:[:-]{_HEX}{{2}}){{5}}(?![\w:-]))"
+    rf"|(?P<ip6>(?<![\w:.])(?:{_HEX}{{1,4}}:){{1,7}}(?::?{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{0,5}}|:)(?![\w:]))"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\w]|\.[0-9]))"
-    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9]))"
+    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w.+-])0[0-9]{2,4}[ /-][0-9]{5,8}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9]))"
     rf"|(?P<title>\b(?:{'|'.join(_ALL_TITLES)})\.?[ ])(?P<names>{_NAME}(?:[ ]{_NAME})?)"
 )
 
 
+def _is_ip6(value: str) -> bool:
+    groups = [g for g in value.split(":") if g]
+    return any(c.isdigit() for c in value) and value.count("::") <= 1 and (len(groups) == 8 and "::" not in value or len(groups) in range(1, 8) and "::" in value)
+
+
 def _luhn(digits: str) -> int:
     """The sum of digits before the check digit, modulo 10."""
     return sum((2 * d if d < 5 else 2 * d - 9) if i % 2 == 0 else d for i, d in enumerate(map(int, reversed(digits)))) % 10
@@ -78,26 +91,44 @@ def _gender(title: str, given: str | None) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, canonical value) of every mention, in order, not overlapping."""
+    """(start, end, type, canonical value) of every mention, in order, not overlapping.
+
+    Names are found after a title; each part of a name that was found once is then found wherever
+    the text has it, written alike.
+    """
     if not _QUICK.search(text):
         return []
-    found = []
+    found, named = [], {}
     for m in _FIND.finditer(text):
         kind = m.lastgroup
         if kind == "secret":
-            if any(c.isdigit() for c in m["secret"]):
+            # A value of letters alone is taken for a secret only where the label says password.
+            if any(c.isdigit() for c in m["secret"]) or m["label"][:1] in "pP":
                 found.append((*m.span("secret"), "secret", m["secret"]))
+        elif kind == "body":
+            found.append((*m.span("body"), "pem", m["body"]))
         elif kind == "names":
-            at, parts = m.start("names"), m["names"].split(" ")
-            gender = _gender(m["title"], parts[0] if len(parts) == 2 else None)
-            for i, part in enumerate(parts):
-                of = f"given_{gender}" if len(parts) == 2 and i == 0 else "surname"
-                found.append((at, at + len(part), of, part.lower()))
-                at += len(part) + 1
+            words = m["names"].split(" ")
+            gender, end = _gender(m["title"], words[0] if len(words) == 2 else None), m.start("names") + len(words[0])
+            for part in _PART.finditer(text, *m.span("names")):
+                of = f"given_{gender}" if len(words) == 2 and part.end() <= end else "surname"
+                named.setdefault(part[0], of)
+        elif kind == "ip6" and not _is_ip6(m[0]):
+            continue
         else:
             value = m[0]
-            canonical = value.lower() if kind == "email" else value if kind in ("ip", "aws") else re.sub(r"[^A-Z0-9+]", "", value)
+            canonical = value.lower() if kind in ("email", "ip6") else re.sub("[:-]", "", value).lower() if kind == "mac" else value if kind in ("ip", "aws", "token") else re.sub(r"[^A-Z0-9+]", "", value)
             found.append((*m.span(), kind, canonical))
+    if named:
+        taken = [(a, b) for a, b, *_ in found]
+        every = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(named, key=len, reverse=True)) + r")(?![^\W_])")
+        at = 0
+        for m in every.finditer(text):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at == len(taken) or m.end() <= taken[at][0]:
+                found.append((*m.span(), named[m[0]], m[0].lower()))
+        found.sort()
     return found
 
 
@@ -157,6 +188,11 @@ def candidate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return f"{body[:2]}{check:02d}{body[4:]}"
     if kind == "aws":
         return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[s.below(32)] for _ in value[4:])
+    if kind == "token":
+        lead = re.match("[a-z]+[_-]", value)[0]
+        return lead + _alike(s, value[len(lead) :])
+    if kind in ("ip6", "mac"):
+        return _alike(s, value, hexadecimal=True)
     if kind == "secret":
         return _alike(s, value, hexadecimal=re.fullmatch("[0-9a-f]+", value) is not None)
     script = script_of(value)
@@ -173,7 +209,9 @@ def candidate(key: bytes, kind: str, value: str, attempt: int) -> str:
 
 def render(mention: str, kind: str, surrogate: str) -> str:
     """The surrogate written the way the mention was: separators, brackets and case."""
-    if kind in ("phone", "card", "iban", "ssn"):
+    if kind in ("ip6", "mac"):
+        surrogate = surrogate.upper() if mention.upper() == mention else surrogate
+    if kind in ("phone", "card", "iban", "ssn", "mac"):
         chars = iter(surrogate)
         return "".join(next(chars, "") if c.isalnum() or c == "+" else c for c in mention)
     if kind == "email" or kind == "surname" or kind.startswith("given"):
@@ -192,9 +230,14 @@ def distinct_entities(docs: DataFrame) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "kind string, value string").distinct()
 
 
-def assign(found: DataFrame, key: bytes, most_attempts: int = 200) -> DataFrame:
+def assign(found: DataFrame, key: bytes, patience: int = 50) -> DataFrame:
     """kind, value, attempt, surrogate: no two entities of a kind share a surrogate, and no surrogate
-    is a real value. Entities that clash move on, except the first in order of value."""
+    is a real value.
+
+    Of entities that drew alike the first in order of value has the surrogate; the others, and
+    those that drew a real value or one that is taken, draw again. Only they go on to the next
+    round. An error ends ``patience`` rounds in a row in which none could be settled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,28 +246,32 @@ def assign(found: DataFrame, key: bytes, most_attempts: int = 200) -> DataFrame:
 
     schema = "kind string, value string, attempt int, surrogate string"
     # Given names of either gender draw on the same lists, so they are checked together.
-    family = F.regexp_replace("kind", "^given_.*", "given")
-    now = saved(found.withColumn("attempt", F.lit(0)).mapInArrow(run, schema), "surrogates")
-    real = found.select(family.alias("_family"), F.col("value").alias("surrogate")).distinct()
-    for _ in range(most_attempts):
-        order = Window.partitionBy("_family", "surrogate").orderBy("kind", "value")
-        ranked = now.withColumn("_family", family).withColumn("_nth", F.row_number().over(order))
-        ranked = ranked.join(real.withColumn("_real", F.lit(True)), ["_family", "surrogate"], "left")
-        checked = saved(ranked.select("kind", "value", "attempt", "surrogate", ((F.col("_nth") > 1) | F.col("_real").isNotNull()).alias("_clash")), "surrogates")
-        if not checked.where("_clash").head(1):
-            return checked.drop("_clash")
-        again = checked.where("_clash").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(run, schema)
-        now = checked.where("not _clash").drop("_clash").union(again)
-    raise ValueError("surrogates still clash after the allowed attempts; the formats leave too few values")
+    family = F.regexp_replace("kind", "^given_.*", "given").alias("_family")
+    real = found.select(family, F.col("value").alias("surrogate")).distinct()
+    drawing, settled, idle = found.withColumn("attempt", F.lit(0)), None, 0
+    while True:
+        drawn = saved(drawing.mapInArrow(run, schema), "surrogates-drawn")
+        first = drawn.groupBy(family, "surrogate").agg(F.min(F.struct("kind", "value", "attempt")).alias("_e")).join(real, ["_family", "surrogate"], "left_anti")
+        if settled is not None:
+            first = first.join(settled.select(family, "surrogate"), ["_family", "surrogate"], "left_anti")
+        won = saved(first.select("_e.*", "surrogate"), "surrogates")
+        settled = won if settled is None else settled.union(won)
+        drawing = drawn.join(won, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        if not drawing.head(1):
+            return settled
+        idle = 0 if won.head(1) else idle + 1
+        if idle == patience:
+            raise ValueError("entities are left without a surrogate; their formats have too few values")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, id_column: str = "doc_id", text: str = "text", broadcast_limit: int = 100_000) -> DataFrame:
     """``docs`` with every mention in ``text`` replaced, and n_entities, entity_types added.
 
     Entities that had to move past their first candidate go to the workers as a small table when
-    there are at most ``broadcast_limit``, else each document gets its own by a join on
-    ``id_column``. Null texts stay null, empty ones empty; texts without entities come back
-    unchanged; repeated rows are replaced alike; all other columns are kept as they are.
+    there are at most ``broadcast_limit``, else each document gets its own by a join on id and text.
+    Null texts stay null, empty ones empty; texts without entities come back unchanged; repeated
+    rows are replaced alike, null ids like any other; all other columns are kept as they are. Where
+    a column is called n_entities or entity_types already, the added one has an underscore more.
     """
     source = docs.select(F.col(text).alias("_text"))
     found = saved(distinct_entities(source), "entities")
@@ -232,41 +279,44 @@ def pseudonymise(docs: DataFrame, key: bytes, id_column: str = "doc_id", text: s
     few = moved.limit(broadcast_limit + 1).count() <= broadcast_limit
     table = {(r["kind"], r["value"]): r["attempt"] for r in moved.collect()} if few else {}
     columns = docs.columns
-    rows = docs.withColumn("_moves", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+    moves_name = free_name("_moves", columns)
+    n_name = free_name("n_entities", columns)
+    types_name = free_name("entity_types", [*columns, n_name])
+    rows = docs.withColumn(moves_name, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     if not few:
         def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = [(i, k, v) for i, t in enumerate(b.column(1).to_pylist()) if t for k, v in {(k, v) for _, _, k, v in entities(t)}]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([o[0] for o in out], pa.int32())), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=["_id", "kind", "value"])
+                out = [(i, k, v) for i, t in enumerate(b.column(2).to_pylist()) if t for k, v in {(k, v) for _, _, k, v in entities(t)}]
+                at = pa.array([o[0] for o in out], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=["_id", "_hash", "kind", "value"])
 
         kind = docs.schema[id_column].dataType.simpleString()
-        said = docs.select(F.col(id_column).alias("_id"), F.col(text)).mapInArrow(mentions, f"_id {kind}, kind string, value string").distinct()
-        moves = said.join(moved, ["kind", "value"]).groupBy("_id").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_moves"))
-        rows = docs.join(moves, F.col(id_column).eqNullSafe(F.col("_id")), "left").select(*(docs[c] for c in columns), "_moves")
+        said = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text)).mapInArrow(mentions, f"_id {kind}, _hash long, kind string, value string").distinct()
+        moves = said.join(moved, ["kind", "value"]).groupBy("_id", "_hash").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_own"))  # of one text
+        same = docs[id_column].eqNullSafe(moves["_id"]) & (F.xxhash64(docs[text]) == moves["_hash"])
+        rows = docs.join(moves, same, "left").select(*(docs[c] for c in columns), F.col("_own").alias(moves_name))
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("entity_types", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_name, T.LongType()), T.StructField(types_name, T.StringType())])
     place = columns.index(text)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempts = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts, numbers, kinds = batch.column(place).to_pylist(), [], []
-                moves = batch.column(len(columns)).to_pylist()
-                for i, t in enumerate(texts):
-                    said = entities(t) if t else []
-                    numbers.append(len(said))
-                    kinds.append(",".join(sorted({k for _, _, k, _ in said})))
-                    if said:
-                        own = {(m["kind"], m["value"]): m["attempt"] for m in moves[i] or []}
-                        out, end = [], 0
-                        for a, b, k, v in said:
-                            out += [t[end:a], render(t[a:b], k, candidate(key, k, v, own.get((k, v)) or attempts.get((k, v), 0)))]
-                            end = b
-                        texts[i] = "".join([*out, t[end:]])
-                kept = [batch.column(c) for c in range(len(columns))]
-                kept[place] = pa.array(texts, batch.schema.field(place).type)
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int64()), pa.array(kinds, pa.string())], names=schema.names)
+        for batch in (part for whole in batches for part in slices(whole, place)):
+            texts, numbers, kinds = batch.column(place).to_pylist(), [], []
+            moves = batch.column(len(columns)).to_pylist()
+            for i, t in enumerate(texts):
+                said = entities(t) if t else []
+                numbers.append(len(said))
+                kinds.append(",".join(sorted({k for _, _, k, _ in said})))
+                if said:
+                    own = {(m["kind"], m["value"]): m["attempt"] for m in moves[i] or []}
+                    out, end = [], 0
+                    for a, b, k, v in said:
+                        out += [t[end:a], render(t[a:b], k, candidate(key, k, v, own.get((k, v)) or attempts.get((k, v), 0)))]
+                        end = b
+                    texts[i] = "".join([*out, t[end:]])
+            kept = [batch.column(c) for c in range(len(columns))]
+            kept[place] = pa.array(texts, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int64()), pa.array(kinds, pa.string())], names=schema.names)
 
     return rows.mapInArrow(replace, schema)
