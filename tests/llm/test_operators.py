@@ -165,6 +165,27 @@ def test_surrogates(spark, odd, docs):
         words = out[1]["text"].split()
         assert words[2] == words[6] and words[1].lower() in "agnes berta clara diana elena flora greta helen irene julia klara laura maria nadia olivia paula rosa sonia teresa vera".split()
         assert "".join(filter(str.isdigit, out[1]["text"].split("card")[1].split(",")[0])) == "".join(filter(str.isdigit, out[2]["text"].split("card")[1].split(",")[0]))
+    # Every later mention, names of several parts, and formats of many kinds.
+    said = {
+        "Mrs. Anna Schmidt called. Schmidt said Anna was late, and SCHMIDTS stay.": ["Anna", "Schmidt", "Schmidt", "Anna"],
+        "Frau Anna-Lena Müller-Schmidt": ["Anna", "Lena", "Müller", "Schmidt"], "Mr O'Brien and O'Brien": ["Brien", "Brien"], "call 030 1234567 or 555-123-4567": ["030 1234567", "555-123-4567"],
+        "at fe80::1ff:fe23:4567:890a, 2001:0db8:0000:0000:0000:ff00:0042:8329": ["fe80::1ff:fe23:4567:890a", "2001:0db8:0000:0000:0000:ff00:0042:8329"], "mac 00:1B:44:11:3A:B7": ["00:1B:44:11:3A:B7"],
+        "ghp_abcdefghij0123456789ABCDEFGHIJ012345": ["ghp_abcdefghij0123456789ABCDEFGHIJ012345"], "password: correcthorse": ["correcthorse"], "std::string at 10:30:45, chapter 1.2.3, secret: whatever": [],
+        "-----BEGIN RSA PRIVATE KEY-----\nMIIabc123+/=\nMIIabc123+/=\n-----END RSA PRIVATE KEY-----": ["\nMIIabc123+/=\nMIIabc123+/=\n"],
+    }
+    for sentence, want in said.items():
+        assert [sentence[a:b] for a, b, *_ in entities(sentence)] == want, sentence
+        for a, b, kind, value in entities(sentence):
+            new = render(sentence[a:b], kind, candidate(key, kind, value, 0))
+            assert new != sentence[a:b] and [c.isdigit() or c.isalpha() for c in new] == [c.isdigit() or c.isalpha() for c in sentence[a:b]] or kind in ("surname", "given_f", "given_m", "given_n")
+    clash = spark.createDataFrame([(1, "Mr. Anton Huber, Huber", "mine", 7)], "doc_id long, text string, n_entities string, _moves int")
+    got = pseudonymise(clash, key).first()
+    assert got["n_entities"] == "mine" and got["n_entities_"] == 3 and got["_moves"] == 7 and "Huber" not in got["text"]
+    nulls = spark.createDataFrame([(None, f"mail a{i}@x.de and a{i + 1}@x.de") for i in range(30)] * 2, "doc_id long, text string")
+    for limit in (100_000, -1):
+        out = rows_of(pseudonymise(nulls, key, broadcast_limit=limit))
+        pairs = {tuple(r["text"].split()[1::2]) for r in out}
+        assert len(out) == 60 and len(pairs) == 30 and len({x for p in pairs for x in p}) == 31
     # Clashes: short values leave few surrogates, yet all end up distinct and none is a real value.
     short = spark.createDataFrame([("email", f"{a}{b}@x.de") for a in "abcdefgh" for b in "0123456789"], "kind string, value string")
     given = assign(short, key).collect()

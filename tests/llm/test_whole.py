@@ -40,10 +40,25 @@ def test_every_wording_of_a_block_is_found(spark):
             assert names(prose) == [name], (name, seed)
             other, other_wording = TEMPLATES[(nth + 7) % len(TEMPLATES)]
             assert names(f"{prose} {other_wording} {_prose(seed + 5, 5)}") == [name, other]
-    crowd = " ".join(f"{_prose(n, n % 40)} {w}" for n, (_, w) in enumerate(TEMPLATES * 10))
-    assert names(crowd) == [name for name, _ in TEMPLATES * 10]
+    crowd = " ".join(f"{_prose(n, n % 40)} {w}" for n, (_, w) in enumerate(TEMPLATES * 3))
+    assert names(crowd) == [name for name, _ in TEMPLATES * 3]
+    for name, wording in TEMPLATES:  # hard-wrapped, as in a comment
+        wrapped = "\n".join("# " + " ".join(wording.split()[i : i + 9]) for i in range(0, len(wording.split()), 9))
+        assert names(f"# Copyright 2020 Someone\n{wrapped}\nimport os\n") == [name]
+    assert names("SPDX-License-Identifier: MIT\nint main() {}") == ["MIT"] and names("The MIT License (MIT)") == ["MIT"]
+    assert names("word " * 200_000 + dual) == ["MIT", "Apache-2.0"]
     assert names("Licensed under the Apache Licence (English: License), Version 2.0.") == ["Apache-2.0"]
     wrapped = TEMPLATES[2][1].replace(", ", ",\n")
     rows = [(1, dual), (2, "no words on it\nthe licence fee\nwas raised"), (3, wrapped), (4, "x " * 200_000)]
     out = sorted((r["doc_id"], r["block_start"], r["license"] or "", r["exact"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert out == [(1, 0, "Apache-2.0", True), (1, 0, "MIT", True), (2, 15, "", False), (3, 0, "MIT", True)]
+
+
+def test_licences_on_odd_rows(spark):
+    from marksheet.llm.licences import scan_licenses
+
+    line = "Released under the MIT License."
+    rows = [(1, line, "mine"), (1, line, "mine"), (None, line, "x"), (2, None, "x"), (3, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = [(r["doc_id"], r["license"]) for r in scan_licenses(df).collect()]
+    assert sorted(got, key=str) == [(1, "MIT"), (1, "MIT"), (None, "MIT")] and scan_licenses(df.limit(0)).count() == 0
