@@ -8,8 +8,9 @@ segments independently, so a sequence whose neighbouring pairs are all compatibl
 of the whole, and everything outside the window is proved stable.
 
 A text is the concatenation of its pattern matches, and matches never depend on what lies beyond a
-single space before a visible character. The text is therefore cut there, each cut is encoded once
-per worker (bounded cache), and the identifiers are concatenated up to the text.
+single space before a visible character. The text is therefore cut there, cuts that a worker meets
+again are not encoded again (a cache of bounded bytes), and the identifiers are concatenated up to
+the text. Decoding is the same monoid's other half: bytes of halves, concatenated up the tree.
 """
 
 from __future__ import annotations
@@ -27,11 +28,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import slices
+
 #: A space before a visible character always starts a new match of the split pattern.
 _SEAM = re.compile(r" (?=\S)")
 _LEAF = 6
-#: Entries of each cache of a worker; a full one is emptied.
-_CACHE = 400_000
+#: Tokens that decoding concatenates at a leaf of its tree.
+_RUN = 1024
+#: Bytes of text in each cache of a worker; a full one is emptied. An entry costs some 200 bytes more.
+_CACHE = 4 << 20
+_LONGEST = 64
 _NONE = 1 << 40
 
 ENCODED = T.StructType(
@@ -45,6 +51,21 @@ ENCODED = T.StructType(
 )
 
 
+class _Kept(dict):
+    """Encodings of short strings, up to a number of bytes; longer strings are not kept."""
+
+    size = 0
+
+    def keep(self, key, n: int, value) -> None:
+        if n > _LONGEST:
+            return
+        self.size += n
+        if self.size > _CACHE:
+            self.clear()
+            self.size = n
+        self[key] = value
+
+
 class Bpe:
     """Ranks of one vocabulary file with tree encoding and decoding."""
 
@@ -53,10 +74,7 @@ class Bpe:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self._seams: dict[tuple[int, int], list[int]] = {}
-        self._leaves: dict[bytes, list[int]] = {}
-        self._spaced: dict[str, bytes] = {}
-        self._plain: dict[str, bytes] = {}
+        self._seams, self._leaves, self._cuts = _Kept(), _Kept(), _Kept()
 
     def merge(self, piece: bytes) -> list[int]:
         """Rank merging from single bytes, lowest rank first and leftmost among equals."""
@@ -96,9 +114,8 @@ class Bpe:
         """The encoding of two tokens' bytes put together."""
         found = self._seams.get((a, b))
         if found is None:
-            if len(self._seams) >= _CACHE:
-                self._seams.clear()
-            found = self._seams[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b])
+            found = self.merge(both := self.bytes_of[a] + self.bytes_of[b])
+            self._seams.keep((a, b), len(both), found)
         return found
 
     def compatible(self, a: int, b: int) -> bool:
@@ -122,9 +139,8 @@ class Bpe:
         if len(piece) <= _LEAF:
             found = self._leaves.get(piece)
             if found is None:
-                if len(self._leaves) >= _CACHE:
-                    self._leaves.clear()
-                found = self._leaves[piece] = self.merge(piece)
+                found = self.merge(piece)
+                self._leaves.keep(piece, len(piece), found)
             return found
         half = len(piece) // 2
         return self.join(self._tree(piece[:half]), self._tree(piece[half:]))
@@ -142,22 +158,25 @@ class Bpe:
     def encode_packed(self, text: str) -> bytes:
         """All identifiers of a text as little-endian unsigned 32-bit integers."""
         first, *rest = _SEAM.split(text)
-        spaced, plain = self._spaced, self._plain
-        if first not in plain:
-            if len(plain) >= _CACHE:
-                plain.clear()
-            plain[first] = self._packed(first)
+        cuts = self._cuts
         try:
-            return plain[first] + b"".join(map(spaced.__getitem__, rest))
+            return self._packed(first) + b"".join(map(cuts.__getitem__, rest))
         except KeyError:
-            if len(spaced) >= _CACHE:
-                spaced.clear()
-            for cut in set(rest).difference(spaced):
-                spaced[cut] = self._packed(" " + cut)
-            return plain[first] + b"".join(map(spaced.__getitem__, rest))
+            new = {cut: self._packed(" " + cut) for cut in set(rest) if cut not in cuts}
+            whole = b"".join([self._packed(first), *(new[cut] if cut in new else cuts[cut] for cut in rest)])
+            for cut, ids in new.items():
+                cuts.keep(cut, len(cut), ids)
+            return whole
 
     def decode_packed(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """Concatenation up the tree: the bytes of two halves, joined, down to short runs of tokens."""
+        return self._bytes_of(np.frombuffer(ids, "<u4").tolist())
+
+    def _bytes_of(self, ids: list[int]) -> bytes:
+        if len(ids) <= _RUN:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self._bytes_of(ids[:half]) + self._bytes_of(ids[half:])
 
 
 @lru_cache(maxsize=2)
@@ -180,8 +199,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, "_text"):
                 out: dict[str, list] = {f.name: [] for f in fields}
                 for text in part.column("_text").to_pylist():
                     ids = bpe.encode_packed(text)
