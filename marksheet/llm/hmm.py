@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, saved
+from .common import crc_mod, saved, slices
 
 END, RARE, FIRST = 0, 1, 2
 _BLOCK = 1024
 _DOCS = 2000
+_BYTES = 2 << 20
+#: A text of more tokens than this is gone through in blocks of as many.
 _TOKENS = 1_000_000
 
 
@@ -152,6 +154,68 @@ class Lanes:
         return starts, moves, emissions, float(np.log(scale[self.real.T]).sum())
 
 
+def _along(model: Model, symbols: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward over a block of one text, after the state probabilities ``before`` (none: its start)."""
+    emitted = model.emit[symbols]
+    alpha, scale = np.empty_like(emitted), np.empty(len(symbols))
+    for t in range(len(symbols)):
+        now = (model.start if before is None else before @ model.move) * emitted[t]
+        scale[t] = now.sum()
+        before = alpha[t] = now / scale[t]
+    return emitted, alpha, scale
+
+
+def long_log_likelihood(model: Model, symbols: np.ndarray, block: int = _TOKENS) -> float:
+    """Natural logarithm for one text of any length, holding one block of it."""
+    total, before = 0.0, None
+    for at in range(0, len(symbols), block):
+        _, alpha, scale = _along(model, symbols[at : at + block], before)
+        total, before = total + float(np.log(scale).sum()), alpha[-1]
+    return total
+
+
+def long_expected(model: Model, symbols: np.ndarray, block: int = _TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """As ``Lanes.expected`` for one text of any length: forward once for what each block starts
+    from, then backward block by block, each gone forward again."""
+    k = len(model.start)
+    starts, moves, emissions, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit), 0.0
+    marks: list[np.ndarray | None] = [None]
+    for at in range(0, len(symbols), block):
+        marks.append(_along(model, symbols[at : at + block], marks[-1])[1][-1])
+    beta = np.ones(k)
+    for i, at in reversed(list(enumerate(range(0, len(symbols), block)))):
+        part = symbols[at : at + block]
+        emitted, alpha, scale = _along(model, part, marks[i])
+        total += float(np.log(scale).sum())
+        flow, gamma = np.empty_like(alpha), np.empty_like(alpha)
+        for t in range(len(part) - 1, -1, -1):
+            gamma[t] = alpha[t] * beta
+            flow[t] = emitted[t] / scale[t] * beta
+            beta = model.move @ flow[t]
+        before = alpha[:-1] if marks[i] is None else np.vstack([marks[i], alpha[:-1]])
+        moves += model.move * (before.T @ flow[len(flow) - len(before) :])
+        for j in range(k):
+            emissions[:, j] += np.bincount(part, gamma[:, j], len(emissions))
+        if marks[i] is None:
+            starts = gamma[0]
+    return starts, moves, emissions, total
+
+
+def _expected(model: Model, sequences: list[np.ndarray]) -> list:
+    short, long = [x for x in sequences if len(x) <= _TOKENS], [x for x in sequences if len(x) > _TOKENS]
+    made = ([Lanes(short).expected(model)] if short else []) + [long_expected(model, x) for x in long]
+    return [sum(parts[1:], parts[0]) for parts in zip(*made, strict=True)]
+
+
+def _log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+    short = [i for i, x in enumerate(sequences) if len(x) <= _TOKENS]
+    out = np.array([0.0 if len(x) <= _TOKENS else long_log_likelihood(model, x) for x in sequences])
+    if short:
+        lanes = Lanes([sequences[i] for i in short])
+        out[short] = lanes.log_likelihoods(lanes.forward(model)[2])
+    return out
+
+
 def _symbols(text: str | None, known: dict[bytes, int], symbols: int) -> np.ndarray:
     words = tokens_of(text)
     found = np.fromiter((known.get(w, symbols) for w in words), np.int64, len(words))
@@ -162,18 +226,14 @@ def _symbols(text: str | None, known: dict[bytes, int], symbols: int) -> np.ndar
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of bounded characters and rows."""
-    for batch in batches:
-        sizes = np.array([len(x or "") // 5 + 1 for x in batch.column("_text").to_pylist()])
-        at = 0
-        while at < batch.num_rows:
-            n = max(1, min(_DOCS, int(np.searchsorted(np.cumsum(sizes[at : at + _DOCS]), _TOKENS, "right"))))
-            yield batch.slice(at, n)
-            at += n
-
-
-def baum_welch(train: DataFrame, words: list[bytes], unigram: np.ndarray, states: int, rounds: int) -> tuple[Model, list[float]]:
-    """Fit on all rows of ``train`` (``_text``). Returns the model and the log likelihood before each round."""
+    return (part for batch in batches for part in slices(batch, "_text", _DOCS, _BYTES))
+
+
+def baum_welch(train: DataFrame, words: list[bytes], unigram: np.ndarray, states: int, rounds: int, least_gain: float = 0.0005) -> tuple[Model, list[float]]:
+    """Fit on all rows of ``train`` (``_text``). Returns the model and the log likelihood before each round.
+
+    Ends after ``rounds`` rounds, or when one has gained less than ``least_gain`` of the log likelihood.
+    """
     sc = train.sparkSession.sparkContext
     vocabulary = sc.broadcast(words)
     model, likelihoods = first_model(unigram, states), []
@@ -186,7 +246,7 @@ def baum_welch(train: DataFrame, words: list[bytes], unigram: np.ndarray, states
             current = shared.value
             total = [np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0]
             for part in _groups(batches):
-                got = Lanes([_symbols(x, known, len(known)) for x in part.column("_text").to_pylist()]).expected(current)
+                got = _expected(current, [_symbols(x, known, len(known)) for x in part.column("_text").to_pylist()])
                 for i, x in enumerate(got):
                     total[i] = total[i] + x
             flat = np.concatenate([[total[3]], total[0], total[1].ravel(), total[2].ravel()])
@@ -209,29 +269,42 @@ def baum_welch(train: DataFrame, words: list[bytes], unigram: np.ndarray, states
             break
         flat = np.concatenate([np.frombuffer(r["v"]) for r in sorted(rows, key=lambda r: r["block"])])
         likelihoods.append(float(flat[0]))
+        settled = len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < least_gain * abs(likelihoods[-2])
         starts, rest = flat[1 : 1 + states], flat[1 + states :]
         moves, emissions = rest[: states * states].reshape(states, states), rest[states * states :].reshape(size, states)
         # A little of the unigram distribution in each state, so that no symbol is impossible.
         emissions = emissions + unigram[:, None] * (1.0 + 0.002 * emissions.sum(axis=0))
         model = Model((starts + 1) / (starts + 1).sum(), (moves + 0.1) / (moves + 0.1).sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
+        if settled:
+            break
     return model, likelihoods
 
 
 def _most_frequent(counts: DataFrame, most: int) -> list:
-    """Tokens from some count on, at most ``most`` of them, most frequent first.
+    """The ``most`` most frequent tokens, or all, most frequent first; equal counts by hash, then token.
 
-    The count is read off a histogram of counts on a logarithmic scale (some hundred rows), so no
-    task or driver sorts or holds more than the tokens returned.
+    What is taken is narrowed down by histograms: of counts on a logarithmic scale, of the counts in
+    the class that does not fit, of hashes among the tokens of the count that does not. So no task
+    or driver sorts or holds more than the tokens returned and a histogram.
     """
-    step = F.floor(F.log2("c") * 16).cast("int")
-    left, least = most, None
-    for b in sorted(counts.groupBy(step.alias("bin")).count().collect(), key=lambda b: -b["bin"]):
-        if b["count"] > left:
+    h = F.xxhash64("token")
+    rows, left, taken = counts, most, []
+    for column in (F.floor(F.log2("c") * 16).cast("long"), F.col("c"), F.shiftrightunsigned(h, 52), F.shiftrightunsigned(h, 40)):
+        bins = sorted(rows.groupBy(column.alias("bin")).count().collect(), key=lambda b: -b["bin"])
+        least = edge = None
+        for b in bins:
+            if b["count"] > left:
+                edge = b["bin"]
+                break
+            left, least = left - b["count"], b["bin"]
+        if least is not None:
+            taken += rows.where(column >= least).collect()
+        if edge is None or not left:
             break
-        left, least = left - b["count"], b["bin"]
-    if least is None:
-        return []
-    return sorted(counts.where(step >= least).collect(), key=lambda x: (-x["c"], x["token"]))
+        rows = rows.where(column == edge)
+    else:
+        taken += rows.orderBy("token").limit(left).collect()
+    return sorted(taken, key=lambda x: (-x["c"], x["token"]))
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1, states: int = 8, symbols: int = 16_000, lookup: int = 200_000, rounds: int = 3) -> DataFrame:
@@ -239,7 +312,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
 
     Learns from documents whose crc32(key as text) mod ``folds`` is not ``held_fold``. Returns
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Null texts count
-    as empty: one end token. Repeated rows are scored alike (and learnt from as often); with no
+    as empty: one end token. Texts of any length are scored whole. Repeated rows are scored alike (and learnt from as often); with no
     training rows every count is 0. An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
@@ -285,8 +358,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                 # Rare tokens in the lookup table add their share of the class here, the others after the join.
                 inside = at >= symbols
                 out.append((len(mine) + 1, int(found.sum()) + (ends > 0), logs.sum() + end_log - (len(mine) + 1) * base_log, logs[inside].sum() - inside.sum() * rare_log, list(rare), list(rare.values())))
-            lanes = Lanes(sequences)
-            likelihood = lanes.log_likelihoods(lanes.forward(model)[2]) / np.log(10)
+            likelihood = _log_likelihoods(model, sequences) / np.log(10)
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
