@@ -6,12 +6,13 @@ with a repeated window) go on to the exact comparison of the words themselves.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES
+from .common import SPACES, free_name
 
 _BREAK = rf"[{SPACES}]+".replace("\t", r"\x09")
 
@@ -48,8 +49,21 @@ THRESHOLDS = (
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
 
 
+def _beside(docs: DataFrame, text: str, make: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """All columns of ``docs`` as they are, and those that ``make`` adds; of the latter, one whose name
+    is taken has an underscore more."""
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    made = make(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), own[text])
+    new = [c for c in made.columns if c not in own.values()]
+    return made.select(*(F.col(n).alias(c) for c, n in own.items()), *(F.col(c).alias(free_name(c, own)) for c in new))
+
+
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs``, with counts and ratios of every whole text; null texts have no words."""
+    return _beside(docs, text, _features)
+
+
+def _features(docs: DataFrame, text: str) -> DataFrame:
     kept = docs.columns
     rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumns({"_words": F.array_remove(F.split("_text", _BREAK), ""), "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(rf"[^{SPACES}]"))})
@@ -101,11 +115,16 @@ def verdict(rules=THRESHOLDS) -> Column:
 
 
 def with_verdict(docs: DataFrame, rules=THRESHOLDS, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` (none may be named like a measure), features, ``base_failed`` and ``kept``."""
-    judged = with_features(docs, text).withColumn("base_failed", base_failed())
-    # The row id keeps a filter on the verdict above this projection. Pushed below it, the filter
-    # would take the array expressions with it and evaluate them again for every array element.
-    return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.monotonically_increasing_id() >= 0))
+    """All columns of ``docs``, features, ``base_failed`` and ``kept``. A feature whose name ``docs`` has
+    already has an underscore more."""
+
+    def judged(rows: DataFrame, source: str) -> DataFrame:
+        found = _features(rows, source).withColumn("base_failed", base_failed())
+        # The row id keeps a filter on the verdict above this projection. Pushed below it, the filter
+        # would take the array expressions with it and evaluate them again for every array element.
+        return found.withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.monotonically_increasing_id() >= 0))
+
+    return _beside(docs, text, judged)
 
 
 def judge(docs: DataFrame, rules=THRESHOLDS, key: str = "doc_id", text: str = "text") -> DataFrame:
