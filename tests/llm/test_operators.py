@@ -251,6 +251,9 @@ def test_rules(spark, texts, odd):
     text = {i: t for i, t in ODD}
     for r in rows_of(judge(odd)):
         assert tuple(r[c] for c in names) == brute_rules(text[r["doc_id"]])
+    own = rows_of(with_verdict(odd.withColumn("n_words", F.lit("mine"))))
+    assert {r["n_words"] for r in own} == {"mine"} and {r["kept"] for r in own} == {"y"} and {type(r["kept_"]) for r in own} == {bool}
+    assert all(r["n_words_"] == brute_rules(r["text"])[0] for r in own)
     kept = with_verdict(odd.select("doc_id", "text")).where("kept").select("doc_id")
     assert 4 in {r["doc_id"] for r in kept.collect()} and judge(odd.limit(0)).count() == 0
 
@@ -450,7 +453,7 @@ def test_licenses(spark, texts):
 
 
 def test_forward_equals_sum_over_paths():
-    from marksheet.llm.hmm import Lanes, Model
+    from marksheet.llm.hmm import Lanes, Model, long_expected, long_log_likelihood
 
     rng = np.random.default_rng(2)
     start, move, emit = rng.random(3), rng.random((3, 3)), rng.random((5, 3))
@@ -474,9 +477,86 @@ def test_forward_equals_sum_over_paths():
             for t, s in enumerate(path):
                 posterior[doc[t], s] += p / total
     starts, moves, emissions, likelihood = Lanes(docs).expected(model)
+    for block in (1, 2, 4, 100):  # texts beyond a block
+        assert [long_log_likelihood(model, d, block) for d in docs] == pytest.approx(list(got))
+        whole = [sum(x) for x in zip(*(long_expected(model, d, block) for d in docs))]
+        assert all(np.allclose(a, b) for a, b in zip(whole, (starts, moves, emissions, likelihood)))
     assert np.allclose(emissions, posterior) and starts.sum() == pytest.approx(len(docs)) and moves.sum() == pytest.approx(sum(map(len, docs)) - len(docs)) and likelihood == pytest.approx(got.sum())
 
 
+def test_most_frequent_tokens(spark):
+    from marksheet.llm.hmm import _most_frequent
+
+    rows = [(f"t{i}", 1 + i // 7) for i in range(40)] + [(f"one{i}", 1000) for i in range(300)]
+    df = spark.createDataFrame(rows, "token string, c long")
+    for most in (0, 1, 299, 300, 301, 320, 340, 1000):
+        got = _most_frequent(df, most)
+        assert len({r["token"] for r in got}) == len(got) == min(most, 340)
+        assert [r["c"] for r in got] == sorted((c for _, c in rows), reverse=True)[:most]
+    assert _most_frequent(df.limit(0), 5) == []
+
+
+def brute_scores(texts, held, symbols, states, rounds):
+    """The same model in plain numpy: scaled Baum-Welch text by text, then log10 of the forward sums."""
+    from marksheet.llm.hmm import END, FIRST, RARE, first_model
+
+    tokens = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    counts = Counter(x for i, ts in tokens.items() if not held[i] for x in ts)
+    n_train = sum(not h for h in held.values())
+    words = sorted(counts, key=lambda w: (-counts[w], w.decode()))[:symbols]
+    rare_n, rare_v = sum(counts.values()) - sum(counts[w] for w in words), len(counts) - len(words)
+    unigram = np.array([n_train, rare_n, *(counts[w] for w in words)], float) + 0.5
+    unigram /= unigram.sum()
+    number = {w: k + FIRST for k, w in enumerate(words)}
+    coded = {i: [*(number.get(w, RARE) for w in ts), END] for i, ts in tokens.items()}
+    m = first_model(unigram, states)
+    start, move, emit = m.start, m.move, m.emit
+
+    def forward(seq):
+        alpha, total = [], 0.0
+        for t, x in enumerate(seq):
+            a = (start if t == 0 else alpha[-1] @ move) * emit[x]
+            total += np.log(a.sum())
+            alpha.append(a / a.sum())
+        return alpha, total
+
+    for _ in range(rounds):
+        s, mv, em = np.zeros(states), np.zeros((states, states)), np.zeros_like(emit)
+        for i, seq in coded.items():
+            if held[i]:
+                continue
+            alpha, _ = forward(seq)
+            beta = np.ones(states)
+            for t in range(len(seq) - 1, -1, -1):
+                g = alpha[t] * beta
+                em[seq[t]] += g / g.sum()
+                if t == 0:
+                    s += g / g.sum()
+                else:
+                    x = alpha[t - 1][:, None] * move * (emit[seq[t]] * beta)[None, :]
+                    mv += x / x.sum()
+                    beta = move @ (emit[seq[t]] * beta)
+                    beta /= beta.sum()
+        em = em + unigram[:, None] * (1.0 + 0.002 * em.sum(axis=0))
+        start, move, emit = (s + 1) / (s + 1).sum(), (mv + 0.1) / (mv + 0.1).sum(axis=1, keepdims=True), em / em.sum(axis=0)
+    share = lambda w: np.log10((counts[w] + 0.5) / (rare_n + 0.5 * (rare_v + 1)))
+    return {i: forward(seq)[1] / np.log(10) + sum(share(w) for w in tokens[i] if w not in number) for i, seq in coded.items()}
+
+
+def test_hmm_score_by_brute_force(spark):
+    from marksheet.llm.hmm import score_documents
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = {i: " ".join(rng.choices(words, weights=range(1, 13), k=rng.randrange(0, 15))) for i in range(40)} | {40: None, 41: "never seen words w1"}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    want = brute_scores(texts, held, 6, 3, 3)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for lookup in (200, 8):
+        got = {r["doc_id"]: r["score"] for r in rows_of(score_documents(df, states=3, symbols=6, lookup=lookup, rounds=3))}
+        assert all(got[i] == pytest.approx(want[i]) for i in texts), lookup
+
+
 def test_hmm_scores(spark, texts, odd):
     from marksheet.llm.hmm import score_documents
     from marksheet.llm.queries import op10_hmm
