@@ -25,24 +25,32 @@ def rmse(y: Column, p: Column) -> Column:
     return F.sqrt(mse(y, p))
 
 
-def accuracy(y: Column, p: Column) -> Column:
-    return F.avg((y == p).cast("double"))
+def accuracy(y: Column, p: Column, weight: Column | None = None) -> Column:
+    """Share of equal pairs; ``weight`` says how many rows a row stands for."""
+    same = (y == p).cast("double")
+    return F.avg(same) if weight is None else F.try_divide(F.sum(same * weight), F.sum(F.when(same.isNotNull(), weight)))
 
 
-def qwk_fixed(y: Column, p: Column) -> Column:
+def qwk_fixed(y: Column, p: Column, weight: Column | None = None) -> Column:
     """Quadratic kappa on class codes as they are (gaps keep their distance); both sides constant: 1 or 0."""
-    y, p = y.cast("double"), p.cast("double")
-    n = F.count(F.lit(1)).cast("double")
-    apart = n * F.sum((y - p) * (y - p))
-    spread = n * F.sum(y * y) + n * F.sum(p * p) - 2 * F.sum(y) * F.sum(p)
+    y, p, w = y.cast("double"), p.cast("double"), F.lit(1.0) if weight is None else weight.cast("double")
+    n = F.sum(w)
+    apart = n * F.sum(w * (y - p) * (y - p))
+    spread = n * F.sum(w * y * y) + n * F.sum(w * p * p) - 2 * F.sum(w * y) * F.sum(w * p)
     constant = (F.min(y) == F.max(y)) & (F.min(p) == F.max(p))
     return F.when(constant, (F.min(y) == F.min(p)).cast("double")).otherwise(1.0 - F.try_divide(apart, spread))
 
 
-def qwk_observed(df: DataFrame, keys: list[str], y: str, p: str, name: str = "qwk") -> DataFrame:
+def label_cells(df: DataFrame, keys: list[str], y: Column, p: Column, weight: str | None = None) -> DataFrame:
+    """How many rows (keys, _y, _p) there are: _n. ``weight`` names a column of counts that rows carry."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.where(y.isNotNull() & p.isNotNull()).groupBy(*keys, y.alias("_y"), p.alias("_p")).agg(n.cast("double").alias("_n"))
+
+
+def qwk_observed(df: DataFrame, keys: list[str], y: str, p: str, name: str = "qwk", weight: str | None = None) -> DataFrame:
     """Quadratic kappa per group on labels re-coded 0..K-1 over the labels seen in the group, and n
     and accuracy. Rows with a null label are left out."""
-    cells = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*keys, F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    cells = label_cells(df, keys, F.col(y), F.col(p), weight)
     grouped = cells.groupBy(*keys).agg(
         F.sum("_n").alias("_total"),
         F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0.0)).alias("_same"),
@@ -78,12 +86,12 @@ def _tau_of_cells(y: np.ndarray, p: np.ndarray, n: np.ndarray) -> float | None:
     return float((table * (below - beside)).sum() / np.sqrt((n0 - n1) * (n0 - n2)))
 
 
-def kendall_tau_b(df: DataFrame, keys: list[str], y: str, p: str, name: str = "tau_b") -> DataFrame:
+def kendall_tau_b(df: DataFrame, keys: list[str], y: str, p: str, name: str = "tau_b", weight: str | None = None) -> DataFrame:
     """tau-b per group from counts of distinct value pairs; null with fewer than two rows or a constant side.
 
     Pairs of values are counted first, so a task sees a contingency table, not the rows.
     """
-    cells = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*keys, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = label_cells(df, keys, F.col(y).cast("double"), F.col(p).cast("double"), weight)
 
     # Distinct value pairs of a group, at most K x K for K values a side.
     grouped = cells.groupBy(*keys).agg(F.collect_list(F.struct("_y", "_p", "_n")).alias("_cells"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import Column, WindowSpec, functions as F
+from pyspark.sql import Column, functions as F
 
 # The linear scale, the pass mark, and shares and labels of the rank-based scale.
 MIN_GRADE, MAX_GRADE, STEP, PASS = 1.0, 6.0, 0.5, 0.6
@@ -28,9 +28,8 @@ def pass_fail_abs(norm: Column) -> Column:
     return F.coalesce(norm >= PASS, F.lit(False))
 
 
-def grade_linear_mean_centered(total: Column, most: Column, exam: WindowSpec) -> Column:
+def grade_linear_mean_centered(total: Column, most: Column, mean: Column) -> Column:
     """Piecewise linear around the exam's own mean."""
-    mean = F.avg(total).over(exam)
     z = (
         F.when(mean <= 0, F.when(total > 0, 1.0).otherwise(0.0))
         .when(mean >= most, 0.5 * total / mean)
@@ -44,20 +43,22 @@ def pass_fail_from_grade(grade: Column) -> Column:
     return F.coalesce(grade >= MIN_GRADE + (MAX_GRADE - MIN_GRADE) * PASS, F.lit(False))
 
 
-def grade_distribution_label(norm: Column, size: Column, exam: WindowSpec, ordered: WindowSpec) -> Column:
+def points_passed(norm: Column, size: Column) -> Column:
+    """The pass mark in points, as the rank-based scale applies it."""
+    return norm * size >= size * PASS
+
+
+def grade_distribution_label(norm: Column, size: Column, rank: Column, passed: Column) -> Column:
     """F below the pass mark; passers get A to E by rank, ties the better label.
 
-    ``exam`` partitions by exam, ``ordered`` also orders by the points column descending, with
-    failed students last, so that rank() among passers is their rank in the exam.
+    ``rank`` is the rank in the exam, best first (so failed students come last), and ``passed`` how
+    many students passed.
     """
-    passed = norm * size >= size * PASS
-    n = F.sum(passed.cast("int")).over(exam)
-    rank = F.rank().over(ordered)
     cuts = list(accumulate(PASSING_SHARES))
     label = F.lit(PASSING_LABELS[-1])
     for share, name in reversed(list(zip(cuts[:-1], PASSING_LABELS[:-1], strict=True))):
-        label = F.when(rank <= F.ceil(n * share), name).otherwise(label)
-    return F.when(F.coalesce(passed, F.lit(False)), label).otherwise(ORDERED_LABELS[0])
+        label = F.when(rank <= F.ceil(passed * share), name).otherwise(label)
+    return F.when(F.coalesce(points_passed(norm, size), F.lit(False)), label).otherwise(ORDERED_LABELS[0])
 
 
 def distribution_label_ordinal(label: Column) -> Column:

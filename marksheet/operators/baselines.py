@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, VectorAssembler
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as C
 
@@ -19,60 +20,164 @@ def global_prior(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(mean)).withColumn("prediction", F.when(F.col("split") == "test", F.col("_prior"))).drop("_prior")
 
 
-def _weighted(df: DataFrame, tokens: str, out: str, train: DataFrame, min_df: float, size: int) -> DataFrame:
-    """1 + ln tf, times ln((1 + n) / (1 + df)) + 1, scaled to length one; vocabulary and df from ``train``."""
+def usable(df: DataFrame) -> DataFrame:
+    """Training rows: split 'train' with a grade."""
+    return df.where("split = 'train' AND grade IS NOT NULL")
+
+
+def _weighted(df: DataFrame, tokens: str, out: str, min_df: float, size: int) -> DataFrame:
+    """1 + ln tf, times ln((1 + n) / (1 + df)) + 1, scaled to length one; sparse throughout.
+
+    The vocabulary (the ``size`` most frequent terms in ``min_df`` training rows or more) and its
+    document counts are all that reaches the driver.
+    """
+    train = usable(df)
     model = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=min_df, vocabSize=size).fit(train)
-    counted = model.transform(train)
-    n = counted.count()
-    seen = counted.select(F.explode(F.sequence(F.lit(0), F.size(vector_to_array("_tf")) - 1)).alias("i"), vector_to_array("_tf").alias("v")).where("v[i] > 0").groupBy("i").count()
-    df_of = {r["i"]: r["count"] for r in seen.collect()}  # the vocabulary: at most `size` rows
-    idf = F.array(*(F.lit(math.log((1 + n) / (1 + df_of.get(i, 0))) + 1) for i in range(len(model.vocabulary))))
-    weighted = F.zip_with(vector_to_array("_tf"), idf, lambda t, w: F.when(t > 0, (1 + F.ln(F.greatest(t, F.lit(1.0)))) * w).otherwise(0.0))
-    raw = model.transform(df).withColumn("_raw", array_to_vector(weighted)).drop("_tf")
-    return Normalizer(inputCol="_raw", outputCol=out).transform(raw).drop("_raw")
+    seen = np.zeros(len(model.vocabulary))
+    for r in model.transform(train).select(F.explode(F.unwrap_udt("_tf")["indices"]).alias("i")).groupBy("i").count().collect():  # at most `size` rows
+        seen[r["i"]] = r["count"]
+    idf = np.log((1 + train.count()) / (1 + seen)) + 1
+    shared = df.sparkSession.sparkContext.broadcast(idf)
+
+    # Vectors can only be made from sparse parts in Python.
+    @F.udf(VectorUDT())
+    def weight(tf):
+        values = (1 + np.log(tf.values)) * shared.value[tf.indices]
+        return SparseVector(tf.size, tf.indices, values / (np.sqrt(values @ values) or 1.0))
+
+    return model.transform(df).withColumn(out, weight("_tf")).drop("_tf")
 
 
-def tfidf_word_features(df: DataFrame, text: str, out: str = "features", min_df: float = 2, size: int = 500) -> DataFrame:
-    """Word 1-2-grams (tokens of two or more word characters); fitted on split = 'train'."""
-    tokens = RegexTokenizer(inputCol=text, outputCol="_one", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(df)
-    both = NGram(n=2, inputCol="_one", outputCol="_two").transform(tokens).withColumn("_tokens", F.concat("_one", "_two")).drop("_one", "_two")
-    return _weighted(both, "_tokens", out, both.where("split = 'train'"), min_df, size).drop("_tokens")
+def tfidf_word_features(df: DataFrame, text: str, out: str = "features", longest: int = 2, min_df: float = 2, size: int = 50_000) -> DataFrame:
+    """Word 1-grams, or 1-2-grams, of tokens of two or more word characters; fitted on the training rows."""
+    # Fixed value: the token pattern.
+    made = RegexTokenizer(inputCol=text, outputCol="_one", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
+    if longest > 1:
+        made = NGram(n=2, inputCol="_one", outputCol="_two").transform(made).withColumn("_one", F.concat("_one", "_two")).drop("_two")
+    return _weighted(made, "_one", out, min_df, size).drop("_one")
 
 
-def tfidf_char_features(df: DataFrame, text: str, out: str = "features", low: int = 3, high: int = 5, min_df: float = 2, size: int = 500) -> DataFrame:
-    """Character n-grams inside space-padded words; fitted on split = 'train'."""
+def tfidf_char_features(df: DataFrame, text: str, out: str = "features", low: int = 3, high: int = 5, min_df: float = 2, size: int = 80_000) -> DataFrame:
+    """Character n-grams inside space-padded words, a shorter word once as a whole; fitted on the training rows."""
     padded = F.transform(F.filter(F.split(C.normalize_text(F.col(text)), " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = lambda w, n: F.when(F.char_length(w) >= n, F.transform(F.sequence(F.lit(1), F.char_length(w) - n + 1), lambda i: F.substring(w, i, n))).otherwise(F.array().cast("array<string>"))
+
+    def grams(w, n):
+        cut = F.transform(F.sequence(F.lit(1), F.char_length(w) - n + 1), lambda i: F.substring(w, i, n))
+        none = F.array().cast("array<string>")
+        return F.when(F.char_length(w) >= n, cut).otherwise(F.array(w) if n == low else none)
+
     every = F.flatten(F.transform(padded, lambda w: F.concat(*(grams(w, n) for n in range(low, high + 1)))))
-    made = df.withColumn("_tokens", every)
-    return _weighted(made, "_tokens", out, made.where("split = 'train'"), min_df, size).drop("_tokens")
+    # The row id keeps this projection apart from the step in Python, which cannot take in lambda functions.
+    tokens = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(every, F.array().cast("array<string>")))
+    return _weighted(df.withColumn("_tokens", tokens), "_tokens", out, min_df, size).drop("_tokens")
+
+
+#: Coefficients that travel in one row.
+_BLOCK = 8192
+
 
+def _parts(features: str) -> tuple[Column, Column]:
+    """Places and values of a vector column, sparse or dense."""
+    v = F.unwrap_udt(features)
+    every = F.when(F.size(v["values"]) > 0, F.sequence(F.lit(0), F.size(v["values"]) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(v["indices"], every), v["values"]
 
-def tfidf_ridge_predict(df: DataFrame, features: str, alpha: float = 1.0) -> DataFrame:
-    """Ridge with intercept on train rows, clipped and snapped on test rows.
 
-    Spark scales the label first, so the penalty that equals ridge with ``alpha`` is alpha * sd(y) / n
-    with the population deviation for the normal-equation solver.
+def _flat(places: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All places and values of a batch, and the row of each."""
+    sizes = np.diff(places.offsets.to_numpy())
+    return places.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _transposed(rows: DataFrame, size: int, along: np.ndarray | None, less: float) -> np.ndarray:
+    """X'(X along - less), or X'(y - less) without ``along``. Tasks add up their rows, blocks of
+    coefficients are added over tasks; a vector of ``size`` is what reaches the driver."""
+    shared = rows.sparkSession.sparkContext.broadcast(along)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, w = np.zeros(size), shared.value
+        for b in batches:
+            places, values, row = _flat(b.column(0), b.column(1))
+            r = (b.column(2).to_numpy(zero_copy_only=False) if w is None else np.bincount(row, values * w[places], b.num_rows)) - less
+            total += np.bincount(places, values * r[row], size)
+        starts = range(0, size, _BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(list(starts), pa.int32()), pa.array([total[i : i + _BLOCK].tobytes() for i in starts], pa.binary())], names=["block", "v"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(v) for b in batches for v in b.column("v").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "v"])
+
+    found = rows.mapInArrow(run, "block int, v binary").groupBy("block").applyInArrow(add, "block int, v binary").collect()
+    shared.unpersist()
+    return np.concatenate([np.frombuffer(r["v"]) for r in sorted(found, key=lambda r: r["block"])]) if found else np.zeros(size)
+
+
+def ridge(train: DataFrame, features: str, alpha: float = 1.0, tolerance: float = 1e-7, most: int = 300) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept that minimise |y - Xw - b|^2 + alpha |w|^2, by conjugate gradients.
+
+    Every step is one pass over the rows; the columns are centred without being filled in.
+    """
+    places, values = _parts(features)
+    rows = train.select(places.alias("places"), values.alias("values"), F.col("grade").cast("double").alias("y")).persist()
+    try:
+        n, mean_y = rows.agg(F.count(F.lit(1)), F.coalesce(F.avg("y"), F.lit(0.0))).first()
+        first = train.select(F.unwrap_udt(features).alias("v")).select(F.coalesce("v.size", F.size("v.values")).alias("n")).first()
+        size = first["n"] if first else 0
+        if not n or not size:
+            return np.zeros(size), mean_y
+        mean = _transposed(rows.select("places", "values", F.lit(1.0).alias("y")), size, None, 0.0) / n
+        w, rest = np.zeros(size), _transposed(rows, size, None, mean_y)
+        step, left = rest, rest @ rest
+        enough = tolerance**2 * left
+        for _ in range(most):
+            if left <= enough:
+                break
+            turned = _transposed(rows, size, step, float(mean @ step)) + alpha * step
+            far = left / (step @ turned)
+            w, rest = w + far * step, rest - far * turned
+            before, left = left, rest @ rest
+            step = rest + left / before * step
+        return w, mean_y - float(mean @ w)
+    finally:
+        rows.unpersist()
+
+
+def tfidf_ridge_predict(df: DataFrame, features: str, alpha: float = 1.0, raw: str | None = None) -> DataFrame:
+    """Ridge with intercept on training rows, clipped and snapped on test rows; ``raw`` keeps the estimate.
+
+    Any number of features; without training rows every estimate is 0.
     """
-    train = df.where("split = 'train' AND grade IS NOT NULL")
-    s = train.agg(F.stddev_pop("grade").alias("sd"), F.count(F.lit(1)).alias("n")).first()
-    fit = LinearRegression(featuresCol=features, labelCol="grade", predictionCol="raw", elasticNetParam=0.0, regParam=alpha * (s["sd"] or 0.0) / s["n"], standardization=False, solver="normal").fit(train)
-    out = fit.transform(df)
-    return out.withColumn("prediction", F.when(F.col("split") == "test", C.snap_to_grade(F.col("raw")))).drop("raw")
+    w, intercept = ridge(usable(df), features, alpha)
+    shared = df.sparkSession.sparkContext.broadcast(w)
+
+    @F.pandas_udf("double")
+    def estimate(places: pd.Series, values: pd.Series) -> pd.Series:
+        at, row = np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(places)), places.map(len))
+        return pd.Series(np.bincount(row, np.concatenate([*values, np.empty(0)]) * shared.value[at], len(places)) + intercept)
+
+    out = df.withColumn("_raw", estimate(*_parts(features))).withColumn("prediction", F.when(F.col("split") == "test", C.snap_to_grade(F.col("_raw"))))
+    return out.withColumnRenamed("_raw", raw) if raw else out.drop("_raw")
 
 
-VARIANTS = ("word_answer", "word_question_answer", "char_answer", "char_question_answer", "word_char_answer", "word_char_question_answer")
+# The parts (kind, text, longest word n-gram, least training rows, terms) of each recipe.
+RECIPES: Mapping[str, tuple[tuple[str, str, int, int, int], ...]] = {
+    "v1_answer_word_unigram": (("word", "answer", 1, 2, 30_000),),
+    "v2_answer_word_uni_bigram": (("word", "answer", 2, 2, 50_000),),
+    "v3_qa_concat_word_uni_bigram": (("word", "both", 2, 2, 60_000),),
+    "v4_question_and_answer_separate": (("word", "question", 2, 1, 20_000), ("word", "answer", 2, 2, 40_000)),
+    "v5_answer_char_3_5": (("char", "answer", 0, 2, 80_000),),
+    "v6_mixed_word_char_qa": (("word", "question", 2, 1, 15_000), ("word", "answer", 2, 2, 30_000), ("char", "answer", 0, 2, 40_000)),
+}
 
 
-def tfidf_variants(df: DataFrame, names: Sequence[str] = VARIANTS) -> DataFrame:
+def tfidf_variants(df: DataFrame, names: Sequence[str] = tuple(RECIPES)) -> DataFrame:
     """One prediction column for each feature recipe; test rows only, null elsewhere."""
-    out = df.withColumns({"_answer": C.normalize_text(F.col("answer")), "_question_answer": C.qa_concat(F.col("question"), F.col("answer"))})
+    out = df.withColumns({"_answer": C.normalize_text(F.col("answer")), "_question": C.normalize_text(F.col("question")), "_both": C.qa_concat(F.col("question"), F.col("answer"))})
     for name in names:
-        text = "_question_answer" if name.endswith("question_answer") else "_answer"
-        parts = [k for k in ("word", "char") if k in name.split("_")]
-        made = out
-        for k in parts:
-            made = (tfidf_word_features if k == "word" else tfidf_char_features)(made, text, f"_{k}")
-        made = VectorAssembler(inputCols=[f"_{k}" for k in parts], outputCol="_features").transform(made)
-        out = tfidf_ridge_predict(made, "_features").withColumnRenamed("prediction", f"pred_tfidf_{name}").drop("_features", *(f"_{k}" for k in parts))
-    return out.drop("_answer", "_question_answer")
+        made, parts = out, []
+        for kind, text, longest, least, size in RECIPES[name]:
+            parts.append(f"_{kind}_{text}")
+            made = tfidf_word_features(made, f"_{text}", parts[-1], longest, least, size) if kind == "word" else tfidf_char_features(made, f"_{text}", parts[-1], min_df=least, size=size)
+        made = VectorAssembler(inputCols=parts, outputCol="_features").transform(made)
+        out = tfidf_ridge_predict(made, "_features").withColumnRenamed("prediction", f"pred_tfidf_{name}").drop("_features", *parts)
+    return out.drop("_answer", "_question", "_both")

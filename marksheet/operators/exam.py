@@ -55,36 +55,63 @@ def completeness_counts(totals: DataFrame) -> DataFrame:
     )
 
 
-def with_scales(complete: DataFrame) -> DataFrame:
-    """Norms and the grades of all scales for both sides."""
+def total_cells(complete: DataFrame) -> DataFrame:
+    """How many students of a model and exam have each pair of totals: n.
+
+    All scales depend on totals alone. A group has at most as many cells as there are pairs of
+    totals, however many students sat the exam, so everything after this works on bounded groups.
+    """
+    return complete.groupBy("model_col", *EXAM, "gold_total", "pred_total").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _standing(cells: DataFrame) -> DataFrame:
+    """Norms and, for both sides, the exam's mean, the rank (ties the better) and how many passed."""
     exam = Window.partitionBy("model_col", *EXAM)
-    out = complete
-    for side in ("gold", "pred"):
-        out = out.withColumn(f"{side}_norm", F.col(f"{side}_total") / F.col("test_size").cast("double"))
+    size, n = F.col("test_size").cast("double"), F.col("n")
+    out = cells.withColumns({f"{s}_norm": F.col(f"{s}_total") / size for s in ("gold", "pred")})
     made = {}
-    for side in ("gold", "pred"):
-        norm, total, size = F.col(f"{side}_norm"), F.col(f"{side}_total"), F.col("test_size").cast("double")
-        made[f"{side}_linear_abs"] = S.grade_linear_abs(norm)
-        made[f"{side}_pass_linear_abs"] = S.pass_fail_abs(norm).cast("int")
-        made[f"{side}_linear_mean"] = S.grade_linear_mean_centered(total, size, exam)
-        made[f"{side}_bologna_label"] = S.grade_distribution_label(norm, size, exam, exam.orderBy(F.desc(f"{side}_norm")))
+    for s in ("gold", "pred"):
+        norm = F.col(f"{s}_norm")
+        up_to = F.sum(n).over(exam.orderBy(F.desc(f"{s}_norm")))  # with all peers
+        made[f"_{s}_mean"] = F.sum(F.col(f"{s}_total") * n).over(exam) / F.sum(n).over(exam)
+        made[f"_{s}_rank"] = up_to - F.sum(n).over(Window.partitionBy("model_col", *EXAM, f"{s}_norm")) + 1
+        made[f"_{s}_passed"] = F.sum(F.when(S.points_passed(norm, size), n).otherwise(0)).over(exam)
+        made[f"_{s}_norm_passed"] = F.sum(F.when(norm >= S.PASS, n).otherwise(0)).over(exam)
+    return out.withColumns(made)
+
+
+def with_scales(cells: DataFrame) -> DataFrame:
+    """Norms and the grades of all scales for both sides of ``total_cells``."""
+    out, size, made = _standing(cells), F.col("test_size").cast("double"), {}
+    for s in ("gold", "pred"):
+        norm = F.col(f"{s}_norm")
+        made[f"{s}_linear_abs"] = S.grade_linear_abs(norm)
+        made[f"{s}_pass_linear_abs"] = S.pass_fail_abs(norm).cast("int")
+        made[f"{s}_linear_mean"] = S.grade_linear_mean_centered(F.col(f"{s}_total"), size, F.col(f"_{s}_mean"))
+        made[f"{s}_bologna_label"] = S.grade_distribution_label(norm, size, F.col(f"_{s}_rank"), F.col(f"_{s}_passed"))
     out = out.withColumns(made)
-    return out.withColumns({f"{s}_pass_linear_mean": S.pass_fail_from_grade(F.col(f"{s}_linear_mean")).cast("int") for s in ("gold", "pred")} | {f"{s}_bologna": S.distribution_label_ordinal(F.col(f"{s}_bologna_label")) for s in ("gold", "pred")})
+    out = out.withColumns({f"{s}_pass_linear_mean": S.pass_fail_from_grade(F.col(f"{s}_linear_mean")).cast("int") for s in ("gold", "pred")} | {f"{s}_bologna": S.distribution_label_ordinal(F.col(f"{s}_bologna_label")) for s in ("gold", "pred")})
+    return out.drop(*(c for c in out.columns if c.startswith("_")))
+
+
+def student_scales(complete: DataFrame) -> DataFrame:
+    """The scales of every student: those of the student's cell."""
+    return complete.join(with_scales(total_cells(complete)).drop("n"), ["model_col", *EXAM, "gold_total", "pred_total"])
 
 
 def scale_pairs(scaled: DataFrame) -> DataFrame:
-    """Long: one row per student and scale with both sides as doubles."""
+    """Long: one row per cell and scale with both sides as doubles, and n."""
     pair = lambda s: F.struct(F.lit(s).alias("scale"), F.col(f"gold_{s}").cast("double").alias("y"), F.col(f"pred_{s}").cast("double").alias("p"))
-    return scaled.select("model_col", *EXAM, F.explode(F.array(*map(pair, SCALES))).alias("_s")).select("model_col", *EXAM, "_s.*")
+    return scaled.select("model_col", *EXAM, "n", F.explode(F.array(*map(pair, SCALES))).alias("_s")).select("model_col", *EXAM, "_s.*", "n")
 
 
 def exam_metrics(env: DataFrame, models: Sequence[str]) -> DataFrame:
     """Six counts and eleven metrics per model and exam; exams without a complete student keep null metrics."""
     keys = ["model_col", *EXAM]
     totals = student_exam_totals(env, models)
-    complete = completeness_filter(totals)
-    tau = kendall_tau_b(complete, keys, "gold_total", "pred_total", "el_tau_b")
-    scaled = qwk_observed(scale_pairs(with_scales(complete)), [*keys, "scale"], "y", "p")
+    cells = total_cells(completeness_filter(totals))
+    tau = kendall_tau_b(cells, keys, "gold_total", "pred_total", "el_tau_b", "n")
+    scaled = qwk_observed(scale_pairs(with_scales(cells)), [*keys, "scale"], "y", "p", weight="n")
     pick = [F.first(F.when(F.col("scale") == s, F.col(c)), ignorenulls=True).alias(f"el_{m}_{s}" if not s.startswith("pass_") else f"el_pass_{m}_{s[5:]}") for s in SCALES for m, c in (("acc", "accuracy"), ("qwk", "qwk"))]
     return completeness_counts(totals).join(tau, keys, "left").join(scaled.groupBy(*keys).agg(*pick), keys, "left").select(*keys, *COUNTS, *METRICS)
 
@@ -107,12 +134,17 @@ def report_rollup(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def rank_by_total(totals: DataFrame) -> DataFrame:
-    return totals.withColumn("rank", F.row_number().over(Window.partitionBy("model_col", *EXAM).orderBy(F.desc("pred_total"), "member_id")))
+    """Position by predicted total, ties by student: students ahead of the total plus the place among its own."""
+    keys = ["model_col", *EXAM]
+    counts = totals.groupBy(*keys, "pred_total").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counts.select(*keys, "pred_total", (F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc("pred_total"))) - F.col("_n")).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy(*keys, "pred_total").orderBy("member_id"))
+    return totals.join(ahead, [*keys, "pred_total"]).withColumn("rank", (F.col("_ahead") + place).cast("int")).drop("_ahead")
 
 
 def student_scale_export(env: DataFrame, model: str) -> DataFrame:
     """Complete students with totals, grades, pass flags and rank for one score column."""
-    return rank_by_total(with_scales(completeness_filter(student_exam_totals(env, [model]))))
+    return rank_by_total(student_scales(completeness_filter(student_exam_totals(env, [model]))))
 
 
 def scope_semi_join(metrics: DataFrame, scope: DataFrame) -> DataFrame:
@@ -144,37 +176,37 @@ def annotator_agreement(df: DataFrame) -> DataFrame:
 
 def exam_confusion(scaled: DataFrame) -> DataFrame:
     """Counts of human against model grade per scale over exam-students."""
-    return scale_pairs(scaled).groupBy("model_col", "scale", F.col("y").alias("gold"), F.col("p").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    return scale_pairs(scaled).groupBy("model_col", "scale", F.col("y").alias("gold"), F.col("p").alias("pred")).agg(F.sum("n").alias("n"))
 
 
-def granularity_labels(complete: DataFrame, classes: Sequence[int] = tuple(range(2, 11))) -> DataFrame:
-    """Human and model classes for every number of classes on the absolute and the rank-based scale."""
-    exam = Window.partitionBy("model_col", *EXAM)
-    out = complete.withColumns({f"{s}_norm": F.col(f"{s}_total") / F.col("test_size").cast("double") for s in ("gold", "pred")})
-    for s in ("gold", "pred"):
-        norm = F.col(f"{s}_norm")
-        out = out.withColumns({f"_{s}_rank": F.rank().over(exam.orderBy(F.desc(f"{s}_norm"))), f"_{s}_passed": F.sum((norm >= S.PASS).cast("int")).over(exam)})
+def granularity_labels(cells: DataFrame, classes: Sequence[int] = tuple(range(2, 11))) -> DataFrame:
+    """Human and model classes for every number of classes on the absolute and the rank-based scale.
+
+    Rows of ``total_cells`` in, and rows that count n students each out.
+    """
+    out = _standing(cells)
     cuts = {n: [float(x) for x in __import__("itertools").accumulate(S.passing_distribution_interpolated(n - 1))] for n in classes}
     dimension = out.sparkSession.createDataFrame([(n, c) for n, c in cuts.items()], "n_classes int, cuts array<double>")
     out = out.crossJoin(F.broadcast(dimension))  # one small fixed row per class count
 
     def by_rank(s: str) -> Column:
         # The first cut that reaches the rank; the last cut always does.
-        before = F.size(F.filter(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda c: F.ceil(F.col(f"_{s}_passed") * c) < F.col(f"_{s}_rank")))
+        before = F.size(F.filter(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda c: F.ceil(F.col(f"_{s}_norm_passed") * c) < F.col(f"_{s}_rank")))
         return F.when(F.col(f"{s}_norm") >= S.PASS, F.col("n_classes") - 1 - before).otherwise(F.lit(0))
 
     absolute = F.struct(F.lit("absolute").alias("scale"), S.grade_abs_n_classes(F.col("gold_norm"), F.col("n_classes")).alias("y"), S.grade_abs_n_classes(F.col("pred_norm"), F.col("n_classes")).alias("p"))
     ranked = F.struct(F.lit("distribution").alias("scale"), by_rank("gold").cast("int").alias("y"), by_rank("pred").cast("int").alias("p"))
-    return out.select("model_col", *EXAM, "member_id", "n_classes", F.explode(F.array(absolute, ranked)).alias("_s")).select("model_col", *EXAM, "member_id", "n_classes", "_s.*")
+    long = out.select("model_col", *EXAM, "n_classes", "n", F.explode(F.array(absolute, ranked)).alias("_s"))
+    return long.groupBy("model_col", *EXAM, "n_classes", "_s.scale", "_s.y", "_s.p").agg(F.sum("n").alias("n"))
 
 
-def granularity_sweep(complete: DataFrame, classes: Sequence[int] = tuple(range(2, 11))) -> DataFrame:
+def granularity_sweep(cells: DataFrame, classes: Sequence[int] = tuple(range(2, 11))) -> DataFrame:
     """Accuracy, fixed-class kappa and tau-b per model, exam, scale and number of classes."""
     keys = ["model_col", *EXAM, "scale", "n_classes"]
-    labels = granularity_labels(complete, classes)
-    y, p = F.col("y"), F.col("p")
-    base = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), accuracy(y, p).alias("accuracy"), qwk_fixed(y, p).alias("qwk"))
-    return base.join(kendall_tau_b(labels, keys, "y", "p", "tau_b"), keys, "left")
+    labels = granularity_labels(cells, classes)
+    y, p, n = F.col("y"), F.col("p"), F.col("n")
+    base = labels.groupBy(*keys).agg(F.sum("n").alias("n"), accuracy(y, p, n).alias("accuracy"), qwk_fixed(y, p, n).alias("qwk"))
+    return base.join(kendall_tau_b(labels, keys, "y", "p", "tau_b", "n"), keys, "left")
 
 
 def granularity_summary(sweep: DataFrame) -> DataFrame:

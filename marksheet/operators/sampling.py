@@ -49,7 +49,7 @@ def question_order_in_exam(exam: DataFrame) -> DataFrame:
 
 def eligible_students(exam: DataFrame, answers: DataFrame) -> DataFrame:
     """Students with an answer to every question of an exam (relational division)."""
-    taken = F.broadcast(exam.select("test_id", "test_size", "question_id")).join(answers.select("member_id", "question_id"), "question_id")
+    taken = exam.select("test_id", "test_size", "question_id").join(answers.select("member_id", "question_id"), "question_id")
     return taken.groupBy("test_id", "test_size", "member_id").agg(F.count_distinct("question_id").alias("_n")).where(F.col("_n") == F.col("test_size")).drop("_n")
 
 

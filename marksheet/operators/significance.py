@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.agreement import qwk_fixed, qwk_observed
+from ..functions.agreement import qwk_observed
 from ..functions.columns import linear_grade_code, model_short_name
-from .exam import EXAM, completeness_filter, student_exam_totals, with_scales
+from .exam import EXAM, completeness_filter, student_exam_totals, student_scales
 
 STUDENT = [*EXAM, "member_id"]
 RANKING = ("el_acc_linear_abs", "el_qwk_linear_abs", "el_acc_bologna", "el_qwk_bologna")
@@ -18,7 +19,7 @@ RANKING = ("el_acc_linear_abs", "el_qwk_linear_abs", "el_acc_bologna", "el_qwk_b
 
 def exam_label_table(env: DataFrame, models: Sequence[str], size: int) -> DataFrame:
     """Per model and exam-student of one size: totals, norms, both scales and whether the model is right."""
-    scaled = with_scales(completeness_filter(student_exam_totals(env.where(F.col("test_size") == size), models)))
+    scaled = student_scales(completeness_filter(student_exam_totals(env.where(F.col("test_size") == size), models)))
     return scaled.select("model_col", *STUDENT, "gold_total", "pred_total", "gold_norm", "pred_norm", "gold_linear_abs", "pred_linear_abs", "gold_bologna", "pred_bologna", (F.col("gold_linear_abs") == F.col("pred_linear_abs")).alias("correct_linear_abs"), (F.col("gold_bologna") == F.col("pred_bologna")).alias("correct_bologna"))
 
 
@@ -49,19 +50,33 @@ def mcnemar_counts(labels: DataFrame, pairs: DataFrame, correct: str) -> DataFra
     return out.withColumn("discordant", F.col("only_a") + F.col("only_b"))
 
 
-def mcnemar_exact_p(counts: DataFrame) -> DataFrame:
-    """Two-sided binomial(1/2) p on the discordant pairs, 1 if there are none.
+def binomial_two_sided(only_a: int, only_b: int) -> float:
+    """min(1, 2 P(X <= the smaller count)) for X ~ Binomial(only_a + only_b, 1/2); 1 if both are 0.
 
-    Log factorials are a running sum joined on the terms of the smaller tail, so large counts
-    neither overflow nor leave the JVM.
+    Terms are added from the largest down until they no longer count.
     """
-    most = counts.agg(F.coalesce(F.max("discordant"), F.lit(0)).alias("m"))
-    log = most.select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("i")).withColumn("lf", F.sum(F.when(F.col("i") > 0, F.ln(F.greatest("i", F.lit(1)))).otherwise(0.0)).over(Window.orderBy("i")))
-    terms = counts.select("a", "b", "discordant", F.explode(F.sequence(F.lit(0).cast("long"), F.least("only_a", "only_b"))).alias("k"))
-    at = lambda c, n: log.select(F.col("i").alias(c), F.col("lf").alias(n))
-    t = terms.withColumn("rest", F.col("discordant") - F.col("k")).join(at("discordant", "l_n"), "discordant").join(at("k", "l_k"), "k").join(at("rest", "l_r"), "rest")
-    p = t.groupBy("a", "b").agg(F.least(F.lit(1.0), 2 * F.sum(F.exp(F.col("l_n") - F.col("l_k") - F.col("l_r") - F.col("discordant") * F.ln(F.lit(2.0))))).alias("p"))
-    return counts.join(p, ["a", "b"]).withColumn("p", F.when(F.col("discordant") == 0, 1.0).otherwise(F.col("p")))
+    n, k = only_a + only_b, min(only_a, only_b)
+    if not n:
+        return 1.0
+    total, term = 0.0, 1.0
+    largest = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    while term > total * 1e-17:
+        total += term
+        term *= k / (n - k + 1)
+        k -= 1
+    return min(1.0, 2 * total * math.exp(largest))
+
+
+def mcnemar_exact_p(counts: DataFrame) -> DataFrame:
+    """Two-sided binomial(1/2) p on the discordant pairs, 1 if there are none; a row for each pair of models."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = [binomial_two_sided(x, y) for x, y in zip(b.column("only_a").to_pylist(), b.column("only_b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "p"])
+
+    return counts.mapInArrow(run, f"{kinds}, p double")
 
 
 def best_against_others(ranking: DataFrame, metric: str) -> DataFrame:
@@ -71,16 +86,11 @@ def best_against_others(ranking: DataFrame, metric: str) -> DataFrame:
 
 def mcnemar_all_pairs(labels: DataFrame) -> DataFrame:
     """The metric's best model against every other, on both scales."""
-    ranking = model_ranking(labels).cache()
+    ranking = model_ranking(labels)
     out = [mcnemar_exact_p(mcnemar_counts(labels, best_against_others(ranking, f"el_acc_{s}"), f"correct_{s}")).withColumn("scale", F.lit(s)) for s in ("linear_abs", "bologna")]
     return out[0].unionByName(out[1])
 
 
-def swap_bit(seed: int, perm: Column, *keys: str) -> Column:
-    """A portable coin for (permutation, exam-student)."""
-    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), perm, *keys).cast("binary")), 1, 1).isin(*"01234567")
-
-
 def _code(scale: str) -> tuple[Column, Column]:
     one = lambda c: linear_grade_code(F.col(c)) if scale == "linear_abs" else F.col(c)
     return one(f"gold_{scale}"), one(f"pred_{scale}")
@@ -92,46 +102,135 @@ def _pairs(labels: DataFrame, pairs: DataFrame, scale: str) -> DataFrame:
     return F.broadcast(pairs).join(side("a"), "a").join(side("b"), ["b", *STUDENT]).where("g_a = g_b")
 
 
+#: Students of one cell that share the bits of one random number.
+_CHUNK = 30
+_PRIME = (1 << 31) - 1
+
+
+def swap_cells(rows: DataFrame) -> DataFrame:
+    """How many exam-students have each (gold, first, second) grade code, and what swapping one changes.
+
+    rows: a, b, exam, g_a, p_a, p_b. The kappas of an exam depend on three sums over students, and
+    a swap adds a fixed amount to each, so permutations need these counts alone: at most the cube
+    of the number of grades for an exam of any size.
+    """
+    cells = rows.groupBy("a", "b", *EXAM, F.col("g_a").cast("long").alias("g"), F.col("p_a").cast("long").alias("x"), F.col("p_b").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    g, x, y = F.col("g"), F.col("x"), F.col("y")
+    return cells.withColumns({"d_apart": (g - y) * (g - y) - (g - x) * (g - x), "d_square": y * y - x * x, "d_sum": y - x})
+
+
+def exam_sums(cells: DataFrame) -> DataFrame:
+    """Per pair and exam the sums that both kappas need in the observed order."""
+    g, x, y, n = (F.col(c) for c in "gxyn")
+    return cells.groupBy("a", "b", *EXAM).agg(
+        F.sum(n).alias("m"), F.sum(n * g).alias("s_g"), F.sum(n * g * g).alias("s_gg"), F.min(g).alias("g_lo"), F.max(g).alias("g_hi"),
+        *(a for v, c in (("x", x), ("y", y)) for a in (F.sum(n * c).alias(f"s_{v}"), F.sum(n * c * c).alias(f"s_{v}{v}"), F.sum(n * (g - c) * (g - c)).alias(f"apart_{v}"))),
+    )
+
+
+def kappa_difference(apart: Column, square: Column, total: Column) -> Column:
+    """Kappa of the first minus the second model when swaps move the three sums by these amounts."""
+
+    def kappa(off: Column, sq: Column, sm: Column) -> Column:
+        spread = F.col("m") * (F.col("s_gg") + sq) - 2 * F.col("s_g") * sm
+        return F.when(spread == 0, F.when(off == 0, 1.0).otherwise(0.0)).otherwise(1.0 - F.try_divide((F.col("m") * off).cast("double"), spread.cast("double")))
+
+    return kappa(F.col("apart_x") + apart, F.col("s_xx") + square, F.col("s_x") + total) - kappa(F.col("apart_y") - apart, F.col("s_yy") - square, F.col("s_y") - total)
+
+
+def observed_difference(sums: DataFrame, *keys: str) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return sums.groupBy(*keys).agg(F.avg(kappa_difference(zero, zero, zero)).alias("observed"))
+
+
+def p_values(means: DataFrame, *keys: str) -> DataFrame:
+    """p = (extreme + 1) / (n + 1) from the mean difference d of every permutation beside the observed one."""
+    extreme = F.abs("d") >= F.abs("observed") - 1e-12
+    out = means.groupBy(*keys, "observed").agg(F.count_if(extreme).alias("extreme"), F.count(F.lit(1)).alias("n_permutations"))
+    return out.withColumn("p", (F.col("extreme") + 1) / (F.col("n_permutations") + 1))
+
+
+def mixed(*parts: Column) -> Column:
+    """A number below 2^31 - 1 from the md5 of the parts, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 12), 16, 10).cast("long") % _PRIME
+
+
 def permutation_test_qwk(labels: DataFrame, a: str, b: str, n: int, seed: int, scale: str = "linear_abs") -> DataFrame:
-    """Observed mean exam kappa difference and p = (extreme + 1) / (n + 1), by hash coins in SQL functions."""
+    """Observed mean exam kappa difference and p, in SQL functions that any engine can repeat.
+
+    The students of a cell that are swapped are the set bits among as many random bits, 30 at a time.
+    """
     spark = labels.sparkSession
-    rows = _pairs(labels, spark.createDataFrame([(a, b)], "a string, b string"), scale)
-    perms = spark.range(n + 1).select(F.col("id").alias("perm"))  # 0 is the observed order
-    drawn = rows.crossJoin(F.broadcast(perms)).withColumn("_swap", (F.col("perm") > 0) & swap_bit(seed, F.col("perm"), *STUDENT))
-    x, y, g = F.when(F.col("_swap"), F.col("p_b")).otherwise(F.col("p_a")), F.when(F.col("_swap"), F.col("p_a")).otherwise(F.col("p_b")), F.col("g_a")
-    exams = drawn.groupBy("perm", *EXAM).agg((qwk_fixed(g, x) - qwk_fixed(g, y)).alias("d"))
-    means = exams.groupBy("perm").agg(F.avg("d").alias("d"))
-    seen = means.where("perm = 0").select(F.col("d").alias("observed"))
-    return means.where("perm > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.count_if(F.abs("d") >= F.abs("observed") - 1e-12).alias("extreme"), F.count(F.lit(1)).alias("n_permutations")).withColumn("p", (F.col("extreme") + 1) / (F.col("n_permutations") + 1))
-
-
-def permutation_all_pairs(labels: DataFrame, n: int = 1000, seed: int = 4242) -> DataFrame:
-    """The metric's best model against every other on both scales; each exam's permutations are one task's arrays."""
-    ranking = model_ranking(labels).cache()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        k = frame.iloc[0]
-        frame = frame.sort_values("member_id")
-        g, pa_, pb = (frame[c].to_numpy(float) for c in ("g_a", "p_a", "p_b"))
-        rng = np.random.default_rng(np.random.SeedSequence([seed, int("".join(filter(str.isdigit, k["test_id"])) or 0), int(k["test_size"])]))
-        swap = np.vstack([np.zeros(len(g), bool), rng.random((n, len(g))) < 0.5])
-
-        def kappa(p: np.ndarray) -> np.ndarray:
-            m = len(g)
-            apart, spread = m * ((g - p) ** 2).sum(1), m * (g * g).sum() + m * (p * p).sum(1) - 2 * g.sum() * p.sum(1)
-            return np.where(spread == 0, np.where(apart == 0, 1.0, 0.0), 1 - apart / np.where(spread == 0, 1, spread))
-
-        d = kappa(np.where(swap, pb, pa_)) - kappa(np.where(swap, pa_, pb))
-        return pd.DataFrame({"a": k["a"], "b": k["b"], "perm": np.arange(n + 1), "d": d})
-
-    out = []
+    cells = swap_cells(_pairs(labels, spark.createDataFrame([(a, b)], "a string, b string"), scale))
+    s = F.lit(str(seed))
+    chunks = cells.where("x != y").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _CHUNK))))
+    chunks = chunks.withColumn("_bits", F.least(F.col("n") - F.col("_chunk") * _CHUNK, F.lit(_CHUNK))).withColumn("_mask", F.expr("shiftleft(1L, cast(_bits as int)) - 1"))
+    named = [s, *EXAM, "g", "x", "y", "_chunk"]
+    chunks = chunks.withColumns({"_h": mixed(*named) + 1, "_k": mixed(*named, F.lit("k"))}).select("a", "b", *EXAM, "d_apart", "d_square", "d_sum", "_mask", "_h", "_k").repartition(*EXAM)
+    # A fixed table of n rows, whatever the data: the permutations.
+    perms = spark.range(1, n + 1).select(F.col("id").alias("perm"), (mixed(s, F.col("id")) + 1).alias("_p"))
+    drawn = chunks.crossJoin(F.broadcast(perms)).withColumn("_swaps", F.bit_count(((F.col("_h") * F.col("_p") + F.col("_k")) % _PRIME).bitwiseAND(F.col("_mask"))).cast("long"))
+    moved = drawn.groupBy("perm", *EXAM).agg(*(F.sum(F.col("_swaps") * F.col(c)).alias(c) for c in ("d_apart", "d_square", "d_sum")))
+    # All of this stays dealt by exam: the sums of an exam join its permutations where they are.
+    sums = exam_sums(cells)
+    drawn = moved.join(sums, EXAM).select("perm", kappa_difference(F.col("d_apart"), F.col("d_square"), F.col("d_sum")).alias("d"))
+    # Exams without a student to swap add the same to every permutation.
+    zero = F.lit(0).cast("long")
+    still = sums.join(chunks.select(*EXAM).distinct(), EXAM, "left_anti").agg(F.coalesce(F.sum(kappa_difference(zero, zero, zero)), F.lit(0.0)).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    means = perms.select("perm").join(drawn.groupBy("perm").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n")), "perm", "left").crossJoin(F.broadcast(still))
+    means = means.select("perm", ((F.coalesce("d", F.lit(0.0)) + F.col("_d")) / (F.coalesce("n", F.lit(0)) + F.col("_n"))).alias("d"))
+    return p_values(means.crossJoin(F.broadcast(observed_difference(sums))))
+
+
+def kappa_differences(cells: list[dict], swaps: np.ndarray) -> np.ndarray:
+    """Kappa of the first minus the second model for each row of swap counts by cell."""
+    g, x, y, n = (np.array([c[k] for c in cells], float) for k in ("g", "x", "y", "n"))
+    m, s_g, s_gg = n.sum(), (n * g).sum(), (n * g * g).sum()
+
+    def kappa(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+        total = lambda f: (n * f(mine)).sum() + swaps @ (f(other) - f(mine))
+        apart, spread = m * total(lambda v: (g - v) ** 2), m * (s_gg + total(lambda v: v * v)) - 2 * s_g * total(lambda v: v)
+        return np.where(spread == 0, np.where(apart == 0, 1.0, 0.0), 1 - apart / np.where(spread == 0, 1, spread))
+
+    return kappa(x, y) - kappa(y, x)
+
+
+def permutation_all_pairs(labels: DataFrame, n: int = 10_000, seed: int = 4242, per_block: int = 2_500) -> DataFrame:
+    """The metric's best model against every other on both scales.
+
+    Swap counts are drawn per cell (binomial), exam and block of permutations. A task adds up the
+    exams it has: what it holds and emits is one number for each pair and permutation.
+    """
+    ranking = model_ranking(labels)
+    keys = ["scale", "a", "b"]
+    cells = None
     for scale in ("linear_abs", "bologna"):
-        rows = _pairs(labels, best_against_others(ranking, f"el_qwk_{scale}"), scale)
-        exams = rows.groupBy("a", "b", *EXAM).applyInPandas(run, "a string, b string, perm long, d double")
-        means = exams.groupBy("a", "b", "perm").agg(F.avg("d").alias("d"))
-        seen = means.where("perm = 0").select("a", "b", F.col("d").alias("observed"))
-        out.append(means.where("perm > 0").join(seen, ["a", "b"]).groupBy("a", "b", "observed").agg(F.count_if(F.abs("d") >= F.abs("observed") - 1e-12).alias("extreme"), F.count(F.lit(1)).alias("n_permutations")).withColumn("p", (F.col("extreme") + 1) / (F.col("n_permutations") + 1)).withColumn("scale", F.lit(scale)))
-    return out[0].unionByName(out[1])
+        one = swap_cells(_pairs(labels, best_against_others(ranking, f"el_qwk_{scale}"), scale)).withColumn("scale", F.lit(scale))
+        cells = one if cells is None else cells.unionByName(one)
+    exams = cells.groupBy(*keys, *EXAM).agg(F.array_sort(F.collect_list(F.struct("g", "x", "y", "n"))).alias("cells"))  # grades cubed at most
+    blocks = labels.sparkSession.range(math.ceil(n / per_block)).select(F.col("id").alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                size = min(per_block, n - r["block"] * per_block)
+                words = [seed, r["block"], *f"{r['scale']}|{r['a']}|{r['b']}|{r['test_id']}|{r['test_size']}".encode()]
+                rng = np.random.default_rng(np.random.SeedSequence(words))
+                many = np.array([c["n"] if c["x"] != c["y"] else 0 for c in r["cells"]], np.int64)
+                swaps = np.vstack([np.zeros(len(many), np.int64), rng.binomial(many, 0.5, (size, len(many)))])  # first the observed order
+                sums = held.setdefault((r["scale"], r["a"], r["b"], r["block"]), np.zeros((2, size + 1)))
+                sums += [kappa_differences(r["cells"], swaps), np.ones(size + 1)]
+        for (scale, a, b, block), (total, count) in held.items():
+            rows = len(total)
+            perm = block * per_block + np.arange(rows)
+            perm[0] = 0
+            yield pa.RecordBatch.from_arrays([*(pa.array([v] * rows, pa.string()) for v in (scale, a, b)), pa.array(perm, pa.int64()), pa.array(total), pa.array(count)], names=[*keys, "perm", "total", "count"])
+
+    grid = exams.crossJoin(F.broadcast(blocks)).repartition(*EXAM, "block")  # a fixed number of blocks
+    means = grid.mapInArrow(run, "scale string, a string, b string, perm long, total double, count double").groupBy(*keys, "perm").agg((F.sum("total") / F.sum("count")).alias("d"))
+    seen = means.where("perm = 0").select(*keys, F.col("d").alias("observed"))
+    return p_values(means.where("perm > 0").join(seen, keys), *keys)
 
 
 def sanity_checks(labels: DataFrame, models: Sequence[str], size: int) -> DataFrame:

@@ -49,15 +49,24 @@ def per_group_sizes(df: DataFrame, key: str) -> DataFrame:
 
 
 def core_dataset_statistics(df: DataFrame) -> DataFrame:
-    """The figures of the full table and of its gold rows, one row per scope."""
-    def scope(name: str, part: DataFrame) -> DataFrame:
-        q, s = per_group_sizes(part, "question_id"), per_group_sizes(part, "member_id")
-        length = C.token_count_whitespace(F.col("answer"))
-        base = part.agg(F.count_distinct("member_id").alias("students"), F.count(F.lit(1)).alias("responses"), F.avg(length).alias("mean_length"), median(length).alias("median_length"), F.count_distinct("question_id").alias("questions"))
-        one = lambda d, p: d.agg(F.avg("n").alias(f"mean_per_{p}"), median(F.col("n")).alias(f"median_per_{p}"))
-        return base.crossJoin(one(q, "question")).crossJoin(one(s, "student")).crossJoin(response_language_split(part)).crossJoin(label_type_counts(part)).withColumn("scope", F.lit(name))
-
-    return scope("full", df).unionByName(scope("gold", df.where(_label_type() == "gold")))
+    """The figures of the full table and of its gold rows, one row per scope.
+
+    One aggregate over the rows, and one each over the sizes of questions and of students.
+    """
+    t, lang, length = _label_type(), C.detect_language(F.col("question")), C.token_count_whitespace(F.col("answer"))
+    scopes = F.explode(F.when(t == "gold", F.array(F.lit("full"), F.lit("gold"))).otherwise(F.array(F.lit("full"))))
+    rows = df.select(scopes.alias("scope"), "member_id", "question_id", t.alias("_t"), lang.alias("_l"), length.alias("_w"))
+    de, unknown, one = F.col("_l") == "de", F.col("_l") == "unknown", F.count(F.lit(1))
+    pct = lambda c: F.count_if(c) * 100.0 / F.count(F.lit(1))
+    base = rows.groupBy("scope").agg(
+        F.count_distinct("member_id").alias("students"), one.alias("responses"), F.avg("_w").alias("mean_length"), median(F.col("_w")).alias("median_length"), F.count_distinct("question_id").alias("questions"),
+        F.count_if(~de).alias("english"), F.count_if(de).alias("german"), F.count_if(unknown).alias("unknown_counted_as_english"), pct(~de).alias("english_pct"), pct(de).alias("german_pct"), pct(unknown).alias("unknown_pct"),
+        F.count_if(F.col("_t") == "gold").alias("gold"), F.count_if(F.col("_t") == "silver").alias("silver"), F.count_if(~F.col("_t").isin("gold", "silver")).alias("other"),
+    )
+    for key, p in (("question_id", "question"), ("member_id", "student")):
+        sizes = rows.groupBy("scope", key).agg(F.count(F.lit(1)).alias("n"))
+        base = base.join(sizes.groupBy("scope").agg(F.avg("n").alias(f"mean_per_{p}"), median(F.col("n")).alias(f"median_per_{p}")), "scope")
+    return base
 
 
 def release_statistics(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.agreement import mae, mse, rmse
 from ..operators import clean as K, exam as E, joins as J
 from ..sources import io
 from .common import r, rounded
-from .exam import ITEM_SQL, METRICS_SQL, SAMPLE_SQL, SCALED_SQL, exam_questions, metrics, responses, scaled
+from .exam import ITEM_SQL, METRICS_SQL, SAMPLE_SQL, SCALED_SQL, complete, exam_questions, metrics, responses, scaled
 
 
 def _v(name: str):
@@ -21,7 +21,10 @@ def _v(name: str):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = (base or "file://" + tempfile.gettempdir()).rstrip("/")
     return f"{base}/marksheet-{uuid.uuid4().hex}"
 
 
@@ -90,7 +93,7 @@ def audited(s, d):
 
 
 def paired(s, d):
-    labels = scaled(s, d).select("model_col", "test_id", "test_size", "member_id", "gold_linear_abs", "pred_linear_abs")
+    labels = E.student_scales(complete(s, d)).select("model_col", "test_id", "test_size", "member_id", "gold_linear_abs", "pred_linear_abs")
     return J.paired_model_join(labels, "new_grade_a", "grade_prior_c").withColumn("gold_agrees", F.col("gold_linear_abs_a") == F.col("gold_linear_abs_b"))
 
 
@@ -151,7 +154,7 @@ _WS = r"'^\s+|\s+$'"
 
 
 def model_keys(s, d):
-    labels = scaled(s, d).select("model_col", "test_id", "test_size", "member_id")
+    labels = complete(s, d).select("model_col", "test_id", "test_size", "member_id")
     return J.model_key_sets(labels)
 
 
@@ -228,7 +231,7 @@ QUERIES = {
     "consensus_grade": lambda s, d: responses(s, d).select("answer_id", C.consensus_grade(F.col(_A), F.col(_B)).alias("consensus")),
     "audit_flag": lambda s, d: responses(s, d).select("answer_id", C.audit_status(F.when(F.col("gold_is_llm").isNotNull(), F.col(_A)), F.col(_B)).alias("status")),
     "llm_flag_and": lambda s, d: responses(s, d).select("answer_id", C.llm_flag_and(F.col("gold_is_llm"), F.when(F.col("grade") > 0, "yes")).alias("both_llm")),
-    "linear_grade_code": lambda s, d: scaled(s, d).select("model_col", "test_id", "test_size", "member_id", C.linear_grade_code(F.col("gold_linear_abs")).alias("code")),
+    "linear_grade_code": lambda s, d: scaled(s, d).groupBy("model_col", "test_id", "test_size", C.linear_grade_code(F.col("gold_linear_abs")).alias("code")).agg(F.sum("n").alias("n")),
     "snap_to_grade": lambda s, d: X.base(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_discount").alias("t")).select("l_orderkey", C.snap_to_grade(F.round(F.col("t") * 1000) / 160).alias("snapped")),
     "token_count_whitespace": _map("qa_text", ["id"], n_tokens=lambda: C.token_count_whitespace(F.col("answer"))),
     "normalize_text": _map("qa_text", ["id"], normal=lambda: C.normalize_text(F.col("answer"))),
@@ -320,7 +323,7 @@ ORACLES = {
     "consensus_grade": _rsql(f"answer_id, {_CONSENSUS} AS consensus"),
     "audit_flag": _rsql(f"answer_id, CASE WHEN gold_is_llm IS NULL THEN 'invalid_grade_input' WHEN abs({_A} - {_B}) > 0.5 THEN 'distance_gt_0.5' ELSE 'within_threshold' END AS status"),
     "llm_flag_and": _rsql("answer_id, CASE WHEN gold_is_llm = 'Yes' AND grade > 0 THEN 'Yes' ELSE 'No' END AS both_llm"),
-    "linear_grade_code": f"WITH {SCALED_SQL} SELECT model_col, test_id, test_size, member_id, CAST(round_even((gold_linear_abs - 1) / 0.5, 0) AS INT) AS code FROM scaled",
+    "linear_grade_code": f"WITH {SCALED_SQL} SELECT model_col, test_id, test_size, CAST(round_even((gold_linear_abs - 1) / 0.5, 0) AS INT) AS code, count(*) AS n FROM scaled GROUP BY ALL",
     "snap_to_grade": "SELECT l_orderkey, ceil(least(greatest(round(sum(l_discount) * 1000) / CAST(160 AS DOUBLE), 0), 1) * 4 - 0.5) / CAST(4 AS DOUBLE) + 0 AS snapped FROM lineitem GROUP BY l_orderkey",
     "token_count_whitespace": rf"WITH {_QA} SELECT id, len(regexp_extract_all(answer, '\S+')) AS n_tokens FROM qa_text",
     "normalize_text": f"WITH {_QA} SELECT id, {_NORM.format('answer')} AS normal FROM qa_text",

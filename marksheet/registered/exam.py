@@ -36,8 +36,12 @@ def complete(spark, sf_dir) -> DataFrame:
     return E.completeness_filter(totals(spark, sf_dir))
 
 
+def cells(spark, sf_dir) -> DataFrame:
+    return E.total_cells(complete(spark, sf_dir))
+
+
 def scaled(spark, sf_dir) -> DataFrame:
-    return E.with_scales(complete(spark, sf_dir))
+    return E.with_scales(cells(spark, sf_dir))
 
 
 def metrics(spark, sf_dir) -> DataFrame:
@@ -45,7 +49,7 @@ def metrics(spark, sf_dir) -> DataFrame:
 
 
 def sweep(spark, sf_dir) -> DataFrame:
-    return E.granularity_sweep(complete(spark, sf_dir))
+    return E.granularity_sweep(cells(spark, sf_dir))
 
 
 _SIZES = ", ".join(f"({s})" for s in X.SIZES)
@@ -180,11 +184,21 @@ def mean_std_safe(spark, sf_dir):
 
 
 def _scale_query(*columns: str):
-    return lambda spark, sf_dir: rounded(scaled(spark, sf_dir).select(*_STUDENT, *columns))
+    """How many students of each model and exam have each pair of grades."""
+    return lambda spark, sf_dir: rounded(scaled(spark, sf_dir).groupBy(*KEYS, *columns).agg(F.sum("n").alias("n")))
 
 
 def _scale_oracle(*columns: str) -> str:
-    return f"WITH {SCALED_SQL} SELECT {', '.join([*_STUDENT, *columns])} FROM scaled"
+    return f"WITH {SCALED_SQL} SELECT {', '.join([*KEYS, *columns])}, count(*) AS n FROM scaled GROUP BY {', '.join([*KEYS, *columns])}"
+
+
+def _sums(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """A large join result by ``keys``: rows, filled values and sums of each column."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(a for c in columns for a in (F.count(c).alias(f"{c}_n"), F.sum(c).alias(f"{c}_sum"))))
+
+
+def _sums_sql(keys: list[str], *columns: str) -> str:
+    return ", ".join([*keys, "count(*) AS n", *(f"count({c}) AS {c}_n, sum({c}) AS {c}_sum" for c in columns)]) + f" FROM env GROUP BY {', '.join(keys)}"
 
 
 QUERIES = {
@@ -192,8 +206,8 @@ QUERIES = {
     "question_order_in_exam": lambda s, d: exam_questions(s, d).select("test_id", "test_size", "question_id", "question_order"),
     "question_pool_check": lambda s, d: P.question_pool(responses(s, d), X.SIZES),
     "eligible_students": lambda s, d: P.eligible_students(exam_questions(s, d), responses(s, d)),
-    "exam_structure_join": lambda s, d: P.exam_structure_join(exam_questions(s, d), P.eligible_students(exam_questions(s, d), responses(s, d))),
-    "exam_env_join": lambda s, d: exam_env(s, d).select("test_id", "test_size", "member_id", "question_id", "answer_id", "human_grade", *X.MODELS),
+    "exam_structure_join": lambda s, d: P.exam_structure_join(exam_questions(s, d), P.eligible_students(exam_questions(s, d), responses(s, d))).groupBy("test_id", "test_size", "member_id").agg(F.count_distinct("question_id").alias("n_questions"), F.sum("question_order").alias("orders")),
+    "exam_env_join": lambda s, d: _sums(exam_env(s, d), ["test_id", "test_size", "question_id"], "human_grade", *X.MODELS),
     "student_exam_totals": totals,
     "completeness_filter": complete,
     "completeness_counts": lambda s, d: E.completeness_counts(totals(s, d)),
@@ -216,8 +230,8 @@ QUERIES = {
     "report_rollup": lambda s, d: rounded(E.report_rollup(metrics(s, d), ("el_tau_b", "el_acc_linear_abs"))),
     "student_scale_export": lambda s, d: rounded(E.student_scale_export(exam_env(s, d), "new_grade_a").select(*_STUDENT, "gold_total", "pred_total", *_SCALE_COLS.split(", "), "rank")),
     "rank_by_total": lambda s, d: E.rank_by_total(complete(s, d)).select(*_STUDENT, "pred_total", "rank"),
-    "grade_abs_n_classes": lambda s, d: E.granularity_labels(complete(s, d)).where("scale = 'absolute'"),
-    "grade_dist_n_classes": lambda s, d: E.granularity_labels(complete(s, d)).where("scale = 'distribution'"),
+    "grade_abs_n_classes": lambda s, d: E.granularity_labels(cells(s, d)).where("scale = 'absolute'"),
+    "grade_dist_n_classes": lambda s, d: E.granularity_labels(cells(s, d)).where("scale = 'distribution'"),
     "granularity_sweep": lambda s, d: rounded(sweep(s, d)),
     "granularity_summary": lambda s, d: rounded(E.granularity_summary(sweep(s, d))),
     "scale_split_self_join": lambda s, d: rounded(E.scale_split_self_join(E.granularity_summary(sweep(s, d)))),
@@ -233,8 +247,8 @@ ORACLES = {
     "question_order_in_exam": f"WITH {SAMPLE_SQL} SELECT * FROM exam",
     "question_pool_check": f"WITH {X.cte('responses')} SELECT count(DISTINCT question_id) AS n_questions, true AS enough FROM responses",
     "eligible_students": f"WITH {SAMPLE_SQL} SELECT * FROM students",
-    "exam_structure_join": f"WITH {SAMPLE_SQL} SELECT * FROM exam JOIN students USING (test_id, test_size)",
-    "exam_env_join": f"WITH {ENV_SQL} SELECT test_id, test_size, member_id, question_id, answer_id, human_grade, {', '.join(X.MODELS)} FROM env",
+    "exam_structure_join": f"WITH {SAMPLE_SQL} SELECT test_id, test_size, member_id, count(DISTINCT question_id) AS n_questions, CAST(sum(question_order) AS BIGINT) AS orders FROM exam JOIN students USING (test_id, test_size) GROUP BY test_id, test_size, member_id",
+    "exam_env_join": f"WITH {ENV_SQL} SELECT {_sums_sql(['test_id', 'test_size', 'question_id'], 'human_grade', *X.MODELS)}",
     "student_exam_totals": f"WITH {TOTALS_SQL} SELECT {_TOTAL_COLS} FROM totals",
     "completeness_filter": f"WITH {TOTALS_SQL} SELECT {_TOTAL_COLS} FROM complete",
     "completeness_counts": f"WITH {METRICS_SQL} SELECT * FROM counts",
@@ -257,8 +271,8 @@ ORACLES = {
     "report_rollup": f"WITH {METRICS_SQL} {' UNION ALL '.join([_level('model_col, test_size', 2), _level('model_col', 3), _level('model_col, test_id, test_size', 0), _level('model_col, test_id', 1)])}",
     "student_scale_export": f"WITH {SCALED_SQL} SELECT {', '.join(_STUDENT)}, gold_total, pred_total, {_SCALE_COLS}, row_number() OVER ({_EXAM} ORDER BY pred_total DESC, member_id) AS rank FROM scaled WHERE model_col = 'new_grade_a'",
     "rank_by_total": f"WITH {TOTALS_SQL} SELECT {', '.join(_STUDENT)}, pred_total, row_number() OVER ({_EXAM} ORDER BY pred_total DESC, member_id) AS rank FROM complete",
-    "grade_abs_n_classes": f"WITH {SWEEP_SQL} SELECT * FROM gl WHERE scale = 'absolute'",
-    "grade_dist_n_classes": f"WITH {SWEEP_SQL} SELECT * FROM gl WHERE scale = 'distribution'",
+    "grade_abs_n_classes": f"WITH {SWEEP_SQL} SELECT model_col, test_id, test_size, n_classes, scale, y, p, count(*) AS n FROM gl WHERE scale = 'absolute' GROUP BY ALL",
+    "grade_dist_n_classes": f"WITH {SWEEP_SQL} SELECT model_col, test_id, test_size, n_classes, scale, y, p, count(*) AS n FROM gl WHERE scale = 'distribution' GROUP BY ALL",
     "granularity_sweep": f"WITH {SWEEP_SQL} SELECT model_col, test_id, test_size, scale, n_classes, n, {r('accuracy', 'accuracy')}, {r('qwk', 'qwk')}, {r('tau_b', 'tau_b')} FROM sweep",
     "granularity_summary": f"WITH {SWEEP_SQL} SELECT model_col, scale, n_classes, n_exams, {', '.join(f'''{r(c + '_mean', c + '_mean')}, {r(c + '_std', c + '_std')}, {c}_missing''' for c in ('accuracy', 'qwk', 'tau_b'))}, model_order FROM gsum LEFT JOIN gord USING (model_col, scale)",
     "scale_split_self_join": f"WITH {SWEEP_SQL} SELECT a.model_col, {r('a.qwk_mean', 'qwk_absolute')}, {r('a.accuracy_mean', 'accuracy_absolute')}, {r('b.qwk_mean', 'qwk_distribution')}, {r('b.accuracy_mean', 'accuracy_distribution')} FROM gsum a JOIN gsum b USING (model_col) WHERE a.n_classes = 6 AND b.n_classes = 6 AND a.scale = 'absolute' AND b.scale = 'distribution'",

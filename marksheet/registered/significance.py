@@ -10,7 +10,7 @@ from ..plans import lineage as L
 from .common import kappa_cte, r, rounded
 from .exam import MODELS, SCALED_SQL, exam_env, responses
 
-SIZE, N = 10, 100
+SIZE, N = 10, X.PERMUTATIONS
 
 
 def labels(s, d):
@@ -56,9 +56,8 @@ def _tfidf_base(s, d):
 
 
 def _vector_stats(df, column):
-    from pyspark.ml.functions import vector_to_array
-
-    return rounded(df.select("answer_id", F.size(F.filter(vector_to_array(column), lambda x: x > 0)).alias("n_terms"), F.aggregate(vector_to_array(column), F.lit(0.0), lambda a, x: a + x * x).alias("squared_length")))
+    values = F.unwrap_udt(column)["values"]
+    return rounded(df.select("answer_id", F.size(values).alias("n_terms"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x).alias("squared_length"), F.array_max(values).alias("largest")))
 
 
 LABELS_SQL = f"""{SCALED_SQL}, labels AS (SELECT model_col, test_id, test_size, member_id, gold_total, pred_total, gold_norm, pred_norm, gold_linear_abs, pred_linear_abs, gold_bologna, pred_bologna, gold_linear_abs = pred_linear_abs AS correct_linear_abs, gold_bologna = pred_bologna AS correct_bologna FROM scaled WHERE test_size = {SIZE})"""
@@ -69,7 +68,8 @@ RANK_SQL = f"""{LABELS_SQL}, rp AS (SELECT model_col, test_id, 'linear_abs' AS s
     ranking AS (SELECT *, row_number() OVER (ORDER BY round(el_acc_linear_abs, 12) DESC NULLS LAST, round(el_qwk_linear_abs, 12) DESC NULLS LAST, round(el_qwk_bologna, 12) DESC NULLS LAST, round(el_acc_bologna, 12) DESC NULLS LAST, model_col) AS position FROM (
         SELECT model_col, (SELECT count(*) FROM labels l WHERE l.model_col = rk.model_col) AS n_exam_student_rows, {', '.join(f"avg(CASE WHEN scale = '{s}' THEN {c} END) AS el_{m}_{s}" for s in ('linear_abs', 'bologna') for m, c in (('acc', 'accuracy'), ('qwk', 'qwk')))} FROM rk GROUP BY model_col)),
     best AS ({' UNION ALL '.join(f"SELECT '{m}' AS selection_metric, (SELECT model_col FROM ranking ORDER BY round({m}, 12) DESC NULLS LAST, round(el_acc_linear_abs, 12) DESC NULLS LAST, round(el_qwk_linear_abs, 12) DESC NULLS LAST, round(el_acc_bologna, 12) DESC NULLS LAST, round(el_qwk_bologna, 12) DESC NULLS LAST, model_col LIMIT 1) AS best_model_col, (SELECT max({m}) FROM ranking) AS best_value" for m in T.RANKING)})"""
-_KAPPA = lambda x: f"CASE WHEN min(g) = max(g) AND min({x}) = max({x}) THEN CASE WHEN min(g) = min({x}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1 - count(*) * sum((g - {x}) * (g - {x})) / nullif(count(*) * sum(g * g) + count(*) * sum({x} * {x}) - 2 * sum(g) * sum({x}), 0) END"
+_MIXED = lambda parts: f"CAST(concat('0x', substr(md5(concat('{X.SEED}|', {parts})), 1, 12)) AS BIGINT) % {T._PRIME}"
+_MOVED = lambda off, sq, sm: f"CASE WHEN m * (sgg + {sq}) - 2 * sg * ({sm}) = 0 THEN CASE WHEN {off} = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1 - m * ({off}) / nullif(m * (sgg + {sq}) - 2 * sg * ({sm}), 0) END"
 _CODE = lambda c: f"CAST(round_even(({c} - 1) / 0.5, 0) AS DOUBLE)"
 
 QUERIES = {
@@ -80,7 +80,7 @@ QUERIES = {
     "mcnemar_exact_p": mcnemar_exact_p,
     "mcnemar_all_pairs": lambda s, d: rounded(T.mcnemar_all_pairs(labels(s, d)).select("scale", "a", "b", "discordant", "p")),
     "permutation_test_qwk": permutation,
-    "permutation_all_pairs": lambda s, d: rounded(T.permutation_all_pairs(labels(s, d), 500, X.SEED)),
+    "permutation_all_pairs": lambda s, d: rounded(T.permutation_all_pairs(labels(s, d), N, X.SEED)),
     "sanity_checks": lambda s, d: T.sanity_checks(labels(s, d), MODELS, SIZE),
     "rich_text_column_job": lambda s, d: R.rich_text_column_job(rich_documents(s, d), "document", "plain").select("conv_id", "plain"),
     "rich_question_column_job": lambda s, d: R.rich_question_column_job(rich_questions(s, d), "document").select("id", "question", "rubric", "examples"),
@@ -88,7 +88,7 @@ QUERIES = {
     "tfidf_word_features": lambda s, d: _vector_stats(B.tfidf_word_features(_tfidf_base(s, d), "answer"), "features"),
     "tfidf_char_features": lambda s, d: _vector_stats(B.tfidf_char_features(_tfidf_base(s, d), "answer"), "features"),
     "tfidf_ridge_predict": lambda s, d: B.tfidf_ridge_predict(B.tfidf_word_features(_tfidf_base(s, d), "answer"), "features").select("answer_id", "split", "prediction"),
-    "tfidf_variants": lambda s, d: B.tfidf_variants(_tfidf_base(s, d)).select("answer_id", "split", *(f"pred_tfidf_{v}" for v in B.VARIANTS)),
+    "tfidf_variants": lambda s, d: B.tfidf_variants(_tfidf_base(s, d)).select("answer_id", "split", *(f"pred_tfidf_{v}" for v in B.RECIPES)),
 }
 
 ORACLES = {
@@ -98,10 +98,14 @@ ORACLES = {
     "mcnemar_counts": f"WITH {LABELS_SQL} {_COUNTS('correct_linear_abs')} WHERE a.model_col = 'new_grade_a' AND b.model_col <> 'new_grade_a' GROUP BY 1, 2",
     "mcnemar_exact_p": f"WITH {LABELS_SQL}, c AS ({_COUNTS('correct_linear_abs')} WHERE a.model_col = 'new_grade_a' AND b.model_col <> 'new_grade_a' GROUP BY 1, 2) SELECT a, b, discordant, {r(_P, 'p')} FROM c",
     "mcnemar_all_pairs": f"WITH {RANK_SQL}, c AS ({' UNION ALL '.join(f'''SELECT '{s}' AS scale, * FROM ({_COUNTS('correct_' + s)} WHERE a.model_col = (SELECT best_model_col FROM best WHERE selection_metric = 'el_acc_{s}') AND b.model_col <> a.model_col GROUP BY 1, 2)''' for s in ('linear_abs', 'bologna'))}) SELECT scale, a, b, discordant, {r(_P, 'p')} FROM c",
-    "permutation_test_qwk": f"""WITH {LABELS_SQL}, pr AS (SELECT test_id, test_size, member_id, {_CODE('a.gold_linear_abs')} AS g, {_CODE('a.pred_linear_abs')} AS pa, {_CODE('b.pred_linear_abs')} AS pb FROM labels a JOIN labels b USING (test_id, test_size, member_id) WHERE a.model_col = 'new_grade_a' AND b.model_col = 'pred_tfidf_d' AND a.gold_linear_abs = b.gold_linear_abs),
-        dr AS (SELECT *, perm > 0 AND substr(md5(concat('{X.SEED}|', perm, '|', test_id, '|', test_size, '|', member_id)), 1, 1) < '8' AS sw FROM pr, range({N + 1}) t(perm)),
-        ex AS (SELECT perm, test_id, {_KAPPA('x')} - {_KAPPA('y')} AS dd FROM (SELECT perm, test_id, g, CASE WHEN sw THEN pb ELSE pa END AS x, CASE WHEN sw THEN pa ELSE pb END AS y FROM dr) GROUP BY perm, test_id),
-        me AS (SELECT perm, avg(dd) AS dd FROM ex GROUP BY perm), ob AS (SELECT dd AS o FROM me WHERE perm = 0)
+    "permutation_test_qwk": f"""WITH {LABELS_SQL}, pr AS (SELECT test_id, test_size, CAST({_CODE('a.gold_linear_abs')} AS BIGINT) AS g, CAST({_CODE('a.pred_linear_abs')} AS BIGINT) AS x, CAST({_CODE('b.pred_linear_abs')} AS BIGINT) AS y FROM labels a JOIN labels b USING (test_id, test_size, member_id) WHERE a.model_col = 'new_grade_a' AND b.model_col = 'pred_tfidf_d' AND a.gold_linear_abs = b.gold_linear_abs),
+        ce AS (SELECT test_id, test_size, g, x, y, count(*) AS n FROM pr GROUP BY ALL),
+        ch AS (SELECT *, {_MIXED("test_id, '|', test_size, '|', g, '|', x, '|', y, '|', chunk")} + 1 AS h, {_MIXED("test_id, '|', test_size, '|', g, '|', x, '|', y, '|', chunk, '|k'")} AS k, (1::BIGINT << CAST(least(n - chunk * {T._CHUNK}, {T._CHUNK}) AS INT)) - 1 AS mask FROM (SELECT *, unnest(range(0, (n - 1) // {T._CHUNK} + 1)) AS chunk FROM ce WHERE x <> y)),
+        pe AS (SELECT perm, {_MIXED("perm")} + 1 AS hp FROM range(1, {N + 1}) t(perm)),
+        mo AS (SELECT perm, test_id, sum(sw * ((g - y) * (g - y) - (g - x) * (g - x))) AS da, sum(sw * (y * y - x * x)) AS ds, sum(sw * (y - x)) AS dt FROM (SELECT perm, test_id, g, x, y, CAST(bit_count(((h * hp + k) % {T._PRIME}) & mask) AS BIGINT) AS sw FROM ch, pe) GROUP BY perm, test_id),
+        su AS (SELECT test_id, CAST(sum(n) AS DOUBLE) AS m, sum(n * g) AS sg, sum(n * g * g) AS sgg, sum(n * x) AS sx, sum(n * x * x) AS sxx, sum(n * (g - x) * (g - x)) AS ax, sum(n * y) AS sy, sum(n * y * y) AS syy, sum(n * (g - y) * (g - y)) AS ay FROM ce GROUP BY test_id),
+        gr AS (SELECT perm, su.*, coalesce(da, 0) AS da, coalesce(ds, 0) AS ds, coalesce(dt, 0) AS dt FROM su CROSS JOIN (SELECT perm FROM pe UNION ALL SELECT 0) q LEFT JOIN mo USING (perm, test_id)),
+        me AS (SELECT perm, avg({_MOVED('ax + da', 'sxx + ds', 'sx + dt')} - {_MOVED('ay - da', 'syy - ds', 'sy - dt')}) AS dd FROM gr GROUP BY perm), ob AS (SELECT dd AS o FROM me WHERE perm = 0)
         SELECT {r('o', 'observed')}, count(*) FILTER (abs(dd) >= abs(o) - 1e-12) AS extreme, count(*) AS n_permutations, {r('(count(*) FILTER (abs(dd) >= abs(o) - 1e-12) + 1) / CAST(count(*) + 1 AS DOUBLE)', 'p')} FROM me, ob WHERE perm > 0 GROUP BY o""",
     "sanity_checks": f"""WITH {LABELS_SQL}, base AS (SELECT test_id, member_id FROM labels WHERE model_col = (SELECT min(model_col) FROM labels)),
         zero AS (SELECT unnest(['labels_not_null', 'single_test_size', 'totals_in_range', 'gold_norm_matches', 'pred_norm_matches', 'linear_in_range', 'linear_on_step', 'bologna_ordinals', 'correct_linear_flag', 'correct_bologna_flag', 'fail_below_pass_mark', 'rows_unique', 'expected_models']) AS name),

@@ -32,7 +32,8 @@ def sink_parquet(df: DataFrame, path: str) -> DataFrame:
 
 
 def sink_partitioned_by_size(df: DataFrame, path: str) -> None:
-    df.repartition("test_size").write.partitionBy("test_size").parquet(path)
+    """One folder a size; exams are spread over the tasks, so few sizes do not mean few writers."""
+    df.repartition("test_size", "test_id").write.partitionBy("test_size").parquet(path)
 
 
 def scan_exam_partitions(spark: SparkSession, path: str, sizes: Sequence[int] | None = None) -> DataFrame:

@@ -52,8 +52,14 @@ def labels_by_loop(points, size):
 def test_distribution_labels(spark, points):
     df = spark.createDataFrame([(i, float(p) / 10) for i, p in enumerate(points)], "i int, norm double")
     w = Window.partitionBy()
-    got = df.withColumn("l", S.grade_distribution_label(F.col("norm"), F.lit(10.0), w, w.orderBy(F.desc("norm")))).orderBy("i").collect()
+    rank, passed = F.rank().over(w.orderBy(F.desc("norm"))), F.sum(S.points_passed(F.col("norm"), F.lit(10.0)).cast("int")).over(w)
+    got = df.withColumn("l", S.grade_distribution_label(F.col("norm"), F.lit(10.0), rank, passed)).orderBy("i").collect()
     assert [r["l"] for r in got] == labels_by_loop(points, 10)
+    # The same from counts of totals, with several students to a total.
+    students = spark.createDataFrame([("m", "t", 10, f"s{i}", float(p), float(p)) for i, p in enumerate(points)], "model_col string, test_id string, test_size int, member_id string, gold_total double, pred_total double")
+    scaled = {r["member_id"]: r for r in E.student_scales(students).collect()}
+    assert [scaled[f"s{i}"]["gold_bologna_label"] for i in range(len(points))] == labels_by_loop(points, 10)
+    assert sorted(r["rank"] for r in E.rank_by_total(students).collect()) == list(range(1, len(points) + 1))
 
 
 def matrix_kappa(y, p):
@@ -94,7 +100,7 @@ def test_kappa_and_tau(spark):
 
 def test_mean_centred(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 0.0), ("b", 4.0), ("b", 4.0), ("c", 1.0), ("c", 3.0)], "e string, t double")
-    got = df.withColumn("g", S.grade_linear_mean_centered(F.col("t"), F.lit(4.0), Window.partitionBy("e"))).orderBy("e", "t").collect()
+    got = df.withColumn("g", S.grade_linear_mean_centered(F.col("t"), F.lit(4.0), F.avg("t").over(Window.partitionBy("e")))).orderBy("e", "t").collect()
     assert [r["g"] for r in got] == [1.0, 1.0, 3.5, 3.5, 2.0, 5.0]
 
 
@@ -175,3 +181,128 @@ def test_ridge_equals_closed_form(spark):
     raw = np.clip((x[40:] - x[:40].mean(0)) @ w + y[:40].mean(), 0, 1)
     got = [r["prediction"] for r in tfidf_ridge_predict(df, "f").where("split = 'test'").orderBy("i").collect()]
     assert got == list(np.ceil(raw * 4 - 0.5) / 4)
+    # More features than rows, sparse.
+    wide = np.where(rng.random((60, 5000)) < 0.01, rng.random((60, 5000)), 0.0)
+    df = spark.createDataFrame([(i, "train" if i < 40 else "test", Vectors.sparse(5000, np.flatnonzero(v).tolist(), v[v > 0].tolist()), float(g)) for i, (v, g) in enumerate(zip(wide, y, strict=True))], ["i", "split", "f", "grade"])
+    a = wide[:40] - wide[:40].mean(0)
+    w = a.T @ np.linalg.solve(a @ a.T + np.eye(40), b)
+    got = [r["raw"] for r in tfidf_ridge_predict(df, "f", raw="raw").where("split = 'test'").orderBy("i").collect()]
+    assert got == pytest.approx(list((wide[40:] - wide[:40].mean(0)) @ w + y[:40].mean()), abs=1e-6)
+
+
+def brute_tfidf(texts, train, tokens_of, min_df, size):
+    """Weights of each text by plain Python."""
+    from collections import Counter
+    from math import log, sqrt
+
+    counts = [Counter(tokens_of(t)) for t in texts]
+    seen, total = Counter(), Counter()
+    for c, is_train in zip(counts, train, strict=True):
+        if is_train:
+            seen.update(c.keys())
+            total.update(c)
+    kept = {t for t in seen if seen[t] >= min_df}
+    assert len(kept) <= size  # no tie at the cut
+    n, out = sum(train), []
+    for c in counts:
+        w = {t: (1 + log(k)) * (log((1 + n) / (1 + seen[t])) + 1) for t, k in c.items() if t in kept}
+        norm = sqrt(sum(x * x for x in w.values())) or 1.0
+        out.append(sorted(x / norm for x in w.values()))
+    return out, len(kept)
+
+
+def char_grams(text):
+    for w in text.split():
+        w = f" {w} "
+        for n in (3, 4, 5):
+            if len(w) < n:
+                if n == 3:
+                    yield w
+                break
+            yield from (w[i : i + n] for i in range(len(w) - n + 1))
+
+
+def test_tfidf_by_brute_force(spark):
+    """Vocabularies of more than 500 terms, words and characters, against plain Python."""
+    import re
+
+    from marksheet.operators import baselines as B
+
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(700)]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(300)] + ["", "x", "ab ab ab"]
+    train = [i % 3 > 0 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, "train" if t else "test", x, 0.5) for i, (x, t) in enumerate(zip(texts, train, strict=True))], "i int, split string, text string, grade double")
+
+    def word_grams(text):
+        one = re.findall(r"\b\w\w+\b", text.lower())
+        return one + [f"{a} {b}" for a, b in zip(one, one[1:], strict=False)]
+
+    for made, tokens in ((B.tfidf_word_features(df, "text"), word_grams), (B.tfidf_char_features(df, "text"), char_grams)):
+        want, terms = brute_tfidf(texts, train, tokens, 2, 50_000)
+        assert terms > 500
+        for r in made.select("i", "features").collect():
+            assert sorted(r["features"].values.tolist()) == pytest.approx(want[r["i"]]), texts[r["i"]]
+
+
+def test_tfidf_variants_by_brute_force(spark):
+    """Each recipe's prediction is the snapped ridge estimate on its own features."""
+    from marksheet.operators import baselines as B
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(90):
+        good = int(rng.integers(0, 5))
+        rows.append((i, "train" if i < 60 else "test", f"question {i % 4} about rules", " ".join(["right"] * good + ["wrong"] * (4 - good) + rng.choice(["alpha", "beta", "gamma", "delta"], 3).tolist()), good / 4))
+    df = spark.createDataFrame(rows, "i int, split string, question string, answer string, grade double")
+    out = {r["i"]: r for r in B.tfidf_variants(df).collect()}
+    for name in B.RECIPES:
+        c = f"pred_tfidf_{name}"
+        assert all(out[i][c] is None for i in range(60)) and all(out[i][c] in (0.0, 0.25, 0.5, 0.75, 1.0) for i in range(60, 90))
+        assert np.mean([abs(out[i][c] - rows[i][4]) for i in range(60, 90)]) < 0.15, name
+    one = B.tfidf_word_features(df, "answer", "f", 1, 2, 30_000)
+    x = np.array([r["f"].toArray() for r in one.orderBy("i").collect()])
+    y = np.array([r[4] for r in rows])
+    a = x[:60] - x[:60].mean(0)
+    w = np.linalg.solve(a.T @ a + np.eye(x.shape[1]), a.T @ (y[:60] - y[:60].mean()))
+    raw = np.clip((x[60:] - x[:60].mean(0)) @ w + y[:60].mean(), 0, 1)
+    clear = [i for i in range(30) if abs((raw[i] * 4 - 0.5) % 1) > 1e-3]
+    assert len(clear) > 25 and all(out[60 + i]["pred_tfidf_v1_answer_word_unigram"] == np.ceil(raw[i] * 4 - 0.5) / 4 for i in clear)
+
+
+def exact_permutation_p(exams):
+    """Both orders of every student, all of them: observed difference and the exact p."""
+    def kappa(g, p):
+        n = len(g)
+        apart, spread = n * ((g - p) ** 2).sum(), n * (g * g).sum() + n * (p * p).sum() - 2 * g.sum() * p.sum()
+        return (1.0 if apart == 0 else 0.0) if spread == 0 else 1 - apart / spread
+
+    def d(swaps):
+        at, total = 0, []
+        for g, x, y in exams:
+            s = np.array(swaps[at : at + len(g)])
+            at += len(g)
+            total.append(kappa(g, np.where(s, y, x)) - kappa(g, np.where(s, x, y)))
+        return np.mean(total)
+
+    n = sum(len(g) for g, _, _ in exams)
+    seen = d([False] * n)
+    return seen, np.mean([abs(d(s)) >= abs(seen) - 1e-12 for s in itertools.product((False, True), repeat=n)])
+
+
+def test_permutations_equal_exact_enumeration(spark):
+    rng = np.random.default_rng(3)
+    rows, exams = [], []
+    for e, n in enumerate((5, 4, 3)):
+        g, x = rng.integers(0, 6, n), rng.integers(0, 6, n)
+        y = np.clip(g + rng.integers(-1, 2, n), 0, 5)
+        exams.append((g.astype(float), x.astype(float), y.astype(float)))
+        for i in range(n):
+            for m, p in (("new_a", x), ("new_b", y)):
+                rows.append((m, f"test_{e}", 10, f"m{i}", 1 + g[i] / 2, 1 + p[i] / 2, int(g[i]), int(p[i])))
+    labels = spark.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rows], "model_col string, test_id string, test_size int, member_id string, gold_linear_abs double, pred_linear_abs double, gold_bologna int, pred_bologna int")
+    seen, p = exact_permutation_p(exams)
+    one = T.permutation_test_qwk(labels, "new_a", "new_b", 4000, 1).first()
+    assert one["observed"] == pytest.approx(seen) and one["n_permutations"] == 4000 and one["p"] == pytest.approx(p, abs=0.03)
+    for r in T.permutation_all_pairs(labels, 4000, 1, per_block=1500).collect():
+        assert abs(r["observed"]) == pytest.approx(abs(seen)) and r["n_permutations"] == 4000 and r["p"] == pytest.approx(p, abs=0.03)
