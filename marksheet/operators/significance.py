@@ -166,17 +166,19 @@ def permutation_test_qwk(labels: DataFrame, a: str, b: str, n: int, seed: int, s
     chunks = cells.where("x != y").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _CHUNK))))
     chunks = chunks.withColumn("_bits", F.least(F.col("n") - F.col("_chunk") * _CHUNK, F.lit(_CHUNK))).withColumn("_mask", F.expr("shiftleft(1L, cast(_bits as int)) - 1"))
     named = [s, *EXAM, "g", "x", "y", "_chunk"]
-    chunks = chunks.withColumns({"_h": mixed(*named) + 1, "_k": mixed(*named, F.lit("k"))}).select("a", "b", *EXAM, "d_apart", "d_square", "d_sum", "_mask", "_h", "_k").repartition(*EXAM)
+    # Exams by a number while they are crossed with the permutations: it is hashed for every pair.
+    exam = F.xxhash64(*EXAM).alias("_exam")
+    chunks = chunks.withColumns({"_h": mixed(*named) + 1, "_k": mixed(*named, F.lit("k"))}).select(exam, "d_apart", "d_square", "d_sum", "_mask", "_h", "_k").repartition("_exam")
     # A fixed table of n rows, whatever the data: the permutations.
     perms = spark.range(1, n + 1).select(F.col("id").alias("perm"), (mixed(s, F.col("id")) + 1).alias("_p"))
     drawn = chunks.crossJoin(F.broadcast(perms)).withColumn("_swaps", F.bit_count(((F.col("_h") * F.col("_p") + F.col("_k")) % _PRIME).bitwiseAND(F.col("_mask"))).cast("long"))
-    moved = drawn.groupBy("perm", *EXAM).agg(*(F.sum(F.col("_swaps") * F.col(c)).alias(c) for c in ("d_apart", "d_square", "d_sum")))
+    moved = drawn.groupBy("perm", "_exam").agg(*(F.sum(F.col("_swaps") * F.col(c)).alias(c) for c in ("d_apart", "d_square", "d_sum")))
     # All of this stays dealt by exam: the sums of an exam join its permutations where they are.
-    sums = exam_sums(cells)
-    drawn = moved.join(sums, EXAM).select("perm", kappa_difference(F.col("d_apart"), F.col("d_square"), F.col("d_sum")).alias("d"))
+    sums = exam_sums(cells).withColumn("_exam", exam)
+    drawn = moved.join(sums, "_exam").select("perm", kappa_difference(F.col("d_apart"), F.col("d_square"), F.col("d_sum")).alias("d"))
     # Exams without a student to swap add the same to every permutation.
     zero = F.lit(0).cast("long")
-    still = sums.join(chunks.select(*EXAM).distinct(), EXAM, "left_anti").agg(F.coalesce(F.sum(kappa_difference(zero, zero, zero)), F.lit(0.0)).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    still = sums.join(chunks.select("_exam").distinct(), "_exam", "left_anti").agg(F.coalesce(F.sum(kappa_difference(zero, zero, zero)), F.lit(0.0)).alias("_d"), F.count(F.lit(1)).alias("_n"))
     means = perms.select("perm").join(drawn.groupBy("perm").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n")), "perm", "left").crossJoin(F.broadcast(still))
     means = means.select("perm", ((F.coalesce("d", F.lit(0.0)) + F.col("_d")) / (F.coalesce("n", F.lit(0)) + F.col("_n"))).alias("d"))
     return p_values(means.crossJoin(F.broadcast(observed_difference(sums))))
