@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import SPACES, saved, slices
+from .common import SPACES, discard, saved, slices
 
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -229,10 +229,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        now = saved(small, "links")
+        last, now = now, saved(small, "links")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("class"))
+            classes = saved(now.select(F.col("a").alias("node"), F.col("b").alias("class")), "classes-of-nodes")
+            discard(now)
+            return classes
         before = state
 
 
@@ -259,7 +262,15 @@ def _confirmed(likely: DataFrame, bag: DataFrame, threshold: float, name: str) -
     return saved(both.where(shared >= threshold * (F.size("bag_a") + F.size("bag_b") - shared)).select("a", "b"), f"{name}-links")
 
 
-def _prefix_pairs(bag: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _prefixes(bag: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The first elements, rarest first, of each bag that has a partner at ``threshold`` by them alone."""
+    elements = bag.select("node", F.size("bag").cast("double").alias("n"), F.explode("bag").alias("element"))
+    counts = elements.groupBy("element").agg(F.count("*").alias("_df"))
+    placed = elements.join(counts, "element").withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("_df", "element")))
+    return saved(placed.where((F.col("_df") > 1) & (F.col("pos") <= F.col("n") * (1 - threshold) + 1 + 1e-6)).join(classes, "node").select("element", "node", "class", "n", "pos"), "prefixes")
+
+
+def _prefix_pairs(early: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of nodes in different classes that may reach ``threshold``, by prefix filtering.
 
     With all elements in one order, rarest first, two bags that overlap enough share an element
@@ -270,10 +281,6 @@ def _prefix_pairs(bag: DataFrame, classes: DataFrame, threshold: float) -> DataF
     """
     share = threshold / (1 + threshold)
     size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(1.02))).cast("int")
-    elements = bag.select("node", F.size("bag").cast("double").alias("n"), F.explode("bag").alias("element"))
-    counts = elements.groupBy("element").agg(F.count("*").alias("_df"))
-    placed = elements.join(counts, "element").withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("_df", "element")))
-    early = saved(placed.where((F.col("_df") > 1) & (F.col("pos") <= F.col("n") * (1 - threshold) + 1 + 1e-6)).join(classes, "node").select("element", "node", "class", "n", "pos"), "prefixes")
     short = early.where(F.col("pos") <= F.col("n") * (1 - 2 * share) + 1 + 1e-6).select("element", size_class(F.col("n")).alias("k"), F.struct("node", "class", "n", "pos").alias("x"))
     least = F.greatest(F.exp(F.col("k") * F.log(F.lit(1.02))), threshold * F.col("n"))
     long = early.withColumn("k", F.explode(F.sequence(size_class(F.greatest(threshold * F.col("n") - 1e-6, F.lit(1.0))), size_class(F.col("n")))))
@@ -300,9 +307,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, ro
     nodes = saved(sketches.where("node is not null").groupBy("node").agg(F.max("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").count().where("count > 1")
-    members = saved(spread.join(shared, "key"), "members")
-    weight = members.groupBy("node").agg(F.sum("count").alias("_weight"))
-    members = saved(members.join(weight, "node").select("key", "node", "_weight"), "weighted")
+    counted = saved(spread.join(shared, "key"), "members")
+    weight = counted.groupBy("node").agg(F.sum("count").alias("_weight"))
+    members = saved(counted.join(weight, "node").select("key", "node", "_weight"), "weighted")
+    discard(counted)
 
     def against_pivot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(key, node, pivot) without the pivot's own row; distinct pairs."""
@@ -313,7 +321,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, ro
     rest, pairs = against_pivot(members)
     first_pairs = saved(pairs, "pairs")
     likely = saved(_likely(first_pairs, nodes, threshold), "pivot-likely")
-    links = _confirmed(likely, _bags_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, width, "pivot"), threshold, "pivot")
+    likely_bags = _bags_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, width, "pivot")
+    links = _confirmed(likely, likely_bags, threshold, "pivot")
+    discard(likely, likely_bags)
     classes = components(links)
 
     # Buckets that the pivot leaves in more than one class: the pivot is done, the others go on.
@@ -322,16 +332,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, ro
     open_rows = rest.select("key", "node").join(split, "key", "left_semi").select("node").distinct()
     open_rows = saved(open_rows.join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "open")
     open_bags = _bags_of(open_rows.select("node"), nodes, source, width, "open")
-    more = _prefix_pairs(open_bags, open_rows, threshold).join(first_pairs, ["a", "b"], "left_anti")
-    links = links.union(_confirmed(saved(more, "more-pairs"), open_bags, threshold, "rest"))
-    classes = components(links)
-
-    of_doc = sketches.select("doc_id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    of_doc = saved(of_doc, "of-doc")
-    sizes = of_doc.where("class is not null").groupBy("class").agg(F.max("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = of_doc.join(sizes, "class", "left")
-    alone = F.col("class").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    early = _prefixes(open_bags, open_rows, threshold)
+    more = saved(_prefix_pairs(early, threshold).join(first_pairs, ["a", "b"], "left_anti"), "more-pairs")
+    rest_links = _confirmed(more, open_bags, threshold, "rest")
+    discard(classes, members, first_pairs, open_rows, open_bags, early, more)
+    classes = components(links.union(rest_links))
+
+    # Texts without words are a class each; they take no part in the joins.
+    worded = sketches.where("node is not null").select("doc_id", "node")
+    of_doc = saved(worded.join(classes, "node", "left").select("doc_id", F.coalesce("class", "node").alias("class")), "of-doc")
+    discard(classes, links, rest_links, nodes)
+    # Saved, so that the join below is dealt anew and a large class can be split over tasks.
+    sizes = saved(of_doc.groupBy("class").agg(F.max("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    out = of_doc.join(sizes, "class").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    blank = sketches.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return out.union(blank)
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
