@@ -17,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import free_name, saved, slices
+from .common import discard, free_name, saved, slices
 
 # Forms of address by gender, and given names by gender and script.
 TITLES = {
@@ -248,7 +248,7 @@ def assign(found: DataFrame, key: bytes, patience: int = 50) -> DataFrame:
     # Given names of either gender draw on the same lists, so they are checked together.
     family = F.regexp_replace("kind", "^given_.*", "given").alias("_family")
     real = found.select(family, F.col("value").alias("surrogate")).distinct()
-    drawing, settled, idle = found.withColumn("attempt", F.lit(0)), None, 0
+    drawing, drawing_at, settled, idle = found.withColumn("attempt", F.lit(0)), None, None, 0
     while True:
         drawn = saved(drawing.mapInArrow(run, schema), "surrogates-drawn")
         first = drawn.groupBy(family, "surrogate").agg(F.min(F.struct("kind", "value", "attempt")).alias("_e")).join(real, ["_family", "surrogate"], "left_anti")
@@ -256,8 +256,12 @@ def assign(found: DataFrame, key: bytes, patience: int = 50) -> DataFrame:
             first = first.join(settled.select(family, "surrogate"), ["_family", "surrogate"], "left_anti")
         won = saved(first.select("_e.*", "surrogate"), "surrogates")
         settled = won if settled is None else settled.union(won)
-        drawing = drawn.join(won, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        if drawing_at is not None:
+            discard(drawing_at)
+        drawing = drawing_at = saved(drawn.join(won, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "surrogates-drawing")
+        discard(drawn)
         if not drawing.head(1):
+            discard(drawing_at)
             return settled
         idle = 0 if won.head(1) else idle + 1
         if idle == patience:
