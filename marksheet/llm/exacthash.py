@@ -14,7 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, discard, saved
 
 KEY_BITS = 64
 
@@ -45,14 +45,17 @@ def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
         return rows.groupBy(prefix("_key", start).alias("_slot"), prefix("_key", depth).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")).withColumn("local_depth", F.lit(depth))
 
     buckets = now = saved(held(keys, start), "exact-buckets")
-    depth, rows = start, keys
+    depth, rows, used = start, keys, [keys, now]
     while depth < 64 and (full := now.where(F.col("_n") > capacity).select("_slot", "_prefix")).head(1):
         rows = saved(rows.withColumn("_prefix", prefix("_key", depth)).join(full, "_prefix", "left_semi").select("_key"), "exact-split")
         depth += 1
         now = saved(held(rows, depth), "exact-buckets")
+        used += [rows, now]
         buckets = buckets.join(full, ["_slot", "_prefix"], "left_anti").union(now)
     first_key = F.when(F.col("local_depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(_prefix, 64 - local_depth)"))
-    return saved(buckets.select("_slot", "_prefix", "local_depth", first_key.alias("bucket")), "exact-directory"), start
+    slots = saved(buckets.select("_slot", "_prefix", "local_depth", first_key.alias("bucket")), "exact-directory")
+    discard(*used)
+    return slots, start
 
 
 def in_bucket(rows: DataFrame, slots: DataFrame, start: int) -> DataFrame:
@@ -93,6 +96,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     thin, entries, slots, start = index_texts(docs, key, text, capacity, bits)
     found = in_bucket(thin, slots, start).join(entries.where("links = 1").select("bucket", "_key", "chain"), ["bucket", "_key"])
     shared = entries.where("links > 1").select("bucket", "_key", "chain", "text_sha256")
+    chains = None
     if shared.head(1):  # keys that more than one text has: the texts themselves are compared
         rows = in_bucket(_rows(docs, key, text, bits).join(shared.select("_key").distinct(), "_key", "left_semi"), slots, start)
         texts = rows.select("bucket", "_key", F.col("_text").alias("_entry_text"), digest()).distinct()
@@ -101,7 +105,9 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
         names = ["doc_id", "bucket", "_key", "chain", "text_sha256"]
         found = found.select(names).union(walked.select(names))
     found = saved(found.select("doc_id", "bucket", "_key", "chain", "text_sha256"), "exact-found")
-    groups = found.groupBy("bucket", "_key", "chain").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    discard(thin, *([chains] if chains else []))
+    # Saved, so that the join below is dealt anew and a large group can be split over tasks.
+    groups = saved(found.groupBy("bucket", "_key", "chain").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     out = found.join(groups, ["bucket", "_key", "chain"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
