@@ -27,7 +27,7 @@ from .common import crc_mod, saved, slices
 END, RARE, FIRST = 0, 1, 2
 _BLOCK = 1024
 _DOCS = 2000
-_BYTES = 2 << 20
+_BYTES = 4 << 20
 #: A text of more tokens than this is gone through in blocks of as many.
 _TOKENS = 1_000_000
 
@@ -85,7 +85,7 @@ class Lanes:
     def __init__(self, sequences: list[np.ndarray]):
         sizes = np.array([len(s) for s in sequences])
         total = int(sizes.sum())
-        lanes = int(max(1, min(len(sizes), 320, total // max(1, sizes.max()))))
+        lanes = int(max(1, min(len(sizes), 400, total // max(1, sizes.max()))))
         order = np.argsort(-sizes, kind="stable")
         ends, content = np.zeros(lanes, int), [[] for _ in range(lanes)]
         import heapq
