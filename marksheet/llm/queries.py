@@ -79,15 +79,53 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paritysketch import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), delete_one_in=31)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_langid, op3_surrogates, op4_warc, op5_quality_rules, op6_packing, op7_near_duplicates, op8_exact_dedup, op9_licenses, op10_hmm)
+    for f in (op1_bpe, op2_langid, op3_surrogates, op4_warc, op5_quality_rules, op6_packing, op7_near_duplicates, op8_exact_dedup, op9_licenses, op10_hmm, op11_lexical_search, op12_jaccard_join, op13_spelling)
 }
 
 # Normalised text of op8 and what goes with it.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
+    "op11_lexical_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS t FROM documents),
+        it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+        g AS (SELECT count(*) AS nn, CAST(sum(len(t)) AS BIGINT) AS ll FROM d WHERE len(t) > 0),
+        tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM it) GROUP BY r, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term, nn),
+        s AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(t) * nn) // ll)))) AS score
+            FROM it JOIN tf USING (term) JOIN w USING (term) JOIN d USING (r), g GROUP BY item_id, r)
+        SELECT item_id, CAST(n AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score
+        FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s JOIN d USING (r) WHERE score > 0) WHERE n <= 50""",
+    "op12_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.r <> b.r GROUP BY a.r, b.r),
+        l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id FROM d LEFT JOIN n USING (r) JOIN reach ON reach.a = d.r JOIN d e ON e.r = reach.b GROUP BY d.r, d.doc_id""",
     "op8_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
