@@ -132,7 +132,7 @@ def stars(docs: DataFrame, width: int, percent: int, buckets: int, seed: int, te
                 v, n, p = value[rows], node[rows], node[at[rows]]
                 of = ((v >> _U(32)) * _U(buckets)) >> _U(32)  # sorted, as values are
                 starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))[: len(of)]
-                for i, j in zip(starts, np.append(starts[1:], len(of)), strict=True):
+                for i, j in zip(starts, np.append(starts[1:], len(of))[: len(starts)], strict=True):
                     for column, x in zip(out, (int(of[i]), kind, v[i:j].tobytes(), n[i:j].tobytes(), p[i:j].tobytes() if kind else None), strict=True):
                         column.append(x)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])], names=names)
