@@ -15,8 +15,9 @@ of sizes a and b with a Jaccard of t or more differ in at most d = (a + b) (1 -
 
 Sets that are equal are one node. In a block that many nodes share, all are paired with one, the
 pivot: first in each batch of documents, whose pivots alone go on, then among those. Components of the
-confirmed pairs settle most blocks; the nodes of a block that is left with several classes join again,
-by all their blocks and rarest first, and only across classes.
+confirmed pairs settle most blocks. In a block that is left with several classes the other pairs
+across classes follow: all of them where few nodes share it, and where many do, those nodes join again
+by all their blocks, rarest first.
 """
 
 from __future__ import annotations
@@ -246,7 +247,7 @@ def rare_pairs(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text", elements_a_bucket: int = 1 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text", elements_a_bucket: int = 1 << 20, crowd: int = 64) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when the Jaccard of their sets of ``width``-word shingles is ``percent`` / 100 or
@@ -282,12 +283,19 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, key:
     across = labelled.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     ends = edges.withColumn("a", F.greatest("node", "pivot")).withColumn("b", F.least("node", "pivot"))
     open_values = ends.join(across, ["a", "b"], "left_semi").select("value").distinct()
-    open_nodes = edges.join(open_values, "value", "left_semi").select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
-    open_nodes = saved(open_nodes.join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "open")
-    open_sets = sets_of(open_nodes.select("node"), nodes, source, width)
-    more = rare_pairs(open_sets, open_nodes, percent).join(pairs, ["a", "b"], "left_anti")
-    more_links = confirmed(saved(possible(more, nodes, percent), "likely"), open_sets, percent)
-    discard(edges, pairs, open_nodes, open_sets, classes)
+    # A block of two nodes has no other pair.
+    sizes = edges.join(open_values, "value", "left_semi").groupBy("value").agg(F.count("*").alias("_rest")).where("_rest > 1")
+    member = edges.join(sizes, "value").select("value", "_rest", F.explode(F.array("node", "pivot")).alias("node")).distinct()
+    member = saved(member.join(classes, "node", "left").select("value", "node", (F.col("_rest") < crowd).alias("few"), F.coalesce("class", "node").alias("class")), "open")
+    few, crowded = member.where("few"), member.where("NOT few").select("node", "class").distinct()
+    x, y = few.alias("x"), few.alias("y")
+    more = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.class") < F.col("y.class"))).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+    crowded_sets = sets_of(crowded.select("node"), nodes, source, width)
+    more = more.union(rare_pairs(crowded_sets, crowded, percent)).distinct().join(pairs, ["a", "b"], "left_anti")
+    likely = saved(possible(more, nodes, percent), "likely")
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, width)
+    more_links = confirmed(likely, sets, percent)
+    discard(edges, pairs, member, crowded_sets, likely, sets, classes)
     classes = components(links.union(more_links))
 
     named = saved(nodes.join(classes, "node", "left").select("node", "rep", F.coalesce("class", "node").alias("class")), "named")

@@ -143,8 +143,8 @@ def test_components_equal_brute_force(spark, odd):
             docs.append((len(docs), " ".join(base[: len(base) * 4 // 5 + rng.randrange(3)])))
     rng.shuffle(docs)
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    for percent in (80, 60, 95):
-        assert rows_of(jaccard_components(table, percent, elements_a_bucket=2000)) == brute_components(docs, percent), percent
+    for percent, crowd in ((80, 64), (80, 2), (60, 64), (95, 3)):
+        assert rows_of(jaccard_components(table, percent, elements_a_bucket=2000, crowd=crowd)) == brute_components(docs, percent), percent
     assert jaccard_components(table.limit(0)).count() == 0
     with pytest.raises(ValueError):
         jaccard_components(table, 50)
@@ -163,7 +163,8 @@ def test_a_chain_in_one_crowded_block_is_followed(spark):
             words[at % 400] = f"n{i}x{at}"
     docs += [(1000 + i, " ".join([f"w{j}" for j in range(60)] + [f"z{i}x{j}" for j in range(340)])) for i in range(40)]
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    assert rows_of(jaccard_components(table)) == brute_components(docs)
+    for crowd in (64, 4):
+        assert rows_of(jaccard_components(table, crowd=crowd)) == brute_components(docs)
 
 
 @settings(max_examples=200, deadline=None)
