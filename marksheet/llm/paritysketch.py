@@ -5,19 +5,18 @@ block's word is the XOR of what it got. A shingle that two sets share cancels ou
 bits) in which two sketches differ are at most as many as the elements in which the sets differ. Sets
 of sizes a and b with a Jaccard of t or more differ in at most d = (a + b) (1 - t) / (1 + t) elements.
 
-- Pigeonhole: of the blocks that either set fills, at most d differ. In the order of blocks, fewer
-  than d + 1 come before the first one that is filled and equal, so each set puts out its first d + 1
-  filled blocks, d being the largest that a partner can have. A band holds sizes from L to 2L - 1,
-  and sets of up to 1.25 L that may have a smaller partner also go by the layout of the band below.
+- Pigeonhole: of the blocks that either set fills, at most d differ. In any order of block values that
+  holds for all sets, fewer than d + 1 come before the first one that both have, so it is enough to
+  join by the first d + 1 filled blocks of each set, d being the largest that a partner can have. The
+  order is rarest first: a set with more than d blocks that no other set has is joined with nothing. A
+  band holds sizes from L to 2L - 1, and sets of up to 1.25 L that may have a smaller partner also go
+  by the layout of the band below.
 - Bits: a second sketch of 1024 bits (parity of the shingles on each) rules pairs out where the
   Hamming distance is more than d.
 - Pairs that are left are confirmed on the sets themselves.
 
-Sets that are equal are one node. In a block that many nodes share, all are paired with one, the
-pivot: first in each batch of documents, whose pivots alone go on, then among those. Components of the
-confirmed pairs settle most blocks. In a block that is left with several classes the other pairs
-across classes follow: all of them where few nodes share it, and where many do, those nodes join again
-by all their blocks, rarest first.
+Sets that are equal are one node. Nodes that share a block are all paired with one, the pivot, whose
+blocks are the most common; where that leaves several classes, pairs across classes follow.
 """
 
 from __future__ import annotations
@@ -60,7 +59,7 @@ def bands_of(size: int, percent: int) -> list[tuple[int, int]]:
 
 
 def blocks(h: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """Values of the filled blocks of sorted hashes, in the order of blocks.
+    """Values of the filled blocks of sorted hashes; the lowest six bits of a value name the band.
 
     Up to 64 elements (and for thresholds under 75) each element is a block. Beyond, 0.8 L blocks hold
     one to three elements each, far more of them filled than d + 1.
@@ -68,10 +67,12 @@ def blocks(h: np.ndarray, band: int, percent: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         salt = _mix(np.array([band + 1], _U) * _A)
         if (1 << band) < _SINGLE or percent < 75:
-            return _mix(h ^ salt)
-        place = ((h >> _U(32)) * _U((1 << band) * 4 // 5)) >> _U(32)
-        starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        return _mix(np.bitwise_xor.reduceat(_mix(h ^ salt), starts) + _mix(place[starts] * _B + salt))
+            words = _mix(h ^ salt)
+        else:
+            place = ((h >> _U(32)) * _U((1 << band) * 4 // 5)) >> _U(32)
+            starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            words = _mix(np.bitwise_xor.reduceat(_mix(h ^ salt), starts) + _mix(place[starts] * _B + salt))
+        return (words & ~_U(63)) | _U(band)
 
 
 def parity_bits(h: np.ndarray) -> np.ndarray:
@@ -101,46 +102,59 @@ def sketch(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, node long, n long, bits array<long>")
 
 
-def _stars(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted and distinct by (value, node), and for each where the first of its value is."""
+def _runs(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows sorted by (value, node), and where each value begins."""
     order = np.lexsort((node, value))
     value, node = value[order], node[order]
     new = np.concatenate(([True], (value[1:] != value[:-1]) | (node[1:] != node[:-1])))[: len(value)]
     value, node = value[new], node[new]
-    first = np.concatenate(([True], value[1:] != value[:-1]))[: len(value)]
-    return value, node, np.maximum.accumulate(np.where(first, np.arange(len(value)), 0))
+    return value, node, np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))[: len(value)])
 
 
-def stars(docs: DataFrame, width: int, percent: int, buckets: int, seed: int, text: str, most_bytes: int = 32 << 20) -> DataFrame:
-    """(value, node, pivot) for nodes that share a block, one star per batch and one over the pivots.
+def shared_blocks(docs: DataFrame, width: int, percent: int, buckets: int, seed: int, text: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """(kind, value, df, node): the blocks that several nodes have, and per node and band its slack.
 
-    A row without value names a node with too few filled blocks for the pigeonhole.
+    kind 1: ``node`` has the block ``value``, as have about ``df`` nodes (copies of a node in other
+    batches count again; all rows of a value have the same df). kind 2: ``value`` is a band, ``df``
+    the d + 1 of the node less its filled blocks.
+
+    Blocks travel packed, by ranges of values. A batch of documents sends one row entry of each value
+    with its number of nodes, and its other nodes apart, so what is held for a value is one entry for
+    each batch, however many nodes share it.
     """
-    kinds = "bucket int, kind int, value binary, node binary, pivot binary"
-    names = ["bucket", "kind", "value", "node", "pivot"]
+    names = ["bucket", "kind", "value", "node", "number"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
+        slack: list[tuple[int, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nodes = np.repeat(np.array(list(held), np.int64), [sum(map(len, v)) for v in held.values()])
-            value, node, at = _stars(np.concatenate([x for v in held.values() for x in v] or [np.empty(0, _U)]), nodes)
-            held.clear()
-            own = at == np.arange(len(at))
             out: list[list] = [[], [], [], [], []]
-            for kind, rows in ((0, own), (1, ~own)):
-                v, n, p = value[rows], node[rows], node[at[rows]]
+
+            def put(*row) -> None:
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+
+            nodes = np.repeat(np.array(list(held), np.int64), [sum(map(len, v)) for v in held.values()])
+            value, node, first = _runs(np.concatenate([x for v in held.values() for x in v] or [np.empty(0, _U)]), nodes)
+            rest = np.ones(len(value), bool)
+            rest[first] = False
+            number = np.diff(np.append(first, len(value))).astype(np.int32)
+            for kind, v, n, k in ((0, value[first], node[first], number), (1, value[rest], node[rest], None)):
                 of = ((v >> _U(32)) * _U(buckets)) >> _U(32)  # sorted, as values are
-                starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))[: len(of)]
+                starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))[: len(of)])
                 for i, j in zip(starts, np.append(starts[1:], len(of))[: len(starts)], strict=True):
-                    for column, x in zip(out, (int(of[i]), kind, v[i:j].tobytes(), n[i:j].tobytes(), p[i:j].tobytes() if kind else None), strict=True):
-                        column.append(x)
+                    put(int(of[i]), kind, v[i:j].tobytes(), n[i:j].tobytes(), None if k is None else k[i:j].tobytes())
+            if slack:
+                n, band, left = (np.array(x, np.int64) for x in zip(*slack, strict=True))
+                put(int(n[0] % buckets), 2, band.tobytes(), n.tobytes(), left.astype(np.int32).tobytes())
+            held.clear()
+            slack.clear()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])], names=names)
 
         for batch in batches:
             for part in slices(batch, 0, 256):
-                thin = []
                 for h, _ in shingles(part.column(0).to_pylist(), width):
                     if not len(h) or (node := node_of(h)) in held:
                         continue
@@ -149,12 +163,8 @@ def stars(docs: DataFrame, width: int, percent: int, buckets: int, seed: int, te
                             h = np.sort(_mix(h ^ (_U(seed) * _C)))
                     held[node] = []
                     for band, need in bands_of(len(h), percent):
-                        found = blocks(h, band, percent)
-                        if len(found) < need:
-                            thin.append(node)
-                        held[node].append(found[:need])
-                if thin:
-                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([2], pa.int32()), pa.array([None], pa.binary()), pa.array([np.array(thin, np.int64).tobytes()], pa.binary()), pa.array([None], pa.binary())], names=names)
+                        held[node].append(blocks(h, band, percent))
+                        slack.append((node, band, need - len(held[node][-1])))
                 size += part.nbytes
                 if size > most_bytes:
                     yield flush()
@@ -162,33 +172,73 @@ def stars(docs: DataFrame, width: int, percent: int, buckets: int, seed: int, te
         if held:
             yield flush()
 
+    def rows(kind: int, value: np.ndarray, df: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(value), 1 << 18):
+            v, d, n = (x[i : i + (1 << 18)] for x in (value, df, node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(v.view(np.int64)), pa.array(d.astype(np.int64)), pa.array(n)], names=["kind", "value", "df", "node"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = lambda v, n, p: pa.RecordBatch.from_arrays([v, pa.array(n, pa.int64()), p], names=["value", "node", "pivot"])
-        values, nodes = [np.empty(0, _U)], [np.empty(0, np.int64)]
+        # Sorted by kind: all first entries of values, then the other nodes, then slack.
+        values, nodes, numbers = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        known = df = None
         for batch in batches:
-            for _, kind, value, node, pivot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = np.frombuffer(node, np.int64)
+            for _, kind, value, node, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v, n = np.frombuffer(value, _U), np.frombuffer(node, np.int64)
                 if kind == 0:
-                    values.append(np.frombuffer(value, _U))
+                    values.append(v)
                     nodes.append(n)
-                elif kind == 1:
-                    yield rows(pa.array(np.frombuffer(value, np.int64)), n, pa.array(np.frombuffer(pivot, np.int64)))
+                    numbers.append(np.frombuffer(number, np.int32))
+                    continue
+                if known is None:
+                    known, df = yield from first_entries(values, nodes, numbers)
+                if kind == 1:
+                    yield from rows(1, v, df[np.searchsorted(known, v)], n)
                 else:
-                    yield rows(pa.nulls(len(n), pa.int64()), n, pa.nulls(len(n), pa.int64()))
-        value, node, at = _stars(np.concatenate(values), np.concatenate(nodes))
-        other = np.flatnonzero(at != np.arange(len(at)))
-        for i in range(0, len(other), 1 << 18):
-            some = other[i : i + (1 << 18)]
-            yield rows(pa.array(value[some].view(np.int64)), node[some], pa.array(node[at[some]]))
+                    yield from rows(2, v, np.frombuffer(number, np.int32), n)
+        if known is None:
+            yield from first_entries(values, nodes, numbers)
+
+    def first_entries(values: list, nodes: list, numbers: list):
+        value, node, number = map(np.concatenate, (values, nodes, numbers))
+        for x in (values, nodes, numbers):
+            x.clear()
+        order = np.argsort(value, kind="stable")
+        value, node, number = value[order], node[order], number[order]
+        first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))[: len(value)])
+        df = np.add.reduceat(number.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+        each = np.repeat(df, np.diff(np.append(first, len(value))))
+        several = each > 1
+        yield from rows(1, value[several], each[several], node[several])
+        return value[first], df
+
+    dealt = docs.select(F.col(text).alias("_text")).mapInArrow(deal, "bucket int, kind int, value binary, node binary, number binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("kind").mapInArrow(meet, "kind int, value long, df long, node long")
+
+
+def prefixes(shared: DataFrame) -> DataFrame:
+    """(value, node, weight): each node's blocks among its first d + 1, rarest first.
+
+    Blocks of a node alone come first in that order, and only their number counts.
+    """
+    rows = shared.repartition("node").distinct().withColumn("band", F.when(F.col("kind") == 1, F.col("value").bitwiseAND(F.lit(63).cast("long"))).otherwise(F.col("value")))
+    band = Window.partitionBy("node", "band")
+    of_node = Window.partitionBy("node")
+    block = F.col("kind") == 1
+    rank = F.count_if(block).over(band.orderBy("kind", "df", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    limit = F.count_if(block).over(band) + F.max(F.when(~block, F.col("df"))).over(band)
+    early = rows.withColumns({"_rank": rank, "_limit": limit}).where(block & (F.col("_rank") <= F.col("_limit")))
+    return early.select("value", "node", F.sum("df").over(of_node).alias("weight"))
 
-    dealt = docs.select(F.col(text).alias("_text")).mapInArrow(deal, kinds)
-    return dealt.repartition(buckets, "bucket").mapInArrow(meet, "value long, node long, pivot long")
 
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, most_sent: int = 1_000_000) -> DataFrame:
+    """node and its set for the nodes in ``wanted``, made again from the text of one document of each.
 
-def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """node and its set for the nodes in ``wanted``, made again from the text of one document of each."""
-    owners = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.join(owners, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
+    Up to ``most_sent`` nodes are sent to the texts (16 bytes each); beyond, texts are shuffled.
+    """
+    owners = saved(nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("_rep")), "owners")
+    many = owners.count()
+    sent = F.broadcast if many <= most_sent else (lambda x: x)
+    texts = docs.join(sent(owners.select("_rep").distinct()), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +246,14 @@ def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) ->
                 full = [h for h, _ in shingles(part.column(0).to_pylist(), width) if len(h)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in full], pa.int64()), pa.array([h.view(np.int64) for h in full], pa.list_(pa.int64()))], names=["node", "elements"])
 
-    return saved(texts.mapInArrow(run, "node long, elements array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    made = saved(texts.mapInArrow(run, "node long, elements array<long>").join(sent(owners.select("node")), "node", "left_semi"), "sets")
+    discard(owners)
+    if made.count() == many:
+        return made
+    # Ids that repeat gave some node more than once.
+    once = saved(made.dropDuplicates(["node"]), "sets")
+    discard(made)
+    return once
 
 
 def _far(x: Column, y: Column) -> Column:
@@ -219,35 +276,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(both.where(100 * shared >= percent * (F.size("e_a") + F.size("e_b") - shared)).select("a", "b"), "links")
 
 
-def rare_pairs(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different classes with a common block among the first d + 1 of both, rarest first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                node, need, value = [], [], []
-                for name, elements in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    h = elements.values.to_numpy().view(_U)
-                    for band, most in bands_of(len(h), percent):
-                        found = blocks(h, band, percent)
-                        node.append(np.full(len(found), name))
-                        need.append(np.full(len(found), (most << 8) + band))
-                        value.append(found.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (node, need, value)], names=["node", "need", "value"])
-
-    # The band is told by ``need``: a set has its own prefix in each layout that it takes part in.
-    spread = sets.select("node", "elements").mapInArrow(run, "node long, need long, value long")
-    shared = spread.groupBy("value").agg(F.count("*").alias("_df"))
-    place = F.row_number().over(Window.partitionBy("node", "need").orderBy("_df", "value"))
-    early = spread.join(shared, "value").withColumn("_place", place).where((F.col("_place") <= F.shiftright("need", 8)) & (F.col("_df") > 1))
-    early = saved(early.select("node", "value").join(classes, "node").join(sets.select("node", F.size("elements").alias("n")), "node"), "rare-blocks")
-    x, y = early.alias("x"), early.alias("y")
-    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.class") < F.col("y.class")) & sizes)
-    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-
-
-def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text", elements_a_bucket: int = 1 << 20, crowd: int = 64) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text", elements_a_bucket: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when the Jaccard of their sets of ``width``-word shingles is ``percent`` / 100 or
@@ -264,38 +293,34 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, key:
     elements = sketches.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     seed = 0
     while True:
-        edges = saved(stars(docs, width, percent, max(8, elements // elements_a_bucket), seed, text), "stars")
-        if not edges.where("value is null").limit(1).count():
+        shared = saved(shared_blocks(docs, width, percent, max(8, elements // elements_a_bucket), seed, text), "shared-blocks")
+        if not shared.where("kind = 2 AND df > 0").limit(1).count():
             break
         # A node filled too few blocks: one in 10^15 does. All are drawn again by other hashes.
-        discard(edges)
+        discard(shared)
         seed += 1
-    pairs = saved(edges.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs")
+    early = saved(prefixes(shared), "prefixes")
+    discard(shared)
+    pivots = early.groupBy("value").agg(F.max(F.struct("weight", "node")).alias("_p"), F.count("*").alias("_n")).where("_n > 1").select("value", F.col("_p.node").alias("pivot"))
+    rest = early.select("value", "node").join(pivots, "value").where("node != pivot")
+    pairs = saved(rest.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs")
     likely = saved(possible(pairs, nodes, percent), "likely")
     sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, width)
     links = confirmed(likely, sets, percent)
     classes = components(links)
     discard(likely, sets)
 
-    # Blocks whose star is not within one class: their nodes go on.
-    class_of = lambda x: classes.select(F.col("node").alias(x), F.col("class").alias(f"c_{x}"))
-    labelled = pairs.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
-    across = labelled.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    ends = edges.withColumn("a", F.greatest("node", "pivot")).withColumn("b", F.least("node", "pivot"))
-    open_values = ends.join(across, ["a", "b"], "left_semi").select("value").distinct()
-    # A block of two nodes has no other pair.
-    sizes = edges.join(open_values, "value", "left_semi").groupBy("value").agg(F.count("*").alias("_rest")).where("_rest > 1")
-    member = edges.join(sizes, "value").select("value", "_rest", F.explode(F.array("node", "pivot")).alias("node")).distinct()
-    member = saved(member.join(classes, "node", "left").select("value", "node", (F.col("_rest") < crowd).alias("few"), F.coalesce("class", "node").alias("class")), "open")
-    few, crowded = member.where("few"), member.where("NOT few").select("node", "class").distinct()
-    x, y = few.alias("x"), few.alias("y")
-    more = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.class") < F.col("y.class"))).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-    crowded_sets = sets_of(crowded.select("node"), nodes, source, width)
-    more = more.union(rare_pairs(crowded_sets, crowded, percent)).distinct().join(pairs, ["a", "b"], "left_anti")
-    likely = saved(possible(more, nodes, percent), "likely")
+    # Blocks that the pivot leaves in several classes; all pairs with the pivot are done.
+    labelled = rest.join(classes, "node", "left").select("value", "node", F.coalesce("class", "node").alias("class"))
+    mixed = labelled.groupBy("value").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo != _hi").select("value")
+    open_rows = saved(labelled.join(mixed, "value", "left_semi").join(nodes.select("node", "n"), "node"), "open")
+    x, y = open_rows.alias("x"), open_rows.alias("y")
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    more = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.class") < F.col("y.class")) & sizes).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+    likely = saved(possible(more.distinct().join(pairs, ["a", "b"], "left_anti"), nodes, percent), "likely")
     sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, width)
     more_links = confirmed(likely, sets, percent)
-    discard(edges, pairs, member, crowded_sets, likely, sets, classes)
+    discard(early, pairs, open_rows, likely, sets, classes)
     classes = components(links.union(more_links))
 
     named = saved(nodes.join(classes, "node", "left").select("node", "rep", F.coalesce("class", "node").alias("class")), "named")
