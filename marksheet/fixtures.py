@@ -7,15 +7,13 @@ tables as common table expressions for DuckDB.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Simulated exams of each size and permutations of each comparison. The tests, which run every
-#: query, set fewer.
-RUNS, PERMUTATIONS = int(os.environ.get("MARKSHEET_RUNS", 500)), int(os.environ.get("MARKSHEET_PERMUTATIONS", 10_000))
+#: Simulated exams of each size and permutations of each comparison.
+RUNS, PERMUTATIONS = 500, 10_000
 SIZES, SEED = (5, 10, 15, 20, 21), 4242
 MODELS = ("new_grade_a", "grade_bert_b", "grade_prior_c", "pred_tfidf_d")
 

@@ -1,7 +1,8 @@
 """Agreement measures over groups.
 
 Errors are plain aggregates. The kappas work on counts of (label, label) cells, so a group of any
-size becomes at most K x K rows before anything is collected; no confusion matrix is built.
+size becomes at most K x K rows before anything is collected; no confusion matrix is built. tau-b
+counts pairs of rows in opposite order by merging, in ranges of values where a group is large.
 """
 
 from __future__ import annotations
@@ -69,40 +70,136 @@ def qwk_observed(df: DataFrame, keys: list[str], y: str, p: str, name: str = "qw
     return coded.select(*keys, n.cast("long").alias("n"), (F.col("_same") / n).alias("accuracy"), qwk.alias(name))
 
 
-def _tau_of_cells(y: np.ndarray, p: np.ndarray, n: np.ndarray) -> float | None:
-    ys, yi = np.unique(y, return_inverse=True)
-    ps, pi = np.unique(p, return_inverse=True)
-    table = np.zeros((len(ys), len(ps)))
-    np.add.at(table, (yi, pi), n)
-    total = table.sum()
-    below = np.zeros_like(table)
-    below[1:, 1:] = table.cumsum(0).cumsum(1)[:-1, :-1]
-    beside = np.zeros_like(table)
-    beside[1:, :-1] = table[:, ::-1].cumsum(0).cumsum(1)[:, ::-1][:-1, 1:]
-    pairs = lambda v: float((v * (v - 1) / 2).sum())
-    n0, n1, n2 = total * (total - 1) / 2, pairs(table.sum(1)), pairs(table.sum(0))
-    if n0 == n1 or n0 == n2:
-        return None
-    return float((table * (below - beside)).sum() / np.sqrt((n0 - n1) * (n0 - n2)))
+def inversions(group: np.ndarray, y: np.ndarray, p: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
+    """Per group the number of row pairs with y below and p above, where a row stands for n rows.
 
+    All groups at once: rows are sorted by group and y, then runs of doubling length are merged by p,
+    and each row of a right half counts the rows of its left half with a larger p.
+    """
+    out = np.zeros(groups)
+    if not len(y):
+        return out
+    order = np.lexsort((p, y, group))  # equal y in the order of p: no inversion among them
+    group, n, rank = group[order], n[order], np.unique(p, return_inverse=True)[1].reshape(-1)[order]
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    length = np.diff(np.append(first, len(group)))
+    place = np.arange(len(group)) - np.repeat(first, length)
+    values, width = int(rank.max()) + 1, 1
+    while width < length.max():
+        # A block of two halves gets a number that grows with group and place.
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (place[1:] // (2 * width) != place[:-1] // (2 * width))))
+        block = np.cumsum(new) - 1
+        right = (place // width) & 1
+        order = np.argsort((block * values + rank) * 2 + right, kind="stable")  # at equal p the left half first
+        left = np.where(right[order] == 0, n[order], 0.0)
+        upto = np.cumsum(left)
+        in_block = np.bincount(block, np.where(right == 0, n, 0.0))
+        above = (np.cumsum(in_block)[block[order]] - upto) * n[order]
+        out += np.bincount(group[order], np.where(right[order] == 1, above, 0.0), groups)
+        width *= 2
+    return out
+
+
+def _inversions_of_lists(grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _n0 .. _n3, _dis) with the sums of ties and inversions of the lists of cells ``_cells``."""
 
-def kendall_tau_b(df: DataFrame, keys: list[str], y: str, p: str, name: str = "tau_b", weight: str | None = None) -> DataFrame:
-    """tau-b per group from counts of distinct value pairs; null with fewer than two rows or a constant side.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(len(keys)).offsets.to_numpy())
+            ends, at = np.cumsum(sizes), 0
+            while at < batch.num_rows:
+                # Some 250,000 cells at a time, or one longer list.
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 250_000, "right")))
+                part = batch.slice(at, to - at)
+                y, p, n = (c.to_numpy(zero_copy_only=False).astype(float) for c in part.column(len(keys)).flatten().flatten())
+                group = np.repeat(np.arange(to - at), sizes[at:to])
+                pairs = lambda v: v * (v - 1) / 2
 
-    Pairs of values are counted first, so a task sees a contingency table, not the rows.
-    """
+                def ties(v: np.ndarray) -> np.ndarray:
+                    order = np.lexsort((v, group))
+                    new = np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (group[order][1:] != group[order][:-1])))[: len(v)]
+                    starts = np.flatnonzero(new)
+                    return np.bincount(group[order][starts], pairs(np.add.reduceat(n[order], starts)) if len(starts) else None, to - at)
+
+                total = np.bincount(group, n, to - at)
+                made = [pairs(total), ties(y), ties(p), np.bincount(group, pairs(n), to - at), inversions(group, y, p, n, to - at)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *(pa.array(m.astype(float)) for m in made)], names=[*keys, *_SUMS])
+                at = to
+
+    kinds = "".join(f"`{k}` {grouped.schema[k].dataType.simpleString()}, " for k in keys)
+    return grouped.select(*keys, "_cells").mapInArrow(run, f"{kinds}_n0 double, _n1 double, _n2 double, _n3 double, _dis double")
+
+
+#: Pairs of rows; those tied in y, in p, in both; those in opposite order.
+_SUMS = ("_n0", "_n1", "_n2", "_n3", "_dis")
+
+
+def _tau(sums: DataFrame, keys: list[str], name: str) -> DataFrame:
+    n0, n1, n2, n3, dis = (F.col(c) for c in _SUMS)
+    spread = (n0 - n1) * (n0 - n2)
+    return sums.select(*keys, F.when(spread > 0, (n0 - n1 - n2 + n3 - 2 * dis) / F.sqrt(n0 - n1) / F.sqrt(n0 - n2)).alias(name))
+
+
+def tau_b_of_cells(df: DataFrame, keys: list[str], y: str, p: str, name: str = "tau_b", weight: str | None = None) -> DataFrame:
+    """``kendall_tau_b`` where every group is known to have few distinct pairs of values, as grades
+    and totals of an exam have: a group's counts come in one list."""
     cells = label_cells(df, keys, F.col(y).cast("double"), F.col(p).cast("double"), weight)
+    return _tau(_inversions_of_lists(cells.groupBy(*keys).agg(F.collect_list(F.struct("_y", "_p", "_n")).alias("_cells")), keys), keys, name)
 
-    # Distinct value pairs of a group, at most K x K for K values a side.
-    grouped = cells.groupBy(*keys).agg(F.collect_list(F.struct("_y", "_p", "_n")).alias("_cells"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(len(keys))
-            y, p, n = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
-            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            tau = [_tau_of_cells(y[i:j], p[i:j], n[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(tau, pa.float64())], names=[*keys, name])
-
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return grouped.mapInArrow(run, f"{kinds}, `{name}` double")
+def _block(value: str, side: str, most: int) -> Column:
+    """The block of a value among the sorted bounds: 2 i after the i-th, or 2 i - 1 if it is the i-th
+    and fills a block alone. Equal values share a block."""
+    bounds, v = F.col(f"{side}.bounds"), F.col(value)
+    steps = F.lit([1 << k for k in reversed(range(most.bit_length() + 1))])
+    at = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.coalesce(F.get(bounds, i + s - 1) <= v, F.lit(False)), i + s).otherwise(i))
+    alone = F.array_contains(F.col(f"{side}.alone"), v)
+    return F.when(alone, 2 * at - 1).otherwise(2 * at)
+
+
+def kendall_tau_b(df: DataFrame, keys: list[str], y: str, p: str, name: str = "tau_b", weight: str | None = None, cells_a_block: int = 1 << 17, most_blocks: int = 512) -> DataFrame:
+    """tau-b per group for any number of distinct values; null with fewer than two rows or a constant side.
+
+    Rows of equal values are counted first. A group of up to ``cells_a_block`` pairs of values is one
+    block. A larger one is cut into ranges of y and ranges of p by its quantiles (at most
+    ``most_blocks``; a value that several quantiles fall on has a block alone). Pairs of rows in
+    opposite order are then in one range of y, or in two of those and one range of p, or in two of
+    both. The first and the second are counted inside their ranges, the third from the counts of
+    (range, range). No task holds more than a range or those counts.
+    """
+    cells = label_cells(df, keys, F.col(y).cast("double"), F.col(p).cast("double"), weight)
+    parts = F.least(F.ceil(F.count(F.lit(1)) / cells_a_block).cast("int"), F.lit(most_blocks))
+    shares = F.lit([i / most_blocks for i in range(1, most_blocks)])
+    quantile = lambda c: F.percentile_approx(c, shares, F.lit(20 * most_blocks))
+    cut = cells.groupBy(*keys).agg(parts.alias("_parts"), quantile("_y").alias("_qy"), quantile("_p").alias("_qp"))
+
+    def bounds(q: str) -> Column:
+        picked = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.get(q, F.floor(i * most_blocks / F.col("_parts")).cast("int") - 1))
+        picked = F.when(F.col("_parts") > 1, picked).otherwise(F.array().cast("array<double>"))
+        alone = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(picked)), lambda i: F.when((i > 1) & (F.get(picked, i - 1) == F.get(picked, i - 2)), F.array(F.get(picked, i - 1))).otherwise(F.array().cast("array<double>")))))
+        return F.struct(F.array_distinct(picked).alias("bounds"), F.when(F.size(picked) > 1, alone).otherwise(F.array().cast("array<double>")).alias("alone"))
+
+    cut = cut.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_parts"), bounds("_qy").alias("_by"), bounds("_qp").alias("_bp"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] or [F.lit(True)]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    # A row for each group, with its bounds.
+    placed = cells.join(cut, on).select(*keys, "_y", "_p", "_n", "_parts", _block("_y", "_by", most_blocks).alias("_i"), _block("_p", "_bp", most_blocks).alias("_j"))
+    lists = lambda rows, y, p, *by: rows.groupBy(*keys, *by).agg(F.collect_list(F.struct(F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"), "_n")).alias("_cells"))
+    zero = [F.lit(0.0).alias(c) for c in _SUMS]
+    only = lambda rows, c: rows.select(*keys, *(F.col(x) if x == c else z for x, z in zip(_SUMS, zero, strict=True)))
+    several = placed.where("_parts > 1")
+    pairs = lambda n: n * (n - 1) / 2
+    coarse = several.groupBy(*keys, "_i", "_j").agg(F.sum("_n").alias("_n"))
+    found = [
+        only(_inversions_of_lists(lists(placed.where("_i % 2 = 0"), "_y", "_p", "_i"), keys), "_dis"),
+        only(_inversions_of_lists(lists(several.where("_j % 2 = 0").groupBy(*keys, "_i", "_j", "_p").agg(F.sum("_n").alias("_n")), "_i", "_p", "_j"), keys), "_dis"),
+        only(_inversions_of_lists(lists(coarse, "_i", "_j"), keys), "_dis"),
+        cells.groupBy(*keys).agg(pairs(F.sum("_n")).alias("_n0"), *zero[1:3], F.sum(pairs(F.col("_n"))).alias("_n3"), zero[4]),
+        *(only(cells.groupBy(*keys, c).agg(pairs(F.sum("_n")).alias(to)), to) for c, to in (("_y", "_n1"), ("_p", "_n2"))),
+    ]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return _tau(every.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in _SUMS)), keys, name)

@@ -1,7 +1,7 @@
 """Exam-level evaluation: student totals, completeness, scales, agreement, summaries.
 
-All models are aggregated in one pass over the exam table and only then turned into rows, so the
-shuffle holds one row per exam and student whatever the number of models.
+Totals come from answer sheets (``sheets.sittings``) without a shuffle: all models of an exam-student
+are summed in one row and only then turned into rows, which are counted before they move.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scales as S
-from ..functions.agreement import accuracy, kendall_tau_b, mae, mse, qwk_fixed, qwk_observed
+from ..functions.agreement import accuracy, kendall_tau_b, mae, mse, qwk_fixed, qwk_observed, tau_b_of_cells
 from ..functions.columns import to_numeric
+from .sheets import EXAM, sitting_totals
 
-EXAM = ["test_id", "test_size"]
 SCALES = ("linear_abs", "pass_linear_abs", "linear_mean", "pass_linear_mean", "bologna")
 METRICS = ("el_tau_b", *(f"el_{m}_{s}" if not s.startswith("pass_") else f"el_pass_{m}_{s[5:]}" for s in SCALES for m in ("acc", "qwk")))
 COUNTS = ("n_students", "students_raw", "students_complete", "students_dropped_incomplete", "students_missing_human", "students_missing_prediction")
@@ -25,13 +25,18 @@ def reference_by_model(model: str, reference: str = "human_grade", first: str =
     return first if model == second else reference
 
 
-def student_exam_totals(env: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Per model, exam and student: rows, distinct questions, valid grades and totals (missing adds 0)."""
-    number = lambda c: to_numeric(F.col(f"`{c}`"))
-    references = sorted({reference_by_model(m) for m in models})
-    sums = [a for c in [*references, *models] for a in (F.count(number(c)).alias(f"_v_{c}"), F.coalesce(F.sum(number(c)), F.lit(0.0)).alias(f"_t_{c}"))]
-    totals = env.groupBy(*EXAM, "member_id").agg(F.count(F.lit(1)).alias("n_rows"), F.size(F.collect_set("question_id")).cast("long").alias("n_questions"), *sums)
-    of = lambda m: F.struct(F.lit(m).alias("model_col"), F.col(f"`_v_{reference_by_model(m)}`").alias("human_valid"), F.col(f"`_v_{m}`").alias("pred_valid"), F.col(f"`_t_{reference_by_model(m)}`").alias("gold_total"), F.col(f"`_t_{m}`").alias("pred_total"))
+def graded_columns(models: Sequence[str]) -> list[str]:
+    """The grade columns that totals of these models need: references and models."""
+    return sorted({reference_by_model(m) for m in models} | set(models))
+
+
+def student_exam_totals(sat: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Per model, exam and student: rows, distinct questions, valid grades and totals (missing adds 0).
+
+    ``sat``: the sittings with the ``graded_columns`` of the models.
+    """
+    totals = sitting_totals(sat, graded_columns(models))
+    of = lambda m: F.struct(F.lit(m).alias("model_col"), F.col(f"`v_{reference_by_model(m)}`").alias("human_valid"), F.col(f"`v_{m}`").alias("pred_valid"), F.col(f"`t_{reference_by_model(m)}`").alias("gold_total"), F.col(f"`t_{m}`").alias("pred_total"))
     return totals.select(*EXAM, "member_id", "n_rows", "n_questions", F.explode(F.array(*map(of, models))).alias("_m")).select("_m.model_col", *EXAM, "member_id", "n_rows", "n_questions", "_m.human_valid", "_m.pred_valid", "_m.gold_total", "_m.pred_total")
 
 
@@ -44,24 +49,39 @@ def completeness_filter(totals: DataFrame) -> DataFrame:
     return totals.where(is_complete())
 
 
+def exam_states(totals: DataFrame) -> DataFrame:
+    """How many students (n) of a model and exam are complete with each pair of totals, or lack what.
+
+    The one table that exam metrics read: what is shuffled is bounded by pairs of totals, not by
+    how many students sat an exam.
+    """
+    return totals.groupBy(
+        "model_col", *EXAM, is_complete().alias("complete"), (F.col("human_valid") < F.col("test_size")).alias("lacks_human"), (F.col("pred_valid") < F.col("test_size")).alias("lacks_prediction"),
+        *(F.when(is_complete(), F.col(c)).alias(c) for c in ("gold_total", "pred_total")),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_of_states(states: DataFrame) -> DataFrame:
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    done = n(F.col("complete"))
+    return states.groupBy("model_col", *EXAM).agg(done.alias("n_students"), F.sum("n").alias("students_raw"), done.alias("students_complete"), n(~F.col("complete")).alias("students_dropped_incomplete"), n(F.col("lacks_human")).alias("students_missing_human"), n(F.col("lacks_prediction")).alias("students_missing_prediction"))
+
+
 def completeness_counts(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("model_col", *EXAM).agg(
-        F.count_if(is_complete()).alias("n_students"),
-        F.count(F.lit(1)).alias("students_raw"),
-        F.count_if(is_complete()).alias("students_complete"),
-        F.count_if(~is_complete()).alias("students_dropped_incomplete"),
-        F.count_if(F.col("human_valid") < F.col("test_size")).alias("students_missing_human"),
-        F.count_if(F.col("pred_valid") < F.col("test_size")).alias("students_missing_prediction"),
-    )
+    return counts_of_states(exam_states(totals))
+
+
+def cells_of_states(states: DataFrame) -> DataFrame:
+    return states.where("complete").select("model_col", *EXAM, "gold_total", "pred_total", "n")
 
 
-def total_cells(complete: DataFrame) -> DataFrame:
-    """How many students of a model and exam have each pair of totals: n.
+def total_cells(totals: DataFrame) -> DataFrame:
+    """How many complete students of a model and exam have each pair of totals: n.
 
     All scales depend on totals alone. A group has at most as many cells as there are pairs of
     totals, however many students sat the exam, so everything after this works on bounded groups.
     """
-    return complete.groupBy("model_col", *EXAM, "gold_total", "pred_total").agg(F.count(F.lit(1)).alias("n"))
+    return cells_of_states(exam_states(totals))
 
 
 def _standing(cells: DataFrame) -> DataFrame:
@@ -95,8 +115,9 @@ def with_scales(cells: DataFrame) -> DataFrame:
 
 
 def student_scales(complete: DataFrame) -> DataFrame:
-    """The scales of every student: those of the student's cell."""
-    return complete.join(with_scales(total_cells(complete)).drop("n"), ["model_col", *EXAM, "gold_total", "pred_total"])
+    """The scales of every complete student: those of the student's cell."""
+    cells = complete.groupBy("model_col", *EXAM, "gold_total", "pred_total").agg(F.count(F.lit(1)).alias("n"))
+    return complete.join(with_scales(cells).drop("n"), ["model_col", *EXAM, "gold_total", "pred_total"])
 
 
 def scale_pairs(scaled: DataFrame) -> DataFrame:
@@ -105,15 +126,15 @@ def scale_pairs(scaled: DataFrame) -> DataFrame:
     return scaled.select("model_col", *EXAM, "n", F.explode(F.array(*map(pair, SCALES))).alias("_s")).select("model_col", *EXAM, "_s.*", "n")
 
 
-def exam_metrics(env: DataFrame, models: Sequence[str]) -> DataFrame:
+def exam_metrics(sat: DataFrame, models: Sequence[str]) -> DataFrame:
     """Six counts and eleven metrics per model and exam; exams without a complete student keep null metrics."""
     keys = ["model_col", *EXAM]
-    totals = student_exam_totals(env, models)
-    cells = total_cells(completeness_filter(totals))
-    tau = kendall_tau_b(cells, keys, "gold_total", "pred_total", "el_tau_b", "n")
+    states = exam_states(student_exam_totals(sat, models))
+    cells = cells_of_states(states)
+    tau = tau_b_of_cells(cells, keys, "gold_total", "pred_total", "el_tau_b", "n")
     scaled = qwk_observed(scale_pairs(with_scales(cells)), [*keys, "scale"], "y", "p", weight="n")
     pick = [F.first(F.when(F.col("scale") == s, F.col(c)), ignorenulls=True).alias(f"el_{m}_{s}" if not s.startswith("pass_") else f"el_pass_{m}_{s[5:]}") for s in SCALES for m, c in (("acc", "accuracy"), ("qwk", "qwk"))]
-    return completeness_counts(totals).join(tau, keys, "left").join(scaled.groupBy(*keys).agg(*pick), keys, "left").select(*keys, *COUNTS, *METRICS)
+    return counts_of_states(states).join(tau, keys, "left").join(scaled.groupBy(*keys).agg(*pick), keys, "left").select(*keys, *COUNTS, *METRICS)
 
 
 def exam_metrics_wide(metrics: DataFrame, models: Sequence[str], names: Sequence[str] = METRICS) -> DataFrame:
@@ -142,9 +163,9 @@ def rank_by_total(totals: DataFrame) -> DataFrame:
     return totals.join(ahead, [*keys, "pred_total"]).withColumn("rank", (F.col("_ahead") + place).cast("int")).drop("_ahead")
 
 
-def student_scale_export(env: DataFrame, model: str) -> DataFrame:
+def student_scale_export(sat: DataFrame, model: str) -> DataFrame:
     """Complete students with totals, grades, pass flags and rank for one score column."""
-    return rank_by_total(student_scales(completeness_filter(student_exam_totals(env, [model]))))
+    return rank_by_total(student_scales(completeness_filter(student_exam_totals(sat, [model]))))
 
 
 def scope_semi_join(metrics: DataFrame, scope: DataFrame) -> DataFrame:
@@ -206,7 +227,7 @@ def granularity_sweep(cells: DataFrame, classes: Sequence[int] = tuple(range(2,
     labels = granularity_labels(cells, classes)
     y, p, n = F.col("y"), F.col("p"), F.col("n")
     base = labels.groupBy(*keys).agg(F.sum("n").alias("n"), accuracy(y, p, n).alias("accuracy"), qwk_fixed(y, p, n).alias("qwk"))
-    return base.join(kendall_tau_b(labels, keys, "y", "p", "tau_b", "n"), keys, "left")
+    return base.join(tau_b_of_cells(labels, keys, "y", "p", "tau_b", "n"), keys, "left")
 
 
 def granularity_summary(sweep: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .ranks import global_position
+from .sheets import eligible, sittings
+
 
 def question_pool(df: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """Sorted distinct questions; fewer than the largest size is an error when the plan runs."""
@@ -39,7 +42,8 @@ def sample_exam_questions(questions: DataFrame, runs: int, sizes: Sequence[int],
 
         return exams.mapInPandas(draw, "test_id string, test_size int, question_id string, question_order int")
     ranked = exams.crossJoin(F.broadcast(pool)).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "run", "test_size", "question_id").cast("binary")))
-    ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("run", "test_size").orderBy("_h", "question_id"))).where(F.col("_n") <= F.col("test_size"))
+    # The literal bound lets the plan keep the first questions of a group while it sorts.
+    ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("run", "test_size").orderBy("_h", "question_id"))).where((F.col("_n") <= max(sizes)) & (F.col("_n") <= F.col("test_size")))
     return question_order_in_exam(ranked.select(F.concat(F.lit("test_"), "run").alias("test_id"), "test_size", "question_id"))
 
 
@@ -47,10 +51,9 @@ def question_order_in_exam(exam: DataFrame) -> DataFrame:
     return exam.withColumn("question_order", F.row_number().over(Window.partitionBy("test_id", "test_size").orderBy("question_id")))
 
 
-def eligible_students(exam: DataFrame, answers: DataFrame) -> DataFrame:
-    """Students with an answer to every question of an exam (relational division)."""
-    taken = exam.select("test_id", "test_size", "question_id").join(answers.select("member_id", "question_id"), "question_id")
-    return taken.groupBy("test_id", "test_size", "member_id").agg(F.count_distinct("question_id").alias("_n")).where(F.col("_n") == F.col("test_size")).drop("_n")
+def eligible_students(exam: DataFrame, answers: DataFrame, entries: int | None = None) -> DataFrame:
+    """Students with an answer to every question of an exam (relational division by bitmaps)."""
+    return eligible(sittings(exam, answers, entries=entries))
 
 
 def exam_structure_join(exam: DataFrame, students: DataFrame) -> DataFrame:
@@ -66,9 +69,10 @@ def exam_env_join(exam: DataFrame, students: DataFrame, answers: DataFrame, grad
 def sample_gold_questions(df: DataFrame, share: float = 0.1, least: int = 10, seed: int = 7) -> DataFrame:
     """About ``share`` of the questions that have ``least`` answers, by hash rank; all their answers stay."""
     counts = df.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("question_id")).cast("binary")), "question_id")
-    picked = counts.withColumn("_r", F.row_number().over(order)).withColumn("_k", F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) * F.lit(share))).where("_r <= _k")
-    return df.join(F.broadcast(picked.select("question_id")), "question_id", "left_semi")
+    keyed = counts.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("question_id")).cast("binary")))
+    total = counts.agg(F.ceil(F.count(F.lit(1)) * F.lit(share)).alias("_k"))
+    picked = global_position(keyed, ["_h", "question_id"], "_r").crossJoin(F.broadcast(total)).where("_r <= _k")
+    return df.join(picked.select("question_id"), "question_id", "left_semi")
 
 
 def feedback_eligibility(long: DataFrame) -> DataFrame:

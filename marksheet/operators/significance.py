@@ -11,26 +11,71 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.agreement import qwk_observed
 from ..functions.columns import linear_grade_code, model_short_name
-from .exam import EXAM, completeness_filter, student_exam_totals, student_scales
+from .exam import EXAM, completeness_filter, graded_columns, reference_by_model, student_exam_totals, student_scales, total_cells, with_scales
+from .sheets import sitting_totals
 
 STUDENT = [*EXAM, "member_id"]
 RANKING = ("el_acc_linear_abs", "el_qwk_linear_abs", "el_acc_bologna", "el_qwk_bologna")
 
 
-def exam_label_table(env: DataFrame, models: Sequence[str], size: int) -> DataFrame:
+_LABELS = ("gold_total", "pred_total", "gold_norm", "pred_norm", "gold_linear_abs", "pred_linear_abs", "gold_bologna", "pred_bologna")
+
+
+def _labelled(scaled: DataFrame, *more: str) -> DataFrame:
+    right = [(F.col(f"gold_{s}") == F.col(f"pred_{s}")).alias(f"correct_{s}") for s in ("linear_abs", "bologna")]
+    return scaled.select("model_col", *EXAM, *more, *_LABELS, *right)
+
+
+def exam_label_table(sat: DataFrame, models: Sequence[str], size: int) -> DataFrame:
     """Per model and exam-student of one size: totals, norms, both scales and whether the model is right."""
-    scaled = student_scales(completeness_filter(student_exam_totals(env.where(F.col("test_size") == size), models)))
-    return scaled.select("model_col", *STUDENT, "gold_total", "pred_total", "gold_norm", "pred_norm", "gold_linear_abs", "pred_linear_abs", "gold_bologna", "pred_bologna", (F.col("gold_linear_abs") == F.col("pred_linear_abs")).alias("correct_linear_abs"), (F.col("gold_bologna") == F.col("pred_bologna")).alias("correct_bologna"))
+    totals = student_exam_totals(sat.where(F.col("test_size") == size), models)
+    return _labelled(student_scales(completeness_filter(totals)), "member_id")
+
+
+def _of_size(sat: DataFrame, size: int | None) -> DataFrame:
+    return sat if size is None else sat.where(F.col("test_size") == size)
+
+
+def label_cells(sat: DataFrame, models: Sequence[str], size: int | None = None) -> DataFrame:
+    """The label table by counts: n students of a model and exam with the same totals in one row."""
+    return _labelled(with_scales(total_cells(student_exam_totals(_of_size(sat, size), models))), "n")
+
+
+def pair_cells(sat: DataFrame, models: Sequence[str], pairs: DataFrame, size: int | None = None) -> DataFrame:
+    """Per pair (a, b) and exam how many students, complete for both, have the same three or four
+    totals (n), with both models' grades on both scales. ``pairs`` has a row for two models at most.
+
+    Both models of a student are met in the student's own row; grades are joined to the counts.
+    """
+    sat = _of_size(sat, size)
+    totals = sitting_totals(sat, graded_columns(models))
+    full = lambda c: F.col(f"`v_{c}`") == F.col("test_size")
+    whole = (F.col("n_rows") == F.col("test_size")) & (F.col("n_questions") == F.col("test_size"))
+    of = {m: reference_by_model(m) for m in models}
+    each = F.create_map(*(x for m in models for x in (F.lit(m), F.struct((whole & full(of[m]) & full(m)).alias("ok"), F.col(f"`t_{of[m]}`").alias("gold"), F.col(f"`t_{m}`").alias("pred")))))
+    met = totals.select(*EXAM, each.alias("_m")).crossJoin(F.broadcast(pairs.select("a", "b")))
+    met = met.select("a", "b", *EXAM, F.col("_m")[F.col("a")].alias("x"), F.col("_m")[F.col("b")].alias("y")).where("x.ok AND y.ok")
+    counts = met.groupBy("a", "b", *EXAM, *(F.col(f"{v}.{t}").alias(f"{t}_total_{s}") for v, s in (("x", "a"), ("y", "b")) for t in ("gold", "pred"))).agg(F.count(F.lit(1)).alias("n"))
+    labels = label_cells(sat, models, size).drop("n")
+    for s in ("a", "b"):
+        side = labels.select(F.col("model_col").alias(s), *EXAM, *(F.col(c).alias(f"{c}_{s}") for c in labels.columns if c not in ("model_col", *EXAM)))
+        counts = counts.join(side, [s, *EXAM, f"gold_total_{s}", f"pred_total_{s}"])
+    return counts
 
 
 def model_ranking(labels: DataFrame) -> DataFrame:
-    """Per model the mean over exams of accuracy and kappa on both scales, with its position."""
-    pairs = labels.select("model_col", "test_id", F.explode(F.array(*(F.struct(F.lit(s).alias("scale"), F.col(f"gold_{s}").cast("double").alias("y"), F.col(f"pred_{s}").cast("double").alias("p")) for s in ("linear_abs", "bologna")))).alias("s")).select("model_col", "test_id", "s.*")
-    exams = qwk_observed(pairs, ["model_col", "test_id", "scale"], "y", "p")
+    """Per model the mean over exams of accuracy and kappa on both scales, with its position.
+
+    ``labels``: the label table, or its cells.
+    """
+    labels = labels if "n" in labels.columns else labels.withColumn("n", F.lit(1))
+    pairs = labels.select("model_col", "test_id", "n", F.explode(F.array(*(F.struct(F.lit(s).alias("scale"), F.col(f"gold_{s}").cast("double").alias("y"), F.col(f"pred_{s}").cast("double").alias("p")) for s in ("linear_abs", "bologna")))).alias("s")).select("model_col", "test_id", "n", "s.*")
+    exams = qwk_observed(pairs, ["model_col", "test_id", "scale"], "y", "p", weight="n")
     pick = lambda s, c: F.avg(F.when(F.col("scale") == s, F.col(c)))
     means = exams.groupBy("model_col").agg(*(pick(s, c).alias(f"el_{m}_{s}") for s in ("linear_abs", "bologna") for m, c in (("acc", "accuracy"), ("qwk", "qwk"))))
-    rows = labels.groupBy("model_col").agg(F.count(F.lit(1)).alias("n_exam_student_rows"))
+    rows = labels.groupBy("model_col").agg(F.sum("n").alias("n_exam_student_rows"))
     by = [F.desc_nulls_last(F.round(c, 12)) for c in ("el_acc_linear_abs", "el_qwk_linear_abs", "el_qwk_bologna", "el_acc_bologna")]
+    # A row per model.
     return rows.join(means, "model_col").withColumn("model", model_short_name(F.col("model_col"))).withColumn("position", F.row_number().over(Window.orderBy(*by, "model_col")))
 
 
@@ -41,12 +86,11 @@ def best_model_per_metric(ranking: DataFrame, metrics: Sequence[str] = RANKING)
     return long.withColumn("_n", F.row_number().over(Window.partitionBy("selection_metric").orderBy(*order, "model_col"))).where("_n = 1").select("selection_metric", F.col("model_col").alias("best_model_col"), "best_value")
 
 
-def mcnemar_counts(labels: DataFrame, pairs: DataFrame, correct: str) -> DataFrame:
-    """Per pair (a, b): both right, only a, only b, both wrong, discordant."""
-    side = lambda x: labels.select(F.col("model_col").alias(x), *STUDENT, F.col(correct).alias(f"r_{x}"))
-    both = F.broadcast(pairs).join(side("a"), "a").join(side("b"), ["b", *STUDENT])
-    a, b = F.col("r_a"), F.col("r_b")
-    out = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(a & b).alias("both_right"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("both_wrong"))
+def mcnemar_counts(met: DataFrame, scale: str) -> DataFrame:
+    """Per pair (a, b): both right, only a, only b, both wrong, discordant. ``met``: ``pair_cells``."""
+    a, b = F.col(f"correct_{scale}_a"), F.col(f"correct_{scale}_b")
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    out = met.groupBy("a", "b").agg(F.sum("n").alias("n"), n(a & b).alias("both_right"), n(a & ~b).alias("only_a"), n(~a & b).alias("only_b"), n(~a & ~b).alias("both_wrong"))
     return out.withColumn("discordant", F.col("only_a") + F.col("only_b"))
 
 
@@ -84,22 +128,18 @@ def best_against_others(ranking: DataFrame, metric: str) -> DataFrame:
     return F.broadcast(best).join(ranking.select(F.col("model_col").alias("b")), F.col("a") != F.col("b"))
 
 
-def mcnemar_all_pairs(labels: DataFrame) -> DataFrame:
+def mcnemar_all_pairs(sat: DataFrame, models: Sequence[str], size: int) -> DataFrame:
     """The metric's best model against every other, on both scales."""
-    ranking = model_ranking(labels)
-    out = [mcnemar_exact_p(mcnemar_counts(labels, best_against_others(ranking, f"el_acc_{s}"), f"correct_{s}")).withColumn("scale", F.lit(s)) for s in ("linear_abs", "bologna")]
+    ranking = model_ranking(label_cells(sat, models, size))
+    out = [mcnemar_exact_p(mcnemar_counts(pair_cells(sat, models, best_against_others(ranking, f"el_acc_{s}"), size), s)).withColumn("scale", F.lit(s)) for s in ("linear_abs", "bologna")]
     return out[0].unionByName(out[1])
 
 
-def _code(scale: str) -> tuple[Column, Column]:
-    one = lambda c: linear_grade_code(F.col(c)) if scale == "linear_abs" else F.col(c)
-    return one(f"gold_{scale}"), one(f"pred_{scale}")
-
-
-def _pairs(labels: DataFrame, pairs: DataFrame, scale: str) -> DataFrame:
-    gold, pred = _code(scale)
-    side = lambda x: labels.select(F.col("model_col").alias(x), *STUDENT, gold.alias(f"g_{x}"), pred.alias(f"p_{x}"))
-    return F.broadcast(pairs).join(side("a"), "a").join(side("b"), ["b", *STUDENT]).where("g_a = g_b")
+def grade_codes(met: DataFrame, scale: str) -> DataFrame:
+    """(a, b, exam, n) with the grade codes of the reference and both models, where references agree."""
+    code = lambda c: linear_grade_code(F.col(c)) if scale == "linear_abs" else F.col(c)
+    rows = met.select("a", "b", *EXAM, "n", *(code(f"{t}_{scale}_{s}").alias(f"{t[0]}_{s}") for t in ("gold", "pred") for s in ("a", "b")))
+    return rows.where("g_a = g_b")
 
 
 #: Students of one cell that share the bits of one random number.
@@ -110,11 +150,11 @@ _PRIME = (1 << 31) - 1
 def swap_cells(rows: DataFrame) -> DataFrame:
     """How many exam-students have each (gold, first, second) grade code, and what swapping one changes.
 
-    rows: a, b, exam, g_a, p_a, p_b. The kappas of an exam depend on three sums over students, and
+    rows: a, b, exam, g_a, p_a, p_b, n. The kappas of an exam depend on three sums over students, and
     a swap adds a fixed amount to each, so permutations need these counts alone: at most the cube
     of the number of grades for an exam of any size.
     """
-    cells = rows.groupBy("a", "b", *EXAM, F.col("g_a").cast("long").alias("g"), F.col("p_a").cast("long").alias("x"), F.col("p_b").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.groupBy("a", "b", *EXAM, F.col("g_a").cast("long").alias("g"), F.col("p_a").cast("long").alias("x"), F.col("p_b").cast("long").alias("y")).agg(F.sum("n").alias("n"))
     g, x, y = F.col("g"), F.col("x"), F.col("y")
     return cells.withColumns({"d_apart": (g - y) * (g - y) - (g - x) * (g - x), "d_square": y * y - x * x, "d_sum": y - x})
 
@@ -155,13 +195,18 @@ def mixed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 12), 16, 10).cast("long") % _PRIME
 
 
-def permutation_test_qwk(labels: DataFrame, a: str, b: str, n: int, seed: int, scale: str = "linear_abs") -> DataFrame:
+def permutation_test_qwk(sat: DataFrame, models: Sequence[str], size: int, a: str, b: str, n: int, seed: int, scale: str = "linear_abs") -> DataFrame:
+    """Observed mean exam kappa difference of two models and p."""
+    pair = sat.sparkSession.createDataFrame([(a, b)], "a string, b string")
+    return permutation_of_cells(swap_cells(gradegrade_codes(pair_cells(sat, models, pair, size), scale)), n, seed)
+
+
+def permutation_of_cells(cells: DataFrame, n: int, seed: int) -> DataFrame:
     """Observed mean exam kappa difference and p, in SQL functions that any engine can repeat.
 
     The students of a cell that are swapped are the set bits among as many random bits, 30 at a time.
     """
-    spark = labels.sparkSession
-    cells = swap_cells(_pairs(labels, spark.createDataFrame([(a, b)], "a string, b string"), scale))
+    spark = cells.sparkSession
     s = F.lit(str(seed))
     chunks = cells.where("x != y").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _CHUNK))))
     chunks = chunks.withColumn("_bits", F.least(F.col("n") - F.col("_chunk") * _CHUNK, F.lit(_CHUNK))).withColumn("_mask", F.expr("shiftleft(1L, cast(_bits as int)) - 1"))
@@ -197,20 +242,25 @@ def kappa_differences(cells: list[dict], swaps: np.ndarray) -> np.ndarray:
     return kappa(x, y) - kappa(y, x)
 
 
-def permutation_all_pairs(labels: DataFrame, n: int = 10_000, seed: int = 4242, per_block: int = 2_500) -> DataFrame:
-    """The metric's best model against every other on both scales.
+def permutation_all_pairs(sat: DataFrame, models: Sequence[str], size: int, n: int = 10_000, seed: int = 4242, per_block: int = 2_500) -> DataFrame:
+    """The metric's best model against every other on both scales."""
+    ranking = model_ranking(label_cells(sat, models, size))
+    cells = None
+    for scale in ("linear_abs", "bologna"):
+        one = swap_cells(grade_codes(pair_cells(sat, models, best_against_others(ranking, f"el_qwk_{scale}"), size), scale)).withColumn("scale", F.lit(scale))
+        cells = one if cells is None else cells.unionByName(one)
+    return permutations_in_blocks(cells, n, seed, per_block)
+
+
+def permutations_in_blocks(cells: DataFrame, n: int, seed: int, per_block: int) -> DataFrame:
+    """Permutations of every (scale, a, b) of ``swap_cells`` with a scale.
 
     Swap counts are drawn per cell (binomial), exam and block of permutations. A task adds up the
     exams it has: what it holds and emits is one number for each pair and permutation.
     """
-    ranking = model_ranking(labels)
     keys = ["scale", "a", "b"]
-    cells = None
-    for scale in ("linear_abs", "bologna"):
-        one = swap_cells(_pairs(labels, best_against_others(ranking, f"el_qwk_{scale}"), scale)).withColumn("scale", F.lit(scale))
-        cells = one if cells is None else cells.unionByName(one)
     exams = cells.groupBy(*keys, *EXAM).agg(F.array_sort(F.collect_list(F.struct("g", "x", "y", "n"))).alias("cells"))  # grades cubed at most
-    blocks = labels.sparkSession.range(math.ceil(n / per_block)).select(F.col("id").alias("block"))
+    blocks = cells.sparkSession.range(math.ceil(n / per_block)).select(F.col("id").alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C
 from .exam import METRICS, grouped_item_metrics
+from .ranks import global_position
 
 GRADE_ROWS = C.GRADES
 # Answer length bins [low, high) and their labels; Bloom levels in order.
@@ -138,7 +139,7 @@ def group_share(df: DataFrame, group: str, value: str) -> DataFrame:
 def question_difficulty(df: DataFrame) -> DataFrame:
     """Questions hardest first; ties by id."""
     out = df.groupBy("question_id", "bloom_level").agg(F.avg("grade").alias("mean_score"), F.count(F.lit(1)).alias("n"))
-    return out.withColumn("position", F.row_number().over(Window.orderBy("mean_score", "question_id")))
+    return global_position(out, ["mean_score", "question_id"])
 
 
 def question_grade_share(df: DataFrame) -> DataFrame:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import fixtures as X
 from ..functions import columns as C
 from ..functions.agreement import mae, mse, rmse
 from ..operators import clean as K, exam as E, joins as J
-from ..sources import io
+from ..operators.significance import pair_cells
+from ..sources import io, snapshots
 from .common import r, rounded
-from .exam import ITEM_SQL, METRICS_SQL, SAMPLE_SQL, SCALED_SQL, complete, exam_questions, metrics, responses, scaled
+from .exam import ITEM_SQL, METRICS_SQL, MODELS, SAMPLE_SQL, SCALED_SQL, complete, exam_questions, metrics, responses, sat, scaled
 
 
 def _v(name: str):
@@ -21,11 +19,7 @@ def _v(name: str):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = (base or "file://" + tempfile.gettempdir()).rstrip("/")
-    return f"{base}/marksheet-{uuid.uuid4().hex}"
+    return io.new_path(spark, "query")
 
 
 dirty, meta = _v("responses_dirty"), _v("question_meta")
@@ -93,13 +87,16 @@ def audited(s, d):
 
 
 def paired(s, d):
-    labels = E.student_scales(complete(s, d)).select("model_col", "test_id", "test_size", "member_id", "gold_linear_abs", "pred_linear_abs")
-    return J.paired_model_join(labels, "new_grade_a", "grade_prior_c").withColumn("gold_agrees", F.col("gold_linear_abs_a") == F.col("gold_linear_abs_b"))
+    """Exam-students of two models by exam and grades, and whether the reference grades agree."""
+    pair = s.createDataFrame([("new_grade_a", "grade_prior_c")], "a string, b string")
+    grades = [f"{t}_linear_abs_{x}" for x in ("a", "b") for t in ("gold", "pred")]
+    met = pair_cells(sat(s, d), MODELS, pair).groupBy("test_id", "test_size", *grades).agg(F.sum("n").alias("n"))
+    return met.withColumn("gold_agrees", F.col("gold_linear_abs_a") == F.col("gold_linear_abs_b"))
 
 
 def duplicates(s, d):
     twice = responses(s, d).select("member_id", "question_id").union(responses(s, d).where("grade = 0.5").select("member_id", "question_id"))
-    return J.duplicate_report(exam_questions(s, d).where("test_size = 5"), twice)
+    return J.duplicate_report(exam_questions(s, d), twice)
 
 
 def column_checks(s, d):
@@ -108,18 +105,22 @@ def column_checks(s, d):
 
 
 def env_reuse(s, d):
-    path = _folder(s)
-    settings = dict(seed=X.SEED, runs=X.RUNS, sizes=X.SIZES, rows=responses(s, d).count())
-    before = io.env_is_fresh(s, path, **settings)
-    io.record_settings(s, path, **settings)
-    now, other = io.env_is_fresh(s, path, **settings), io.env_is_fresh(s, path, **(settings | {"seed": 1}))
-    return s.createDataFrame([(before, now, other)], "before boolean, same boolean, changed boolean")
+    """Whether the exam tables can be used again: before any build, as built, with another seed, with another row."""
+    path, settings, source = _folder(s), dict(seed=X.SEED, runs=X.RUNS, sizes=X.SIZES), responses(s, d)
+    same = snapshots.fingerprint(settings, {"responses": source})
+    before = snapshots.is_fresh(s, path, same)
+    snapshots.publish(exam_questions(s, d), path, same)
+    other = snapshots.fingerprint(settings | {"seed": 1}, {"responses": source})
+    moved = snapshots.fingerprint(settings, {"responses": source.withColumn("grade", F.when(F.col("answer_id") == source.agg(F.min("answer_id")).first()[0], F.lit(9.0)).otherwise(F.col("grade")))})
+    found = [before, *(snapshots.is_fresh(s, path, m) for m in (same, other, moved))]
+    io.remove(s, path)
+    return s.createDataFrame([tuple(found)], "before boolean, same boolean, changed boolean, row_changed boolean")
 
 
 def metric_cache(s, d):
-    path = _folder(s)
-    first = io.metric_table_cache(s, path, lambda: metrics(s, d))
-    return io.metric_table_cache(s, path, lambda: first.limit(0)).groupBy("model_col").agg(F.count(F.lit(1)).alias("n"))
+    path, settings = _folder(s), dict(seed=X.SEED, runs=X.RUNS, sizes=X.SIZES, models=MODELS)
+    snapshots.cached(s, path, lambda: metrics(s, d), settings)
+    return snapshots.cached(s, path, lambda: metrics(s, d).limit(0), settings).groupBy("model_col").agg(F.count(F.lit(1)).alias("n"))
 
 
 def inferred(s, d):
@@ -133,13 +134,6 @@ def relational(s, d):
     return J.union_by_name(*(t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n") for n, t in tables.items()))
 
 
-def _models(s):
-    return s.createDataFrame([(m,) for m in (*X.MODELS, "human/expert two")], "model_col string")
-
-
-_MODEL_ROWS = " UNION ALL ".join(f"SELECT '{m}' AS model_col" for m in (*X.MODELS, "human/expert two"))
-
-
 def display_names(s, d):
     long = responses(s, d).select(F.explode(F.array(*(F.struct(F.lit(m).alias("model_col"), F.col(m).alias("p")) for m in X.MODELS))).alias("x")).select("x.*")
     return rounded(long.groupBy("model_col").agg(F.avg("p").alias("mean_grade")).withColumns({"display": C.model_short_name(F.col("model_col")), "family": C.model_family(F.col("model_col"))}))
@@ -306,13 +300,14 @@ ORACLES = {
     "audited_grade_merge": _rsql(f"answer_id, new_grade_a, {_A} AS human_1, {_B} AS human_2"),
     "audit_grade_consistency": f"WITH {_DIRTY} SELECT * FROM (SELECT m, q, TRY_CAST(grade_text AS DOUBLE) AS grade, {_LABEL} AS mapped FROM responses_dirty) WHERE grade IS DISTINCT FROM mapped",
     "join_cardinality_check": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
-    "paired_model_join": f"WITH {SCALED_SQL} SELECT a.test_id, a.test_size, a.member_id, a.gold_linear_abs AS gold_linear_abs_a, a.pred_linear_abs AS pred_linear_abs_a, b.gold_linear_abs AS gold_linear_abs_b, b.pred_linear_abs AS pred_linear_abs_b, a.gold_linear_abs = b.gold_linear_abs AS gold_agrees FROM scaled a JOIN scaled b USING (test_id, test_size, member_id) WHERE a.model_col = 'new_grade_a' AND b.model_col = 'grade_prior_c'",
+    "paired_model_join": f"""WITH {SCALED_SQL}, pa AS (SELECT test_id, test_size, member_id, gold_linear_abs, pred_linear_abs FROM scaled WHERE model_col = 'new_grade_a'), pb AS (SELECT test_id, test_size, member_id, gold_linear_abs, pred_linear_abs FROM scaled WHERE model_col = 'grade_prior_c')
+        SELECT test_id, test_size, pa.gold_linear_abs AS gold_linear_abs_a, pa.pred_linear_abs AS pred_linear_abs_a, pb.gold_linear_abs AS gold_linear_abs_b, pb.pred_linear_abs AS pred_linear_abs_b, count(*) AS n, pa.gold_linear_abs = pb.gold_linear_abs AS gold_agrees FROM pa JOIN pb USING (test_id, test_size, member_id) GROUP BY ALL""",
     "item_exam_metric_join": f"WITH {METRICS_SQL}, {ITEM_SQL.split(', ', 0)[0][len(X.cte('responses')) + 2:]} SELECT item.model_col, {r('item_tau_b', 'item_tau_b')}, {r('item_qwk', 'item_qwk')}, {r('m', 'el_tau_b_mean')} FROM item LEFT JOIN (SELECT model_col, avg(el_tau_b) AS m FROM metrics GROUP BY model_col) x USING (model_col) WHERE item.model_col <> 'human_expert_two'",
     "resume_anti_join": f"WITH {X.cte('gradings', 'feedback')} SELECT id AS grading_id FROM gradings WHERE id NOT IN (SELECT grading_id FROM feedback)",
     "dedup_first_by_key": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) WHERE n = 1",
     "find_duplicates": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1",
     "assert_unique_pairs": _rsql("count(*) AS n"),
-    "duplicate_report": f"WITH {SAMPLE_SQL} SELECT test_id, test_size, member_id, question_id, 2 AS n_answers FROM exam JOIN responses USING (question_id) WHERE test_size = 5 AND grade = 0.5",
+    "duplicate_report": f"WITH {SAMPLE_SQL} SELECT test_id, test_size, member_id, question_id, 2 AS n_answers FROM exam JOIN responses USING (question_id) WHERE grade = 0.5",
     "union_by_name": _rsql("answer_id, CASE WHEN split = 'test' THEN grade END AS grade, CASE WHEN split = 'train' THEN new_grade_a END AS new_grade_a"),
     "question_leakage_check": _rsql("DISTINCT question_id") + " WHERE question_id = 'q3'",
     "model_key_sets_equal": f"""WITH {SCALED_SQL}, base AS (SELECT DISTINCT test_id, test_size, member_id FROM scaled WHERE model_col = (SELECT min(model_col) FROM scaled)), want AS (SELECT * FROM base, (SELECT DISTINCT model_col FROM scaled))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixtures as X
 from ..functions import scales as S
 from ..operators import exam as E, sampling as P
+from ..operators.sheets import sittings
 from .common import dbl, kappa_cte, r, rounded, tau_cte
 
 MODELS = (*X.MODELS, "human_expert_two")
 KEYS = ["model_col", "test_id", "test_size"]
+ENTRIES = X.RUNS * sum(X.SIZES)
 
 
 def responses(spark, sf_dir) -> DataFrame:
@@ -23,13 +25,20 @@ def exam_questions(spark, sf_dir) -> DataFrame:
     return P.sample_exam_questions(responses(spark, sf_dir), X.RUNS, X.SIZES, X.SEED)
 
 
+def students(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.eligible_students(exam_questions(spark, sf_dir), responses(spark, sf_dir), ENTRIES)
+
+
 def exam_env(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers, exam = responses(spark, sf_dir), exam_questions(spark, sf_dir)
-    return P.exam_env_join(exam, P.eligible_students(exam, answers), answers)
+    return P.exam_env_join(exam_questions(spark, sf_dir), students(spark, sf_dir), responses(spark, sf_dir))
+
+
+def sat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sittings(exam_questions(spark, sf_dir), responses(spark, sf_dir), E.graded_columns(MODELS), ENTRIES)
 
 
 def totals(spark, sf_dir) -> DataFrame:
-    return E.student_exam_totals(exam_env(spark, sf_dir), MODELS)
+    return E.student_exam_totals(sat(spark, sf_dir), MODELS)
 
 
 def complete(spark, sf_dir) -> DataFrame:
@@ -37,7 +46,7 @@ def complete(spark, sf_dir) -> DataFrame:
 
 
 def cells(spark, sf_dir) -> DataFrame:
-    return E.total_cells(complete(spark, sf_dir))
+    return E.total_cells(totals(spark, sf_dir))
 
 
 def scaled(spark, sf_dir) -> DataFrame:
@@ -45,7 +54,7 @@ def scaled(spark, sf_dir) -> DataFrame:
 
 
 def metrics(spark, sf_dir) -> DataFrame:
-    return E.exam_metrics(exam_env(spark, sf_dir), MODELS)
+    return E.exam_metrics(sat(spark, sf_dir), MODELS)
 
 
 def sweep(spark, sf_dir) -> DataFrame:
@@ -205,8 +214,8 @@ QUERIES = {
     "sample_exam_questions": lambda s, d: exam_questions(s, d),
     "question_order_in_exam": lambda s, d: exam_questions(s, d).select("test_id", "test_size", "question_id", "question_order"),
     "question_pool_check": lambda s, d: P.question_pool(responses(s, d), X.SIZES),
-    "eligible_students": lambda s, d: P.eligible_students(exam_questions(s, d), responses(s, d)),
-    "exam_structure_join": lambda s, d: P.exam_structure_join(exam_questions(s, d), P.eligible_students(exam_questions(s, d), responses(s, d))).groupBy("test_id", "test_size", "member_id").agg(F.count_distinct("question_id").alias("n_questions"), F.sum("question_order").alias("orders")),
+    "eligible_students": students,
+    "exam_structure_join": lambda s, d: P.exam_structure_join(exam_questions(s, d), students(s, d)).groupBy("test_id", "test_size", "member_id").agg(F.count_distinct("question_id").alias("n_questions"), F.sum("question_order").alias("orders")),
     "exam_env_join": lambda s, d: _sums(exam_env(s, d), ["test_id", "test_size", "question_id"], "human_grade", *X.MODELS),
     "student_exam_totals": totals,
     "completeness_filter": complete,
@@ -228,7 +237,7 @@ QUERIES = {
     "exam_metrics_wide": lambda s, d: rounded(E.exam_metrics_wide(metrics(s, d), MODELS, ("el_tau_b", "el_acc_linear_abs", "el_qwk_bologna"))),
     "exam_summary": lambda s, d: rounded(E.exam_summary(metrics(s, d))),
     "report_rollup": lambda s, d: rounded(E.report_rollup(metrics(s, d), ("el_tau_b", "el_acc_linear_abs"))),
-    "student_scale_export": lambda s, d: rounded(E.student_scale_export(exam_env(s, d), "new_grade_a").select(*_STUDENT, "gold_total", "pred_total", *_SCALE_COLS.split(", "), "rank")),
+    "student_scale_export": lambda s, d: rounded(E.student_scale_export(sat(s, d), "new_grade_a").select(*_STUDENT, "gold_total", "pred_total", *_SCALE_COLS.split(", "), "rank")),
     "rank_by_total": lambda s, d: E.rank_by_total(complete(s, d)).select(*_STUDENT, "pred_total", "rank"),
     "grade_abs_n_classes": lambda s, d: E.granularity_labels(cells(s, d)).where("scale = 'absolute'"),
     "grade_dist_n_classes": lambda s, d: E.granularity_labels(cells(s, d)).where("scale = 'distribution'"),

@@ -8,13 +8,17 @@ from .. import fixtures as X
 from ..operators import baselines as B, rich_text as R, significance as T
 from ..plans import lineage as L
 from .common import kappa_cte, r, rounded
-from .exam import MODELS, SCALED_SQL, exam_env, responses
+from .exam import MODELS, SCALED_SQL, responses, sat
 
 SIZE, N = 10, X.PERMUTATIONS
 
 
 def labels(s, d):
-    return T.exam_label_table(exam_env(s, d), MODELS, SIZE)
+    return T.exam_label_table(sat(s, d), MODELS, SIZE)
+
+
+def cells(s, d):
+    return T.label_cells(sat(s, d), MODELS, SIZE)
 
 
 def pairs(s, d):
@@ -22,7 +26,7 @@ def pairs(s, d):
 
 
 def mcnemar_counts(s, d):
-    return T.mcnemar_counts(labels(s, d), pairs(s, d), "correct_linear_abs")
+    return T.mcnemar_counts(T.pair_cells(sat(s, d), MODELS, pairs(s, d), SIZE), "linear_abs")
 
 
 def mcnemar_exact_p(s, d):
@@ -30,18 +34,24 @@ def mcnemar_exact_p(s, d):
 
 
 def permutation(s, d):
-    return rounded(T.permutation_test_qwk(labels(s, d), "new_grade_a", "pred_tfidf_d", N, X.SEED))
+    return rounded(T.permutation_test_qwk(sat(s, d), MODELS, SIZE, "new_grade_a", "pred_tfidf_d", N, X.SEED))
 
 
 def rich_documents(s, d):
-    """Editor documents made from conversation turns: a list item around every turn's text."""
-    turn = F.struct(F.lit("listItem").alias("type"), F.array(F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))).alias("content"))
-    return X.base(s, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.lit("doc").alias("type"), F.array_sort(F.collect_list(F.struct("turn", turn.alias("node")))).getField("node").alias("content"))).alias("document"))
+    """Editor documents made from conversation turns: a list item around every turn's text. Every
+    seventh conversation has no document, every eleventh an empty one."""
+    text = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct(F.lit("listItem").alias("type"), F.array(F.struct(F.lit("paragraph").alias("type"), F.array(text).alias("content"))).alias("content"))
+    made = X.base(s, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.lit("doc").alias("type"), F.array_sort(F.collect_list(F.struct("turn", turn.alias("node")))).getField("node").alias("content"))).alias("document"))
+    return made.withColumn("document", F.when(F.col("conv_id") % 7 == 3, F.lit(None)).when(F.col("conv_id") % 11 == 5, "").otherwise(F.col("document")))
 
 
 def rich_questions(s, d):
     qa = X.view(s, d, "qa_text")
-    return qa.select("id", F.to_json(F.struct("question", F.struct(F.lit("text").alias("type"), F.col("answer").alias("text")).alias("rubric"), F.array("answer", "question").alias("examples"))).alias("document"))
+    text = lambda c: F.struct(F.lit("text").alias("type"), F.col(c).alias("text"))
+    doc = lambda c: F.struct(F.lit("doc").alias("type"), F.array(F.struct(F.lit("heading").alias("type"), F.array(text(c), F.struct(F.lit("hardBreak").alias("type"), F.lit(None).cast("string").alias("text")), text(c)).alias("content"))).alias("content"))
+    example = lambda c, a: F.struct(text(c).alias("content"), F.lit(a).alias("accuracy"))
+    return qa.select("id", F.to_json(F.struct(doc("question").alias("content"), text("answer").alias("rubric"), F.array(example("answer", 0.5), example("question", 1.0)).alias("examples"))).alias("document"))
 
 
 def release(s, d):
@@ -74,13 +84,13 @@ _CODE = lambda c: f"CAST(round_even(({c} - 1) / 0.5, 0) AS DOUBLE)"  # noqa: E73
 
 QUERIES = {
     "exam_label_table": lambda s, d: rounded(labels(s, d)),
-    "model_ranking": lambda s, d: rounded(T.model_ranking(labels(s, d)).drop("model")),
-    "best_model_per_metric": lambda s, d: rounded(T.best_model_per_metric(T.model_ranking(labels(s, d)))),
+    "model_ranking": lambda s, d: rounded(T.model_ranking(cells(s, d)).drop("model")),
+    "best_model_per_metric": lambda s, d: rounded(T.best_model_per_metric(T.model_ranking(cells(s, d)))),
     "mcnemar_counts": mcnemar_counts,
     "mcnemar_exact_p": mcnemar_exact_p,
-    "mcnemar_all_pairs": lambda s, d: rounded(T.mcnemar_all_pairs(labels(s, d)).select("scale", "a", "b", "discordant", "p")),
+    "mcnemar_all_pairs": lambda s, d: rounded(T.mcnemar_all_pairs(sat(s, d), MODELS, SIZE).select("scale", "a", "b", "discordant", "p")),
     "permutation_test_qwk": permutation,
-    "permutation_all_pairs": lambda s, d: rounded(T.permutation_all_pairs(labels(s, d), N, X.SEED)),
+    "permutation_all_pairs": lambda s, d: rounded(T.permutation_all_pairs(sat(s, d), MODELS, SIZE, N, X.SEED)),
     "sanity_checks": lambda s, d: T.sanity_checks(labels(s, d), MODELS, SIZE),
     "rich_text_column_job": lambda s, d: R.rich_text_column_job(rich_documents(s, d), "document", "plain").select("conv_id", "plain"),
     "rich_question_column_job": lambda s, d: R.rich_question_column_job(rich_questions(s, d), "document").select("id", "question", "rubric", "examples"),
@@ -91,7 +101,13 @@ QUERIES = {
     "tfidf_variants": lambda s, d: B.tfidf_variants(_tfidf_base(s, d)).select("answer_id", "split", *(f"pred_tfidf_{v}" for v in B.RECIPES)),
 }
 
+# Python's and Java's white space at both ends.
+_STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x0B\x1C-\x1F\x85\p{{Z}}]+', ''), '[\s\x0B\x1C-\x1F\x85\p{{Z}}]+$', '')"
+
 ORACLES = {
+    "rich_text_column_job": f"""SELECT conv_id, CASE WHEN conv_id % 7 = 3 OR conv_id % 11 = 5 THEN '' ELSE {_STRIP.format("string_agg(coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn)")} END AS plain FROM conversations GROUP BY conv_id""",
+    "rich_question_column_job": f"""WITH {X.cte('qa_text')} SELECT id, {_STRIP.format("question || chr(10) || question")} AS question, {_STRIP.format("answer")} AS rubric,
+        concat('Ex 1 (Acc: 0.5): ', {_STRIP.format("answer")}, chr(10), '---', chr(10), 'Ex 2 (Acc: 1.0): ', {_STRIP.format("question")}) AS examples FROM qa_text""",
     "exam_label_table": f"WITH {LABELS_SQL} SELECT * REPLACE (round(gold_norm, 9) AS gold_norm, round(pred_norm, 9) AS pred_norm) FROM labels",
     "model_ranking": f"WITH {RANK_SQL} SELECT model_col, n_exam_student_rows, {', '.join(r(m, m) for m in T.RANKING)}, position FROM ranking",
     "best_model_per_metric": f"WITH {RANK_SQL} SELECT selection_metric, best_model_col, {r('best_value', 'best_value')} FROM best",

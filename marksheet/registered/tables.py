@@ -9,7 +9,7 @@ from ..functions import scales as S
 from ..operators import baselines as B, clean as K, exam as E, sampling as P, tables as A
 from .cleaning import LANGUAGE
 from .common import dbl, kappa_cte, r, rounded, tau_cte
-from .exam import ITEM_SQL, METRICS_SQL, SAMPLE_SQL, SUMMARY_SQL, SWEEP_SQL, exam_questions, metrics, responses, sweep
+from .exam import ENTRIES, ITEM_SQL, METRICS_SQL, SAMPLE_SQL, SUMMARY_SQL, SWEEP_SQL, exam_questions, metrics, responses, sweep
 
 _BASE = X.cte("responses")
 _NAMES = ("el_tau_b", "el_acc_linear_abs", "el_qwk_bologna")
@@ -32,10 +32,10 @@ def long_feedback(s, d):
 
 
 def metadata(s, d):
-    exam, dirty = exam_questions(s, d).where("test_size = 5"), X.view(s, d, "responses_dirty")
+    exam, dirty = exam_questions(s, d), X.view(s, d, "responses_dirty")
     named = dirty.withColumn("question_id", F.concat(F.lit("q"), "question_id"))
     valid = K.valid_key_filter(named)
-    return A.exam_metadata(exam, named, valid, P.eligible_students(exam, valid)).select("test_id", "test_size", *_META)
+    return A.exam_metadata(exam, named, valid, P.eligible_students(exam, valid, ENTRIES)).select("test_id", "test_size", *_META)
 
 
 _META = ("rows_all", "students_all", "answers_all", "empty_all", "rows_valid", "students_valid", "answers_valid", "empty_valid", "rows_eligible", "empty_eligible", "eligible_students")
@@ -139,7 +139,7 @@ ORACLES = {
     "exam_metadata": f"""WITH {SAMPLE_SQL}, {X.cte('responses_dirty').split('responses_dirty AS', 1)[1].join(['dirty AS', ''])},
         raw AS (SELECT 'q' || question_id AS question_id, member_id, answer_id, answer FROM dirty),
         ok AS (SELECT trim(question_id) AS question_id, trim(member_id) AS member_id, trim(answer_id) AS answer_id, answer FROM raw WHERE trim(coalesce(question_id, '')) <> '' AND trim(coalesce(member_id, '')) <> '' AND trim(coalesce(answer_id, '')) <> ''),
-        ex AS (SELECT * FROM exam WHERE test_size = 5),
+        ex AS (SELECT * FROM exam),
         el AS (SELECT test_id, test_size, member_id FROM ex JOIN ok USING (question_id) GROUP BY ALL HAVING count(DISTINCT question_id) = test_size),
         a AS (SELECT test_id, test_size, count(*) AS rows_all, count(DISTINCT member_id) AS students_all, count(DISTINCT answer_id) AS answers_all, count(*) FILTER (answer IS NULL OR trim(answer) = '') AS empty_all FROM ex JOIN raw USING (question_id) GROUP BY ALL),
         v AS (SELECT test_id, test_size, count(*) AS rows_valid, count(DISTINCT member_id) AS students_valid, count(DISTINCT answer_id) AS answers_valid, count(*) FILTER (answer IS NULL OR trim(answer) = '') AS empty_valid FROM ex JOIN ok USING (question_id) GROUP BY ALL),

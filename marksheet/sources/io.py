@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
+import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -61,23 +61,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def fingerprint(**settings) -> str:
-    return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
-
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
-def env_is_fresh(spark: SparkSession, path: str, **settings) -> bool:
-    """Whether the exam tables under ``path`` were built from the same settings and row counts."""
-    if not exists(spark, f"{path}/_settings.parquet"):
-        return False
-    return spark.read.parquet(f"{path}/_settings.parquet").first()["fingerprint"] == fingerprint(**settings)
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses in ``spark.checkpoint.dir``, which all executors share.
 
-def record_settings(spark: SparkSession, path: str, **settings) -> None:
-    spark.createDataFrame([(fingerprint(**settings),)], "fingerprint string").write.mode("overwrite").parquet(f"{path}/_settings.parquet")
+    Only local masters without that setting (tests) get a folder of their own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/marksheet-{name}-{uuid.uuid4().hex}"
 
 
-def metric_table_cache(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
-    """The materialised metric table, built only when absent or forced."""
-    if force or not exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its rows stay as they are however often they are read."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,9 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-# Fewer exams and permutations than the queries register, so that the tests can run every query.
-os.environ.setdefault("MARKSHEET_RUNS", "12")
-os.environ.setdefault("MARKSHEET_PERMUTATIONS", "300")
 
 
 @pytest.fixture(scope="session")

@@ -1,6 +1,10 @@
 """Hand-computed tables for the exact semantics."""
 
 import itertools
+import json
+import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +12,9 @@ from pyspark.sql import Window, functions as F
 
 from marksheet.functions import agreement as G, columns as C, scales as S
 from marksheet.operators import clean as K, exam as E, joins as J, rich_text as R, significance as T
-from marksheet.sources import io
+from marksheet.operators.ranks import global_position
+from marksheet.operators.sheets import eligible, sittings
+from marksheet.sources import io, snapshots
 
 
 def column(spark, values, expression, kind="double"):
@@ -105,15 +111,54 @@ def test_mean_centred(spark):
 
 
 def test_missing_predictions_and_reference(spark):
-    env = spark.createDataFrame([("t", 2, "m1", q, 1.0, 1.0, 0.5, p) for q, p in (("q1", 1.0), ("q2", None))] + [("t", 2, "m2", q, 0.5, 0.75, 0.5, 0.5) for q in ("q1", "q2")], "test_id string, test_size int, member_id string, question_id string, human_grade double, human_expert_one_gold double, human_expert_two double, new_grade_a double")
-    counts = {r["model_col"]: r for r in E.completeness_counts(E.student_exam_totals(env, ["new_grade_a", "human_expert_two"])).collect()}
+    answers = spark.createDataFrame([("m1", q, 1.0, 1.0, 0.5, p) for q, p in (("q1", 1.0), ("q2", None))] + [("m2", q, 0.5, 0.75, 0.5, 0.5) for q in ("q1", "q2")], "member_id string, question_id string, human_grade double, human_expert_one_gold double, human_expert_two double, new_grade_a double")
+    exam = spark.createDataFrame([("t", 2, "q1"), ("t", 2, "q2")], "test_id string, test_size int, question_id string")
+    models = ["new_grade_a", "human_expert_two"]
+    totals = E.student_exam_totals(sittings(exam, answers, E.graded_columns(models)), models)
+    counts = {r["model_col"]: r for r in E.completeness_counts(totals).collect()}
     assert counts["new_grade_a"]["n_students"] == 1 and counts["new_grade_a"]["students_missing_prediction"] == 1 and counts["human_expert_two"]["n_students"] == 2
-    totals = {(r["model_col"], r["member_id"]): r for r in E.student_exam_totals(env, ["new_grade_a", "human_expert_two"]).collect()}
+    totals = {(r["model_col"], r["member_id"]): r for r in totals.collect()}
     assert totals["human_expert_two", "m2"]["gold_total"] == 1.5 and totals["new_grade_a", "m2"]["gold_total"] == 1.0 and totals["new_grade_a", "m1"]["pred_total"] == 1.0
-    empty = E.exam_metrics(env.where("member_id = 'm1'"), ["new_grade_a"]).first()
+    empty = E.exam_metrics(sittings(exam, answers.where("member_id = 'm1'"), E.graded_columns(models)), ["new_grade_a"]).first()
     assert empty["n_students"] == 0 and empty["el_tau_b"] is None and empty["students_raw"] == 1
 
 
+def test_sheets_equal_brute_force(spark, monkeypatch):
+    """Bitmaps of several words, repeated answers, gaps, nulls and exams in blocks."""
+    rng = random.Random(3)
+    answers = [(f"m{m}", f"q{q:03}", rng.choice([0.0, 0.25, 0.5, 1.0, None]), rng.choice([0.0, 0.5, None])) for m in range(30) for q in range(150) if rng.random() < (1 if m < 3 else 0.93)]
+    answers += [("m1", "q007", 0.5, None), (None, "q001", 1.0, 1.0), ("m2", None, 1.0, 1.0), ("m3", "elsewhere", 1.0, 1.0)]
+    exams = [(f"t{t}", n, f"q{q:03}") for t, n in enumerate((1, 2, 5, 20, 70, 3)) for q in rng.sample(range(150), n)] + [("gone", 2, "q001"), ("gone", 2, "q999"), ("short", 3, "q001"), ("short", 3, "q002")]
+    df = spark.createDataFrame(answers, "member_id string, question_id string, human_grade double, new_grade_a double")
+    exam = spark.createDataFrame(exams, "test_id string, test_size int, question_id string")
+    want = set()
+    for t, n in {(t, n) for t, n, _ in exams}:
+        asked = {q for a, _, q in exams if a == t}
+        for m in {a[0] for a in answers if a[0]}:
+            mine = [a for a in answers if a[0] == m and a[1] in asked]
+            if {a[1] for a in mine} == asked and len(asked) == n:
+                y, p = ([a[i] for a in mine if a[i] is not None] for i in (2, 3))
+                want.add((t, m, len(mine), n, len(y), len(p), sum(y), sum(p)))
+    assert len({w[0] for w in want}) > 3
+    for most in (1_000_000, 30):
+        monkeypatch.setattr("marksheet.operators.sheets.ENTRIES", most)
+        sat = sittings(exam, df, E.graded_columns(["new_grade_a"]))
+        got = E.student_exam_totals(sat, ["new_grade_a"])
+        assert {(r["test_id"], r["member_id"], *(r[c] for c in ("n_rows", "n_questions", "human_valid", "pred_valid", "gold_total", "pred_total"))) for r in got.collect()} == want
+        assert {(r[0], r[2]) for r in eligible(sat).collect()} == {w[:2] for w in want}
+    assert sittings(exam.limit(0), df).count() == 0 and sittings(exam, df.limit(0)).count() == 0
+
+
+def test_exam_core_makes_no_row_for_a_question(spark):
+    """From sheets to metrics nothing is exploded but models, and only counts are shuffled."""
+    df = spark.createDataFrame([("m", "q", 1.0, 1.0)], "member_id string, question_id string, human_grade double, new_grade_a double")
+    exam = spark.createDataFrame([("t", 1, "q")], "test_id string, test_size int, question_id string")
+    totals = E.student_exam_totals(sittings(exam, df, E.graded_columns(["new_grade_a"]), 1), ["new_grade_a"])
+    plan = E.exam_states(totals)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" not in plan and plan.count("Generate explode(array(struct(model_col") <= 1
+    assert not re.search(r"Exchange hashpartitioning\([^)]*member_id[^)]*test_id", plan)
+
+
 def test_mcnemar(spark):
     from math import comb
 
@@ -144,18 +189,121 @@ def test_model_outputs(spark):
     assert column(spark, outputs, C.grade_from_model_output, "string") == [0.75, 0.5, 0.25, -1.0, -1.0, 1.0, -1.0]
 
 
-def test_rich_text(spark):
-    import json
+def text_of_document(document):
+    """The text of an editor document by plain recursion."""
+    def walk(node):
+        if not isinstance(node, dict):
+            return ""
+        below = "".join(map(walk, node["content"])) if isinstance(node.get("content"), list) else ""
+        return (node.get("text", "") if node.get("type") == "text" else "") + below + ("\n" if node.get("type") in ("paragraph", "listItem", "heading", "hardBreak") else "")
+    return walk(json.loads(document)).strip() if document else ""
 
-    doc = {"type": "doc", "content": [{"type": "heading", "content": [{"type": "text", "text": "A"}]}, {"type": "paragraph", "content": [{"type": "text", "text": "b"}, {"type": "text", "text": "c"}, {"type": "hardBreak"}, {"type": "text", "text": "d"}]}]}
+
+def test_rich_text(spark):
+    doc = {"type": "doc", "content": [{"type": "heading", "content": [{"type": "text", "text": "A"}]}, {"type": "paragraph", "content": [{"type": "text", "text": "b"}, {"type": "text", "text": "c"}, {"type": "hardBreak"}, {"type": "text", "text": " d\u2003"}]}]}
     deep = {"type": "text", "text": "x"}
-    for _ in range(400):
+    for _ in range(120):
         deep = {"type": "listItem", "content": [deep]}
-    df = spark.createDataFrame([(1, json.dumps(doc)), (2, None), (3, "plain"), (4, json.dumps(deep))], "i int, d string")
-    got = [r["t"] for r in R.rich_text_column_job(df, "d", "t").orderBy("i").collect()]
-    assert got == ["A\nbc\nd", None, "plain", "x"]
-    q = spark.createDataFrame([(1, json.dumps({"question": doc, "rubric": "r", "examples": ["e", "f"]}))], "i int, d string")
-    assert R.rich_question_column_job(q, "d").first()[2:] == ("A\nbc\nd", "r", "1. e\n2. f")
+    rng = random.Random(8)
+
+    def grown(depth):
+        kind = rng.choice(["text", "paragraph", "bulletList", "listItem", "hardBreak", None, 3])
+        node = {"type": kind, "text": rng.choice(["é", "{[", "", "\n", "two words"])} if kind is not None else {}
+        if depth and rng.random() < 0.8:
+            node["content"] = rng.choice([[grown(depth - 1) for _ in range(rng.randrange(13))], {"type": "text", "text": "not in a list"}, None, "a"])
+        return rng.choice([node, node, node, [node], 4]) if depth < 4 else node
+
+    documents = [json.dumps(doc), None, "", json.dumps(deep), "null", "17", json.dumps([doc]), json.dumps({"type": "text"}), json.dumps({"type": "paragraph", "content": [doc] * 300}), *(json.dumps(grown(5)) for _ in range(40))]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "i int, d string")
+    assert [r["t"] for r in R.rich_text_column_job(df, "d", "t").orderBy("i").collect()] == [text_of_document(d) for d in documents]
+    for broken in ("plain", '{"type": "text"', '{"type": "text", "text": 3}'):
+        with pytest.raises(Exception):  # noqa: B017
+            R.rich_text_column_job(spark.createDataFrame([(broken,)], "d string"), "d", "t").collect()
+    plan = R.rich_text_column_job(df, "d", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_rich_questions(spark):
+    para = lambda t: {"type": "paragraph", "content": [{"type": "text", "text": t}]}
+    examples = [{"content": para("e"), "accuracy": 1}, {"content": para("f"), "accuracy": 0.25}, {"accuracy": None}, {"content": para("g")}, {"content": 3, "accuracy": True}, {"content": para("h"), "accuracy": "half"}]
+    df = spark.createDataFrame([(1, json.dumps({"content": para("q"), "rubric": {"type": "doc", "content": [para("r"), para("s")]}, "examples": examples})), (2, None), (3, ""), (4, "{}")], "i int, d string")
+    got = [r[2:] for r in R.rich_question_column_job(df, "d").orderBy("i").collect()]
+    lines = "\n---\n".join(["Ex 1 (Acc: 1): e", "Ex 2 (Acc: 0.25): f", "Ex 3 (Acc: None): ", "Ex 4 (Acc: N/A): g", "Ex 5 (Acc: True): ", "Ex 6 (Acc: half): h"])
+    assert got == [("q", "r\ns", lines), ("", "", ""), ("", "", ""), ("", "", "")]
+    for broken in ("[]", "3", '{"examples": [1]}', '{"examples": 1}', "{"):
+        with pytest.raises(Exception):  # noqa: B017
+            R.rich_question_column_job(spark.createDataFrame([(broken,)], "d string"), "d").collect()
+
+
+def test_positions_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0.5, 0.25, None, 1.0, rng.random()]), f"k{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, v double, k string").repartition(7)
+    got = [r["position"] for r in global_position(df, ["v", "k"], parts=9).orderBy(F.col("v"), "k").collect()]
+    assert got == list(range(1, 3001))
+    order = [F.desc_nulls_last("v")]
+    ranks = {r["i"]: r["rank"] for r in global_position(df, order, "rank", ties=True, parts=9).collect()}
+    values = [(-v if v is not None else 9) for _, v, _ in rows]
+    assert ranks == {i: 1 + sum(x < y for x in values) for i, y in enumerate(values)}
+    assert global_position(df.limit(0), ["v"]).count() == 0
+    assert "SinglePartition" not in global_position(df, ["v", "k"], parts=9)._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_snapshots(spark, tmp_path):
+    root = f"file://{tmp_path}/cache"
+    table = spark.range(20).withColumn("v", F.col("id") * 2)
+    built = []
+
+    def build(df=table):
+        built.append(1)
+        return df
+
+    settings = {"seed": 1, "sizes": (5, 10)}
+    get = lambda df=table, **more: snapshots.cached(spark, root, lambda: build(df), settings | more, {"t": df})
+    assert get().count() == 20 and get().count() == 20 and len(built) == 1  # the second comes from the first
+    assert get(seed=2).count() == 20 and len(built) == 2  # another setting
+    changed = table.withColumn("v", F.when(F.col("id") == 7, 0).otherwise(F.col("v")))
+    assert get(changed, seed=2).where("v = 0 AND id = 7").count() == 1 and len(built) == 3  # one row, same count
+    assert get(changed.repartition(5), seed=2).count() == 20 and len(built) == 3  # order does not matter
+
+    # A build that dies midway leaves the last snapshot in place.
+    dying = spark.range(20).select("id", F.when(F.col("id") == 19, F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("id")).alias("v"))
+    with pytest.raises(Exception, match="killed"):
+        snapshots.publish(dying, root, "new")
+    assert snapshots.read(spark, root).where("v = 0 AND id = 7").count() == 1
+    (tmp_path / "cache" / "version-half").mkdir()
+    assert get(changed, seed=2).count() == 20 and len(built) == 3
+    # Files that vanish from the current snapshot make it stale, not wrong.
+    folder = tmp_path / "cache" / snapshots.current(spark, root)["folder"]
+    for f in list(folder.glob("part-*"))[:1]:
+        f.unlink()
+    assert get(changed, seed=2).count() == 20 and len(built) == 4
+    snapshots.discard_old(spark, root)
+    assert get(changed, seed=2).count() == 20 and len(built) == 4 and len([p for p in (tmp_path / "cache").iterdir() if not p.name.startswith(".")]) == 2
+    with pytest.raises(FileNotFoundError):
+        snapshots.read(spark, f"file://{tmp_path}/nothing")
+
+
+def test_tau_of_continuous_values_in_blocks(spark):
+    """Ties, hot values and null keys, with as many blocks as rows allow."""
+    rng = np.random.default_rng(1)
+    groups = {
+        "plain": (rng.normal(size=2000), rng.normal(size=2000)), "ties": (rng.integers(0, 30, 2000) / 4, rng.normal(size=2000).round(1)), "one": (np.array([1.0]), np.array([1.0])), "flat": (np.ones(50), rng.normal(size=50)),
+        "hot": (np.where(rng.random(2000) < 0.4, 1.5, rng.normal(size=2000)), np.where(rng.random(2000) < 0.3, 0.0, rng.normal(size=2000))), None: (rng.normal(size=300), rng.integers(0, 3, 300) * 1.0),
+    }
+
+    def naive(y, p):
+        sy, sp = np.sign(y[:, None] - y[None]), np.sign(p[:, None] - p[None])
+        spread = math.sqrt(np.abs(sy).sum() * np.abs(sp).sum())
+        return (sy * sp).sum() / spread if spread else None
+
+    df = spark.createDataFrame([(g, float(a), float(b)) for g, (y, p) in groups.items() for a, b in zip(y, p, strict=True)], "g string, y double, p double")
+    want = {g: naive(y, p) for g, (y, p) in groups.items()}
+    for options in ({}, {"cells_a_block": 100, "most_blocks": 64}, {"cells_a_block": 7, "most_blocks": 16}):
+        got = {r["g"]: r["tau_b"] for r in G.kendall_tau_b(df, ["g"], "y", "p", **options).collect()}
+        assert got.keys() == want.keys() and all(got[g] == (None if w is None else pytest.approx(w, abs=1e-12)) for g, w in want.items())
+    got = {r["g"]: r["tau_b"] for r in G.tau_b_of_cells(df, ["g"], "y", "p").collect()}
+    assert all(got[g] == (None if w is None else pytest.approx(w, abs=1e-12)) for g, w in want.items())
 
 
 def test_exact_numpy_sample(spark):
@@ -297,12 +445,10 @@ def test_permutations_equal_exact_enumeration(spark):
         g, x = rng.integers(0, 6, n), rng.integers(0, 6, n)
         y = np.clip(g + rng.integers(-1, 2, n), 0, 5)
         exams.append((g.astype(float), x.astype(float), y.astype(float)))
-        for i in range(n):
-            for m, p in (("new_a", x), ("new_b", y)):
-                rows.append((m, f"test_{e}", 10, f"m{i}", 1 + g[i] / 2, 1 + p[i] / 2, int(g[i]), int(p[i])))
-    labels = spark.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rows], "model_col string, test_id string, test_size int, member_id string, gold_linear_abs double, pred_linear_abs double, gold_bologna int, pred_bologna int")
+        rows += [("a", "b", f"test_{e}", 10, 1, *map(int, (g[i], g[i], x[i], y[i]))) for i in range(n)]
+    cells = T.swap_cells(spark.createDataFrame(rows, "a string, b string, test_id string, test_size int, n long, g_a int, g_b int, p_a int, p_b int"))
     seen, p = exact_permutation_p(exams)
-    one = T.permutation_test_qwk(labels, "new_a", "new_b", 4000, 1).first()
+    one = T.permutation_of_cells(cells, 4000, 1).first()
     assert one["observed"] == pytest.approx(seen) and one["n_permutations"] == 4000 and one["p"] == pytest.approx(p, abs=0.03)
-    for r in T.permutation_all_pairs(labels, 4000, 1, per_block=1500).collect():
+    for r in T.permutations_in_blocks(cells.withColumn("scale", F.lit("s")), 4000, 1, 1500).collect():
         assert abs(r["observed"]) == pytest.approx(abs(seen)) and r["n_permutations"] == 4000 and r["p"] == pytest.approx(p, abs=0.03)
