@@ -112,11 +112,11 @@ def _runs(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def shared_blocks(docs: DataFrame, width: int, percent: int, buckets: int, seed: int, text: str, most_bytes: int = 32 << 20) -> DataFrame:
-    """(kind, value, df, node): the blocks that several nodes have, and per node and band its slack.
+    """(kind, value, df, node): the blocks that several nodes have, and the filled ones per node and band.
 
     kind 1: ``node`` has the block ``value``, as have about ``df`` nodes (copies of a node in other
     batches count again; all rows of a value have the same df). kind 2: ``value`` is a band, ``df``
-    the d + 1 of the node less its filled blocks.
+    the node's filled blocks in it times 2^31, and its d + 1.
 
     Blocks travel packed, by ranges of values. A batch of documents sends one row entry of each value
     with its number of nodes, and its other nodes apart, so what is held for a value is one entry for
@@ -126,7 +126,7 @@ def shared_blocks(docs: DataFrame, width: int, percent: int, buckets: int, seed:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
-        slack: list[tuple[int, int, int]] = []
+        filled: list[tuple[int, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -146,11 +146,11 @@ def shared_blocks(docs: DataFrame, width: int, percent: int, buckets: int, seed:
                 starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))[: len(of)])
                 for i, j in zip(starts, np.append(starts[1:], len(of))[: len(starts)], strict=True):
                     put(int(of[i]), kind, v[i:j].tobytes(), n[i:j].tobytes(), None if k is None else k[i:j].tobytes())
-            if slack:
-                n, band, left = (np.array(x, np.int64) for x in zip(*slack, strict=True))
-                put(int(n[0] % buckets), 2, band.tobytes(), n.tobytes(), left.astype(np.int32).tobytes())
+            if filled:
+                n, band, both = (np.array(x, np.int64) for x in zip(*filled, strict=True))
+                put(int(n[0] % buckets), 2, band.tobytes(), n.tobytes(), both.tobytes())
             held.clear()
-            slack.clear()
+            filled.clear()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])], names=names)
 
         for batch in batches:
@@ -164,7 +164,7 @@ def shared_blocks(docs: DataFrame, width: int, percent: int, buckets: int, seed:
                     held[node] = []
                     for band, need in bands_of(len(h), percent):
                         held[node].append(blocks(h, band, percent))
-                        slack.append((node, band, need - len(held[node][-1])))
+                        filled.append((node, band, (len(held[node][-1]) << 31) + need))
                 size += part.nbytes
                 if size > most_bytes:
                     yield flush()
@@ -178,7 +178,7 @@ def shared_blocks(docs: DataFrame, width: int, percent: int, buckets: int, seed:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(v.view(np.int64)), pa.array(d.astype(np.int64)), pa.array(n)], names=["kind", "value", "df", "node"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted by kind: all first entries of values, then the other nodes, then slack.
+        # Sorted by kind: all first entries of values, then the other nodes, then filled blocks.
         values, nodes, numbers = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
         known = df = None
         for batch in batches:
@@ -194,7 +194,7 @@ def shared_blocks(docs: DataFrame, width: int, percent: int, buckets: int, seed:
                 if kind == 1:
                     yield from rows(1, v, df[np.searchsorted(known, v)], n)
                 else:
-                    yield from rows(2, v, np.frombuffer(number, np.int32), n)
+                    yield from rows(2, v, np.frombuffer(number, np.int64), n)
         if known is None:
             yield from first_entries(values, nodes, numbers)
 
@@ -215,8 +215,12 @@ def shared_blocks(docs: DataFrame, width: int, percent: int, buckets: int, seed:
     return dealt.repartition(buckets, "bucket").sortWithinPartitions("kind").mapInArrow(meet, "kind int, value long, df long, node long")
 
 
+def _filled_and_need(df: Column) -> tuple[Column, Column]:
+    return F.shiftright(df, 31), df.bitwiseAND(F.lit((1 << 31) - 1))
+
+
 def prefixes(shared: DataFrame) -> DataFrame:
-    """(value, node, weight): each node's blocks among its first d + 1, rarest first.
+    """(value, node, place, weight): each node's blocks among its first d + 1, rarest first.
 
     Blocks of a node alone come first in that order, and only their number counts.
     """
@@ -225,9 +229,10 @@ def prefixes(shared: DataFrame) -> DataFrame:
     of_node = Window.partitionBy("node")
     block = F.col("kind") == 1
     rank = F.count_if(block).over(band.orderBy("kind", "df", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    limit = F.count_if(block).over(band) + F.max(F.when(~block, F.col("df"))).over(band)
-    early = rows.withColumns({"_rank": rank, "_limit": limit}).where(block & (F.col("_rank") <= F.col("_limit")))
-    return early.select("value", "node", F.sum("df").over(of_node).alias("weight"))
+    ranked = rows.withColumns({"_rank": rank, "_shared": F.count_if(block).over(band), "_both": F.max(F.when(~block, F.col("df"))).over(band)})
+    filled, need = _filled_and_need(F.col("_both"))
+    early = ranked.withColumn("place", filled - F.col("_shared") + F.col("_rank")).where(block & (F.col("place") <= need))
+    return early.select("value", "node", "place", F.sum("df").over(of_node).alias("weight"))
 
 
 def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, most_sent: int = 1_000_000) -> DataFrame:
@@ -261,12 +266,17 @@ def _far(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
 
 
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two rows with n and bits are not ruled out by sizes or bits."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & ((100 + percent) * _far(F.col(f"{x}.bits"), F.col(f"{y}.bits")) <= (100 - percent) * (n + m))
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that neither sizes nor bits rule out."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"s_{x}"))
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    close = (100 + percent) * _far(F.col("s_a"), F.col("s_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & close).select("a", "b")
+    x, y = (nodes.select("node", "n", "bits").alias(s) for s in ("x", "y"))
+    return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_may_link("x", "y", percent)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,7 +304,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, key:
     seed = 0
     while True:
         shared = saved(shared_blocks(docs, width, percent, max(8, elements // elements_a_bucket), seed, text), "shared-blocks")
-        if not shared.where("kind = 2 AND df > 0").limit(1).count():
+        if not shared.where((F.col("kind") == 2) & (_filled_and_need(F.col("df"))[0] < _filled_and_need(F.col("df"))[1])).limit(1).count():
             break
         # A node filled too few blocks: one in 10^15 does. All are drawn again by other hashes.
         discard(shared)
@@ -302,7 +312,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, key:
     early = saved(prefixes(shared), "prefixes")
     discard(shared)
     pivots = early.groupBy("value").agg(F.max(F.struct("weight", "node")).alias("_p"), F.count("*").alias("_n")).where("_n > 1").select("value", F.col("_p.node").alias("pivot"))
-    rest = early.select("value", "node").join(pivots, "value").where("node != pivot")
+    rest = early.select("value", "node", "place").join(pivots, "value").where("node != pivot")
     pairs = saved(rest.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs")
     likely = saved(possible(pairs, nodes, percent), "likely")
     sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, width)
@@ -311,13 +321,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, key:
     discard(likely, sets)
 
     # Blocks that the pivot leaves in several classes; all pairs with the pivot are done.
-    labelled = rest.join(classes, "node", "left").select("value", "node", F.coalesce("class", "node").alias("class"))
+    labelled = rest.join(classes, "node", "left").select("value", "node", "place", F.coalesce("class", "node").alias("class"))
     mixed = labelled.groupBy("value").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo != _hi").select("value")
-    open_rows = saved(labelled.join(mixed, "value", "left_semi").join(nodes.select("node", "n"), "node"), "open")
+    open_rows = saved(labelled.join(mixed, "value", "left_semi").join(nodes.select("node", "n", "bits"), "node"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    more = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.class") < F.col("y.class")) & sizes).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-    likely = saved(possible(more.distinct().join(pairs, ["a", "b"], "left_anti"), nodes, percent), "likely")
+    # The first block that two sets share comes after d blocks at most, d being that of their own sizes.
+    early_enough = (100 + percent) * (F.greatest("x.place", "y.place") - 1) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.class") < F.col("y.class")) & early_enough & _may_link("x", "y", percent))
+    likely = saved(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "likely")
     sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, width)
     more_links = confirmed(likely, sets, percent)
     discard(early, pairs, open_rows, likely, sets, classes)
