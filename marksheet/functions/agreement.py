@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.io import settled
+
 
 def mae(y: Column, p: Column) -> Column:
     return F.avg(F.abs(y - p))
@@ -140,11 +142,16 @@ def _tau(sums: DataFrame, keys: list[str], name: str) -> DataFrame:
     return sums.select(*keys, F.when(spread > 0, (n0 - n1 - n2 + n3 - 2 * dis) / F.sqrt(n0 - n1) / F.sqrt(n0 - n2)).alias(name))
 
 
+def _lists(cells: DataFrame, keys: list[str], *by: str, y: str = "_y", p: str = "_p") -> DataFrame:
+    cell = F.struct(F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"), "_n")
+    return cells.groupBy(*keys, *by).agg(F.collect_list(cell).alias("_cells"))
+
+
 def tau_b_of_cells(df: DataFrame, keys: list[str], y: str, p: str, name: str = "tau_b", weight: str | None = None) -> DataFrame:
     """``kendall_tau_b`` where every group is known to have few distinct pairs of values, as grades
     and totals of an exam have: a group's counts come in one list."""
     cells = label_cells(df, keys, F.col(y).cast("double"), F.col(p).cast("double"), weight)
-    return _tau(_inversions_of_lists(cells.groupBy(*keys).agg(F.collect_list(F.struct("_y", "_p", "_n")).alias("_cells")), keys), keys, name)
+    return _tau(_inversions_of_lists(_lists(cells, keys), keys), keys, name)
 
 
 def _block(value: str, side: str, most: int) -> Column:
@@ -160,14 +167,17 @@ def _block(value: str, side: str, most: int) -> Column:
 def kendall_tau_b(df: DataFrame, keys: list[str], y: str, p: str, name: str = "tau_b", weight: str | None = None, cells_a_block: int = 1 << 17, most_blocks: int = 512) -> DataFrame:
     """tau-b per group for any number of distinct values; null with fewer than two rows or a constant side.
 
-    Rows of equal values are counted first. A group of up to ``cells_a_block`` pairs of values is one
+    Rows of equal values are counted first, and the counts are written down. A group of up to ``cells_a_block`` pairs of values is one
     block. A larger one is cut into ranges of y and ranges of p by its quantiles (at most
     ``most_blocks``; a value that several quantiles fall on has a block alone). Pairs of rows in
     opposite order are then in one range of y, or in two of those and one range of p, or in two of
     both. The first and the second are counted inside their ranges, the third from the counts of
     (range, range). No task holds more than a range or those counts.
     """
-    cells = label_cells(df, keys, F.col(y).cast("double"), F.col(p).cast("double"), weight)
+    cells = settled(label_cells(df, keys, F.col(y).cast("double"), F.col(p).cast("double"), weight), "tau")
+    largest = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if largest <= cells_a_block:
+        return _tau(_inversions_of_lists(_lists(cells, keys), keys), keys, name)
     parts = F.least(F.ceil(F.count(F.lit(1)) / cells_a_block).cast("int"), F.lit(most_blocks))
     shares = F.lit([i / most_blocks for i in range(1, most_blocks)])
     quantile = lambda c: F.percentile_approx(c, shares, F.lit(20 * most_blocks))
@@ -186,16 +196,15 @@ def kendall_tau_b(df: DataFrame, keys: list[str], y: str, p: str, name: str = "t
         on = on & c
     # A row for each group, with its bounds.
     placed = cells.join(cut, on).select(*keys, "_y", "_p", "_n", "_parts", _block("_y", "_by", most_blocks).alias("_i"), _block("_p", "_bp", most_blocks).alias("_j"))
-    lists = lambda rows, y, p, *by: rows.groupBy(*keys, *by).agg(F.collect_list(F.struct(F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"), "_n")).alias("_cells"))
     zero = [F.lit(0.0).alias(c) for c in _SUMS]
     only = lambda rows, c: rows.select(*keys, *(F.col(x) if x == c else z for x, z in zip(_SUMS, zero, strict=True)))
     several = placed.where("_parts > 1")
     pairs = lambda n: n * (n - 1) / 2
     coarse = several.groupBy(*keys, "_i", "_j").agg(F.sum("_n").alias("_n"))
     found = [
-        only(_inversions_of_lists(lists(placed.where("_i % 2 = 0"), "_y", "_p", "_i"), keys), "_dis"),
-        only(_inversions_of_lists(lists(several.where("_j % 2 = 0").groupBy(*keys, "_i", "_j", "_p").agg(F.sum("_n").alias("_n")), "_i", "_p", "_j"), keys), "_dis"),
-        only(_inversions_of_lists(lists(coarse, "_i", "_j"), keys), "_dis"),
+        only(_inversions_of_lists(_lists(placed.where("_i % 2 = 0"), keys, "_i"), keys), "_dis"),
+        only(_inversions_of_lists(_lists(several.where("_j % 2 = 0").groupBy(*keys, "_i", "_j", "_p").agg(F.sum("_n").alias("_n")), keys, "_j", y="_i"), keys), "_dis"),
+        only(_inversions_of_lists(_lists(coarse, keys, y="_i", p="_j"), keys), "_dis"),
         cells.groupBy(*keys).agg(pairs(F.sum("_n")).alias("_n0"), *zero[1:3], F.sum(pairs(F.col("_n"))).alias("_n3"), zero[4]),
         *(only(cells.groupBy(*keys, c).agg(pairs(F.sum("_n")).alias(to)), to) for c, to in (("_y", "_n1"), ("_p", "_n2"))),
     ]

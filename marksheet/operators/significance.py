@@ -198,7 +198,7 @@ def mixed(*parts: Column) -> Column:
 def permutation_test_qwk(sat: DataFrame, models: Sequence[str], size: int, a: str, b: str, n: int, seed: int, scale: str = "linear_abs") -> DataFrame:
     """Observed mean exam kappa difference of two models and p."""
     pair = sat.sparkSession.createDataFrame([(a, b)], "a string, b string")
-    return permutation_of_cells(swap_cells(gradegrade_codes(pair_cells(sat, models, pair, size), scale)), n, seed)
+    return permutation_of_cells(swap_cells(grade_codes(pair_cells(sat, models, pair, size), scale)), n, seed)
 
 
 def permutation_of_cells(cells: DataFrame, n: int, seed: int) -> DataFrame:
