@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved, scratch_path
+from .common import slices, saved, scratch_path
 
 _MAGIC = b"\x1f\x8b\x08"
 _AHEAD = 1 << 20
@@ -62,7 +62,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000, salts: int = 32) ->
     """page_id, url, payload and refers_to: the largest page_id with an equal payload, for the others.
 
     Groups are counted on digests alone, combined before the shuffle. Only pages of
-    ``least_bytes`` or more look for theirs, and each group is there ``salts`` times, so that the
+    ``least_bytes`` or more look for theirs (a page without id refers to the largest id, if there is
+    one), and each group is there ``salts`` times, so that the
     pages of one payload are spread over as many tasks.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
@@ -71,7 +72,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000, salts: int = 32) ->
     groups = digests.groupBy("_digest", "_bytes").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keyed = rows.where(large).withColumns({"_digest": F.sha1("payload"), "_bytes": F.octet_length("payload"), "_salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")})
-    found = keyed.join(groups, ["_digest", "_bytes", "_salt"], "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    found = keyed.join(groups, ["_digest", "_bytes", "_salt"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
     return found.unionByName(rows.where(~large).withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType)))
 
 
@@ -89,7 +90,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
         store.create_dir(root, recursive=True)
         out, done, size, n = None, [], 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for part in slices(batch, "payload", 200) for r in part.to_pylist()):
                 if out is None or size >= roll_bytes:
                     if out is not None:
                         out.close()
@@ -120,37 +121,46 @@ def _parse(data: bytes) -> dict | None:
 
 
 def records_in_range(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict]]:
-    """(offset, record) of the records that start in [start, end)."""
-    data, base, at = file.read_at(min(end + len(_MAGIC), size) - start, start), start, 0
+    """(offset, record) of the records that start in [start, end).
+
+    The range is held for the search. What a record has beyond it is read a piece at a time and goes
+    straight to the decompressor, so a long record costs its own length once.
+    """
+    data = file.read_at(min(end + len(_MAGIC), size) - start, start)
+    stop, at = start + len(data), 0
+
+    def piece(place: int) -> bytes:
+        """Some bytes from a place in the file; empty at its end."""
+        if place < stop:
+            return data[place - start : place - start + 65536]
+        return file.read_at(min(_AHEAD, size - place), place) if place < size else b""
+
     while True:
         at = data.find(_MAGIC, at)
-        if at < 0 or base + at >= end:
+        if at < 0 or start + at >= end:
             return
-        unpack, parts, fed, valid = zlib.decompressobj(31), [], at, True
-        seen = 0
+        unpack, parts, place, head, valid = zlib.decompressobj(31), [], start + at, b"", True
         try:
             while not unpack.eof:
-                if fed >= len(data):
-                    more = file.read_at(min(_AHEAD, size - base - len(data)), base + len(data)) if base + len(data) < size else b""
-                    if not more:
-                        raise zlib.error("cut short")
-                    data += more
-                chunk = data[fed : fed + 65536]
-                fed += len(chunk)
+                chunk = piece(place)
+                if not chunk:
+                    raise zlib.error("cut short")
+                place += len(chunk)
                 parts.append(unpack.decompress(chunk))
-                seen += len(parts[-1])
-                if seen >= 7 and not b"".join(parts[:2])[:7] == b"WARC/1.":
-                    raise zlib.error("no WARC header")
-            close = fed - len(unpack.unused_data)
-            follows = data[close : close + 3] if close + 3 <= len(data) else file.read_at(min(3, size - base - close), base + close) if base + close < size else b""
+                if len(head) < 7:
+                    head += parts[-1][:7]
+                    if not b"WARC/1.".startswith(head[:7]):
+                        raise zlib.error("no WARC header")
+            close = place - len(unpack.unused_data)
+            follows = piece(close)[:3]
             # What follows a record is another member, the end, or filling that holds no member's header.
-            valid = follows in (b"", _MAGIC) or _parse(b"".join(parts)) is not None
+            valid = follows in (b"", _MAGIC) or (len(follows) < 3 and _MAGIC.startswith(follows)) or _parse(b"".join(parts)) is not None
         except zlib.error:
             valid = False
         found = _parse(b"".join(parts)) if valid else None
         if found:
-            yield base + at, found
-            at = close
+            yield start + at, found
+            at = close - start
         else:
             at += 1
 
