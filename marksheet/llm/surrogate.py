@@ -4,7 +4,9 @@ Detected entities are reduced to a canonical value (digits of a number, lower ca
 single name), so that every mention of one entity, however written, gets one surrogate. Candidates
 come from a keyed hash. A Spark job over the distinct entities looks for surrogates that two
 entities share or that are some entity's real value and moves those to their next candidate, until
-none is left. Only entities that had to move need a table; all other surrogates follow from the key.
+none is left. Later candidates are longer, so a format never runs out of values. An address's domain is
+an entity of its own: no two domains share a surrogate, and an address is kept apart within its domain.
+Only entities that had to move need a table; all other surrogates follow from the key.
 """
 
 from __future__ import annotations
@@ -39,6 +41,10 @@ SYLLABLES = {
     "greek": "βα βε γα δα δε δι κα κε κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σι τα τε τι το".split(),
 }
 
+#: Names that are words, too: they are taken for a name after a title only.
+WORDS = frozenset("March April May June July August Summer Winter Day Long Short Young Old New White Black Brown Green Gray Grey Good Best Little Small Strong Rich Wise Swift Bright Page Price Rose Love King Bishop Klein Gross Lang Kurz Jung Alt Neu Weiss Schwarz Braun Lustig Stark Mai Juni Juli Sommer Winter Leon Blanco Delgado Mayo Junio Petit Grand Blanc Noir Mars Avril".split())
+_VERSION = re.compile(r"(?i)(?:\bversion|\bver\.?|\brelease|\bv)[ :]?$")
+
 _ALL_TITLES = sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)
 _CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩΆΈ-ΏА-Я"
 _NAME = rf"(?:[{_CAPITAL}][^\W\d_]{{1,30}}|[{_CAPITAL}](?=['’]))(?:['’-][^\W\d_]{{1,30}}){{0,3}}"
@@ -47,11 +53,11 @@ _QUICK = re.compile(r"[0-9@=:]|-----BEGIN|\b(?:" + "|".join(_ALL_TITLES) + r")\b
 _HEX = "[0-9A-Fa-f]"
 _FIND = re.compile(
     r"(?P<email>[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})"
-    r"|(?P<pem>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)(?P<body>[^-]{16,20000})(?=-----END [A-Z ]{0,30}PRIVATE KEY-----)"
+    r"|(?P<pem>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)(?P<body>[^-]{16,})(?=-----END [A-Z ]{0,30}PRIVATE KEY-----)"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
-    r"|(?P<token>(?<![A-Za-z0-9_])(?:gh[opsru]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk-[A-Za-z0-9]{20,250})(?![A-Za-z0-9_]))"
-    r"|(?P<label>(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9+/_.~-]{8,256})"
+    r"|(?P<token>(?<![A-Za-z0-9_])(?:gh[opsru]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9_]))"
+    r"|(?P<label>(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9+/_.~-]{8,})"
     rf"|(?P<mac>(?<![\w:-]){_HEX}{{2}}(?:[:-]{_HEX}{{2}}){{5}}(?![\w:-]))"
     rf"|(?P<ip6>(?<![\w:.])(?:{_HEX}{{1,4}}:){{1,7}}(?::?{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{0,5}}|:)(?![\w:]))"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\w]|\.[0-9]))"
@@ -94,11 +100,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value) of every mention, in order, not overlapping.
 
     Names are found after a title; each part of a name that was found once is then found wherever
-    the text has it, written alike.
+    the text has it, written alike, but for names that are words as well.
     """
     if not _QUICK.search(text):
         return []
-    found, named = [], {}
+    found, named, titled = [], {}, []
     for m in _FIND.finditer(text):
         kind = m.lastgroup
         if kind == "secret":
@@ -112,9 +118,14 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             gender, end = _gender(m["title"], words[0] if len(words) == 2 else None), m.start("names") + len(words[0])
             for part in _PART.finditer(text, *m.span("names")):
                 of = f"given_{gender}" if len(words) == 2 and part.end() <= end else "surname"
-                named.setdefault(part[0], of)
+                if part[0] in WORDS:
+                    titled.append((*part.span(), of, part[0].lower()))
+                else:
+                    named.setdefault(part[0], of)
         elif kind == "ip6" and not _is_ip6(m[0]):
             continue
+        elif kind == "ip" and _VERSION.search(text, max(0, m.start() - 12), m.start()):
+            continue
         else:
             value = m[0]
             canonical = value.lower() if kind in ("email", "ip6") else re.sub("[:-]", "", value).lower() if kind == "mac" else value if kind in ("ip", "aws", "token") else re.sub(r"[^A-Z0-9+]", "", value)
@@ -128,8 +139,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 at += 1
             if at == len(taken) or m.end() <= taken[at][0]:
                 found.append((*m.span(), named[m[0]], m[0].lower()))
-        found.sort()
-    return found
+    return sorted(found + titled) if named or titled else found
 
 
 class _Stream:
@@ -164,37 +174,50 @@ def _alike(s: _Stream, text: str, hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=20_000)
 def candidate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The attempt-th surrogate of an entity, in canonical form."""
+    """The attempt-th surrogate of an entity, in canonical form. Those of short values are kept."""
+    return (_kept if len(value) <= 64 else _made)(key, kind, value, attempt)
+
+
+#: Attempts at a length; after as many, candidates are a character longer.
+_TRIES = 8
+
+
+def _made(key: bytes, kind: str, value: str, attempt: int) -> str:
     s = _Stream(key, kind, value, attempt)
+    more = attempt // _TRIES
+    longer = lambda text: text + ("0" if text[-1:].isdigit() else "a") * more
     if kind == "email":
-        local, _, domain = value.partition("@")
-        name, dot, top = domain.rpartition(".")
-        # The domain is a value of its own, so that colleagues stay colleagues.
-        return f"{_alike(s, local)}@{_alike(_Stream(key, 'domain', domain, 0), name)}{dot}{top}"
+        # The domain stays: it has a surrogate of its own.
+        local, _, domain = value.rpartition("@")
+        return f"{_alike(s, longer(local))}@{domain}"
+    if kind == "domain":
+        name, dot, top = value.rpartition(".")
+        return f"{_alike(s, longer(name))}{dot}{top}"
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "phone":
         lead = 2 if value.startswith("+") else 0
-        return value[:lead] + _alike(s, value[lead:])
+        return value[:lead] + _alike(s, longer(value[lead:]))
     if kind == "card":
-        body = value[0] + _alike(s, value[1:-1])
+        body = value[0] + _alike(s, longer(value[1:-1]))
         check = (10 - _luhn(body)) % 10
         return body + str(check if _luhn_ok(value) else (check + 1 + s.below(9)) % 10)
     if kind == "iban":
-        body = value[:2] + "00" + _alike(s, value[4:])
+        body = value[:2] + "00" + _alike(s, longer(value[4:]))
         check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
         return f"{body[:2]}{check:02d}{body[4:]}"
     if kind == "aws":
-        return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[s.below(32)] for _ in value[4:])
+        return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[s.below(32)] for _ in longer(value[4:]))
     if kind == "token":
         lead = re.match("[a-z]+[_-]", value)[0]
-        return lead + _alike(s, value[len(lead) :])
+        return lead + _alike(s, longer(value[len(lead) :]))
+    if kind == "ip6" and more:
+        return ":".join(f"{s.below(1 << 16):04x}" for _ in range(8))  # a full address, where the short form ran out
     if kind in ("ip6", "mac"):
         return _alike(s, value, hexadecimal=True)
     if kind == "secret":
-        return _alike(s, value, hexadecimal=re.fullmatch("[0-9a-f]+", value) is not None)
+        return _alike(s, longer(value), hexadecimal=re.fullmatch("[0-9a-f]+", value) is not None)
     script = script_of(value)
     if kind.startswith("given"):
         gender = kind[-1] if kind[-1] != "n" else "mf"[s.below(2)]
@@ -203,8 +226,11 @@ def candidate(key: bytes, kind: str, value: str, attempt: int) -> str:
         extra = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(attempt // 2))
         return (names[s.below(len(names))] + extra).lower()
     if kind == "surname":
-        return "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + s.below(2)))
-    return _alike(s, value)
+        return "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + s.below(2) + more))
+    return _alike(s, longer(value))
+
+
+_kept = lru_cache(maxsize=20_000)(_made)
 
 
 def render(mention: str, kind: str, surrogate: str) -> str:
@@ -213,18 +239,33 @@ def render(mention: str, kind: str, surrogate: str) -> str:
         surrogate = surrogate.upper() if mention.upper() == mention else surrogate
     if kind in ("phone", "card", "iban", "ssn", "mac"):
         chars = iter(surrogate)
-        return "".join(next(chars, "") if c.isalnum() or c == "+" else c for c in mention)
+        shown = "".join(next(chars, "") if c.isalnum() or c == "+" else c for c in mention)
+        return shown + "".join(chars)
     if kind == "email" or kind == "surname" or kind.startswith("given"):
         return surrogate.upper() if mention.isupper() else surrogate.capitalize() if mention[:1].isupper() and kind != "email" else surrogate
     return surrogate
 
 
+def _needed(kind: str, value: str) -> list[tuple[str, str]]:
+    """The entities that a mention's surrogate is made of."""
+    return [(kind, value), ("domain", value.rpartition("@")[2])] if kind == "email" else [(kind, value)]
+
+
+def surrogate_of(key: bytes, kind: str, value: str, attempt_of) -> str:
+    """The surrogate of a mention, given the attempt at which each entity was settled."""
+    made = candidate(key, kind, value, attempt_of(kind, value))
+    if kind == "email":
+        domain = value.rpartition("@")[2]
+        made = f"{made.rpartition('@')[0]}@{candidate(key, 'domain', domain, attempt_of('domain', domain))}"
+    return made
+
+
 def distinct_entities(docs: DataFrame) -> DataFrame:
     """kind, value: each entity of the corpus once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sorted({(k, v) for text in batch.column(0).to_pylist() if text for _, _, k, v in entities(text)})
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            found = sorted({e for text in batch.column(0).to_pylist() if text for _, _, k, v in entities(text) for e in _needed(k, v)})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["kind", "value"])
 
     return docs.select("_text").mapInArrow(run, "kind string, value string").distinct()
@@ -289,8 +330,8 @@ def pseudonymise(docs: DataFrame, key: bytes, id_column: str = "doc_id", text: s
     rows = docs.withColumn(moves_name, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     if not few:
         def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = [(i, k, v) for i, t in enumerate(b.column(2).to_pylist()) if t for k, v in {(k, v) for _, _, k, v in entities(t)}]
+            for b in (part for whole in batches for part in slices(whole, 2)):
+                out = [(i, k, v) for i, t in enumerate(b.column(2).to_pylist()) if t for k, v in {e for _, _, k, v in entities(t) for e in _needed(k, v)}]
                 at = pa.array([o[0] for o in out], pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=["_id", "_hash", "kind", "value"])
 
@@ -315,8 +356,9 @@ def pseudonymise(docs: DataFrame, key: bytes, id_column: str = "doc_id", text: s
                 if said:
                     own = {(m["kind"], m["value"]): m["attempt"] for m in moves[i] or []}
                     out, end = [], 0
+                    attempt_of = lambda k, v, own=own: own.get((k, v)) or attempts.get((k, v), 0)
                     for a, b, k, v in said:
-                        out += [t[end:a], render(t[a:b], k, candidate(key, k, v, own.get((k, v)) or attempts.get((k, v), 0)))]
+                        out += [t[end:a], render(t[a:b], k, surrogate_of(key, k, v, attempt_of))]
                         end = b
                     texts[i] = "".join([*out, t[end:]])
             kept = [batch.column(c) for c in range(len(columns))]

@@ -86,7 +86,7 @@ def test_ranking_on_odd_rows_and_in_blocks(spark, odd):
 def test_ties_go_by_id_over_all_tasks(spark):
     from marksheet.llm.lexical import rank_documents
 
-    docs = spark.createDataFrame([(i, "same words here") for i in range(997, 0, -1)], "doc_id long, text string").repartition(9)
+    docs = spark.createDataFrame([(i, "same words here" if i < 998 else "others") for i in range(2500, 0, -1)], "doc_id long, text string").repartition(9)
     items = spark.createDataFrame([(1, "same")], "item_id int, text string")
     assert [(r["rank"], r["doc_id"]) for r in rank_documents(docs, items, 40).orderBy("rank").collect()] == [(i, i) for i in range(1, 41)]
 
