@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-Blocks that mention licensing are cut out of each text. Around every mention a window of words is
-read, so lines of any length cost the same for each mention. A template that the words of a window
-can hold is laid over its longest run of common words; what it covers is confirmed by the exact
-wording: the words of the template that it lacks, and the words it puts in their place. The piece is
-compressed once on its own and once with the template as a zstandard raw dictionary; of wordings
-that overlap, the one with more of the words in place stays, and then the one that shrinks more.
+Blocks that mention licensing are cut out of each text. Around every run of mentions lies a candidate
+window, one for short wordings and one for whole texts, so lines of any length cost the same for each
+mention. A window is compressed once on its own and once with every template as a zstandard raw
+dictionary, and templates are ranked by the bytes that saves. From the top they are confirmed by exact
+wording differences: the words of the template that the window lacks and the words it puts in their
+place, none of which may name a license. A confirmed wording ends the search once no template left is
+long enough to fit better.
 """
 
 from __future__ import annotations
@@ -68,6 +69,11 @@ SPDX = (
     "MPL-2.0 EPL-2.0 BSD-2-Clause BSD-3-Clause ISC Zlib BSL-1.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0"
 ).split()
 
+#: Names that are used without a version, as short wordings have them.
+LOOSE = ("MIT", "BSD", "GPL", "LGPL", "AGPL", "ISC", "Zlib", "Unlicense", "EUPL-1.2", "Artistic-2.0", "EPL-1.0", "CDDL-1.0")
+#: Words that tell one license from another. A wording has its template's, and no other.
+NAMES = frozenset("mit apache gnu gpl lgpl agpl lesser affero mozilla mpl bsd isc zlib boost eclipse epl creative commons cc cc0 unlicense european eupl artistic academic microsoft apple netscape cddl wtfpl postgresql openssl php".split())
+
 # Wordings by which licenses are granted, by SPDX name.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -75,11 +81,11 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
@@ -102,8 +108,19 @@ TEMPLATES = (
     ("LGPL-3.0-or-later", _GNU_NOTICE.format(name="Lesser General Public License", version="3")),
     ("AGPL-3.0-or-later", _GNU_NOTICE.format(name="Affero General Public License", version="3")),
     ("Unlicense", _UNLICENSE),
-    *((name, f"SPDX-License-Identifier: {name}") for name in SPDX),
+    ("BSL-1.0", "Boost Software License - Version 1.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EUPL-1.2", "Licensed under the European Union Public Licence, version 1.2"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("GPL-3.0-only", "GNU General Public License version 3"),
+    ("GPL-2.0-only", "GNU General Public License version 2"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in (*SPDX, "EUPL-1.2")),
+    *((name, form.format(name)) for name in dict.fromkeys((*SPDX, *LOOSE)) for form in ("License: {}", "{} License", "Licensed under {}", "Licensed under the {} License")),
 )
+#: Short names as they are said after "or" and "and".
+_SAID = {name.lower(): name for name in (*SPDX, *LOOSE)}
 
 #: What a block must mention, for the JVM's filter and for the cut.
 _CUE = r"licen[sc]e|permission\s{1,9}(?:is\s{1,9}hereby|to\s{1,9}use)|redistribut|public\s{1,9}domain|waived\s{1,9}all\s{1,9}copyright|spdx"
@@ -127,18 +144,29 @@ RESULT = T.StructType(
 Templates = tuple[tuple[str, str], ...]
 
 
+#: Templates of up to so many words are looked for in the narrow window.
+_SHORT = 24
+
+
 @lru_cache(maxsize=4)
 def _compressors(templates: Templates):
     make = lambda **k: zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, **k)
-    return make(), [make(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+
+    def with_dictionary(text: str):
+        known = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=3)
+        return make(dict_data=known)
+
+    return make(), [with_dictionary(" ".join(_WORD.findall(t))) for _, t in templates]
 
 
 @lru_cache(maxsize=4)
-def _wordings(templates: Templates) -> tuple[list[tuple[list[str], Counter, set[str]]], int]:
-    """Words, their counts and the telling words of each template; how many words a window needs on either side."""
+def _wordings(templates: Templates) -> list[tuple[list[str], Counter, set[str], set[str]]]:
+    """Words of each template, their counts, the telling words and the names among them."""
     want = [_WORD.findall(t.lower()) for _, t in templates]
-    telling = lambda w: {x for x in w if len(x) > 1 and any(c.isdigit() or c == "-" for c in x)} | ({x for x in w if x.isdigit()} if len(w) < 60 or "gnu" in w else set())
-    return [(w, Counter(w), telling(w)) for w in want], 2 * max(map(len, want), default=0) + 4
+    parts = lambda w: {x for y in w for x in (y, *re.split("[.-]", y))}
+    telling = lambda w: {x for x in w if len(x) > 1 and any(c.isdigit() or c == "-" for c in x)} | ({x for x in w if x.isdigit()} if len(w) < 60 or "gnu" in w else set()) | (set(w) & NAMES)
+    return [(w, Counter(w), telling(w), parts(w) & NAMES) for w in want]
 
 
 def compare_wording(want: list[str], have: list[str]) -> tuple[int, list[str], int, int, tuple[int, int]]:
@@ -163,92 +191,138 @@ def compare_wording(want: list[str], have: list[str]) -> tuple[int, list[str], i
     return missing, [c for c in changes if c != ">"], low + first, low + last, (at.b, at.b + at.size)
 
 
-def scan_words(words: list[str], pieces: list[str], mentions: list[int], templates: Templates = TEMPLATES, least_share: float = 0.7) -> list[tuple[int, float, int, list[str], int, int]]:
+def scan_words(words: list[str], mentions: list[int], templates: Templates = TEMPLATES, least_share: float = 0.7) -> list[tuple[int, float, int, list[str], int, int]]:
     """Confirmed wordings that do not overlap, in order: template, size reduction, words missing,
     changes, first and last (exclusive) word.
 
-    ``words`` are in lower case, ``pieces`` the same words as written, ``mentions`` the words where
-    licensing is mentioned. A template counts when ``least_share`` of its words are there in order
-    and every word with a digit or hyphen is. Templates are left out only where the counts of the
-    words rule that out.
+    ``words`` are in lower case, ``mentions`` the words where licensing is mentioned. A template is
+    confirmed when ``least_share`` of its words are there in order, with every word that has a digit
+    or hyphen or names a license, and when no other license is named between them.
     """
     plain, packers = _compressors(templates)
-    wordings, reach = _wordings(templates)
-
-    @lru_cache(maxsize=256)
-    def counted(low: int, high: int) -> Counter:
-        return Counter(words[low:high])
-
-    def near(n: int, low: int, high: int) -> list[tuple[int, int]]:
-        """Where a template of n words can lie: around the mentions between two words."""
-        out: list[tuple[int, int]] = []
-        for m in mentions[bisect_left(mentions, low) : bisect_left(mentions, high)]:
-            a, b = max(low, m - 2 * n - 4), min(high, m + 2 * n + 5)
-            if out and a <= out[-1][1]:
-                out[-1] = out[-1][0], b
-            else:
-                out.append((a, b))
-        return out
+    wordings = _wordings(templates)
+    kinds = [[i for i, w in enumerate(wordings) if (len(w[0]) <= _SHORT) == short] for short in (False, True)]
+    names_in = lambda run: {x for y in run for x in (y, *re.split("[.-]", y))} & NAMES
 
     def laid(i: int, low: int, high: int) -> tuple | None:
         """The template at the first anchor where it is confirmed, trying longer anchors first."""
-        want, counts, telling = wordings[i]
-        parts = near(len(want), low, high)[::-1]
+        want, counts, telling, names = wordings[i]
+        parts = [(low, high)]
         while parts:
             low, high = parts.pop()
             have = words[low:high]
-            held = counted(low, high)
+            held = Counter(have)
             if any(w not in held for w in telling) or sum(min(n, held[w]) for w, n in counts.items()) < least_share * len(want):
                 continue
             missing, changes, first, last, (a, b) = compare_wording(want, have)
-            if missing <= (1 - least_share) * len(want) and telling <= set(have[first:last]):
+            if missing <= (1 - least_share) * len(want) and telling <= set(have[first:last]) and names_in(have[first:last]) <= names:
                 return missing, changes, low + first, low + last
             if b:
                 parts += [(low + b, high), (low, low + a)]
         return None
 
-    def best(low: int, high: int) -> tuple | None:
+    def ranked(kind: list[int], low: int, high: int) -> list[tuple[int, float, int]]:
+        """(bytes saved, reduction, template), most bytes first. None is left out: a window that says a
+        wording twice saves nothing by knowing it."""
+        data = " ".join(words[low:high]).encode()
+        alone = len(plain.compress(data))
+        out = [(alone - (n := len(packers[i].compress(data))), 1 - n / alone, i) for i in kind]
+        return sorted(out, key=lambda x: (-x[0], x[2]))
+
+    def best(kind: list[int], low: int, high: int) -> tuple | None:
         top = None
-        for i, (want, _, _) in enumerate(wordings):
-            if not (one := laid(i, low, high)):
-                continue
-            missing, changes, first, last = one
-            data = " ".join(pieces[first:last]).encode()
-            reduction = 1 - len(packers[i].compress(data)) / len(plain.compress(data))
-            rank = (2 * (len(want) - missing) - len(want) - (last - first - len(want) + missing), reduction, -i)
-            if top is None or rank > top[0]:
-                top = rank, (i, reduction, missing, changes, first, last)
+        for _, reduction, i in ranked(kind, low, high):
+            n = len(wordings[i][0])
+            if top is not None and n < top[0][0]:
+                continue  # even all its words would fit less well
+            if one := laid(i, low, high):
+                missing, changes, first, last = one
+                rank = (2 * (n - missing) - n - (last - first - n + missing), reduction, -i)
+                if top is None or rank > top[0]:
+                    top = rank, (i, reduction, missing, changes, first, last)
         return top
 
-    found, at = [], 0
-    while at < len(mentions):
-        start, last = mentions[at], at
-        while last + 1 < len(mentions) and mentions[last + 1] <= start + 2 * reach:
-            last += 1
-        pending = [(max(0, start - reach), min(len(words), mentions[last] + reach + 1))]
-        at = last + 1
-        while pending:
-            low, high = pending.pop()
-            if low < high and (top := best(low, high)):
-                found.append(top)
-                pending += [(low, top[1][4]), (top[1][5], high)]
-    out, used = [], []
-    for _, wording in sorted(found, key=lambda x: x[0], reverse=True):
+    found = []
+    for kind in kinds:
+        if not kind:
+            continue
+        reach = 2 * max(len(wordings[i][0]) for i in kind) + 4
+        at = 0
+        while at < len(mentions):
+            last = at
+            while last + 1 < len(mentions) and mentions[last + 1] <= mentions[last] + reach and mentions[last + 1] <= mentions[at] + 8 * reach:
+                last += 1
+            pending = [(max(0, mentions[at] - reach), min(len(words), mentions[last] + reach + 1))]
+            at = last + 1
+            while pending:
+                low, high = pending.pop()
+                # Every template has a word of licensing; a part without one holds none.
+                if low < high and bisect_left(mentions, high) > bisect_left(mentions, low) and (top := best(kind, low, high)):
+                    found.append(top)
+                    pending += [(low, top[1][4]), (top[1][5], high)]
+    out, used, lost = [], [], []
+
+    def take(wording: tuple) -> bool:
         k = bisect_left(used, (wording[4], wording[5]))
-        if (k == 0 or used[k - 1][1] <= wording[4]) and (k == len(used) or wording[5] <= used[k][0]):
+        free = (k == 0 or used[k - 1][1] <= wording[4]) and (k == len(used) or wording[5] <= used[k][0])
+        if free:
             used.insert(k, (wording[4], wording[5]))
             out.append(wording)
+        return free
+
+    for _, wording in sorted(found, key=lambda x: x[0], reverse=True):
+        if not take(wording):
+            lost.append((wording[4], wording[5]))
+    # Where a wording had to give way, what is left of its words may hold another one.
+    seen = set()
+    while lost:
+        first, last = lost.pop()
+        k = bisect_left(used, (first, first))
+        for j in range(max(0, k - 1), len(used) + 1):
+            low, high = used[j - 1][1] if j else 0, used[j][0] if j < len(used) else len(words)
+            if low >= last:
+                break
+            for kind in kinds if high > first else []:
+                reach = 2 * max((len(wordings[i][0]) for i in kind), default=0) + 4
+                part = max(low, first - reach), min(high, last + reach)
+                if (part, len(kind)) in seen or not bisect_left(mentions, part[1]) > bisect_left(mentions, part[0]):
+                    continue
+                seen.add((part, len(kind)))
+                if (top := best(kind, *part)) and take(top[1]):
+                    lost += [(part[0], top[1][4]), (top[1][5], part[1])]
+                    break
     return sorted(out, key=lambda x: x[4])
 
 
+def said_beside(words: list[str], wording: tuple, limit: int) -> list[tuple[str, int, int]]:
+    """Licenses that a short wording goes on to name: MIT or GPL, MIT OR Apache-2.0 (name, first, last word)."""
+    out, at = [], wording[5]
+    while at + 1 < limit and words[at] in ("or", "and"):
+        to = at + 2 if words[at + 1] in ("the", "a") and at + 2 < limit else at + 1
+        if words[to] not in _SAID:
+            break
+        out.append((_SAID[words[to]], to, to + 1))
+        at = to + 1
+    return out
+
+
 def _scan(text: str, templates: Templates, least_share: float = 0.7) -> tuple[list[tuple], list[tuple[int, int]], list[int]]:
-    """Wordings of a text, the spans of its words, and where licensing is mentioned."""
+    """Wordings of a text (with the license's name last), the spans of its words, and where licensing is mentioned."""
     mentions = [m.start() for m in _MENTION.finditer(text)]
     spans = [m.span() for m in _WORD.finditer(text)] if mentions else []
+    if not spans:
+        return [], [], mentions
     starts = [a for a, _ in spans]
-    pieces = [text[a:b] for a, b in spans]
+    words = [text[a:b].lower() for a, b in spans]
     of = sorted({max(0, bisect_right(starts, m) - 1) for m in mentions})
-    return scan_words([p.lower() for p in pieces], pieces, of, templates, least_share) if spans else [], spans, mentions
+    found = scan_words(words, of, templates, least_share)
+    out = []
+    for nth, w in enumerate(found):
+        out.append((*w, templates[w[0]][0]))
+        if len(_wordings(templates)[w[0]][0]) <= _SHORT:
+            limit = found[nth + 1][4] if nth + 1 < len(found) else len(words)
+            out += [(w[0], w[1], w[2], w[3], first, last, name) for name, first, last in said_beside(words, w, limit)]
+    return out, spans, mentions
 
 
 def scan_block(block: str, templates: Templates = TEMPLATES, least_share: float = 0.7) -> list[tuple[int, float, int, list[str]]]:
@@ -294,7 +368,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
                 covered: set[int] = set()
                 for w in wordings:
                     first = min(bisect_right(ends, spans[w[4]][0]), len(blocks) - 1)
-                    held[first].append((templates[w[0]][0], w[0], w[1], w[2], "; ".join(w[3]), not w[3] and w[2] == 0))
+                    held[first].append((w[6], w[0], w[1], w[2], "; ".join(w[3]), not w[3] and w[2] == 0))
                     covered.update(range(first + 1, bisect_left(begins, spans[w[5] - 1][1])))
                 for nth, (block, rows_of) in enumerate(zip(blocks, held, strict=True)):
                     if not rows_of and nth not in covered:

@@ -34,13 +34,14 @@ def test_every_wording_of_a_block_is_found(spark):
     dual = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
     assert names(dual) == ["MIT", "Apache-2.0"] and names(dual.replace("\n", " ")) == ["MIT", "Apache-2.0"]
     for nth, (name, wording) in enumerate(TEMPLATES):
-        assert [w[0] for w in scan_block(wording)] == [nth] and scan_block(wording)[0][2:] == (0, [])
+        # Some wordings are said alike by two templates ("MIT License").
+        assert [TEMPLATES[w[0]][0] for w in scan_block(wording)] == [name] and scan_block(wording)[0][2:] == (0, []), nth
         for seed in range(3):
             prose = f"{_prose(seed, 900)} {wording} {_prose(seed + 9, 900)}"
             assert names(prose) == [name], (name, seed)
             other, other_wording = TEMPLATES[(nth + 7) % len(TEMPLATES)]
             assert names(f"{prose} {other_wording} {_prose(seed + 5, 5)}") == [name, other]
-    crowd = " ".join(f"{_prose(n, n % 40)} {w}" for n, (_, w) in enumerate(TEMPLATES * 3))
+    crowd = " ".join(f"{_prose(n, 2 + n % 40)} {w}" for n, (_, w) in enumerate(TEMPLATES * 3))
     assert names(crowd) == [name for name, _ in TEMPLATES * 3]
     for name, wording in TEMPLATES:  # hard-wrapped, as in a comment
         wrapped = "\n".join("# " + " ".join(wording.split()[i : i + 9]) for i in range(0, len(wording.split()), 9))
@@ -54,6 +55,24 @@ def test_every_wording_of_a_block_is_found(spark):
     assert out == [(1, 0, "Apache-2.0", True), (1, 0, "MIT", True), (2, 15, "", False), (3, 0, "MIT", True)]
 
 
+def test_other_licences_are_not_taken_for_ours():
+    from marksheet.llm.licences import TEMPLATES, _scan
+
+    names = lambda text: [w[6] for w in _scan(text, TEMPLATES)[0]]
+    assert names("Licensed under the EUPL v1.2") == [] or "MIT" not in names("Licensed under the EUPL v1.2")
+    assert names("Licensed under the European Union Public Licence, version 1.2") == ["EUPL-1.2"]
+    assert names("Distributed under the Boost Software License, Version 1.0.") == ["BSL-1.0"]
+    assert names("Released under the Foo License.") == [] and names("Licensed under the Foobar License, Version 2.0.") == []
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0-only"]
+    for said, want in {
+        "License: MIT": ["MIT"], "MIT License": ["MIT"], "Licensed under MIT": ["MIT"], "BSD license": ["BSD"], "Mozilla Public License Version 2.0": ["MPL-2.0"], "SPDX-License-Identifier: EUPL-1.2": ["EUPL-1.2"],
+        "Dual licensed under the MIT or GPL": ["MIT", "GPL"], "SPDX-License-Identifier: (MIT OR Apache-2.0)": ["MIT", "Apache-2.0"], "License: Apache-2.0 and BSD-3-Clause": ["Apache-2.0", "BSD-3-Clause"],
+    }.items():
+        assert names(said) == want and names(f"some words before\n{said}\nand after it") == want, said
+    for prose in ("The licence fee was raised, and mit der Zeit the license expired.", "A license to fish is issued by the county, version 2 of the form applies.", "Permission to use the hall is granted by the apache museum.", "He lost his driving license in 2019."):
+        assert names(prose) == [], prose
+
+
 def test_licences_on_odd_rows(spark):
     from marksheet.llm.licences import scan_licenses
 
