@@ -7,11 +7,10 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, VectorAssembler
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C
+from ..sources.io import settled
 
 
 def global_prior(df: DataFrame) -> DataFrame:
@@ -25,36 +24,46 @@ def usable(df: DataFrame) -> DataFrame:
     return df.where("split = 'train' AND grade IS NOT NULL")
 
 
-def _weighted(df: DataFrame, tokens: str, out: str, min_df: float, size: int) -> DataFrame:
-    """1 + ln tf, times ln((1 + n) / (1 + df)) + 1, scaled to length one; sparse throughout.
+#: A vocabulary is sent to the tasks while its terms take at most so many bytes.
+SENT = 64 << 20
 
-    The vocabulary (the ``size`` most frequent terms in ``min_df`` training rows or more) and its
-    document counts are all that reaches the driver.
+
+def vocabulary(counts: DataFrame, min_df: float, size: int) -> DataFrame:
+    """(term, number, df) of the ``size`` most frequent terms that ``min_df`` rows or more have.
+
+    counts: (row, term, tf). Terms are numbered by falling total, ties in the order of terms.
     """
-    train = usable(df)
-    model = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=min_df, vocabSize=size).fit(train)
-    seen = np.zeros(len(model.vocabulary))
-    for r in model.transform(train).select(F.explode(F.unwrap_udt("_tf")["indices"]).alias("i")).groupBy("i").count().collect():  # at most `size` rows
-        seen[r["i"]] = r["count"]
-    idf = np.log((1 + train.count()) / (1 + seen)) + 1
-    shared = df.sparkSession.sparkContext.broadcast(idf)
+    seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total")).where(F.col("df") >= min_df)
+    order = [F.desc("_total"), F.col("term")]
+    # A window over at most ``size`` rows.
+    return seen.orderBy(*order).limit(size).select("term", (F.row_number().over(Window.orderBy(*order)) - 1).alias("number"), "df")
+
 
-    # Vectors can only be made from sparse parts in Python.
-    @F.udf(VectorUDT())
-    def weight(tf):
-        values = (1 + np.log(tf.values)) * shared.value[tf.indices]
-        return SparseVector(tf.size, tf.indices, values / (np.sqrt(values @ values) or 1.0))
+def _weighted(df: DataFrame, tokens: Column, out: str, min_df: float, size: int) -> DataFrame:
+    """``out``: size, and sorted indices and values of 1 + ln tf, times ln((1 + n) / (1 + df)) + 1, scaled to length one.
 
-    return model.transform(df).withColumn(out, weight("_tf")).drop("_tf")
+    Rows are numbered and written down; their terms are counted, joined with the vocabulary of the
+    training rows, and gathered row by row. The vocabulary has at most ``size`` rows; where its terms
+    are long it is joined by a shuffle instead of being sent, and frequent terms are split by the engine.
+    """
+    rows = settled(df.withColumns({"_row": F.monotonically_increasing_id(), "_tokens": tokens, "_use": (F.col("split") == "train") & F.col("grade").isNotNull()}), "tokens")
+    counts = settled(rows.select("_row", "_use", F.explode("_tokens").alias("term")).repartition("_row").groupBy("_row", "_use", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    known = settled(vocabulary(counts.where("_use"), min_df, size), "vocabulary")
+    n, terms, held = (*rows.agg(F.count_if("_use")).first(), *known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first())
+    weight = (1 + F.ln("tf")) * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    met = counts.join(F.broadcast(known) if held <= SENT else known, "term").select("_row", F.struct("number", weight.alias("w")).alias("_t"))
+    lists = met.groupBy("_row").agg(F.array_sort(F.collect_list("_t")).alias("_t")).withColumn("_length", F.sqrt(F.aggregate("_t", F.lit(0.0), lambda a, t: a + t["w"] * t["w"])))
+    made = F.struct(F.lit(terms).alias("size"), F.coalesce(F.col("_t.number"), F.array().cast("array<int>")).alias("indices"), F.coalesce(F.transform("_t", lambda t: t["w"] / F.col("_length")), F.array().cast("array<double>")).alias("values"))
+    return rows.join(lists, "_row", "left").select(*df.columns, made.alias(out))
 
 
 def tfidf_word_features(df: DataFrame, text: str, out: str = "features", longest: int = 2, min_df: float = 2, size: int = 50_000) -> DataFrame:
     """Word 1-grams, or 1-2-grams, of tokens of two or more word characters; fitted on the training rows."""
     # Fixed value: the token pattern.
-    made = RegexTokenizer(inputCol=text, outputCol="_one", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
-    if longest > 1:
-        made = NGram(n=2, inputCol="_one", outputCol="_two").transform(made).withColumn("_one", F.concat("_one", "_two")).drop("_two")
-    return _weighted(made, "_one", out, min_df, size).drop("_one")
+    one = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    two = F.transform(F.sequence(F.lit(1), F.size(one) - 1), lambda i: F.concat(F.get(one, i - 1), F.lit(" "), F.get(one, i)))
+    both = F.concat(one, F.when(F.size(one) > 1, two).otherwise(F.array().cast("array<string>"))) if longest > 1 else one
+    return _weighted(df, both, out, min_df, size)
 
 
 def tfidf_char_features(df: DataFrame, text: str, out: str = "features", low: int = 3, high: int = 5, min_df: float = 2, size: int = 80_000) -> DataFrame:
@@ -67,20 +76,31 @@ def tfidf_char_features(df: DataFrame, text: str, out: str = "features", low: in
         return F.when(F.char_length(w) >= n, cut).otherwise(F.array(w) if n == low else none)
 
     every = F.flatten(F.transform(padded, lambda w: F.concat(*(grams(w, n) for n in range(low, high + 1)))))
-    # The row id keeps this projection apart from the step in Python, which cannot take in lambda functions.
-    tokens = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(every, F.array().cast("array<string>")))
-    return _weighted(df.withColumn("_tokens", tokens), "_tokens", out, min_df, size).drop("_tokens")
+    return _weighted(df, F.coalesce(every, F.array().cast("array<string>")), out, min_df, size)
+
+
+def side_by_side(parts: Sequence[str]) -> Column:
+    """Several feature columns as one: their places follow each other."""
+    moved = lambda indices, start: F.transform(indices, lambda i: i + start)
+    size, places, values = F.lit(0), [], []
+    for p in parts:
+        places.append(moved(F.col(f"{p}.indices"), size))
+        values.append(F.col(f"{p}.values"))
+        size = size + F.col(f"{p}.size")
+    return F.struct(size.alias("size"), F.concat(*places).alias("indices"), F.concat(*values).alias("values"))
 
 
 #: Coefficients that travel in one row.
 _BLOCK = 8192
 
 
-def _parts(features: str) -> tuple[Column, Column]:
-    """Places and values of a vector column, sparse or dense."""
+def _parts(df: DataFrame, features: str) -> tuple[Column, Column, Column]:
+    """Places, values and size of a feature column: one made here, or a vector of the engine's own, sparse or dense."""
+    if df.schema[features].dataType.typeName() == "struct":
+        return F.col(f"{features}.indices"), F.col(f"{features}.values"), F.col(f"{features}.size")
     v = F.unwrap_udt(features)
     every = F.when(F.size(v["values"]) > 0, F.sequence(F.lit(0), F.size(v["values"]) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(v["indices"], every), v["values"]
+    return F.coalesce(v["indices"], every), v["values"], F.coalesce(v["size"], F.size(v["values"]))
 
 
 def _flat(places: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,11 +137,11 @@ def ridge(train: DataFrame, features: str, alpha: float = 1.0, tolerance: float
 
     Every step is one pass over the rows; the columns are centred without being filled in.
     """
-    places, values = _parts(features)
+    places, values, wide = _parts(train, features)
     rows = train.select(places.alias("places"), values.alias("values"), F.col("grade").cast("double").alias("y")).persist()
     try:
         n, mean_y = rows.agg(F.count(F.lit(1)), F.coalesce(F.avg("y"), F.lit(0.0))).first()
-        first = train.select(F.unwrap_udt(features).alias("v")).select(F.coalesce("v.size", F.size("v.values")).alias("n")).first()
+        first = train.select(wide.alias("n")).first()
         size = first["n"] if first else 0
         if not n or not size:
             return np.zeros(size), mean_y
@@ -155,7 +175,7 @@ def tfidf_ridge_predict(df: DataFrame, features: str, alpha: float = 1.0, raw: s
         at, row = np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(places)), places.map(len))
         return pd.Series(np.bincount(row, np.concatenate([*values, np.empty(0)]) * shared.value[at], len(places)) + intercept)
 
-    out = df.withColumn("_raw", estimate(*_parts(features))).withColumn("prediction", F.when(F.col("split") == "test", C.snap_to_grade(F.col("_raw"))))
+    out = df.withColumn("_raw", estimate(*_parts(df, features)[:2])).withColumn("prediction", F.when(F.col("split") == "test", C.snap_to_grade(F.col("_raw"))))
     return out.withColumnRenamed("_raw", raw) if raw else out.drop("_raw")
 
 
@@ -178,6 +198,6 @@ def tfidf_variants(df: DataFrame, names: Sequence[str] = tuple(RECIPES)) -> Data
         for kind, text, longest, least, size in RECIPES[name]:
             parts.append(f"_{kind}_{text}")
             made = tfidf_word_features(made, f"_{text}", parts[-1], longest, least, size) if kind == "word" else tfidf_char_features(made, f"_{text}", parts[-1], min_df=least, size=size)
-        made = VectorAssembler(inputCols=parts, outputCol="_features").transform(made)
+        made = made.withColumn("_features", side_by_side(parts))
         out = tfidf_ridge_predict(made, "_features").withColumnRenamed("prediction", f"pred_tfidf_{name}").drop("_features", *parts)
     return out.drop("_answer", "_question", "_both")

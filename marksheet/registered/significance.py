@@ -66,7 +66,7 @@ def _tfidf_base(s, d):
 
 
 def _vector_stats(df, column):
-    values = F.unwrap_udt(column)["values"]
+    values = F.col(f"{column}.values")
     return rounded(df.select("answer_id", F.size(values).alias("n_terms"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x).alias("squared_length"), F.array_max(values).alias("largest")))
 
 

@@ -390,7 +390,10 @@ def test_tfidf_by_brute_force(spark):
         want, terms = brute_tfidf(texts, train, tokens, 2, 50_000)
         assert terms > 500
         for r in made.select("i", "features").collect():
-            assert sorted(r["features"].values.tolist()) == pytest.approx(want[r["i"]]), texts[r["i"]]
+            assert sorted(r["features"]["values"]) == pytest.approx(want[r["i"]]), texts[r["i"]]
+            assert r["features"]["indices"] == sorted(set(r["features"]["indices"])) and all(0 <= i < terms == r["features"]["size"] for i in r["features"]["indices"])
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_tfidf_variants_by_brute_force(spark):
@@ -409,7 +412,10 @@ def test_tfidf_variants_by_brute_force(spark):
         assert all(out[i][c] is None for i in range(60)) and all(out[i][c] in (0.0, 0.25, 0.5, 0.75, 1.0) for i in range(60, 90))
         assert np.mean([abs(out[i][c] - rows[i][4]) for i in range(60, 90)]) < 0.15, name
     one = B.tfidf_word_features(df, "answer", "f", 1, 2, 30_000)
-    x = np.array([r["f"].toArray() for r in one.orderBy("i").collect()])
+    features = [r["f"] for r in one.orderBy("i").collect()]
+    x = np.zeros((90, features[0]["size"]))
+    for i, f in enumerate(features):
+        x[i, f["indices"]] = f["values"]
     y = np.array([r[4] for r in rows])
     a = x[:60] - x[:60].mean(0)
     w = np.linalg.solve(a.T @ a + np.eye(x.shape[1]), a.T @ (y[:60] - y[:60].mean()))
