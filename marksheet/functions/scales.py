@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-import numpy as np
 from pyspark.sql import Column, functions as F
 
 # The linear scale, the pass mark, and shares and labels of the rank-based scale.
@@ -74,12 +73,21 @@ def grade_abs_n_classes(norm: Column, n: Column) -> Column:
     return F.when(norm >= PASS, F.least(F.greatest(bins, F.lit(1)), n - 1)).when(norm.isNotNull(), F.lit(0)).cast("int")
 
 
+def _share_up_to(x: float) -> float:
+    """The share of passers in the best ``x`` of the scale, where each share is spread evenly over its fifth.
+
+    Seats are rounded up from these numbers, so the last digits count: fifths begin at multiples of
+    0.2 as doubles, and a share rises by its slope from the sum of those before it.
+    """
+    step, before = 1 / len(PASSING_SHARES), [0.0, *accumulate(PASSING_SHARES)]
+    at = max((j for j in range(len(PASSING_SHARES)) if j * step <= x), default=0)
+    if x >= 1:
+        return before[-1]
+    end = 1.0 if at + 1 == len(PASSING_SHARES) else (at + 1) * step
+    return (before[at + 1] - before[at]) / (end - at * step) * (x - at * step) + before[at]
+
+
 def passing_distribution_interpolated(n: int) -> list[float]:
-    """The five passing shares' distribution function interpolated to ``n`` classes."""
-    if n == 1:
-        return [1.0]
-    shares = np.asarray(PASSING_SHARES)
-    total = np.concatenate([[0.0], np.cumsum(shares)])
-    at = np.interp(np.linspace(0, 1, n + 1), np.linspace(0, 1, len(total)), total)
-    out = np.maximum(np.diff(at), 0.0)
-    return (out / out.sum()).tolist()
+    """Shares of ``n`` passing classes of equal width on the scale, which sum to one."""
+    parts = [_share_up_to((i + 1) * (1 / n)) - _share_up_to(i * (1 / n)) for i in range(n)]
+    return [p / sum(parts) for p in parts] if n > 1 else [1.0]

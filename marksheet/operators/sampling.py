@@ -80,13 +80,17 @@ def feedback_eligibility(long: DataFrame) -> DataFrame:
     return long.where(F.col("model_grade").isNotNull() & F.col("model_feedback").isNotNull()).select("answer_id", "question_id").distinct()
 
 
-def sample_balanced_feedback(long: DataFrame, seed: int = 1, slot_seed: int = 2, base: int = 6, each: int = 2) -> DataFrame:
-    """``base`` answers per question by hash rank, then ``each`` disjoint answers for every model of the question."""
+def sample_balanced_feedback(long: DataFrame, seed: int = 1, slot_seed: int = 2, each: int = 2) -> DataFrame:
+    """``each`` answers per question and model by hash rank, then dealt so that models share none.
+
+    A question with fewer answers than models ask for leaves the last slots open.
+    """
     h = lambda s: F.md5(F.concat(F.lit(f"{s}|"), F.col("answer_id")).cast("binary"))
     per = Window.partitionBy("question_id")
-    chosen = feedback_eligibility(long).withColumn("_r", F.row_number().over(per.orderBy(h(seed), "answer_id"))).where(F.col("_r") <= base)
+    models = long.select("model_name").distinct().withColumn("_slot", F.row_number().over(Window.orderBy("model_name")) - 1)  # a row a model
+    base = models.agg((F.count(F.lit(1)) * each).alias("_base"))
+    chosen = feedback_eligibility(long).withColumn("_r", F.row_number().over(per.orderBy(h(seed), "answer_id"))).crossJoin(F.broadcast(base)).where("_r <= _base").drop("_base")
     slots = chosen.withColumn("_slot", ((F.row_number().over(per.orderBy(h(slot_seed), "answer_id")) - 1) / each).cast("int"))
-    models = long.select("model_name").distinct().withColumn("_slot", F.row_number().over(Window.orderBy("model_name")) - 1)
     paired = slots.join(F.broadcast(models), "_slot").select("answer_id", "question_id", "model_name")
     return paired.join(long.select("answer_id", "model_name", "model_grade"), ["answer_id", "model_name"])
 

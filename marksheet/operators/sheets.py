@@ -21,6 +21,12 @@ EXAM = ["test_id", "test_size"]
 ENTRIES = 1_000_000
 
 
+def many_parts(df: DataFrame) -> int:
+    """So many partitions that heavy work on few rows is spread, too; a number given is not lowered at run time."""
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _word(number: Column) -> Column:
     return F.shiftright(number, 6)
 
@@ -57,10 +63,7 @@ def answer_sheets(answers: DataFrame, numbers: DataFrame, columns: Sequence[str]
     """
     number = lambda c: to_numeric(F.col(f"`{c}`"))
     sums = [a for c in columns for a in (F.count(number(c)).cast("int").alias(f"valid_{c}"), F.coalesce(F.sum(number(c)), F.lit(0.0)).alias(f"points_{c}"))]
-    # So many partitions that the work of all exams on few sheets is spread, too.
-    context = answers.sparkSession.sparkContext
-    parts = max(4 * context.defaultParallelism, int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    known = answers.where(F.col("member_id").isNotNull()).join(F.broadcast(numbers), "question_id").repartition(parts, "member_id")
+    known = answers.where(F.col("member_id").isNotNull()).join(F.broadcast(numbers), "question_id").repartition(many_parts(answers), "member_id")
     per_question = known.groupBy("member_id", "number").agg(F.count(F.lit(1)).cast("int").alias("rows"), *sums)
     names = ["rows", *(f"{k}_{c}" for c in columns for k in ("valid", "points"))]
     sheet = per_question.groupBy("member_id").agg(F.array_sort(F.collect_list(F.struct("number", *names))).alias("_s"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.agreement import qwk_observed
 from ..functions.columns import linear_grade_code, model_short_name
 from .exam import EXAM, completeness_filter, graded_columns, reference_by_model, student_exam_totals, student_scales, total_cells, with_scales
-from .sheets import sitting_totals
+from .sheets import many_parts, sitting_totals
 
 STUDENT = [*EXAM, "member_id"]
 RANKING = ("el_acc_linear_abs", "el_qwk_linear_abs", "el_acc_bologna", "el_qwk_bologna")
@@ -142,9 +144,25 @@ def grade_codes(met: DataFrame, scale: str) -> DataFrame:
     return rows.where("g_a = g_b")
 
 
-#: Students of one cell that share the bits of one random number.
+#: Students of one cell whose swaps are the bits of one random number.
 _CHUNK = 30
 _PRIME = (1 << 31) - 1
+#: Numbers of students whose swaps one random number settles by a table of quantiles.
+TABLE_SIZES = (512, 4096, 32768)
+
+
+@lru_cache
+def quantile_table(size: int) -> tuple[int, tuple[int, ...]]:
+    """Quantiles of Binomial(size, 1/2): (least, cuts). A random number u below 2^31 - 1 stands for
+    ``least`` plus the number of cuts that are no larger than u.
+
+    What lies seven and a half deviations from the mean has a chance of 10^-13 and gets no cut.
+    """
+    far = math.ceil(7.5 * math.sqrt(size) / 2)
+    least, most = size // 2 - far, size // 2 + far
+    log_of = lambda k: math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1) - size * math.log(2)
+    below = list(accumulate(math.exp(log_of(k)) for k in range(least, most)))
+    return least, tuple(min(_PRIME, int(c * _PRIME)) for c in below)
 
 
 def swap_cells(rows: DataFrame) -> DataFrame:
@@ -159,30 +177,6 @@ def swap_cells(rows: DataFrame) -> DataFrame:
     return cells.withColumns({"d_apart": (g - y) * (g - y) - (g - x) * (g - x), "d_square": y * y - x * x, "d_sum": y - x})
 
 
-def exam_sums(cells: DataFrame) -> DataFrame:
-    """Per pair and exam the sums that both kappas need in the observed order."""
-    g, x, y, n = (F.col(c) for c in "gxyn")
-    return cells.groupBy("a", "b", *EXAM).agg(
-        F.sum(n).alias("m"), F.sum(n * g).alias("s_g"), F.sum(n * g * g).alias("s_gg"), F.min(g).alias("g_lo"), F.max(g).alias("g_hi"),
-        *(a for v, c in (("x", x), ("y", y)) for a in (F.sum(n * c).alias(f"s_{v}"), F.sum(n * c * c).alias(f"s_{v}{v}"), F.sum(n * (g - c) * (g - c)).alias(f"apart_{v}"))),
-    )
-
-
-def kappa_difference(apart: Column, square: Column, total: Column) -> Column:
-    """Kappa of the first minus the second model when swaps move the three sums by these amounts."""
-
-    def kappa(off: Column, sq: Column, sm: Column) -> Column:
-        spread = F.col("m") * (F.col("s_gg") + sq) - 2 * F.col("s_g") * sm
-        return F.when(spread == 0, F.when(off == 0, 1.0).otherwise(0.0)).otherwise(1.0 - F.try_divide((F.col("m") * off).cast("double"), spread.cast("double")))
-
-    return kappa(F.col("apart_x") + apart, F.col("s_xx") + square, F.col("s_x") + total) - kappa(F.col("apart_y") - apart, F.col("s_yy") - square, F.col("s_y") - total)
-
-
-def observed_difference(sums: DataFrame, *keys: str) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    return sums.groupBy(*keys).agg(F.avg(kappa_difference(zero, zero, zero)).alias("observed"))
-
-
 def p_values(means: DataFrame, *keys: str) -> DataFrame:
     """p = (extreme + 1) / (n + 1) from the mean difference d of every permutation beside the observed one."""
     extreme = F.abs("d") >= F.abs("observed") - 1e-12
@@ -201,32 +195,71 @@ def permutation_test_qwk(sat: DataFrame, models: Sequence[str], size: int, a: st
     return permutation_of_cells(swap_cells(grade_codes(pair_cells(sat, models, pair, size), scale)), n, seed)
 
 
+def with_draws(cells: DataFrame, seed: int) -> DataFrame:
+    """The cells with ``draws``: what their swaps are made of, in functions that any engine can repeat.
+
+    Up to 511 students are the set bits among as many random bits, 30 at a time, and the rest come in
+    parts of ``TABLE_SIZES``, the largest first, each a quantile. A draw has the size of its table (1
+    for bits, with their mask) and two numbers (h, k): permutation p uses (h p + k) mod 2^31 - 1. So a
+    cell costs some 30 numbers and one more for every 32,768 students.
+    """
+    left, s = F.when(F.col("x") != F.col("y"), F.col("n")).otherwise(0).cast("long"), F.lit(str(seed))
+    none = F.array().cast("array<struct<size:int,h:bigint,k:bigint,mask:bigint>>")
+
+    def draws(size: int, first: int, last: Column, mask) -> Column:
+        named = lambda j: [s, *EXAM, "g", "x", "y", F.lit(size), j]
+        one = lambda j: F.struct(F.lit(size).alias("size"), (mixed(*named(j)) + 1).alias("h"), mixed(*named(j), F.lit("k")).alias("k"), mask(j).alias("mask"))
+        return F.when(last >= first, F.transform(F.sequence(F.lit(first).cast("long"), last), one)).otherwise(none)
+
+    parts = []
+    for size in reversed(TABLE_SIZES):
+        parts.append(draws(size, 1, F.floor(left / size), lambda j: F.lit(0).cast("long")))
+        left = left % size
+    bits = lambda j, left=left: F.call_function("shiftleft", F.lit(1).cast("long"), F.least(left - j * _CHUNK, F.lit(_CHUNK)).cast("int")) - 1
+    chunk = draws(1, 0, F.floor((left + _CHUNK - 1) / _CHUNK) - 1, lambda j: bits(j))
+    return cells.withColumn("draws", F.concat(chunk, *parts))
+
+
+def drawn_swaps(draws: list[dict], p: np.ndarray) -> np.ndarray:
+    """How many students of a cell each permutation swaps. ``p``: a number for each."""
+    out = np.zeros(len(p), np.int64)
+    for d in draws:
+        u = (d["h"] * p + d["k"]) % _PRIME
+        if d["size"] == 1:
+            out += np.bitwise_count(u & d["mask"])
+        else:
+            least, cuts = quantile_table(d["size"])
+            out += least + np.searchsorted(np.array(cuts), u, "right")
+    return out
+
+
 def permutation_of_cells(cells: DataFrame, n: int, seed: int) -> DataFrame:
-    """Observed mean exam kappa difference and p, in SQL functions that any engine can repeat.
+    """Observed mean exam kappa difference and p of ``swap_cells`` of one pair.
 
-    The students of a cell that are swapped are the set bits among as many random bits, 30 at a time.
+    Each exam's cells and draws come in one row (grades cubed at most). A task adds up the exams it
+    has, so one number a permutation leaves it.
     """
-    spark = cells.sparkSession
-    s = F.lit(str(seed))
-    chunks = cells.where("x != y").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _CHUNK))))
-    chunks = chunks.withColumn("_bits", F.least(F.col("n") - F.col("_chunk") * _CHUNK, F.lit(_CHUNK))).withColumn("_mask", F.expr("shiftleft(1L, cast(_bits as int)) - 1"))
-    named = [s, *EXAM, "g", "x", "y", "_chunk"]
-    # Exams by a number while they are crossed with the permutations: it is hashed for every pair.
-    exam = F.xxhash64(*EXAM).alias("_exam")
-    chunks = chunks.withColumns({"_h": mixed(*named) + 1, "_k": mixed(*named, F.lit("k"))}).select(exam, "d_apart", "d_square", "d_sum", "_mask", "_h", "_k").repartition("_exam")
-    # A fixed table of n rows, whatever the data: the permutations.
-    perms = spark.range(1, n + 1).select(F.col("id").alias("perm"), (mixed(s, F.col("id")) + 1).alias("_p"))
-    drawn = chunks.crossJoin(F.broadcast(perms)).withColumn("_swaps", F.bit_count(((F.col("_h") * F.col("_p") + F.col("_k")) % _PRIME).bitwiseAND(F.col("_mask"))).cast("long"))
-    moved = drawn.groupBy("perm", "_exam").agg(*(F.sum(F.col("_swaps") * F.col(c)).alias(c) for c in ("d_apart", "d_square", "d_sum")))
-    # All of this stays dealt by exam: the sums of an exam join its permutations where they are.
-    sums = exam_sums(cells).withColumn("_exam", exam)
-    drawn = moved.join(sums, "_exam").select("perm", kappa_difference(F.col("d_apart"), F.col("d_square"), F.col("d_sum")).alias("d"))
-    # Exams without a student to swap add the same to every permutation.
-    zero = F.lit(0).cast("long")
-    still = sums.join(chunks.select("_exam").distinct(), "_exam", "left_anti").agg(F.coalesce(F.sum(kappa_difference(zero, zero, zero)), F.lit(0.0)).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    means = perms.select("perm").join(drawn.groupBy("perm").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n")), "perm", "left").crossJoin(F.broadcast(still))
-    means = means.select("perm", ((F.coalesce("d", F.lit(0.0)) + F.col("_d")) / (F.coalesce("n", F.lit(0)) + F.col("_n"))).alias("d"))
-    return p_values(means.crossJoin(F.broadcast(observed_difference(sums))))
+    spark, s = cells.sparkSession, F.lit(str(seed))
+    # A fixed number of rows, whatever the data: the permutations.
+    numbers = [r[0] for r in spark.range(1, n + 1).select((mixed(s, F.col("id")) + 1).alias("p"), "id").orderBy("id").collect()]
+    sent = spark.sparkContext.broadcast(np.array(numbers, np.int64))
+    exams = with_draws(cells.repartition(many_parts(cells), *EXAM), seed).groupBy(*EXAM).agg(F.array_sort(F.collect_list(F.struct("g", "x", "y", "n", "draws"))).alias("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value
+        total, count = np.zeros(n + 1), 0
+        for batch in batches:
+            for exam in batch.column(0).to_pylist():
+                swaps = np.zeros((n + 1, len(exam)))  # first the observed order
+                for i, c in enumerate(exam):
+                    swaps[1:, i] = drawn_swaps(c["draws"], p)
+                total += kappa_differences(exam, swaps)
+                count += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(total), pa.array(np.full(n + 1, count))], names=["perm", "total", "count"])
+
+    means = exams.select("cells").mapInArrow(run, "perm long, total double, count long").groupBy("perm").agg((F.sum("total") / F.sum("count")).alias("d")).where("d IS NOT NULL")
+    seen = means.where("perm = 0").select(F.col("d").alias("observed"))
+    return p_values(means.where("perm > 0").crossJoin(F.broadcast(seen)))
 
 
 def kappa_differences(cells: list[dict], swaps: np.ndarray) -> np.ndarray:
@@ -279,42 +312,78 @@ def permutations_in_blocks(cells: DataFrame, n: int, seed: int, per_block: int)
             perm[0] = 0
             yield pa.RecordBatch.from_arrays([*(pa.array([v] * rows, pa.string()) for v in (scale, a, b)), pa.array(perm, pa.int64()), pa.array(total), pa.array(count)], names=[*keys, "perm", "total", "count"])
 
-    grid = exams.crossJoin(F.broadcast(blocks)).repartition(*EXAM, "block")  # a fixed number of blocks
+    grid = exams.crossJoin(F.broadcast(blocks)).repartition(many_parts(exams), *EXAM, "block")  # a fixed number of blocks
     means = grid.mapInArrow(run, "scale string, a string, b string, perm long, total double, count double").groupBy(*keys, "perm").agg((F.sum("total") / F.sum("count")).alias("d"))
     seen = means.where("perm = 0").select(*keys, F.col("d").alias("observed"))
     return p_values(means.where("perm > 0").join(seen, keys), *keys)
 
 
-def sanity_checks(labels: DataFrame, models: Sequence[str], size: int) -> DataFrame:
-    """Named checks with severity and the number of offending rows; each is one aggregate row."""
-    from .joins import expected_models_present, model_key_sets, not_unique
+def _far(a: str, b: Column) -> Column:
+    return F.abs(F.col(a) - b) > 1e-12
 
-    far = lambda a, b: F.abs(F.col(a) - b) > 1e-12
+
+def row_checks(size: int) -> dict[str, tuple[str, Column]]:
+    """name -> (what is wrong, the rows that are) for checks that look at one row of the label table."""
     total = F.col("test_size").cast("double")
-    per_row = {
-        "labels_not_null": ("critical", F.col("gold_linear_abs").isNull() | F.col("pred_linear_abs").isNull() | F.col("gold_bologna").isNull() | F.col("pred_bologna").isNull()),
-        "single_test_size": ("critical", F.col("test_size") != size),
-        "totals_in_range": ("critical", (F.col("gold_total") < 0) | (F.col("gold_total") > total) | (F.col("pred_total") < 0) | (F.col("pred_total") > total)),
-        "gold_norm_matches": ("critical", far("gold_norm", F.col("gold_total") / total)),
-        "pred_norm_matches": ("critical", far("pred_norm", F.col("pred_total") / total)),
-        "linear_in_range": ("critical", (F.col("pred_linear_abs") < 1) | (F.col("pred_linear_abs") > 6) | (F.col("gold_linear_abs") < 1) | (F.col("gold_linear_abs") > 6)),
-        "linear_on_step": ("critical", (F.col("pred_linear_abs") * 2 != F.rint(F.col("pred_linear_abs") * 2)) | (F.col("gold_linear_abs") * 2 != F.rint(F.col("gold_linear_abs") * 2))),
-        "bologna_ordinals": ("critical", ~F.col("pred_bologna").between(0, 5) | ~F.col("gold_bologna").between(0, 5)),
-        "correct_linear_flag": ("critical", F.col("correct_linear_abs") != (F.col("gold_linear_abs") == F.col("pred_linear_abs"))),
-        "correct_bologna_flag": ("critical", F.col("correct_bologna") != (F.col("gold_bologna") == F.col("pred_bologna"))),
-        "fail_below_pass_mark": ("critical", (F.col("pred_norm") < 0.6) & (F.col("pred_bologna") > 0) & (F.col("pred_norm") * total < total * 0.6)),
+    labels = ("gold_linear_abs", "pred_linear_abs", "gold_bologna", "pred_bologna")
+    any_null = F.greatest(*(F.col(c).isNull() for c in labels))
+    return {
+        "labels_not_null": ("rows without a label", any_null),
+        "single_test_size": (f"rows of another size than {size}", F.col("test_size") != size),
+        "totals_in_range": ("totals outside of the exam's points", (F.col("gold_total") < 0) | (F.col("gold_total") > total) | (F.col("pred_total") < 0) | (F.col("pred_total") > total)),
+        "gold_norm_matches": ("norms that are not total / size", _far("gold_norm", F.col("gold_total") / total)),
+        "pred_norm_matches": ("norms that are not total / size", _far("pred_norm", F.col("pred_total") / total)),
+        "linear_in_range": ("grades outside of 1 to 6", ~F.col("pred_linear_abs").between(1, 6) | ~F.col("gold_linear_abs").between(1, 6)),
+        "linear_on_step": ("grades off the steps of a half", (F.col("pred_linear_abs") * 2 != F.rint(F.col("pred_linear_abs") * 2)) | (F.col("gold_linear_abs") * 2 != F.rint(F.col("gold_linear_abs") * 2))),
+        "bologna_ordinals": ("ordinals outside of 0 to 5", ~F.col("pred_bologna").between(0, 5) | ~F.col("gold_bologna").between(0, 5)),
+        "correct_linear_flag": ("flags that differ from the labels", F.col("correct_linear_abs") != (F.col("gold_linear_abs") == F.col("pred_linear_abs"))),
+        "correct_bologna_flag": ("flags that differ from the labels", F.col("correct_bologna") != (F.col("gold_bologna") == F.col("pred_bologna"))),
+        "fail_below_pass_mark": ("passes below the pass mark", (F.col("pred_norm") * total < total * 0.6) & (F.col("pred_bologna") > 0)),
     }
-    one = labels.agg(*(F.count_if(c).alias(n) for n, (_, c) in per_row.items()))
-    rows = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("severity"), F.col(n).alias("offending")) for n, (s, _) in per_row.items()))).alias("x")).select("x.*")
+
+
+def sanity_checks(labels: DataFrame, models: Sequence[str], size: int, selection: Sequence[str] = RANKING, ranking: DataFrame | None = None, pairs: DataFrame | None = None, exams: int | None = None) -> DataFrame:
+    """Named checks: name, severity, offending, passed, details.
+
+    ``ranking``: a published ranking to hold against a new one; ``pairs``: the comparisons (a, b) that
+    were made, which must be the best model of each ``selection`` metric with every other; ``exams``:
+    how many exams there should be. What is not given is not compared.
+    """
+    from .joins import expected_models_present, model_key_sets, not_unique
+
+    rules = row_checks(size)
+    one = labels.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, (_, c) in rules.items()))
+    found = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit("critical").alias("severity"), F.col(n).alias("offending"), F.lit(d).alias("details")) for n, (d, _) in rules.items()))).alias("x")).select("x.*")
+    again = model_ranking(labels)
+    best = best_model_per_metric(again, [m for m in selection if m in again.columns])
+    per_exam = labels.groupBy("model_col", "test_id").agg(F.count(F.lit(1)).alias("n"))
+    per_model = labels.groupBy("model_col").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("test_id").alias("exams"))
+    total = labels.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("test_id").alias("exams"), F.count_if(F.col("test_size") == size).alias("of_size"))
+    gone = labels.sparkSession.createDataFrame([(m,) for m in selection if m not in again.columns], "metric string")
     counted = [
-        ("rows_unique", "critical", not_unique(labels, ["model_col", *STUDENT])),
-        ("gold_labels_agree", "critical", labels.groupBy(*STUDENT).agg(F.count_distinct("gold_linear_abs", "gold_bologna").alias("n")).where("n > 1")),
-        ("expected_models", "critical", expected_models_present(labels, models)),
-        ("same_exam_students", "warning", model_key_sets(labels).where("missing > 0 OR extra > 0")),
+        ("rows_unique", "critical", not_unique(labels, ["model_col", *STUDENT]), "exam-students that a model has twice"),
+        ("gold_labels_agree", "critical", labels.groupBy(*STUDENT).agg(F.count_distinct("gold_linear_abs", "gold_bologna").alias("n")).where("n > 1"), "exam-students whose reference differs between models"),
+        ("expected_models", "critical", expected_models_present(labels, models), "models missing or extra"),
+        ("same_exam_students", "warning", model_key_sets(labels).where("missing > 0 OR extra > 0"), "models with other exam-students than the first"),
+        ("selection_metrics_exist", "critical", gone, "selection metrics that the ranking lacks"),
+        ("test_size_exists", "critical", total.where("of_size = 0"), "no row of the size asked for"),
+        ("labels_not_empty", "critical", total.where("n = 0"), "no row at all"),
+        ("exam_students_counted", "critical", per_exam.groupBy("test_id").agg(F.count(F.lit(1)).alias("n")).join(labels.agg(F.count_distinct("model_col").alias("m")), F.col("n") != F.col("m")), "exams that not every model has"),
+        ("equal_row_counts", "warning", per_model.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo != hi"), "models have different numbers of rows"),
     ]
-    for name, severity, bad in counted:
-        rows = rows.unionByName(bad.agg(F.count(F.lit(1)).alias("offending")).select(F.lit(name).alias("name"), F.lit(severity).alias("severity"), "offending"))
-    return rows.withColumn("passed", F.col("offending") == 0)
+    if exams is not None:
+        counted.append(("exam_count", "warning", per_model.where(F.col("exams") != exams), f"models with another number of exams than {exams}"))
+    if ranking is not None:
+        other = ranking.select("model_col", *(F.col(m).alias(f"_{m}") for m in RANKING)).join(again, "model_col", "full")
+        differs = reduce(lambda a, b: a | b, (~F.coalesce(F.abs(F.col(m) - F.col(f"_{m}")) <= 1e-12, F.col(m).isNull() & F.col(f"_{m}").isNull()) for m in RANKING))
+        counted.append(("ranking_recomputes", "critical", other.where(differs), "models whose ranking metrics come out otherwise"))
+    if pairs is not None:
+        want = best.select(F.col("best_model_col").alias("a")).distinct().join(again.select(F.col("model_col").alias("b")), F.col("a") != F.col("b"))
+        have = pairs.select("a", "b").distinct()
+        counted.append(("best_paired_with_all", "critical", want.exceptAll(have), "comparisons of a best model that are missing"))
+    for name, severity, bad, details in counted:
+        found = found.unionByName(bad.agg(F.count(F.lit(1)).alias("offending")).select(F.lit(name).alias("name"), F.lit(severity).alias("severity"), "offending", F.lit(details).alias("details")))
+    return found.select("name", "severity", "offending", (F.col("offending") == 0).alias("passed"), "details")
 
 
 def raise_on_critical(checks: DataFrame) -> DataFrame:

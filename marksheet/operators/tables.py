@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C
+from ..functions.quantiles import exact_quantiles
 from .exam import METRICS, grouped_item_metrics
 from .ranks import global_position
 
@@ -106,8 +107,11 @@ def engagement_by_week(df: DataFrame, ts: str, weeks: int = 18) -> DataFrame:
 
 
 def describe_column(df: DataFrame, c: str) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles of a column of any length."""
     v = F.col(c).cast("double")
-    return df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *(F.percentile(v, F.lit(q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))), F.max(v).alias("max"))
+    quartiles = dict(zip(("q25", "q50", "q75"), exact_quantiles(df, v, (0.25, 0.5, 0.75)), strict=True))
+    stats = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return stats.select("count", "mean", "std", "min", *(F.lit(q).cast("double").alias(n) for n, q in quartiles.items()), "max")
 
 
 def bloom_difficulty(df: DataFrame) -> DataFrame:

@@ -42,6 +42,13 @@ def scan_exam_partitions(spark: SparkSession, path: str, sizes: Sequence[int] |
     return df.where(F.col("test_size").isin(*sizes)) if sizes else df
 
 
+def sink_exam_buckets(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A catalog table whose files hold whole exams, sorted: aggregates and joins by exam read it without a shuffle."""
+    writer = df.repartition(buckets, "test_size", "test_id").write.bucketBy(buckets, "test_size", "test_id").sortBy("test_size", "test_id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def sink_split_export(df: DataFrame, path: str) -> None:
     """train and test by the split column; an empty split is an error."""
     counts = {r["split"]: r["count"] for r in df.groupBy("split").count().where("split IN ('train', 'test')").collect()}

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from marksheet.functions import agreement as G, columns as C, scales as S
+from marksheet.functions.quantiles import exact_quantiles
 from marksheet.operators import clean as K, exam as E, joins as J, rich_text as R, significance as T
 from marksheet.operators.ranks import global_position
 from marksheet.operators.sheets import eligible, sittings
@@ -284,6 +285,61 @@ def test_snapshots(spark, tmp_path):
         snapshots.read(spark, f"file://{tmp_path}/nothing")
 
 
+def test_quantiles_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=5001), np.concatenate([np.full(3000, 2.5), rng.random(2000)]), np.array([1e308, -1e308, 0.0, 5e-324, 1.0] * 50), np.array([3.0]), rng.lognormal(0, 9, 4000)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        want = [df.agg(F.percentile("v", F.lit(q))).first()[0] for q in (0.0, 0.25, 0.5, 0.9, 1.0)]
+        for bins, enough in ((4096, 100_000), (16, 40)):
+            assert exact_quantiles(df, F.col("v"), (0.0, 0.25, 0.5, 0.9, 1.0), bins, enough) == pytest.approx(want, rel=1e-15)
+    assert exact_quantiles(spark.createDataFrame([], "v double"), F.col("v"), (0.5,)) == [None]
+
+
+def test_exam_buckets_are_read_without_a_shuffle(spark, tmp_path):
+    rows = [(f"t{i % 40}", 5 + i % 2, f"m{i}", float(i)) for i in range(800)]
+    df = spark.createDataFrame(rows, "test_id string, test_size int, member_id string, total double")
+    table = io.sink_exam_buckets(df, "exam_buckets_of_test", 4, f"file://{tmp_path}/exams")
+    try:
+        by_exam = table.groupBy("test_size", "test_id").agg(F.count("*").alias("n"), F.sum("total").alias("s"))
+        assert "Exchange" not in by_exam._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, by_exam.collect())) == sorted(map(tuple, df.groupBy("test_size", "test_id").agg(F.count("*"), F.sum("total")).collect()))
+    finally:
+        spark.sql("DROP TABLE exam_buckets_of_test")
+
+
+def test_sanity_checks_catch_rows_that_break_them(spark):
+    names = "model_col test_id test_size member_id gold_total pred_total gold_norm pred_norm gold_linear_abs pred_linear_abs gold_bologna pred_bologna correct_linear_abs correct_bologna".split()
+    kinds = "string string int string double double double double double double int int boolean boolean".split()
+    right = lambda m, t, s: dict(zip(names, (m, t, 10, s, 8.0, 7.0, 0.8, 0.7, 5.0, 4.5, 3, 2, False, False), strict=True))
+    good = [right(m, t, s) for m in ("a", "b") for t in ("t1", "t2") for s in ("s1", "s2")]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
+
+    def failed(rows, models=("a", "b"), size=10, **more):
+        df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+        checks = T.sanity_checks(df, list(models), size, **more).collect()
+        assert all(r["passed"] == (r["offending"] == 0) and r["details"] for r in checks) and len({r["name"] for r in checks}) == len(checks)
+        return {r["name"] for r in checks if not r["passed"]}
+
+    def broken(**change):
+        return [good[0] | change, *good[1:]]
+
+    ranking = T.model_ranking(spark.createDataFrame([tuple(r[n] for n in names) for r in good], schema))
+    all_pairs = spark.createDataFrame([("a", "b")], "a string, b string")
+    assert failed(good, ranking=ranking, pairs=all_pairs, exams=2) == set()
+    for name, rows in {
+        "labels_not_null": broken(pred_bologna=None), "single_test_size": broken(test_size=5), "totals_in_range": broken(pred_total=11.0), "gold_norm_matches": broken(gold_norm=0.81), "pred_norm_matches": broken(pred_norm=0.71),
+        "linear_in_range": broken(pred_linear_abs=6.5), "linear_on_step": broken(pred_linear_abs=4.4), "bologna_ordinals": broken(pred_bologna=6), "correct_linear_flag": broken(correct_linear_abs=True), "correct_bologna_flag": broken(correct_bologna=True),
+        "fail_below_pass_mark": broken(pred_total=5.0, pred_norm=0.5), "rows_unique": [*good, good[0]], "gold_labels_agree": broken(gold_bologna=4), "same_exam_students": good[1:], "exam_students_counted": [r for r in good if (r["model_col"], r["test_id"]) != ("a", "t1")], "equal_row_counts": good[1:],
+    }.items():
+        assert name in failed(rows), name
+    assert "expected_models" in failed(good, models=("a", "c")) and "test_size_exists" in failed(good, size=15) and "exam_count" in failed(good, exams=3)
+    assert "selection_metrics_exist" in failed(good, selection=("el_acc_linear_abs", "el_new"))
+    assert "ranking_recomputes" in failed(good, ranking=ranking.withColumn("el_acc_bologna", F.lit(0.5))) and "best_paired_with_all" in failed(good, pairs=all_pairs.limit(0))
+    assert "labels_not_empty" in failed([])
+    with pytest.raises(ValueError, match="rows_unique"):
+        T.raise_on_critical(T.sanity_checks(spark.createDataFrame([tuple(r[n] for n in names) for r in [*good, good[0]]], schema), ["a", "b"], 10))
+
+
 def test_tau_of_continuous_values_in_blocks(spark):
     """Ties, hot values and null keys, with as many blocks as rows allow."""
     rng = np.random.default_rng(1)
@@ -444,6 +500,39 @@ def exact_permutation_p(exams):
     return seen, np.mean([abs(d(s)) >= abs(seen) - 1e-12 for s in itertools.product((False, True), repeat=n)])
 
 
+def test_swaps_of_large_cells_are_binomial(spark):
+    """Quantile tables follow the binomial, and what a permutation draws for a cell is its sum of parts."""
+    for size in T.TABLE_SIZES:
+        least, cuts = T.quantile_table(size)
+        chances = np.diff(np.array([0, *cuts, T._PRIME], float)) / T._PRIME
+        k = least + np.arange(len(chances))
+        assert (chances >= 0).all() and (chances * k).sum() == pytest.approx(size / 2, abs=1e-3) and (chances * (k - size / 2) ** 2).sum() == pytest.approx(size / 4, rel=1e-4)
+        p = np.arange(0, T._PRIME, 5_000_011)
+        assert T.drawn_swaps([{"size": size, "h": 1, "k": 0}], p).tolist() == [least + sum(c <= u for c in cuts) for u in p]
+    # A cell is cut into all sizes, and its draws over many permutations have a binomial's mean and spread.
+    rows = [("a", "b", "t", 10, n, 1, 1, 1, 2) for n in (45_711,)] + [("a", "b", f"t{n}", 10, n, 1, 1, 1, 2) for n in (1, 30, 31, 511, 512, 4608)] + [("a", "b", "same", 10, 9, 1, 1, 2, 2)]
+    cells = T.swap_cells(spark.createDataFrame(rows, "a string, b string, test_id string, test_size int, n long, g_a int, g_b int, p_a int, p_b int"))
+    p = rng_p = np.random.default_rng(2).integers(1, T._PRIME, 20_000)
+    for r in T.with_draws(cells, 5).collect():
+        bits = [d for d in r["draws"] if d["size"] == 1]
+        n = 0 if r["test_id"] == "same" else r["n"]
+        assert sum(d["size"] for d in r["draws"] if d["size"] > 1) + sum(d["mask"].bit_count() for d in bits) == n and len(bits) <= 18
+        assert len({(d["h"], d["k"]) for d in r["draws"]}) == len(r["draws"])
+        if n:
+            got = T.drawn_swaps([d.asDict() for d in r["draws"]], rng_p)
+            assert abs(got.mean() - n / 2) < 5 * np.sqrt(n / 4 / len(p)) and abs(got.var() / (n / 4) - 1) < 0.06 and 0 <= got.min() and got.max() <= n
+    # One exam, two cells: the kappa difference moves with the swaps of a large cell as a normal draw would.
+    rows = [("a", "b", "t", 10, 40_000 + 5_000 + 700, 1, 1, 1, 2), ("a", "b", "t", 10, 30_000, 2, 2, 2, 2), ("a", "b", "t", 10, 20_000, 3, 3, 2, 3)]
+    cells = T.swap_cells(spark.createDataFrame(rows, "a string, b string, test_id string, test_size int, n long, g_a int, g_b int, p_a int, p_b int"))
+    rng = np.random.default_rng(1)
+    g, x, y, n = (np.array(c, float) for c in ((1, 2, 3), (1, 2, 2), (2, 2, 3), (45_700, 30_000, 20_000)))
+    as_dicts = [dict(zip("gxyn", c, strict=True)) for c in zip(g, x, y, n, strict=True)]
+    drawn = T.kappa_differences(as_dicts, np.column_stack([rng.binomial(45_700, 0.5, 4000), np.zeros(4000), rng.binomial(20_000, 0.5, 4000)]).astype(float))
+    one = T.permutation_of_cells(cells, 2000, 1).first()
+    seen = T.kappa_differences(as_dicts, np.zeros((1, 3)))[0]
+    assert one["observed"] == pytest.approx(seen) and one["extreme"] == 0 and np.abs(drawn).max() < abs(seen)
+
+
 def test_permutations_equal_exact_enumeration(spark):
     rng = np.random.default_rng(3)
     rows, exams = [], []
