@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scales as S
 from ..functions.agreement import accuracy, kendall_tau_b, mae, mse, qwk_fixed, qwk_observed, tau_b_of_cells
 from ..functions.columns import to_numeric
+from ..sources.io import settled
 from .sheets import EXAM, sitting_totals
 
 SCALES = ("linear_abs", "pass_linear_abs", "linear_mean", "pass_linear_mean", "bologna")
@@ -52,13 +53,14 @@ def completeness_filter(totals: DataFrame) -> DataFrame:
 def exam_states(totals: DataFrame) -> DataFrame:
     """How many students (n) of a model and exam are complete with each pair of totals, or lack what.
 
-    The one table that exam metrics read: what is shuffled is bounded by pairs of totals, not by
-    how many students sat an exam.
+    The one table that exam metrics read. What is shuffled is bounded by pairs of totals, not by how
+    many students sat an exam; it is written down, as counts, grades and tau-b each read it again.
     """
-    return totals.groupBy(
+    states = totals.groupBy(
         "model_col", *EXAM, is_complete().alias("complete"), (F.col("human_valid") < F.col("test_size")).alias("lacks_human"), (F.col("pred_valid") < F.col("test_size")).alias("lacks_prediction"),
         *(F.when(is_complete(), F.col(c)).alias(c) for c in ("gold_total", "pred_total")),
     ).agg(F.count(F.lit(1)).alias("n"))
+    return settled(states, "states")
 
 
 def counts_of_states(states: DataFrame) -> DataFrame:

@@ -51,9 +51,9 @@ def question_order_in_exam(exam: DataFrame) -> DataFrame:
     return exam.withColumn("question_order", F.row_number().over(Window.partitionBy("test_id", "test_size").orderBy("question_id")))
 
 
-def eligible_students(exam: DataFrame, answers: DataFrame, entries: int | None = None) -> DataFrame:
+def eligible_students(exam: DataFrame, answers: DataFrame) -> DataFrame:
     """Students with an answer to every question of an exam (relational division by bitmaps)."""
-    return eligible(sittings(exam, answers, entries=entries))
+    return eligible(sittings(exam, answers))
 
 
 def exam_structure_join(exam: DataFrame, students: DataFrame) -> DataFrame:

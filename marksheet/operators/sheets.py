@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import to_numeric
+from ..sources.io import settled
 
 EXAM = ["test_id", "test_size"]
 #: Exams are broadcast in blocks of at most so many (exam, question) entries, 32 bytes each.
@@ -74,16 +75,17 @@ def answer_sheets(answers: DataFrame, numbers: DataFrame, columns: Sequence[str]
     return out.withColumn("before", before)
 
 
-def sittings(exam: DataFrame, answers: DataFrame, columns: Sequence[str] = (), entries: int | None = None) -> DataFrame:
+def sittings(exam: DataFrame, answers: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """One row per exam and student who answered all its questions, with the sheet's arrays and the
     places of the exam's questions in them.
 
-    ``entries``: an upper bound of the rows of ``exam``, if known; else they are counted.
+    The exams are written down first, since masks and question numbers read them.
     """
+    exam = settled(exam.select(*EXAM, "question_id"), "exams")
     numbers = number_questions(exam)
     sheets = answer_sheets(answers, numbers, columns)
     masks = exam_masks(exam, numbers)
-    blocks = max(1, -(-(exam.count() if entries is None else entries) // ENTRIES))
+    blocks = max(1, -(-exam.count() // ENTRIES))
     has_all = F.forall("masks", lambda m: F.coalesce(F.get("bits", m["word"]), F.lit(0).cast("long")).bitwiseAND(m["bits"]) == m["bits"])
     parts = [masks] if blocks == 1 else [masks.where(F.pmod(F.xxhash64(*EXAM), F.lit(blocks)) == b) for b in range(blocks)]
     both = reduce(DataFrame.unionByName, (sheets.join(F.broadcast(part), has_all) for part in parts))

@@ -7,6 +7,12 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+from marksheet import fixtures  # noqa: E402
+
+# Fewer exams and permutations than the queries register, so that the tests can run every query;
+# test_full_size.py runs some of them as they are.
+fixtures.RUNS, fixtures.PERMUTATIONS = 12, 300
+
 
 @pytest.fixture(scope="session")
 def spark():

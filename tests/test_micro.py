@@ -151,13 +151,15 @@ def test_sheets_equal_brute_force(spark, monkeypatch):
 
 
 def test_exam_core_makes_no_row_for_a_question(spark):
-    """From sheets to metrics nothing is exploded but models, and only counts are shuffled."""
+    """From sheets to metrics nothing is exploded but models, and exam-students are not shuffled."""
     df = spark.createDataFrame([("m", "q", 1.0, 1.0)], "member_id string, question_id string, human_grade double, new_grade_a double")
     exam = spark.createDataFrame([("t", 1, "q")], "test_id string, test_size int, question_id string")
-    totals = E.student_exam_totals(sittings(exam, df, E.graded_columns(["new_grade_a"]), 1), ["new_grade_a"])
-    plan = E.exam_states(totals)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" not in plan and plan.count("Generate explode(array(struct(model_col") <= 1
-    assert not re.search(r"Exchange hashpartitioning\([^)]*member_id[^)]*test_id", plan)
+    totals = E.student_exam_totals(sittings(exam, df, E.graded_columns(["new_grade_a"])), ["new_grade_a"])
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" not in plan and plan.count("Generate explode") == 1
+    assert not re.search(r"Exchange hashpartitioning\([^)]*test_id[^)]*member_id", plan)
+    metrics = E.exam_metrics(sittings(exam, df, E.graded_columns(["new_grade_a"])), ["new_grade_a"])
+    assert "member_id" not in metrics._jdf.queryExecution().executedPlan().toString() and metrics.first()["n_students"] == 1
 
 
 def test_mcnemar(spark):
