@@ -1,24 +1,25 @@
-"""Answer sheets: a student is one row with a bitmap of answered questions and arrays of grades.
+"""Answer sheets: a student is one row with the numbers of answered questions and arrays of grades.
 
-Questions get numbers, and bit number q of a sheet says whether question q is answered. An exam is a
-bitmap too: whoever sits it has all its bits. The grades of a sheet lie in the order of its bits, so a
-question's place is the number of bits below its own, and a total is a sum over the exam's places. All
-of that happens where the sheet is: exams are broadcast, no row is made for a question, and the first
-shuffle after the sheets is of counts.
+Questions get numbers. A task lays the sheets of some students side by side, a place for every
+question, and sums each exam's places for all of them at once: who has all of an exam's questions sits
+it, and the sums are the totals. Exams are sent to the tasks, no row is made for a question, and the
+first shuffle after the sheets is of counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import to_numeric
 from ..sources.io import settled
 
 EXAM = ["test_id", "test_size"]
-#: Exams are broadcast in blocks of at most so many (exam, question) entries, 32 bytes each.
+#: Exams are sent in blocks of at most about so many (exam, question) entries.
 ENTRIES = 1_000_000
 
 
@@ -28,81 +29,88 @@ def many_parts(df: DataFrame) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _word(number: Column) -> Column:
-    return F.shiftright(number, 6)
-
-
-def _bit(number: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63)))
-
-
-def _below(number: Column) -> Column:
-    """All bits of the word under the number's own."""
-    return F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), number.bitwiseAND(F.lit(63))))
-
-
 def number_questions(exam: DataFrame) -> DataFrame:
     """(question_id, number from 0) for the questions of all exams, which are a dimension."""
     pool = exam.where(F.col("question_id").isNotNull()).agg(F.array_sort(F.collect_set("question_id")).alias("_q"))
     return pool.select(F.posexplode("_q").alias("number", "question_id")).select("question_id", "number")
 
 
-def exam_masks(exam: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Per exam its bits, word by word, and for each question the word and the bits below its own."""
-    rows = exam.select(*EXAM, "question_id").join(F.broadcast(numbers), "question_id").groupBy(*EXAM).agg(F.array_sort(F.collect_set("number")).alias("_numbers"))
-    places = F.transform("_numbers", lambda q: F.struct(_word(q).alias("word"), _below(q).alias("below")))
-    words = F.array_distinct(F.transform("_numbers", _word))
-    masks = F.transform(words, lambda w: F.struct(w.alias("word"), F.aggregate(F.filter("_numbers", lambda q: _word(q) == w), F.lit(0).cast("long"), lambda a, q: a.bitwiseOR(_bit(q))).alias("bits")))
-    return rows.where(F.size("_numbers") == F.col("test_size")).select(*EXAM, masks.alias("masks"), places.alias("places"))
-
-
 def answer_sheets(answers: DataFrame, numbers: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per student: bits, how many bits lie before each word, and in the order of bits the
-    number of rows, and per column the number of grades and their sum.
+    """One row per student: the numbers of answered questions in order, and as many rows, and per
+    column as many grades and sums of grades.
 
     Rows without student or question are left out; several answers to a question are added up.
     """
     number = lambda c: to_numeric(F.col(f"`{c}`"))
-    sums = [a for c in columns for a in (F.count(number(c)).cast("int").alias(f"valid_{c}"), F.coalesce(F.sum(number(c)), F.lit(0.0)).alias(f"points_{c}"))]
+    sums = [a for c in columns for a in (F.count(number(c)).cast("double").alias(f"v_{c}"), F.coalesce(F.sum(number(c)), F.lit(0.0)).alias(f"t_{c}"))]
     known = answers.where(F.col("member_id").isNotNull()).join(F.broadcast(numbers), "question_id").repartition(many_parts(answers), "member_id")
-    per_question = known.groupBy("member_id", "number").agg(F.count(F.lit(1)).cast("int").alias("rows"), *sums)
-    names = ["rows", *(f"{k}_{c}" for c in columns for k in ("valid", "points"))]
+    per_question = known.groupBy("member_id", "number").agg(F.count(F.lit(1)).cast("double").alias("n_rows"), *sums)
+    names = ["n_rows", *(f"{k}_{c}" for c in columns for k in ("v", "t"))]
     sheet = per_question.groupBy("member_id").agg(F.array_sort(F.collect_list(F.struct("number", *names))).alias("_s"))
-    words = F.sequence(F.lit(0), _word(F.element_at("_s", -1)["number"]))
-    bits = F.transform(words, lambda w: F.aggregate(F.filter("_s", lambda x: _word(x["number"]) == w), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(_bit(x["number"]))))
-    out = sheet.select("member_id", bits.alias("bits"), *(F.col("_s")[n].alias(n) for n in names))
-    before = F.transform(F.sequence(F.lit(1), F.size("bits")), lambda i: F.aggregate(F.slice("bits", F.lit(1), i - 1), F.lit(0), lambda a, b: a + F.bit_count(b)))
-    return out.withColumn("before", before)
+    return sheet.select("member_id", *(F.col("_s")[n].alias(n) for n in ("number", *names)))
+
+
+def _sat(sheets: DataFrame, exams: list, columns: Sequence[str]) -> DataFrame:
+    """The sittings of some exams (test_id, test_size, numbers of questions)."""
+    names = ["n_rows", *(f"{k}_{c}" for c in columns for k in ("v", "t"))]
+    whole = {"n_rows", *(f"v_{c}" for c in columns)}
+    flat = np.array([q for x in exams for q in x["numbers"]], np.int64)
+    starts = np.cumsum([0, *(len(x["numbers"]) for x in exams)])[:-1]
+    sent = sheets.sparkSession.sparkContext.broadcast((flat, starts, [x["test_id"] for x in exams], np.array([x["test_size"] for x in exams], np.int32)))
+    member = sheets.schema["member_id"].dataType.simpleString()
+    out = ["test_id", "test_size", "member_id", "n_questions", *names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, starts, ids, sizes = sent.value
+        ids, places = pa.array(ids), int(flat.max()) + 1
+        step = max(1, 1_000_000 // len(flat))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            lists = batch.column(1)
+            number = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+
+            def over_exams(values: np.ndarray, row=row, number=number, rows=batch.num_rows) -> np.ndarray:
+                laid = np.zeros((rows, places))
+                inside = number < places
+                laid[row[inside], number[inside]] = values[inside]
+                return np.add.reduceat(laid[:, flat], starts, axis=1)
+
+            found = over_exams(np.ones(len(number)))
+            student, exam = np.nonzero(found == sizes)
+            made = [ids.take(pa.array(exam)), pa.array(sizes[exam], pa.int32()), batch.column(0).take(pa.array(student)), pa.array(sizes[exam].astype(np.int64))]
+            for i, name in enumerate(names):
+                total = over_exams(batch.column(2 + i).flatten().to_numpy(zero_copy_only=False))[student, exam]
+                made.append(pa.array(total.astype(np.int64) if name in whole else total))
+            yield pa.RecordBatch.from_arrays(made, names=out)
+
+    kinds = ", ".join(f"`{n}` {'long' if n in whole else 'double'}" for n in names)
+    return sheets.mapInArrow(run, f"test_id string, test_size int, member_id {member}, n_questions long, {kinds}")
 
 
 def sittings(exam: DataFrame, answers: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """One row per exam and student who answered all its questions, with the sheet's arrays and the
-    places of the exam's questions in them.
+    """One row per exam and student who answered all its questions: n_rows, n_questions, and per
+    column v_ (valid grades) and t_ (total).
 
-    The exams are written down first, since masks and question numbers read them.
+    The exams are written down and sent to the tasks in blocks; an exam with other than ``test_size``
+    questions has no sitting.
     """
     exam = settled(exam.select(*EXAM, "question_id"), "exams")
     numbers = number_questions(exam)
     sheets = answer_sheets(answers, numbers, columns)
-    masks = exam_masks(exam, numbers)
+    rows = exam.join(F.broadcast(numbers), "question_id").groupBy(*EXAM).agg(F.array_sort(F.collect_set("number")).alias("numbers")).where(F.size("numbers") == F.col("test_size"))
     blocks = max(1, -(-exam.count() // ENTRIES))
-    has_all = F.forall("masks", lambda m: F.coalesce(F.get("bits", m["word"]), F.lit(0).cast("long")).bitwiseAND(m["bits"]) == m["bits"])
-    parts = [masks] if blocks == 1 else [masks.where(F.pmod(F.xxhash64(*EXAM), F.lit(blocks)) == b) for b in range(blocks)]
-    both = reduce(DataFrame.unionByName, (sheets.join(F.broadcast(part), has_all) for part in parts))
-    places = F.transform("places", lambda p: F.get("before", p["word"]) + F.bit_count(F.get("bits", p["word"]).bitwiseAND(p["below"])))
-    return both.withColumn("places", places).drop("masks", "bits", "before")
+    parts = []
+    for b in range(blocks):
+        some = rows.where(F.pmod(F.xxhash64(*EXAM), F.lit(blocks)) == b).collect()
+        if some:
+            parts.append(_sat(sheets, some, columns))
+    return reduce(DataFrame.unionByName, parts) if parts else _sat(sheets.limit(0), [{"test_id": "", "test_size": 1, "numbers": [0]}], columns)
 
 
 def eligible(sat: DataFrame) -> DataFrame:
     return sat.select(*EXAM, "member_id")
 
 
-def _over_places(column: str, start: Column) -> Column:
-    return F.aggregate("places", start, lambda a, i: a + F.get(F.col(f"`{column}`"), i))
-
-
 def sitting_totals(sat: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per exam-student: n_rows, n_questions, and per column v_ (valid grades) and t_ (total)."""
-    zero, none = F.lit(0), F.lit(0.0)
-    sums = [a for c in columns for a in (_over_places(f"valid_{c}", zero).cast("long").alias(f"v_{c}"), _over_places(f"points_{c}", none).alias(f"t_{c}"))]
-    return sat.select(*EXAM, "member_id", _over_places("rows", zero).cast("long").alias("n_rows"), F.size("places").cast("long").alias("n_questions"), *sums)
+    return sat.select(*EXAM, "member_id", "n_rows", "n_questions", *(F.col(f"`{k}_{c}`") for c in columns for k in ("v", "t")))
