@@ -20,6 +20,8 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from .common import saved, slices
 
@@ -103,7 +105,7 @@ def best_of_tasks(hits: DataFrame, leads: tuple[np.ndarray, np.ndarray], weights
     most_terms = int(np.bincount(items, minlength=1).max()) if len(items) else 0
     as_doubles = most_terms * int(weights.max(initial=0)) * 1_000_000 < _WHOLE
     sent = hits.sparkSession.sparkContext.broadcast((at, items, weights, item_ids))
-    item_kind = pa.array(item_ids).type if item_ids else pa.int64()
+    item_kind = to_arrow_type(_parse_datatype_string(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, items, weights, item_ids = sent.value

@@ -215,7 +215,10 @@ def scan_words(words: list[str], mentions: list[int], templates: Templates = TEM
             if any(w not in held for w in telling) or sum(min(n, held[w]) for w, n in counts.items()) < least_share * len(want):
                 continue
             missing, changes, first, last, (a, b) = compare_wording(want, have)
-            if missing <= (1 - least_share) * len(want) and telling <= set(have[first:last]) and names_in(have[first:last]) <= names:
+            # A short wording has few words of others between its own.
+            between = last - first - (len(want) - missing)
+            close = len(want) > _SHORT or between <= len(want) // 3
+            if close and missing <= (1 - least_share) * len(want) and telling <= set(have[first:last]) and names_in(have[first:last]) <= names:
                 return missing, changes, low + first, low + last
             if b:
                 parts += [(low + b, high), (low, low + a)]
