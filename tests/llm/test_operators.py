@@ -414,7 +414,7 @@ def test_bagminhash_is_unbiased():
 
 
 def test_exact(spark, odd):
-    from marksheet.llm.exacthash import directory, drop_exact_duplicates, exact_duplicates, index_texts
+    from marksheet.llm.exacthash import directory, drop_exact_duplicates, exact_duplicates, index_texts, slots
     from marksheet.llm.queries import ORACLES, op8_exact_dedup
 
     con = duckdb.connect()
@@ -427,7 +427,7 @@ def test_exact(spark, odd):
         got = exact_duplicates(table, **options)
         assert got.select(names).toPandas().sort_values("doc_id").values.tolist() == want
     assert op8_exact_dedup(spark, SF).count() == len(want)
-    _, entries, slots, start = index_texts(table, capacity=40, bits=5)
+    _, entries, _, _ = index_texts(table, capacity=40, bits=5)
     held = rows_of(entries)
     assert len(held) == len({r[4] for r in want}) and len({r["_key"] for r in held}) <= 32 and max(r["links"] for r in held) > 1
     assert {(r["_key"], r["chain"]) for r in held} == {(k, c) for k, n in {(r["_key"], r["links"]) for r in held} for c in range(1, n + 1)}
@@ -438,7 +438,13 @@ def test_exact(spark, odd):
     unsigned = lambda v: v % (1 << 64)
     for k in set(keys):
         assert sum(unsigned(k) >> (64 - r["local_depth"]) == r["_prefix"] for r in held) == 1
-    assert all(sum(unsigned(k) >> (64 - r["local_depth"]) == r["_prefix"] for k in set(keys)) <= 4 for r in held) and max(r["local_depth"] for r in held) > depth
+    assert all(sum(unsigned(k) >> (64 - r["local_depth"]) == r["_prefix"] for k in set(keys)) <= 4 for r in held)
+    # The directory is as deep as its deepest bucket, and each of its slots names the one bucket that covers it.
+    named = {r["_slot"]: (r["bucket"], r["local_depth"]) for r in rows_of(slots(buckets, depth))}
+    assert depth == max(r["local_depth"] for r in held) > min(r["local_depth"] for r in held) and len(named) == 1 << depth == slots(buckets, depth).count()
+    assert all(named[s] == (r["bucket"], r["local_depth"]) for r in held for s in named if s >> (depth - r["local_depth"]) == r["_prefix"])
+    one, none = (directory(spark.createDataFrame([(k,) for k in ks], "_key long"), 4) for ks in (range(4), ()))
+    assert one[1] == none[1] == 0 and rows_of(one[0]) == [{"_prefix": 0, "local_depth": 0, "bucket": 0}]
     out = rows_of(exact_duplicates(odd))
     assert {r["keep_id"] for r in out if r["doc_id"] in (1, 2)} == {2} and {r["group_size"] for r in out if r["doc_id"] in (4, 5)} == {3}
     kept = drop_exact_duplicates(odd)
