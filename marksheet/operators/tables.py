@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import columns as C
 from ..functions.quantiles import exact_quantiles
@@ -22,11 +22,35 @@ def median(c: Column) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
+def _as_text(c: str, kind: T.DataType) -> Column:
+    """A column as a string that is equal for equal values only; zeros of both signs are equal, NaNs too."""
+    v = F.col("`" + c.replace("`", "``") + "`")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        v = v + F.lit(0.0)
+    elif isinstance(kind, T.TimestampType):  # as printed, an hour would come twice when clocks go back
+        v = F.unix_micros(v)
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+        return F.to_json(v, {"ignoreNullFields": "false"})
+    return v.cast("string")
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """Per column: type, missing, distinct, share of distinct among non-null; all in one aggregate."""
-    one = df.agg(F.count(F.lit(1)).alias("n"), *(a for c in df.columns for a in (F.count(f"`{c}`").alias(f"v_{c}"), F.count_distinct(f"`{c}`").alias(f"d_{c}"))))
-    row = lambda c, t: F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("type"), (F.col("n") - F.col(f"`v_{c}`")).alias("missing"), F.col(f"`d_{c}`").alias("n_distinct"), (F.try_divide(F.col(f"`d_{c}`").cast("double"), F.col(f"`v_{c}`").cast("double")) * 100).alias("unique_pct"), F.col("n").alias("n_rows"))
-    return one.select(F.explode(F.array(*(row(c, t) for c, t in df.dtypes))).alias("x")).select("x.*")
+    """Per column: type, missing, distinct, share of distinct among non-null.
+
+    One scan: a row becomes one short row (column number, value) for each of its columns, tasks count
+    theirs before the shuffle, and missing values are one more value. Distinct counts are exact. A
+    table without rows has 0 everywhere and no share; one without columns gives no rows. Zeros of
+    both signs inside arrays and structs count as two values.
+    """
+    names = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "_i int, column_name string, type string")
+    if not df.columns:
+        cells = names.select("_i", F.lit("").alias("_v"))
+    else:
+        cells = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("_i"), _as_text(f.name, f.dataType).alias("_v")) for i, f in enumerate(df.schema)))))
+    values = cells.groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    found = values.groupBy("_i").agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_v").isNull(), F.col("_n")).otherwise(0)).alias("m"), F.count("_v").alias("d"))
+    n, m, d = (F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "m", "d"))
+    return F.broadcast(names).join(found, "_i", "left").select("column_name", "type", m.alias("missing"), d.alias("n_distinct"), (F.try_divide(d.cast("double"), (n - m).cast("double")) * 100).alias("unique_pct"), n.alias("n_rows"))
 
 
 def _label_type() -> Column:

@@ -297,6 +297,28 @@ def test_quantiles_by_ranges(spark):
     assert exact_quantiles(spark.createDataFrame([], "v double"), F.col("v"), (0.5,)) == [None]
 
 
+def test_column_profile(spark, tmp_path):
+    from marksheet.operators.tables import column_profile
+
+    nan = float("nan")
+    rows = [(1, 0.0, "a", "2024-10-27 00:30:00", [1, 2], b"\x00"), (1, -0.0, "", "2024-10-27 01:30:00", [1, None], b"\xff"), (None, nan, None, None, [None, 1], b"\xfe"),
+            (3, nan, "a", "2024-10-27 01:30:00", None, None), (3, None, "null", "2024-10-27 00:30:00", [], b"\xff")]
+    df = spark.createDataFrame(rows, "`a b` int, `x.y` double, s string, t string, l array<int>, z binary").withColumn("t", F.col("t").cast("timestamp"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:  # both times print as half past two in Berlin, where clocks go back between them
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = {r["column_name"]: r.asDict() for r in column_profile(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {c: (r["missing"], r["n_distinct"], r["n_rows"]) for c, r in got.items()} == {"a b": (1, 2, 5), "x.y": (1, 2, 5), "s": (1, 3, 5), "t": (1, 2, 5), "l": (1, 4, 5), "z": (1, 3, 5)}
+    assert got["a b"]["unique_pct"] == 50 and got["l"]["type"] == "array<int>"
+    empty = column_profile(df.limit(0)).collect()
+    assert len(empty) == 6 and all((r["missing"], r["n_distinct"], r["unique_pct"], r["n_rows"]) == (0, 0, None, 0) for r in empty)
+    df.write.parquet(str(tmp_path / "t"))
+    plan = column_profile(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("Relation") == 1
+
+
 def test_exam_buckets_are_read_without_a_shuffle(spark, tmp_path):
     rows = [(f"t{i % 40}", 5 + i % 2, f"m{i}", float(i)) for i in range(800)]
     df = spark.createDataFrame(rows, "test_id string, test_size int, member_id string, total double")
