@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from marksheet.operators import exam as E
+from marksheet.operators import exam as E, sampling as P, tables as A
 from marksheet.operators.sheets import sittings
 
 EXAMS = (("t1", 2, "ab"), ("t2", 3, "abc"), ("t3", 1, "d"), ("t4", 2, "abc"))
@@ -34,3 +35,55 @@ def test_students_counted_in_tasks_are_those_of_the_rows(spark, exam, values):
     found = E.sheet_states(exam, df, models)
     assert rows_of(found, *want.columns) == rows_of(want, *want.columns) and want.count() > 50
     assert E.sheet_states(exam.limit(0), df, models).count() == 0 and E.sheet_states(exam, df.limit(0), models).count() == 0
+
+
+def texts(spark):
+    df = answers(spark, (0, 0.25, 0.5, 1, None))
+    return df.withColumns({"answer_id": F.concat_ws("-", "member_id", "question_id"), "answer": F.when(F.col("human_grade") == 0.5, " ").otherwise(F.concat(F.col("question_id"), F.col("human_grade").cast("string")))})
+
+
+def test_exam_structure_is_summed_once_an_exam(spark, exam):
+    students = P.eligible_students(exam, texts(spark))
+    want = P.exam_structure_join(exam, students).groupBy("test_id", "test_size", "member_id").agg(F.count_distinct("question_id").alias("n_questions"), F.sum("question_order").alias("orders"))
+    assert rows_of(P.exam_structure_sums(exam, students), *want.columns) == rows_of(want, *want.columns)
+
+
+def test_exam_environment_is_summed_without_laying_it_out(spark, exam):
+    df = texts(spark)
+    env = P.exam_env_join(exam, P.eligible_students(exam, df), df)
+    want = env.groupBy("test_id", "test_size", "question_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("answer")).alias("answer_chars"), F.min("answer").alias("first_answer"), F.max("answer_id").alias("last_answer_id"), F.count_distinct("member_id").alias("students"),
+        F.count("new_grade_a").alias("new_grade_a_n"), F.sum("new_grade_a").alias("new_grade_a_sum"),
+    )
+    found = P.exam_env_sums(exam, df, ["new_grade_a"])
+    assert found.columns == want.columns and rows_of(found, *want.columns) == rows_of(want, *want.columns)
+
+
+def test_exam_metadata_counts_sets_of_questions(spark, exam):
+    raw = texts(spark)
+    valid = raw.where("member_id IS NOT NULL AND answer <> 'a1.0'")
+    found = {r["test_id"]: r for r in A.exam_metadata(exam, raw, valid).collect()}
+    of = {"all": raw.collect(), "valid": valid.collect()}
+    empty = lambda rows: sum(not (r["answer"] or "").strip() for r in rows)
+    for name, size, questions in EXAMS:
+        for kind, rows in of.items():
+            rows = [r for r in rows if r["question_id"] in questions]
+            want = [len(rows), len({r["member_id"] for r in rows} - {None}), len({r["answer_id"] for r in rows} - {None}), empty(rows)]
+            assert [found[name][f"{c}_{kind}"] for c in ("rows", "students", "answers", "empty")] == want
+        sit = {r["member_id"] for r in rows if len({x["question_id"] for x in rows if x["member_id"] == r["member_id"]}) == size == len(questions)}
+        mine = [r for r in rows if r["member_id"] in sit]
+        assert [found[name][c] for c in ("rows_eligible", "empty_eligible", "eligible_students")] == [len(mine), empty(mine), len(sit)]
+
+
+def test_values_are_counted_before_exams_are_met(spark, exam):
+    df = texts(spark)
+    found = A.exam_value_distribution(exam, df, "answer")
+    n = {(r["test_id"], r["value"]): r["n"] for r in found.collect()}
+    want = {}
+    for r in df.where("trim(answer) <> ''").collect():
+        for name, _, questions in EXAMS:
+            if r["question_id"] in questions:
+                want[name, r["answer"]] = want.get((name, r["answer"]), 0) + 1
+    assert n == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") > 1 and plan.rindex("Aggregate") > plan.rindex("Join")
