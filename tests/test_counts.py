@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marksheet.operators import exam as E, sampling as P, tables as A
+from marksheet.operators import exam as E, sampling as P, significance as T, tables as A
 from marksheet.operators.sheets import sittings
 
 EXAMS = (("t1", 2, "ab"), ("t2", 3, "abc"), ("t3", 1, "d"), ("t4", 2, "abc"))
@@ -87,3 +87,25 @@ def test_values_are_counted_before_exams_are_met(spark, exam):
     assert n == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") > 1 and plan.rindex("Aggregate") > plan.rindex("Join")
+
+
+def test_ranks_from_counts_are_those_of_the_rows(spark, exam):
+    df, models = answers(spark, (0, 0.25, 0.5, 1, None)), ["new_grade_a"]
+    sat, cells = sittings(exam, df, E.graded_columns(models)), E.cells_of_states(E.sheet_states(exam, df, models))
+    want, found = E.student_scale_export(sat, "new_grade_a"), E.student_scale_export(sat, "new_grade_a", cells)
+    assert rows_of(found, *want.columns) == rows_of(want, *want.columns) and want.count() > 20
+    # However small the planner takes the cells for, they are not sent to the driver and the tasks.
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.split("\n") if "BroadcastHashJoin" in line and "pred_total" in line] and plan.count("SortMergeJoin") == 2
+    labels = T.exam_label_table(sat, models, 2, E.cells_of_states(E.sheet_states(exam.where("test_size = 2"), df, models)))
+    assert rows_of(labels, *labels.columns) == rows_of(T.exam_label_table(sat, models, 2), *labels.columns)
+
+
+def test_pairs_counted_in_tasks_are_those_of_the_rows(spark, exam):
+    df, models = answers(spark, (0, 0.25, 0.5, 1, None)), ["new_grade_a", "human_expert_two"]
+    pairs = spark.createDataFrame([models, models[::-1]], "a string, b string")
+    want = T.pair_cells(sittings(exam, df, E.graded_columns(models)), models, pairs)
+    labels = T.sheet_label_cells(exam, df, models)
+    found = T.sheet_pair_cells(exam, df, pairs, labels)
+    assert rows_of(found, *want.columns) == rows_of(want, *want.columns) and want.count() > 10
+    assert T.sheet_pair_cells(exam, df, pairs.limit(0), labels).count() == 0
