@@ -1,11 +1,13 @@
 """Work that is done on counts and sets instead of a row for every exam and student."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marksheet.operators import exam as E, sampling as P, significance as T, tables as A
+from marksheet.operators import baselines as B, exam as E, sampling as P, significance as T, tables as A
 from marksheet.operators.sheets import sittings
 
 EXAMS = (("t1", 2, "ab"), ("t2", 3, "abc"), ("t3", 1, "d"), ("t4", 2, "abc"))
@@ -109,3 +111,54 @@ def test_pairs_counted_in_tasks_are_those_of_the_rows(spark, exam):
     found = T.sheet_pair_cells(exam, df, pairs, labels)
     assert rows_of(found, *want.columns) == rows_of(want, *want.columns) and want.count() > 10
     assert T.sheet_pair_cells(exam, df, pairs.limit(0), labels).count() == 0
+
+
+def jobs(spark, work):
+    """What ``work`` gives, and how many Spark jobs it took."""
+    sc, name = spark.sparkContext, f"jobs-{random.random()}"
+    sc.setJobGroup(name, name)
+    try:
+        return work(), len(sc.statusTracker().getJobIdsForGroup(name))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def closed_form(x, y, train):
+    a = x[train] - x[train].mean(0)
+    w = np.linalg.solve(a.T @ a + np.eye(x.shape[1]), a.T @ (y[train] - y[train].mean()))
+    return (x - x[train].mean(0)) @ w + y[train].mean()
+
+
+def graded_texts(spark, copies):
+    rng, words = np.random.default_rng(3), ["alpha", "beta", "gamma", "delta", "eps"]
+    kinds = [("train" if i < 30 else "test", f"q{i % 3}", " ".join(rng.choice(words, 1 + i % 6)) if i % 7 else [None, ""][i % 2], float(rng.integers(0, 5)) / 4) for i in range(45)]
+    rows = [(f"{c}-{i}", *k) for i, k in enumerate(kinds) for c in range(copies[i % len(copies)])]
+    return spark.createDataFrame(rows, "answer_id string, split string, question string, answer string, grade double")
+
+
+def laid_out(rows, column):
+    x = np.zeros((len(rows), rows[0][column]["size"]))
+    for i, r in enumerate(rows):
+        x[i, r[column]["indices"]] = r[column]["values"]
+    return x
+
+
+def test_variants_are_worked_out_once_a_case(spark, monkeypatch):
+    """Copies are weighed, not repeated, and a recipe takes few passes."""
+    df, seen, settled = graded_texts(spark, (1, 4, 9)), Counter(), B.settled
+
+    def noted(rows, name):
+        out = settled(rows, name)
+        seen[name] = max(seen[name], out.count())
+        return out
+
+    monkeypatch.setattr(B, "settled", noted)
+    name = "v1_answer_word_unigram"
+    (made, n) = jobs(spark, lambda: B.tfidf_variants(df, [name]).orderBy("answer_id").collect())
+    assert len(made) == df.count() == len({r["answer_id"] for r in made}) and n < 60
+    assert seen["cases"] == df.select("question", "answer", "split", "grade").distinct().count() < len(made) / 3 and seen["texts"] <= seen["cases"]
+    rows = B.tfidf_word_features(df, "answer", longest=1, size=30_000).orderBy("answer_id").collect()
+    train, y = np.array([r["split"] == "train" for r in rows]), np.array([r["grade"] for r in rows])
+    raw = np.clip(closed_form(laid_out(rows, "features"), y, train), 0, 1)
+    for r, want, used in zip(made, raw, train, strict=True):
+        assert r[f"pred_tfidf_{name}"] is None if used else abs((want * 4 - 0.5) % 1) < 1e-6 or r[f"pred_tfidf_{name}"] == np.ceil(want * 4 - 0.5) / 4
