@@ -162,3 +162,20 @@ def test_variants_are_worked_out_once_a_case(spark, monkeypatch):
     raw = np.clip(closed_form(laid_out(rows, "features"), y, train), 0, 1)
     for r, want, used in zip(made, raw, train, strict=True):
         assert r[f"pred_tfidf_{name}"] is None if used else abs((want * 4 - 0.5) % 1) < 1e-6 or r[f"pred_tfidf_{name}"] == np.ceil(want * 4 - 0.5) / 4
+
+
+def test_features_are_made_once_a_text_in_tasks_by_length(spark, monkeypatch):
+    """Different texts only are written down, no table of terms, and long input gets more tasks."""
+    df, seen, settled = graded_texts(spark, (1, 4, 9)), {}, B.settled
+
+    def noted(rows, name):
+        seen[name] = settled(rows, name)
+        return seen[name]
+
+    monkeypatch.setattr(B, "settled", noted)
+    few = B.tfidf_char_features(df, "answer").orderBy("answer_id").collect()
+    assert seen["texts"].count() == seen["features"].count() == df.select(F.coalesce("answer", F.lit(""))).distinct().count() and "terms" not in seen
+    files = len(seen["features"].inputFiles())
+    monkeypatch.setattr(B, "_CHARS", 5)
+    assert few == B.tfidf_char_features(df, "answer").orderBy("answer_id").collect()
+    assert len(seen["features"].inputFiles()) > files
