@@ -179,3 +179,19 @@ def test_features_are_made_once_a_text_in_tasks_by_length(spark, monkeypatch):
     monkeypatch.setattr(B, "_CHARS", 5)
     assert few == B.tfidf_char_features(df, "answer").orderBy("answer_id").collect()
     assert len(seen["features"].inputFiles()) > files
+
+
+def test_ridge_of_weighed_rows_takes_few_passes(spark, monkeypatch):
+    df = graded_texts(spark, (1, 4, 9))
+    rows = B.tfidf_word_features(df, "answer").orderBy("answer_id")
+    once = df.groupBy("split", "answer", "grade").agg(F.count(F.lit(1)).alias("times"))
+    weighed = B.tfidf_word_features(once, "answer", weight="times")
+    kept = rows.collect()
+    want = closed_form(laid_out(kept, "features"), np.array([r["grade"] for r in kept]), np.array([r["split"] == "train" for r in kept]))
+    by_text = {r["answer"]: w for r, w in zip(kept, want, strict=True)}
+    for most in (B.PRODUCTS, 1):  # by the normal equations, and by conjugate gradients
+        monkeypatch.setattr(B, "PRODUCTS", most)
+        made, n = jobs(spark, lambda: B.tfidf_ridge_predict(rows, "features", raw="raw").orderBy("answer_id").collect())
+        assert [r["raw"] for r in made] == pytest.approx(list(want), abs=1e-5) and (n < 25 or most == 1)
+        for r in B.tfidf_ridge_predict(weighed, "features", raw="raw", weight="times").collect():
+            assert r["raw"] == pytest.approx(by_text[r["answer"]], abs=1e-5)
