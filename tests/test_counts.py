@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marksheet.operators import baselines as B, exam as E, sampling as P, significance as T, tables as A
+from marksheet.operators import baselines as B, exam as E, joins as J, sampling as P, sheets, significance as T, tables as A
 from marksheet.operators.sheets import sittings
 
 EXAMS = (("t1", 2, "ab"), ("t2", 3, "abc"), ("t3", 1, "d"), ("t4", 2, "abc"))
@@ -195,3 +195,23 @@ def test_ridge_of_weighed_rows_takes_few_passes(spark, monkeypatch):
         assert [r["raw"] for r in made] == pytest.approx(list(want), abs=1e-5) and (n < 25 or most == 1)
         for r in B.tfidf_ridge_predict(weighed, "features", raw="raw", weight="times").collect():
             assert r["raw"] == pytest.approx(by_text[r["answer"]], abs=1e-5)
+
+
+def test_key_sets_are_counted_from_what_sheets_lack(spark, exam, monkeypatch):
+    """As from the rows, in one block of sheets or several; equal sheets are counted before exams are met."""
+    df, models = answers(spark, (0, 0.25, 0.5, 1, None)), ["new_grade_a", "human_expert_two"]
+    twins = df.unionByName(df.withColumn("member_id", F.concat("member_id", F.lit("-twin"))))
+    rows = E.completeness_filter(E.student_exam_totals(sittings(exam, twins, E.graded_columns(models)), models))
+    sets = {m: {tuple(r) for r in rows.where(F.col("model_col") == m).select("test_id", "test_size", "member_id").collect()} for m in models}
+    first = sets[min(models)]
+    want = sorted((m, len(first - s), len(s - first)) for m, s in sets.items())
+    assert any(m or x for _, m, x in want)
+    assert sorted(map(tuple, J.model_key_sets(rows).collect())) == want
+    states, seen, settled = E.exam_states(E.student_exam_totals(sittings(exam, twins, E.graded_columns(models)), models)), {}, sheets.settled
+    monkeypatch.setattr(sheets, "settled", lambda rows, name: seen.setdefault(name, settled(rows, name)))
+    for held in (sheets.HELD, 4000):
+        monkeypatch.setattr(sheets, "HELD", held)
+        seen.clear()
+        assert sorted(map(tuple, E.sheet_key_sets(exam, twins, models).collect())) == want
+        assert seen["sheets"].count() <= 60
+        assert rows_of(E.sheet_states(exam, twins, models), *states.columns) == rows_of(states, *states.columns)
