@@ -10,26 +10,28 @@ from ..plans import lineage as L
 from .common import dbl, kappa_cte, r, rounded
 from ..operators.exam import cells_of_states, graded_columns, sheet_states
 from ..operators.sheets import sittings
-from .exam import MODELS, SCALED_SQL, exam_questions, responses
+from .exam import MODELS, SCALED_SQL, exams_and_answers, responses
 
 SIZE, N = 10, X.PERMUTATIONS
 
 
 def exams(s, d):
-    """The exams of one size: the others are left out before sheets are looked at."""
-    return exam_questions(s, d).where(F.col("test_size") == SIZE)
+    """The exams of one size, and the answers: the others are left out before sheets are looked at."""
+    exam, answers = exams_and_answers(s, d, MODELS)
+    return exam.where(F.col("test_size") == SIZE), answers
 
 
 def sat(s, d):
-    return sittings(exams(s, d), responses(s, d), graded_columns(MODELS))
+    return sittings(*exams(s, d), graded_columns(MODELS))
 
 
 def labels(s, d):
-    return T.exam_label_table(sat(s, d), MODELS, SIZE, cells_of_states(sheet_states(exams(s, d), responses(s, d), MODELS)))
+    exam, answers = exams(s, d)
+    return T.exam_label_table(sittings(exam, answers, graded_columns(MODELS)), MODELS, SIZE, cells_of_states(sheet_states(exam, answers, MODELS)))
 
 
 def cells(s, d):
-    return T.sheet_label_cells(exams(s, d), responses(s, d), MODELS)
+    return T.sheet_label_cells(*exams(s, d), MODELS)
 
 
 def pairs(s, d):
@@ -143,7 +145,7 @@ QUERIES = {
     "mcnemar_exact_p": mcnemar_exact_p,
     "mcnemar_all_pairs": lambda s, d: rounded(T.mcnemar_all_pairs(sat(s, d), MODELS, SIZE).select("scale", "a", "b", "discordant", "p")),
     "permutation_test_qwk": permutation,
-    "permutation_all_pairs": lambda s, d: rounded(T.sheet_permutations(exams(s, d), responses(s, d), MODELS, N, X.SEED)),
+    "permutation_all_pairs": lambda s, d: rounded(T.sheet_permutations(*exams(s, d), MODELS, N, X.SEED)),
     "sanity_checks": sanity,
     "rich_text_column_job": lambda s, d: R.rich_text_column_job(rich_documents(s, d), "document", "plain").select("conv_id", "plain"),
     "rich_question_column_job": lambda s, d: R.rich_question_column_job(rich_questions(s, d), "document").select("id", "question", "rubric", "examples"),

@@ -197,6 +197,29 @@ def test_ridge_of_weighed_rows_takes_few_passes(spark, monkeypatch):
             assert r["raw"] == pytest.approx(by_text[r["answer"]], abs=1e-5)
 
 
+def test_exam_queries_read_the_tables_once(spark, monkeypatch):
+    from marksheet.registered import exam as X, significance as G
+
+    read, view = Counter(), X.X.view
+
+    def noted(s, d, name):
+        read[name] += 1
+        return view(s, d, name)
+
+    monkeypatch.setattr(X.X, "view", noted)
+    for made in (X.states, X.sat, X.students, X.exported, G.sat, G.labels, G.cells):
+        read.clear()
+        found = made(spark, "/root/testdata/sf0.001")
+        assert read == {"responses": 1} and not [f for f in found.inputFiles() if "lineitem" in f]
+
+
+def test_exams_are_dealt_to_many_tasks(spark, exam):
+    df, models = answers(spark, (0, 0.25, 0.5, 1, None)), ["new_grade_a", "human_expert_two"]
+    cells = E.cells_of_states(E.sheet_states(exam, df, models))
+    for made in (E.with_scales(cells), E.with_scales(cells).groupBy("model_col", *E.EXAM, "gold_linear_abs").count(), E.granularity_labels(cells)):
+        assert made.rdd.getNumPartitions() == sheets.many_parts(cells)
+
+
 def test_key_sets_are_counted_from_what_sheets_lack(spark, exam, monkeypatch):
     """As from the rows, in one block of sheets or several; equal sheets are counted before exams are met."""
     df, models = answers(spark, (0, 0.25, 0.5, 1, None)), ["new_grade_a", "human_expert_two"]
