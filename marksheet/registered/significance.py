@@ -10,6 +10,7 @@ from ..plans import lineage as L
 from .common import dbl, kappa_cte, r, rounded
 from ..operators.exam import cells_of_states, graded_columns, sheet_states
 from ..operators.sheets import sittings
+from ..sources.io import settled
 from .exam import MODELS, SCALED_SQL, exams_and_answers, responses
 
 SIZE, N = 10, X.PERMUTATIONS
@@ -85,6 +86,11 @@ def _tfidf_base(s, d):
     return responses(s, d).select("answer_id", "split", "question", "answer", "grade")
 
 
+def _tfidf_answers(s, d):
+    """The rows of ``_tfidf_base`` written down, as features and predictions read them several times."""
+    return settled(_tfidf_base(s, d).drop("question"), "answers")
+
+
 def _vector_stats(df, column):
     values = F.col(f"{column}.values")
     return rounded(df.select("answer_id", F.size(values).alias("n_terms"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x).alias("squared_length"), F.array_max(values).alias("largest")))
@@ -150,8 +156,8 @@ QUERIES = {
     "rich_text_column_job": lambda s, d: R.rich_text_column_job(rich_documents(s, d), "document", "plain").select("conv_id", "plain"),
     "rich_question_column_job": lambda s, d: R.rich_question_column_job(rich_questions(s, d), "document").select("id", "question", "rubric", "examples"),
     "release_lineage": release,
-    "tfidf_word_features": lambda s, d: _vector_stats(B.tfidf_word_features(_tfidf_base(s, d), "answer"), "features"),
-    "tfidf_char_features": lambda s, d: _vector_stats(B.tfidf_char_features(_tfidf_base(s, d), "answer"), "features"),
+    "tfidf_word_features": lambda s, d: _vector_stats(B.tfidf_word_features(_tfidf_answers(s, d), "answer"), "features"),
+    "tfidf_char_features": lambda s, d: _vector_stats(B.tfidf_char_features(_tfidf_answers(s, d), "answer"), "features"),
     "tfidf_ridge_predict": lambda s, d: B.tfidf_ridge_predict(B.tfidf_word_features(_tfidf_base(s, d), "answer"), "features").select("answer_id", "split", "prediction"),
     "tfidf_variants": lambda s, d: B.tfidf_variants(_tfidf_base(s, d)).select("answer_id", "split", *(f"pred_tfidf_{v}" for v in B.RECIPES)),
 }

@@ -213,6 +213,14 @@ def test_exam_queries_read_the_tables_once(spark, monkeypatch):
         assert read == {"responses": 1} and not [f for f in found.inputFiles() if "lineitem" in f]
 
 
+@pytest.mark.parametrize("name", ["tfidf_char_features"])
+def test_text_queries_read_the_tables_once(spark, name):
+    from marksheet.queries import QUERIES
+
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and not [f for f in found.inputFiles() if "lineitem" in f]
+
+
 def test_exams_are_dealt_to_many_tasks(spark, exam):
     df, models = answers(spark, (0, 0.25, 0.5, 1, None)), ["new_grade_a", "human_expert_two"]
     cells = E.cells_of_states(E.sheet_states(exam, df, models))
