@@ -158,7 +158,7 @@ QUERIES = {
     "release_lineage": release,
     "tfidf_word_features": lambda s, d: _vector_stats(B.tfidf_word_features(_tfidf_answers(s, d), "answer"), "features"),
     "tfidf_char_features": lambda s, d: _vector_stats(B.tfidf_char_features(_tfidf_answers(s, d), "answer"), "features"),
-    "tfidf_ridge_predict": lambda s, d: B.tfidf_ridge_predict(B.tfidf_word_features(_tfidf_base(s, d), "answer"), "features").select("answer_id", "split", "prediction"),
+    "tfidf_ridge_predict": lambda s, d: B.tfidf_ridge_predict(B.tfidf_word_features(_tfidf_answers(s, d), "answer"), "features").select("answer_id", "split", "prediction"),
     "tfidf_variants": lambda s, d: B.tfidf_variants(_tfidf_base(s, d)).select("answer_id", "split", *(f"pred_tfidf_{v}" for v in B.RECIPES)),
 }
 

@@ -213,7 +213,7 @@ def test_exam_queries_read_the_tables_once(spark, monkeypatch):
         assert read == {"responses": 1} and not [f for f in found.inputFiles() if "lineitem" in f]
 
 
-@pytest.mark.parametrize("name", ["tfidf_char_features"])
+@pytest.mark.parametrize("name", ["tfidf_char_features", "tfidf_ridge_predict"])
 def test_text_queries_read_the_tables_once(spark, name):
     from marksheet.queries import QUERIES
 
