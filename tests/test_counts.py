@@ -246,3 +246,18 @@ def test_key_sets_are_counted_from_what_sheets_lack(spark, exam, monkeypatch):
         assert sorted(map(tuple, E.sheet_key_sets(exam, twins, models).collect())) == want
         assert seen["sheets"].count() <= 60
         assert rows_of(E.sheet_states(exam, twins, models), *states.columns) == rows_of(states, *states.columns)
+
+
+def test_scales_are_compared_in_one_row_a_cell(spark):
+    """As by kappa on the labels that an exam has, constant exams and lone grades with them."""
+    random.seed(3)
+    exams = {"t1": (0, 1), "t2": tuple(i / 4 for i in range(21)), "t3": (5,), "t4": (1, 5)}
+    cells = [("m", t, 5, float(g), float(p), random.randint(1, 9)) for t, v in exams.items() for g in v for p in v if random.random() < 0.6 or len(v) < 3]
+    df = E.with_scales(spark.createDataFrame([*cells, ("m", "t5", 5, 0.0, 5.0, 4)], "model_col string, test_id string, test_size int, gold_total double, pred_total double, n long"))
+    found = {r["test_id"]: r for r in E.scale_agreement(df).collect()}
+    want = E.qwk_observed(E.scale_pairs(df), ["test_id", "scale"], "y", "p", weight="n").collect()
+    assert len(want) == 25 and {r["qwk"] for r in want} >= {0.0, 1.0}
+    for r in want:
+        acc, qwk = (f"el_{m}_{r['scale']}" if not r["scale"].startswith("pass_") else f"el_pass_{m}_{r['scale'][5:]}" for m in ("acc", "qwk"))
+        assert (found[r["test_id"]][acc], found[r["test_id"]][qwk]) == (r["accuracy"], r["qwk"])
+    assert "Generate" not in E.scale_agreement(df)._jdf.queryExecution().optimizedPlan().toString()
