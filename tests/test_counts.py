@@ -248,6 +248,21 @@ def test_key_sets_are_counted_from_what_sheets_lack(spark, exam, monkeypatch):
         assert rows_of(E.sheet_states(exam, twins, models), *states.columns) == rows_of(states, *states.columns)
 
 
+@pytest.mark.parametrize("values", [(0, 0.25, 0.5, 1, None), (-3, -0.5, 2.25, 1000, 7), (2.0**-12, 3 * 2.0**-12, 0.25, None, 1)])
+def test_plain_sheets_are_counted_by_one_number_a_view(spark, exam, values, monkeypatch):
+    """Sheets of one row a question by the sum of their codes, others (and grades in no whole steps) column by column, alike in one block or several."""
+    df, models = answers(spark, values), ["new_grade_a", "human_expert_two", "human_grade"]
+    want = E.exam_states(E.student_exam_totals(sittings(exam, df, E.graded_columns(models)), models))
+    seen, counted, coded = [], sheets._counted, sheets._counted_codes
+    monkeypatch.setattr(sheets, "_counted", lambda dealt, *a: (seen.append(("columns", dealt.select("times", "n_rows").distinct().count())), counted(dealt, *a))[1])
+    monkeypatch.setattr(sheets, "_counted_codes", lambda dealt, *a: (seen.append(("codes", dealt.count())), coded(dealt, *a))[1])
+    for held in (sheets.HELD, 400):
+        monkeypatch.setattr(sheets, "HELD", held)
+        seen.clear()
+        assert rows_of(E.sheet_states(exam, df, models), *want.columns) == rows_of(want, *want.columns) and want.count() > 50
+        assert [kind for kind, n in seen if n] == (["columns"] if 2.0**-12 in values else ["codes", "columns"])
+
+
 def test_scales_are_compared_in_one_row_a_cell(spark):
     """As by kappa on the labels that an exam has, constant exams and lone grades with them."""
     random.seed(3)
