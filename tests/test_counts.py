@@ -103,6 +103,21 @@ def test_ranks_from_counts_are_those_of_the_rows(spark, exam):
     assert rows_of(labels, *labels.columns) == rows_of(T.exam_label_table(sat, models, 2), *labels.columns)
 
 
+@pytest.mark.parametrize("values", [(0, 0.25, 0.5, 1, None), (0.1, 0.2, 0.3, 1e300, None, float("inf"))])
+def test_students_numbered_in_tasks_have_the_ranks_of_the_rows(spark, exam, values, monkeypatch):
+    df, models = answers(spark, values), ["new_grade_a", "human_expert_two"]
+    want = E.rank_by_total(E.completeness_filter(E.student_exam_totals(sittings(exam, df, E.graded_columns(models)), models)))
+    for held in (1 << 20, 2000):  # all students of a range together, or a few
+        monkeypatch.setattr(sheets, "HELD", held)
+        monkeypatch.setattr(sheets, "IN_RANGE", 20)
+        found = E.sheet_ranks(exam, df, models)
+        assert rows_of(found, *found.columns) == rows_of(want, *found.columns) and want.count() > 50
+        # No row of a sitting moves: what is above the numbering is one join with the exams.
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan[: plan.index("MapInArrow")] and plan[: plan.index("MapInArrow")].count("Join") == 1
+    assert E.sheet_ranks(exam.limit(0), df, models).count() == 0 and E.sheet_ranks(exam, df.limit(0), models).count() == 0
+
+
 def test_pairs_counted_in_tasks_are_those_of_the_rows(spark, exam):
     df, models = answers(spark, (0, 0.25, 0.5, 1, None)), ["new_grade_a", "human_expert_two"]
     pairs = spark.createDataFrame([models, models[::-1]], "a string, b string")
