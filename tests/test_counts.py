@@ -77,6 +77,26 @@ def test_exam_metadata_counts_sets_of_questions(spark, exam):
         assert [found[name][c] for c in ("rows_eligible", "empty_eligible", "eligible_students")] == [len(mine), empty(mine), len(sit)]
 
 
+def test_exam_metadata_leaves_no_part_out(spark, exam):
+    """Questions, students by name, answers of eligible students and distributions; an exam without rows, too."""
+    more = spark.createDataFrame([("t5", 1, "z", 1)], exam.schema)
+    # Some answer ids belong to several students and questions.
+    raw = texts(spark).withColumns({"answer_id": F.concat(F.lit("x"), F.pmod(F.xxhash64("answer_id"), F.lit(90))), "bloom_level": F.when(F.col("question_id") == "a", " low ").when(F.col("question_id") == "b", " ").otherwise("high")})
+    valid = raw.where("member_id IS NOT NULL AND answer <> 'a1.0'")
+    found = {r["test_id"]: r for r in A.exam_metadata(exam.union(more), raw, valid).collect()}
+    assert "topic_distribution" not in A.exam_metadata(exam, raw, valid).columns and len(found) == len(EXAMS) + 1
+    every, rows = raw.collect(), valid.collect()
+    for name, size, questions in (*EXAMS, ("t5", 1, "z")):
+        mine = [r for r in rows if r["question_id"] in questions]
+        sit = {m for m in {r["member_id"] for r in mine} if len({r["question_id"] for r in mine if r["member_id"] == m}) == size == len(questions)}
+        assert found[name]["question_ids"] == ",".join(sorted(questions)) and found[name]["student_ids"] == ",".join(sorted(sit))
+        assert found[name]["answers_eligible"] == len({r["answer_id"] for r in mine if r["member_id"] in sit})
+        levels = Counter(v for r in every if r["question_id"] in questions if (v := r["bloom_level"].strip()))
+        lines = [f"{v}={n} ({n / sum(levels.values()):.4f})" for v, n in sorted(levels.items(), key=lambda x: (-x[1], x[0]))]
+        assert found[name]["bloom_distribution"] == "\n".join(lines)
+    assert found["t5"]["rows_all"] == found["t5"]["eligible_students"] == 0 and found["t1"]["answers_eligible"] > 0
+
+
 def test_values_are_counted_before_exams_are_met(spark, exam):
     df = texts(spark)
     found = A.exam_value_distribution(exam, df, "answer")
