@@ -52,10 +52,15 @@ def permutation(s, d):
 
 
 def sanity(s, d):
-    """All checks, with the ranking and the comparisons of the other queries."""
-    ranking = T.model_ranking(cells(s, d))
+    """All checks, with the ranking and the comparisons of the other queries.
+
+    Labels are counts of students, counted once more than for the ranking that they are held against.
+    """
+    exam, answers = exams(s, d)
+    ranking = settled(T.model_ranking(T.sheet_label_cells(exam, answers, MODELS)), "ranking")
     compared = T.best_against_others(ranking, "el_acc_linear_abs").union(T.best_against_others(ranking, "el_qwk_bologna"))
-    return T.sanity_checks(labels(s, d), MODELS, SIZE, ranking=ranking, pairs=compared, exams=X.RUNS)
+    counted = settled(T.sheet_label_cells(exam, answers, MODELS), "labels")
+    return T.sanity_checks(counted, MODELS, SIZE, ranking=ranking, pairs=compared, exams=X.RUNS, students=T.sheet_checks(exam, answers, MODELS, counted))
 
 
 def rich_documents(s, d):

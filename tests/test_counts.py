@@ -148,6 +148,20 @@ def test_pairs_counted_in_tasks_are_those_of_the_rows(spark, exam):
     assert T.sheet_pair_cells(exam, df, pairs.limit(0), labels).count() == 0
 
 
+def test_checks_of_counts_are_those_of_the_label_table(spark, exam):
+    models, exam, df = ["new_grade_a", "human_expert_two"], exam.where("test_size = 2"), answers(spark, (0, 0.25, 0.5, 1, None))
+    kept = lambda rows: spark.createDataFrame(rows.collect(), rows.schema).coalesce(1)
+    sat = kept(sittings(exam, df, E.graded_columns(models)))
+    cells = kept(T.label_cells(sat, models, 2))
+    want = T.sanity_checks(kept(T.exam_label_table(sat, models, 2)), models, 2, exams=2)
+    found = T.sanity_checks(cells, models, 2, exams=2, students=T.sheet_checks(exam, df, models, cells))
+    assert rows_of(found, *want.columns) == rows_of(want, *want.columns)
+    failed = {r["name"]: r["offending"] for r in want.collect() if not r["passed"]}
+    assert failed["gold_labels_agree"] > 1 and failed["same_exam_students"] == 1
+    with pytest.raises(ValueError, match="checks of students"):
+        T.sanity_checks(cells, models, 2)
+
+
 def jobs(spark, work):
     """What ``work`` gives, and how many Spark jobs it took."""
     sc, name = spark.sparkContext, f"jobs-{random.random()}"
